@@ -45,7 +45,8 @@ def fitting_sample(docs: DataFrame, labels: DataFrame, sample_toxic: int, sample
     draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) / float(1 << 20)
     chosen = known.filter(draw < F.when(F.col("toxic"), share(True, sample_toxic)).otherwise(share(False, sample_ordinary)))
     fold = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(FOLDS)).cast("int")
-    return keyed_texts(docs).join(chosen, "doc_id").select("text", "toxic", fold.alias("fold"))
+    # the list is bounded by the two parameters, so it is broadcast and the texts are not shuffled
+    return keyed_texts(docs).join(F.broadcast(chosen), "doc_id").select("text", "toxic", fold.alias("fold"))
 
 
 def word_counts(sample: DataFrame) -> DataFrame:
