@@ -53,6 +53,15 @@ def settled(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A list of ids is broadcast up to so many rows (about 100 MB); beyond that Spark shuffles both sides.
+BROADCAST_ROWS = 2_000_000
+
+
+def sized(settled_ids: DataFrame) -> DataFrame:
+    """A settled narrow table, marked for broadcast if its rows, counted, are few enough."""
+    return F.broadcast(settled_ids) if settled_ids.count() <= BROADCAST_ROWS else settled_ids
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with a function that make() builds once in each task."""
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, html_text, packing, quality, toxicity, url_filter, word_bpe
+from . import byte_bpe, exact_dedup, html_text, minhash_dedup, packing, quality, repeated_spans, toxicity, url_filter, word_bpe
 from .common import documents
 
 
@@ -23,10 +23,18 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_groups(documents(spark, sf_dir))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans.remove_repeats(documents(spark, sf_dir))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir))
 
@@ -85,6 +93,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_exact_dedup, op5_toxicity, op7_quality_rules, op8_html_extraction, op9_url_filters, op10_packing)
+    f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_exact_dedup, op4_minhash_dedup, op5_toxicity, op6_suffix_dedup, op7_quality_rules, op8_html_extraction, op9_url_filters, op10_packing)
 }
 SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.EXACT_SQL, "op7_quality_rules": quality.QUALITY_SQL, "op9_url_filters": URL_SQL}
