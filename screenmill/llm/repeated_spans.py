@@ -302,7 +302,7 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 
 def applied(texts: DataFrame, answers: DataFrame, with_text: bool) -> DataFrame:
-    """The result of every row; with_text: the remaining text and the column carried too."""
+    """The result of every row; with_text: the remaining text and the columns carried_* too."""
 
     def work(docs: pa.Table, got: pa.Table) -> pa.Table:
         blobs = got.column("answers").to_pylist()
@@ -328,9 +328,12 @@ def applied(texts: DataFrame, answers: DataFrame, with_text: bool) -> DataFrame:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"][: 6 if with_text else 5]
         kinds = [pa.int64()] * 4 + [pa.string()] * 2
         made = pa.table([pa.array([r[k] for r in out], kinds[k]) for k in range(len(names))], names)
-        return made.append_column("carried", docs.column("carried")) if with_text else made
+        for name in carried:
+            made = made.append_column(name, docs.column(name))
+        return made
 
-    more = f", text string, carried {texts.schema['carried'].dataType.simpleString()}" if with_text else ""
+    carried = [f for f in texts.columns if f.startswith("carried_")]
+    more = ", text string" * with_text + "".join(f", {f} {texts.schema[f].dataType.simpleString()}" for f in carried)
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(work, RESULT + more)
 
 
@@ -344,10 +347,10 @@ def remove_repeats(docs: DataFrame, carried: list[str] | None = None, block_docs
     with_text = carried is not None
     block = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64(F.md5("text"))).otherwise(F.xxhash64("doc_id")), F.lit(n_blocks))
     own = [F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")]
-    texts = docs.select(*own, *([F.struct(*(F.col(f"`{c}`").alias(c) for c in carried), F.lit(0).alias("_")).alias("carried")] if with_text else [])).withColumn("block", block)
+    texts = docs.select(*own, *(F.col(f"`{c}`").alias(f"carried_{k}") for k, c in enumerate(carried or ()))).withColumn("block", block)
     first = settled(first_answers(phrase_sets(texts, n_blocks)), "first-answers")
     second = settled(second_answers(asked_bytes(texts.select("doc_id", "text", "block"), first, n_blocks)), "second-answers")
     result = applied(texts, first.unionByName(second), with_text)
     if not with_text:
         return result
-    return result.select(*(c for c in result.columns if c != "carried"), *(F.col("carried")[c].alias(c) for c in carried if c not in ("doc_id", "text")))
+    return result.select(*(c for c in result.columns if not c.startswith("carried_")), *(F.col(f"carried_{k}").alias(c) for k, c in enumerate(carried) if c not in ("doc_id", "text")))
