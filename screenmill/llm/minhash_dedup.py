@@ -9,10 +9,12 @@ about K log K of them through, whatever its size; each dart belongs to one of th
 coordinate is its value.  Coordinates that stay empty are filled by throwing up to twice the rank.  Bands of coordinates
 are the keys of a join.
 
-Candidates are verified on the whole texts.  Within a band's group every document is compared with one leader of the
-group, chosen per band by a hash; then only documents of one group that are still in different components are compared,
-and of them only those that the triangle inequality of the Jaccard distance lets be close.  So large groups of copies
-cost a number of comparisons in proportion to their size, and no candidate link between different components is lost.
+Candidates are verified on the whole texts.  Documents that share a band key with a smaller doc_id are compared with the
+smallest of that key, their leader: one comparison for each document and leader.  Two candidates always have a leader in
+common, so what is left are documents of one leader in different components.  Those outside the leader's component are
+looked up in an inverted index of the leader's documents, in blocks of bounded size, which finds their exact
+similarities without a row for each pair; documents that the triangle inequality of the Jaccard distance keeps apart are
+left out.  No candidate link between different components is lost.
 
 Words are runs of letters and digits (ASCII case folded); a text of one to four words is one shingle.  Rows: texts
 without a word (null, empty) are never near-duplicates and each stays; texts with the same words are one class from the
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, keyed_texts, map_arrow, mix64, settled, sized, text_bytes
+from .common import Words, keyed_texts, map_arrow, mix64, pieces, settled, sized, text_bytes
 
 SHINGLE = 5
 BANDS, BAND_ROWS = 24, 4
@@ -182,41 +184,94 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+#: Documents of a leader that meet in one block as queries or in the index.
+BLOCK = 1000
+
+
+def linked_in_blocks(rows: DataFrame, threshold_percent: int) -> DataFrame:
+    """Links (a, b) between components: rows have leader, q and i (block numbers), role, doc_id, root and text.
+
+    In each block the queries (role q) are looked up in the index of the others (role i); of a query's links into one
+    component one is returned.
+    """
+    n_groups = max(1, -(-rows.count() // (2 * BLOCK)))
+    dealt = rows.withColumn("deal", F.pmod(F.xxhash64("leader", "q", "i"), F.lit(n_groups)))
+
+    def find(table: pa.Table) -> pa.Table:
+        leader, q, i = (table.column(c).to_numpy() for c in ("leader", "q", "i"))
+        ids, roots = table.column("doc_id").to_numpy(), table.column("root").to_numpy()
+        query = np.array(table.column("role").to_pylist()) == "q"
+        # one at a time, so that the texts' hashes are the largest thing in memory
+        sets = []
+        for batch in table.select(["text"]).combine_chunks().to_batches():
+            for part in pieces(batch):
+                elements, bounds = shingles(Words(*text_bytes(part.column(0))))
+                layered = layers(elements, np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)))
+                sets += [layered[x:y].copy() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        order = np.lexsort((ids, i, q, leader))
+        starts = np.flatnonzero(np.r_[True, (np.diff(leader[order]) != 0) | (np.diff(q[order]) != 0) | (np.diff(i[order]) != 0), True])
+        a, b = [], []
+        for x, y in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            block = order[x:y]
+            index, asks = block[~query[block]], block[query[block]]
+            if not len(index) or not len(asks):
+                continue
+            sizes = np.array([len(sets[k]) for k in index])
+            keys = np.concatenate([sets[k] for k in index])
+            by = np.argsort(keys, kind="stable")
+            keys, owner = keys[by], np.repeat(np.arange(len(index)), sizes)[by]
+            for k in asks.tolist():
+                low, high = np.searchsorted(keys, sets[k], "left"), np.searchsorted(keys, sets[k], "right")
+                n = high - low
+                at = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
+                shared = np.bincount(owner[at], minlength=len(index))
+                close = (shared * 100 >= (sizes + len(sets[k]) - shared) * threshold_percent) & (roots[index] != roots[k])
+                hit = np.flatnonzero(close)
+                hit = hit[np.unique(roots[index[hit]], return_index=True)[1]]
+                a += [int(ids[k])] * len(hit)
+                b += ids[index[hit]].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("deal").applyInArrow(find, "a long, b long")
+
+
 def near_groups(docs: DataFrame, threshold_percent: int = 80) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of its near-duplicate group), n_links of its class and kept, of every row."""
+    """doc_id, class_id (the smallest doc_id of its near-duplicate group) and kept, of every row."""
     signs = settled(signed(docs), "signatures")
     same = signs.filter("bands IS NOT NULL").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "bands")).alias("m"))
     classes = settled(same.select("h1", "h2", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands")), "classes")
-    banded = classes.select("rep", F.posexplode("bands").alias("band", "key"))
-    # one leader for each band key; keys of a single document are of no use
-    draw = F.struct(F.xxhash64("rep", "band").alias("h"), "rep")
-    leaders = settled(banded.groupBy("key").agg(F.min(draw).alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.col("m.rep").alias("leader")), "leaders")
-    members = settled(banded.select("key", "rep").join(leaders, "key"), "members")
-    pairs = settled(members.filter("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct(), "pairs")
-    wanted = settled(members.select(F.col("rep").alias("doc_id")).distinct(), "candidates")
+    banded = classes.select("rep", F.explode("bands").alias("key"))
+    # keys of a single document are of no use
+    leaders = settled(banded.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "leader"), "leaders")
+    pairs = settled(banded.join(leaders, "key").filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    wanted = settled(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidates")
     texts = settled(keyed_texts(docs).join(sized(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidate-texts")
 
-    close = F.col("shared") * 100 >= F.col("total") * threshold_percent
     compared = settled(similarities(pairs, texts), "similarities")
-    first = compared.filter(close).select("a", "b")
+    first = settled(compared.filter(F.col("shared") * 100 >= F.col("total") * threshold_percent).select("a", "b"), "links")
     roots = components(first)
 
-    # what is left: members of one group in different components that may be close by their distances to the leader
-    distance = compared.select(F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("b").alias("leader")), F.struct(F.col("b").alias("rep"), F.col("a").alias("leader")))).alias("p"), (1 - F.col("shared") / F.col("total")).alias("d")).select("p.*", "d")
-    open_ = members.filter("rep <> leader").join(distance, ["rep", "leader"]).join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "d", F.coalesce("root", "rep").alias("root"))
-    mixed = settled(open_.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key"), "mixed")
-    open_ = settled(open_.join(mixed, "key", "left_semi"), "open")
-    other = open_.select("key", F.col("rep").alias("b"), F.col("root").alias("root_b"), F.col("d").alias("d_b"))
+    # what is left: documents of one leader in different components that may be close by their distances to it
     reach = (100 - threshold_percent) / 100 + 1e-9
-    rest = open_.join(other, "key").filter((F.col("rep") < F.col("b")) & (F.col("root") != F.col("root_b")) & (F.abs(F.col("d") - F.col("d_b")) <= reach))
-    rest = rest.select(F.col("rep").alias("a"), "b").distinct().join(compared.select("a", "b"), ["a", "b"], "left_anti")
-    second = settled(similarities(settled(rest, "rest"), texts), "rest-similarities").filter(close).select("a", "b")
-
-    links = settled(first.unionByName(second), "links")
-    roots = components(links) if not second.isEmpty() else roots
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    found = settled(classes.select("h1", "h2", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "found")
+    own = roots.withColumnRenamed("node", "doc_id")
+    members = compared.select(F.col("a").alias("leader"), F.col("b").alias("doc_id"), (1 - F.col("shared") / F.col("total")).alias("d")).join(own, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    members = members.join(own.select(F.col("doc_id").alias("leader"), F.col("root").alias("leader_root")), "leader", "left").withColumn("outside", F.col("root") != F.coalesce("leader_root", "leader"))
+    members = settled(members.select("leader", "doc_id", "d", "root", "outside"), "members")
+    counts = members.groupBy("leader").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count_if("outside").alias("n_out"), F.min(F.when(F.col("outside"), F.col("d"))).alias("nearest"), F.count(F.lit(1)).alias("n"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    counts = settled(counts.filter("low <> high AND n_out > 0").select("leader", "nearest", blocks(F.col("n_out")).alias("n_q"), blocks(F.col("n")).alias("n_i")), "open-leaders")
+    # a document within reach of the leader can only be close to one outside that is within twice the reach
+    left = members.join(counts, "leader").filter(F.col("outside") | (F.col("nearest") <= F.col("d") + reach))
+    deal = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    asks = left.filter("outside").select("leader", "doc_id", "root", F.lit("q").alias("role"), deal(F.col("n_q")).alias("q"), every(F.col("n_i")).alias("i"))
+    index = left.select("leader", "doc_id", "root", F.lit("i").alias("role"), every(F.col("n_q")).alias("q"), deal(F.col("n_i")).alias("i"))
+    rows = settled(asks.unionByName(index).join(texts, "doc_id"), "blocks")
+    second = settled(linked_in_blocks(rows, threshold_percent), "block-links")
+
+    roots = components(first.unionByName(second)) if not second.isEmpty() else roots
+    found = settled(classes.select("h1", "h2", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("class_id")), "found")
     rows = signs.select("doc_id", F.when(F.col("bands").isNotNull(), F.col("h1")).alias("h1"), F.when(F.col("bands").isNotNull(), F.col("h2")).alias("h2"))
-    named = rows.join(found, ["h1", "h2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    nameless = keyed_texts(docs).filter("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    named = rows.join(found, ["h1", "h2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    nameless = keyed_texts(docs).filter("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"))
     return named.unionByName(nameless).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
