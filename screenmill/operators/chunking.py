@@ -219,15 +219,15 @@ def exclusive_p95(df: DataFrame, key: str, value: str) -> DataFrame:
     """key, median and p95: the 19th of 20 exclusive quantiles, truncated; the largest value below 20 rows."""
     from pyspark.sql import Window
 
-    counts = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(key).orderBy(value)
-    ranked = counts.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(key)))
-    at = lambda place: F.min(F.when(F.col("upto") >= place, F.col(value)))
+    counts = df.groupBy(F.col(key).alias("k"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy("k").orderBy("v")
+    ranked = counts.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy("k")))
+    at = lambda place: F.min(F.when(F.col("upto") >= place, F.col("v")))
     n = F.col("n")
-    j = F.least(F.greatest(F.floor(19 * (n + 1) / 20), F.lit(1)), n - 1)
-    d = 19 * (n + 1) - 20 * j
-    made = ranked.withColumn("j", j).withColumn("d", d)
-    return made.groupBy(key).agg(((at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2).alias("median_tokens"), F.when(F.max("n") < 20, F.max(value)).otherwise(F.floor((at(F.col("j")) * (20 - F.max("d")) + at(F.col("j") + 1) * F.max("d")) / 20)).cast("int").alias("p95_tokens"))
+    made = ranked.withColumn("j", F.least(F.greatest(F.floor(19 * (n + 1) / 20), F.lit(1)), n - 1)).withColumn("d", 19 * (n + 1) - 20 * F.col("j"))
+    median = (at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2
+    p95 = F.floor((at(F.col("j")) * (20 - F.max("d")) + at(F.col("j") + 1) * F.max("d")) / 20)
+    return made.groupBy(F.col("k").alias(key)).agg(median.alias("median_tokens"), F.when(F.max("n") < 20, F.max("v")).otherwise(p95).cast("int").alias("p95_tokens"))
 
 
 def runts(chunks: DataFrame, least: int = MIN_TOKENS, most: int = MAX_TOKENS) -> DataFrame:

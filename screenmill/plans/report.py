@@ -90,8 +90,8 @@ def evaluations(t: Tables):
     return t.documents.select(F.col("doc_id").alias("evaluation_id"), F.col("source").alias("project_id"), F.timestamp_seconds(F.col("doc_id") % 100).alias("uploaded_at"))
 
 
-TRUTH = f"""truth AS (SELECT doc_id AS evaluation_id, replace({CATS}[doc_id % 8 + 1], '_', ' ') AS category_name, (doc_id % 3) * quality + toxic AS s, source AS project_id, doc_id % 100 AS at FROM labels JOIN documents USING (doc_id)),
-merged AS (SELECT project_id, category_name, arg_max(s, (s, at, evaluation_id)) AS s, arg_max(evaluation_id, (s, at, evaluation_id)) AS e FROM truth GROUP BY 1, 2)"""
+TRUTH = f"""truth AS (SELECT doc_id AS evaluation_id, replace({CATS}[doc_id % 8 + 1], '_', ' ') AS category_name, (doc_id % 3) * quality + toxic AS s, source AS project_id, doc_id % 100 AS tm FROM labels JOIN documents USING (doc_id)),
+merged AS (SELECT project_id, category_name, arg_max(s, (s, tm, evaluation_id)) AS s, arg_max(evaluation_id, (s, tm, evaluation_id)) AS e FROM truth GROUP BY 1, 2)"""
 
 
 @query(f"WITH {TRUTH} SELECT project_id, category_name, ['none', 'minimal', 'moderate', 'significant'][s + 1] AS significance, e::VARCHAR AS evidence FROM merged")
@@ -180,15 +180,15 @@ def air_baseline(t: Tables):
 
 
 def squares(t: Tables):
-    """Suppliers as square zones of a tenth of a degree."""
+    """Suppliers as square zones of half a degree."""
     k = F.col("s_suppkey")
     x, y = F.lit(-90.0013) + (k * 17) % 100 / 10, F.lit(35.0017) + (k * 43) % 100 / 10
     corner = lambda a, b: F.struct((x + a).alias("x"), (y + b).alias("y"))
-    return t.supplier.select(k.alias("zone_id"), F.array(corner(0, 0), corner(0.1, 0), corner(0.1, 0.1), corner(0, 0.1)).alias("ring"), F.concat(F.lit("Z"), (k % 5).cast("string")).alias("fld_zone"), F.when(k % 3 == 0, "T").otherwise("F").alias("sfha_tf"))
+    return t.supplier.select(k.alias("zone_id"), F.array(corner(0, 0), corner(0.5, 0), corner(0.5, 0.5), corner(0, 0.5)).alias("ring"), F.concat(F.lit("Z"), (k % 5).cast("string")).alias("fld_zone"), F.when(k % 3 == 0, "T").otherwise("F").alias("sfha_tf"))
 
 
 @query(f"""WITH {SITES}, z AS (SELECT s_suppkey AS k, -90.0013 + (s_suppkey * 17) % 100 / 10 AS x, 35.0017 + (s_suppkey * 43) % 100 / 10 AS y FROM supplier),
-h AS (SELECT project_id, bool_or(k % 3 = 0) AS in_sfha, count(DISTINCT k % 5) AS n_zones FROM sites JOIN z ON slon > x AND slon < x + 0.1 AND slat > y AND slat < y + 0.1 GROUP BY 1)
+h AS (SELECT project_id, bool_or(k % 3 = 0) AS in_sfha, count(DISTINCT k % 5) AS n_zones FROM sites JOIN z ON slon > x AND slon < x + 0.5 AND slat > y AND slat < y + 0.5 GROUP BY 1)
 SELECT project_id, coalesce(in_sfha, false) AS in_sfha, coalesce(n_zones, 0)::INT AS n_zones FROM sites LEFT JOIN h USING (project_id)""")
 def flood_status(t: Tables):
     return P.flood_status(sites(t), squares(t)).select("project_id", "in_sfha", F.size("zones").alias("n_zones"))
@@ -196,7 +196,7 @@ def flood_status(t: Tables):
 
 @query(f"""WITH {SITES}, z AS (SELECT s_suppkey AS k, -90.0013 + (s_suppkey * 17) % 100 / 10 AS x, 35.0017 + (s_suppkey * 43) % 100 / 10 AS y FROM supplier),
 c AS (SELECT p_partkey % 100 + 1 AS k, arg_max(p_name, (p_size, p_name)) AS compname, max(p_size) AS s FROM part WHERE p_partkey % 2 = 0 GROUP BY 1)
-SELECT project_id, z.k::VARCHAR AS mukey, compname FROM sites JOIN z ON slon > x AND slon < x + 0.1 AND slat > y AND slat < y + 0.1 JOIN c ON c.k = z.k""")
+SELECT project_id, z.k::VARCHAR AS mukey, compname FROM sites JOIN z ON slon > x AND slon < x + 0.5 AND slat > y AND slat < y + 0.5 JOIN c ON c.k = z.k""")
 def dominant_soil(t: Tables):
     parts = t.part.select((F.col("p_partkey") % 100 + 1).cast("string").alias("mukey"), F.col("p_name").alias("compname"), (F.col("p_partkey") % 8).cast("string").alias("nirrcapcl"), F.col("p_size").alias("comppct_r"), F.when(F.col("p_partkey") % 2 == 0, "Yes").otherwise("No").alias("majcompflag"))
     return P.dominant_soil(sites(t), squares(t).withColumn("mukey", F.col("zone_id").cast("string")), parts).select("project_id", "mukey", "compname")

@@ -22,7 +22,7 @@ def cited(t: Tables):
 
 
 REFS = """r AS (SELECT doc_id, '40 CFR §' || (1500 + doc_id % 9) || '.' || (doc_id % 41) AS own, ['40 CFR §' || (1500 + doc_id % 9) || '.' || (doc_id % 40), '40 CFR §' || (1500 + doc_id % 7) || '.' || (doc_id % 11),
- '42 USC §' || (4300 + doc_id % 90), 'NEPA §' || (doc_id % 300), '25 Pa. Code § ' || (100 + doc_id % 20) || '.' || (doc_id % 30), '32 P.S. § 693.' || (doc_id % 9)] AS refs FROM documents)"""
+ '42 USC §' || (4300 + doc_id % 90), 'NEPA §' || (doc_id % 300), '25 Pa. Code § ' || (100 + doc_id % 20) || '.' || (doc_id % 30), '32 P.S. § 693.' || (doc_id % 9), '25 Pa. Code § 693.' || (doc_id % 9)] AS refs FROM documents)"""
 
 
 @query(f"WITH {REFS}, u AS (SELECT doc_id, own, unnest(refs) AS ref FROM r) SELECT DISTINCT doc_id, ref FROM u WHERE ref <> own")
@@ -43,15 +43,16 @@ def normalized_categories(t: Tables):
 
 
 def state_pages(t: Tables):
-    """Every document as a page of the state code: a subchapter, its text as a section, a source note and a reserved section."""
+    """Every document as a page of the state code: an opening section, a subchapter with its text as a section, a source note and a reserved section."""
     d = F.col("doc_id")
-    text = F.concat(F.lit("CHAPTER 105. DAMS\n105.1. Contents\nSubchapter B. DAMS\nGENERAL PROVISIONS\n§ 105."), (d % 50).cast("string"), F.lit(". Heading of it.\n4/12/26, 11:28 AM\n"), F.coalesce("text", F.lit("")), F.lit("\n  12/140 \nSource\nThe provisions, effective January "), (1 + d % 28).cast("string"), F.lit(", 1979.\n§ 105.72. [Reserved].\nlost\n"))
+    text = F.concat(F.lit("CHAPTER 105. DAMS\n105.1. Contents\n§ 105.99. Opening.\nfirst words\nSubchapter B. DAMS\nGENERAL PROVISIONS\n§ 105."), (d % 50).cast("string"), F.lit(". Heading of it.\n4/12/26, 11:28 AM\n"), F.coalesce("text", F.lit("")), F.lit("\n  12/140 \nSource\nThe provisions, effective January "), (1 + d % 28).cast("string"), F.lit(", 1979.\n§ 105.72. [Reserved].\nlost\n"))
     return t.documents.select("doc_id", F.lit(1).alias("page"), text.alias("text"))
 
 
 @query("""WITH b AS (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS body FROM documents)
 SELECT doc_id, '105.' || (doc_id % 50) AS section, 'Heading of it' AS title, md5(body) AS body_md5, '25 Pa. Code § 105.' || (doc_id % 50) AS citation, 'B' AS part,
- 'January ' || (1 + doc_id % 28) || ', 1979' AS effective_date FROM b WHERE body <> ''""")
+ 'January ' || (1 + doc_id % 28) || ', 1979' AS effective_date FROM b WHERE body <> ''
+UNION ALL SELECT doc_id, '105.99', 'Opening', md5('first words'), '25 Pa. Code § 105.99', NULL, NULL FROM documents""")
 def state_sections(t: Tables):
     found = S.assemble_state_sections(state_pages(t))
     return found.select("doc_id", "section", "title", F.md5("body").alias("body_md5"), "citation", "part", "effective_date")
@@ -66,8 +67,8 @@ def report_blocks(t: Tables):
 
 
 @query("""WITH l AS (SELECT doc_id, generate_subscripts(x, 1) AS n, unnest(x) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
-c AS (SELECT doc_id, 10.0 + length(line) % 3 AS size, count(*) AS n, min(n) AS at FROM l WHERE trim(line) <> '' AND length(line) % 11 <> 0 GROUP BY 1, 2)
-SELECT documents.doc_id, coalesce(s, 11.0)::DOUBLE AS body_size FROM documents LEFT JOIN (SELECT doc_id, arg_min(size, (-n, at)) AS s FROM c GROUP BY doc_id) b ON b.doc_id = documents.doc_id""")
+c AS (SELECT doc_id, 10.0 + length(line) % 3 AS size, count(*) AS n, min(n) AS p0 FROM l WHERE trim(line) <> '' AND length(line) % 11 <> 0 GROUP BY 1, 2)
+SELECT documents.doc_id, coalesce(s, 11.0)::DOUBLE AS body_size FROM documents LEFT JOIN (SELECT doc_id, arg_min(size, (-n, p0)) AS s FROM c GROUP BY doc_id) b ON b.doc_id = documents.doc_id""")
 def report_body_sizes(t: Tables):
     return S.body_sizes(report_blocks(t))
 
@@ -93,8 +94,8 @@ def federal_sections(t: Tables):
 
 
 @query(r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '') AS w FROM documents),
-s AS (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 51, 0) + 1, 462)) AS at FROM w WHERE len(w) > 0)
-SELECT doc_id, (at / 462)::BIGINT AS chunk_index, md5(array_to_string(w[at + 1 : at + 512], ' ')) AS content_md5 FROM s""")
+s AS (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 51, 0) + 1, 462)) AS p0 FROM w WHERE len(w) > 0)
+SELECT doc_id, (p0 / 462)::BIGINT AS chunk_index, md5(array_to_string(w[p0 + 1 : p0 + 512], ' ')) AS content_md5 FROM s""")
 def generic_chunks(t: Tables):
     return C.chunk_generic(t.documents).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.md5("content").alias("content_md5"))
 
