@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_texts
+from .common import keyed_texts, settled, sized
 
 
 class QuotientFilter:
@@ -113,7 +113,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row; of equal texts the largest doc_id stays."""
     texts = keyed_texts(docs)
     marked = texts.withColumn("fp", F.xxhash64("text"))
-    repeated = repeated_fingerprints(marked)
+    # counted first: a short list is broadcast, so that only texts that may have a copy are shuffled
+    repeated = sized(settled(repeated_fingerprints(marked), "repeated"))
     # byte verification: the text itself is the key, so equal fingerprints of different texts part here
     groups = (
         marked.join(repeated, "fp", "left_semi")
