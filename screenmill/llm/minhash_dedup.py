@@ -166,35 +166,42 @@ def similarities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b"), make, "a long, b long, shared long, total long")
 
 
+#: Rounds of label propagation in one job.
+ROUNDS = 3
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and root, the smallest node of its component, of all nodes of the links (a, b).
 
-    Labels fall to the smallest of the neighbours' and then to their own label's label, until none changes.
+    In each round labels fall to the smallest of the neighbours' and then to their own label's label, until a job of
+    ROUNDS rounds changes none.  Each job's labels are written, which cuts the lineage.
     """
-    edges = settled(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = settled(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), "labels")
-    while True:
-        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        fallen = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
-        above = labels.select(F.col("node").alias("low"), F.col("root").alias("above"))
-        new = settled(fallen.join(above, "low", "left").select("node", "root", F.least("low", "above").alias("new")), "labels")
-        done = new.filter("new <> root").isEmpty()
-        labels = new.select("node", F.col("new").alias("root"))
-        if done:
-            return labels
+    edges = links.select("a", "b").union(links.select("b", "a")).distinct().persist()
+    labels = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root"))
+    done = False
+    while not done:
+        new = labels.withColumn("old", F.col("root"))
+        for _ in range(ROUNDS):
+            near = edges.join(new.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+            fallen = new.join(near, "node").select("node", "old", F.least("root", "near").alias("low"))
+            above = fallen.select(F.col("node").alias("low"), F.col("low").alias("above"))
+            new = fallen.join(above, "low", "left").select("node", "old", F.least("low", "above").alias("root"))
+        new = settled(new, "labels")
+        done = new.filter("root <> old").isEmpty()
+        labels = new.select("node", "root")
+    edges.unpersist()
+    return labels
 
 
 #: Documents of a leader that meet in one block as queries or in the index.
 BLOCK = 1000
 
 
-def linked_in_blocks(rows: DataFrame, threshold_percent: int) -> DataFrame:
-    """Links (a, b) between components: rows have leader, q and i (block numbers), role, doc_id, root and text.
+def linked_in_blocks(rows: DataFrame, n_groups: int, threshold_percent: int) -> DataFrame:
+    """Links (a, b) between components, named by their roots: rows have leader, q and i (block numbers), role, doc_id, root and text.
 
-    In each block the queries (role q) are looked up in the index of the others (role i); of a query's links into one
-    component one is returned.
+    In each block the queries (role q) are looked up in the index of the others (role i).
     """
-    n_groups = max(1, -(-rows.count() // (2 * BLOCK)))
     dealt = rows.withColumn("deal", F.pmod(F.xxhash64("leader", "q", "i"), F.lit(n_groups)))
 
     def find(table: pa.Table) -> pa.Table:
@@ -226,10 +233,9 @@ def linked_in_blocks(rows: DataFrame, threshold_percent: int) -> DataFrame:
                 at = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
                 shared = np.bincount(owner[at], minlength=len(index))
                 close = (shared * 100 >= (sizes + len(sets[k]) - shared) * threshold_percent) & (roots[index] != roots[k])
-                hit = np.flatnonzero(close)
-                hit = hit[np.unique(roots[index[hit]], return_index=True)[1]]
-                a += [int(ids[k])] * len(hit)
-                b += ids[index[hit]].tolist()
+                found = np.unique(roots[index[close]]).tolist()
+                a += [int(roots[k])] * len(found)
+                b += found
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return dealt.groupBy("deal").applyInArrow(find, "a long, b long")
@@ -239,38 +245,38 @@ def near_groups(docs: DataFrame, threshold_percent: int = 80) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its near-duplicate group) and kept, of every row."""
     signs = settled(signed(docs), "signatures")
     same = signs.filter("bands IS NOT NULL").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "bands")).alias("m"))
-    classes = settled(same.select("h1", "h2", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands")), "classes")
+    classes = same.select("h1", "h2", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands"))
     banded = classes.select("rep", F.explode("bands").alias("key"))
-    # keys of a single document are of no use
-    leaders = settled(banded.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "leader"), "leaders")
+    leaders = banded.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     pairs = settled(banded.join(leaders, "key").filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    wanted = settled(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidates")
-    texts = settled(keyed_texts(docs).join(sized(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidate-texts")
+    wanted = sized(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    texts = settled(keyed_texts(docs).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidate-texts")
 
     compared = settled(similarities(pairs, texts), "similarities")
-    first = settled(compared.filter(F.col("shared") * 100 >= F.col("total") * threshold_percent).select("a", "b"), "links")
-    roots = components(first)
+    roots = components(compared.filter(F.col("shared") * 100 >= F.col("total") * threshold_percent))
 
     # what is left: documents of one leader in different components that may be close by their distances to it
     reach = (100 - threshold_percent) / 100 + 1e-9
     own = roots.withColumnRenamed("node", "doc_id")
     members = compared.select(F.col("a").alias("leader"), F.col("b").alias("doc_id"), (1 - F.col("shared") / F.col("total")).alias("d")).join(own, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     members = members.join(own.select(F.col("doc_id").alias("leader"), F.col("root").alias("leader_root")), "leader", "left").withColumn("outside", F.col("root") != F.coalesce("leader_root", "leader"))
-    members = settled(members.select("leader", "doc_id", "d", "root", "outside"), "members")
+    members = members.select("leader", "doc_id", "d", "root", "outside").persist()
     counts = members.groupBy("leader").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count_if("outside").alias("n_out"), F.min(F.when(F.col("outside"), F.col("d"))).alias("nearest"), F.count(F.lit(1)).alias("n"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    counts = settled(counts.filter("low <> high AND n_out > 0").select("leader", "nearest", blocks(F.col("n_out")).alias("n_q"), blocks(F.col("n")).alias("n_i")), "open-leaders")
-    # a document within reach of the leader can only be close to one outside that is within twice the reach
-    left = members.join(counts, "leader").filter(F.col("outside") | (F.col("nearest") <= F.col("d") + reach))
-    deal = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    asks = left.filter("outside").select("leader", "doc_id", "root", F.lit("q").alias("role"), deal(F.col("n_q")).alias("q"), every(F.col("n_i")).alias("i"))
-    index = left.select("leader", "doc_id", "root", F.lit("i").alias("role"), every(F.col("n_q")).alias("q"), deal(F.col("n_i")).alias("i"))
-    rows = settled(asks.unionByName(index).join(texts, "doc_id"), "blocks")
-    second = settled(linked_in_blocks(rows, threshold_percent), "block-links")
-
-    roots = components(first.unionByName(second)) if not second.isEmpty() else roots
-    found = settled(classes.select("h1", "h2", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("class_id")), "found")
+    counts = counts.filter("low <> high AND n_out > 0").select("leader", "nearest", "n_out", "n", blocks(F.col("n_out")).alias("n_q"), blocks(F.col("n")).alias("n_i"))
+    total = counts.agg(F.sum(F.col("n_out") * F.col("n_i") + F.col("n") * F.col("n_q"))).first()[0]
+    if total:
+        # a document within reach of the leader can only be close to one outside that is within twice the reach
+        left = members.join(counts, "leader").filter(F.col("outside") | (F.col("nearest") <= F.col("d") + reach))
+        deal = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        asks = left.filter("outside").select("leader", "doc_id", "root", F.lit("q").alias("role"), deal(F.col("n_q")).alias("q"), every(F.col("n_i")).alias("i"))
+        index = left.select("leader", "doc_id", "root", F.lit("i").alias("role"), every(F.col("n_q")).alias("q"), deal(F.col("n_i")).alias("i"))
+        joints = settled(linked_in_blocks(asks.unionByName(index).join(texts, "doc_id"), -(-total // (2 * BLOCK)), threshold_percent).distinct(), "joints")
+        upper = components(joints).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        roots = roots.select("node", "root").unionByName(joints.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))).distinct()
+        roots = roots.join(upper, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    found = classes.select("h1", "h2", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("class_id"))
     rows = signs.select("doc_id", F.when(F.col("bands").isNotNull(), F.col("h1")).alias("h1"), F.when(F.col("bands").isNotNull(), F.col("h2")).alias("h2"))
     named = rows.join(found, ["h1", "h2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     nameless = keyed_texts(docs).filter("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"))
