@@ -57,9 +57,10 @@ def settled(df: DataFrame, what: str) -> DataFrame:
 BROADCAST_ROWS = 2_000_000
 
 
-def sized(settled_ids: DataFrame) -> DataFrame:
-    """A settled narrow table, marked for broadcast if its rows, counted, are few enough."""
-    return F.broadcast(settled_ids) if settled_ids.count() <= BROADCAST_ROWS else settled_ids
+def sized(ids: DataFrame) -> DataFrame:
+    """A narrow table, kept and counted, and marked for broadcast if its rows are few enough."""
+    ids = ids.persist()
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, settled, sized
+from .common import keyed_texts, sized
 
 
 class QuotientFilter:
@@ -114,7 +114,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     texts = keyed_texts(docs)
     marked = texts.withColumn("fp", F.xxhash64("text"))
     # counted first: a short list is broadcast, so that only texts that may have a copy are shuffled
-    repeated = sized(settled(repeated_fingerprints(marked), "repeated"))
+    repeated = sized(repeated_fingerprints(marked))
     # byte verification: the text itself is the key, so equal fingerprints of different texts part here
     groups = (
         marked.join(repeated, "fp", "left_semi")
