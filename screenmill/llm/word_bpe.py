@@ -135,9 +135,12 @@ class WordBpe:
             rank[at] = rank[at + 1]  # the merged symbol ends where its right part ended
             fresh = (np.cumsum(keep) - 1)[at]
             symbol, owner, place, rank = symbol[keep], owner[keep], place[keep], rank[keep]
-            inner = np.r_[owner[1:] == owner[:-1], False]
-            near = np.unique(np.r_[fresh, fresh[fresh > 0] - 1])
-            near = near[inner[near]]
+            touched = np.zeros(len(symbol), bool)
+            touched[fresh] = True
+            touched[fresh[fresh > 0] - 1] = True
+            touched[:-1] &= owner[1:] == owner[:-1]
+            touched[-1] = False
+            near = np.flatnonzero(touched)
             rank[near] = self.table.rank(symbol[near], symbol[near + 1])
         ids, places = np.concatenate(done_ids), np.concatenate(done_places)
         order = np.argsort(places, kind="stable")
@@ -148,7 +151,7 @@ class WordBpe:
         """Fill the cache with the ids of chunks without white space, as little-endian 16-bit numbers."""
         if len(self.words) > CACHE_ENTRIES:
             self.old_words, self.words = self.words, {}
-        split = {c: self.pattern.findall(c) for c in chunks}
+        split = {c: self.cut(c) for c in chunks}
         words, old = self.words, self.old_words
         new = []
         for w in {w for ws in split.values() for w in ws}:
@@ -166,6 +169,14 @@ class WordBpe:
         for c, ws in split.items():
             self.chunks[c] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
 
+    def cut(self, chunk: str) -> list[str]:
+        """The chunk's words by the vocabulary's pattern; letters alone or with one mark behind them need no search."""
+        if chunk.isalpha():
+            return [chunk]
+        if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return self.pattern.findall(chunk)
+
     def segments(self, text: str) -> list[list[str]]:
         """Chunks of each part of the text between special strings."""
         if self.at_special is None or "<|" not in text:
@@ -185,26 +196,31 @@ class WordBpe:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 16-bit numbers."""
-        cut = [self.segments(t) for t in texts]
-        every = {c for parts in cut for chunks in parts for c in chunks}
         if len(self.chunks) > CACHE_ENTRIES:
             self.old_chunks, self.chunks = self.chunks, {}
-        missing = every - self.chunks.keys()
-        again = missing & self.old_chunks.keys()
-        self.chunks.update((c, self.old_chunks[c]) for c in again)
-        if missing := missing - again:
+        cut = [self.segments(t) for t in texts]
+        get = self.chunks.get
+        found = [[list(map(get, chunks)) for chunks in parts] for parts in cut]
+        # the places whose chunks aren't known yet
+        gaps = [(k, p, [i for i, x in enumerate(ids) if x is None]) for k, parts in enumerate(found) for p, ids in enumerate(parts)]
+        missing = {cut[k][p][i] for k, p, places in gaps for i in places}
+        for c in [c for c in missing if c in self.old_chunks]:
+            self.chunks[c] = self.old_chunks[c]
+            missing.remove(c)
+        if missing:
             self.learn(missing)
-        get = self.chunks.__getitem__
+        for k, p, places in gaps:
+            ids, chunks = found[k][p], cut[k][p]
+            for i in places:
+                ids[i] = self.chunks[chunks[i]]
         out = []
-        for text, parts in zip(texts, cut, strict=True):
-            if len(parts) == 1:
-                out.append(b"".join(map(get, parts[0])))
-                continue
-            marks = [self.special[m] for m in self.at_special.findall(text)]
-            joined = [b"".join(map(get, parts[0]))]
-            for mark, chunks in zip(marks, parts[1:], strict=True):
-                joined += [mark.to_bytes(2, "little"), b"".join(map(get, chunks))]
-            out.append(b"".join(joined))
+        for text, parts in zip(texts, found, strict=True):
+            joined = [b"".join(parts[0])]
+            if len(parts) > 1:
+                marks = [self.special[m].to_bytes(2, "little") for m in self.at_special.findall(text)]
+                for mark, ids in zip(marks, parts[1:], strict=True):
+                    joined += [mark, *ids]
+            out.append(joined[0] if len(joined) == 1 else b"".join(joined))
         return out
 
 
