@@ -146,21 +146,21 @@ def filter_quality(docs: DataFrame, order: list[Rule] | None = None) -> DataFram
     cascade = F.lit(True)
     for rule in reversed(order):
         made = F.struct(*(of[k].alias(k) for k in rule.needs))
-        cascade = F.when(let(made, lambda m, r=rule: _over(m, r)), False).otherwise(cascade)
+        cascade = F.when(let(made, _over(rule)), False).otherwise(cascade)
     return rows.filter(cascade).drop("__words")
 
 
-def _over(made: Column, rule: Rule) -> Column:
-    """The rule's expression with its measures taken from a struct."""
-    n = lambda k: made[k]
-    return {
-        "too_few_words": lambda: n("n_words") < 10,
-        "repeated_windows": lambda: n("n_repeat_words") * 100 > n("n_words") * 20,
-        "symbols": lambda: n("n_symbols") * 10 > n("n_words"),
-        "repeated_lines": lambda: n("n_dup_lines") * 5 > n("n_words"),
-        "short_words": lambda: n("word_chars") < n("n_words") * 2,
-        "long_words": lambda: n("word_chars") > n("n_words") * 20,
-    }[rule.name]()
+def _over(rule: Rule):
+    """The rule as a function of a struct of its measures."""
+    tests = {
+        "too_few_words": lambda m: m["n_words"] < 10,
+        "repeated_windows": lambda m: m["n_repeat_words"] * 100 > m["n_words"] * 20,
+        "symbols": lambda m: m["n_symbols"] * 10 > m["n_words"],
+        "repeated_lines": lambda m: m["n_dup_lines"] * 5 > m["n_words"],
+        "short_words": lambda m: m["word_chars"] < m["n_words"] * 2,
+        "long_words": lambda m: m["word_chars"] > m["n_words"] * 20,
+    }
+    return tests[rule.name]
 
 
 QUALITY_SQL = r"""

@@ -18,7 +18,9 @@ from tokenizers import Tokenizer
 from screenmill.llm import byte_bpe, packing, word_bpe
 
 PARTS = st.sampled_from(["<|endoftext|>", "<|startoftext|>", "'s", "'LL", " ", "  ", "\n", "\n ", "aaaaaaa", "Ünïcode", "ΣΑΣ", "é", "한국어", "🙂", "123", "#$%", "the ", "\x1c", "\xa0", "İ", "ß"])
-TEXTS = st.lists(st.one_of(PARTS, st.text(max_size=6)), max_size=12).map("".join)
+#: Characters that Unicode has assigned for long: libraries differ on the newest ones.
+CHARACTERS = st.characters(exclude_categories=("Cn", "Cs"))
+TEXTS = st.lists(st.one_of(PARTS, st.text(CHARACTERS, max_size=6)), max_size=12).map("".join)
 
 
 @pytest.fixture(scope="module")
