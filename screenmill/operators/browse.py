@@ -77,3 +77,8 @@ def lifted(chunks: DataFrame) -> DataFrame:
 def latest_version(versions: DataFrame) -> DataFrame:
     """Latest amendment date, or issue date where there is none; null without versions."""
     return versions.agg(F.max(F.coalesce(F.nullif("amendment_date", F.lit("")), F.nullif("date", F.lit("")))).alias("current_date"))
+
+
+def restricted(chunks: DataFrame, sources: DataFrame, key: str = "source_id") -> DataFrame:
+    """The chunks of a set of sources or evaluations."""
+    return chunks.join(sources.select(key).distinct(), key, "left_semi").select(chunks.columns)

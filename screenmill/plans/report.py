@@ -127,7 +127,7 @@ def project_scores(t: Tables):
 
 @query()
 def semantic_coverage(t: Tables):
-    reasonings = t.embeddings.filter("vec_id % 20 = 0").select(F.col("label").alias("project_id"), F.col("vec_id").alias("k"), "embedding")
+    reasonings = t.embeddings.filter("vec_id % 50 = 0").select(F.col("label").alias("project_id"), F.col("vec_id").alias("k"), "embedding")
     return S.semantic_coverage(reasonings, t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding", F.col("label").alias("project_id"))).select("project_id", F.round("coverage", 4).alias("coverage"))
 
 

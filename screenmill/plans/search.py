@@ -55,13 +55,12 @@ def filtered_chunks(t: Tables):
     return B.filtered(chunks(t), {"is_current": True, "part": "1", "statute": None}).select("id")
 
 
-@query("""WITH s AS (SELECT o_orderkey AS source_id, CASE WHEN o_custkey % 3 = 0 THEN o_custkey END AS owner FROM orders WHERE o_orderkey % 40 = 0),
-p AS (SELECT c_custkey AS project_id FROM customer WHERE c_custkey % 30 = 0), own AS (SELECT project_id, source_id FROM p JOIN s ON owner = project_id)
-SELECT * FROM own UNION ALL SELECT p.project_id, source_id FROM p, s WHERE p.project_id NOT IN (SELECT project_id FROM own)""")
+@query("""WITH s AS (SELECT s_suppkey AS source_id, CASE WHEN s_nationkey < 12 THEN s_nationkey END AS owner FROM supplier), p AS (SELECT n_nationkey AS project_id FROM nation),
+own AS (SELECT project_id, source_id FROM p JOIN s ON owner = project_id) SELECT * FROM own UNION ALL SELECT p.project_id, source_id FROM p, s WHERE p.project_id NOT IN (SELECT project_id FROM own)""")
 def scoped_sources(t: Tables):
-    """Thinned on both sides, as a project without sources of its own sees all of them."""
-    sources = t.orders.filter("o_orderkey % 40 = 0").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_custkey") % 3 == 0, F.col("o_custkey")).alias("project_id"), F.lit("ready").alias("status"))
-    return B.scoped_sources(t.customer.filter("c_custkey % 30 = 0").select(F.col("c_custkey").alias("project_id")), sources)
+    """Suppliers are sources, assigned to the first nations; the other nations' projects see all of them."""
+    sources = t.supplier.select(F.col("s_suppkey").alias("id"), F.when(F.col("s_nationkey") < 12, F.col("s_nationkey")).alias("project_id"), F.lit("ready").alias("status"))
+    return B.scoped_sources(t.nation.select(F.col("n_nationkey").alias("project_id")), sources)
 
 
 @query("SELECT vec_id AS id, label FROM embeddings ORDER BY label, vec_id LIMIT 25 OFFSET 50")
