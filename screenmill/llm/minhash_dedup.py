@@ -24,6 +24,8 @@ class's; other columns are ignored; an empty table yields an empty table.
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -166,31 +168,29 @@ def similarities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b"), make, "a long, b long, shared long, total long")
 
 
-#: Rounds of label propagation in one job.
-ROUNDS = 3
+#: Labels are written, which cuts their lineage, every so many rounds; else they are kept by the executors.
+WRITE_EVERY = 5
 
 
 def components(links: DataFrame) -> DataFrame:
     """node and root, the smallest node of its component, of all nodes of the links (a, b).
 
-    In each round labels fall to the smallest of the neighbours' and then to their own label's label, until a job of
-    ROUNDS rounds changes none.  Each job's labels are written, which cuts the lineage.
+    In each round labels fall to the smallest of the neighbours' and then to their own label's label, until none changes.
     """
     edges = links.select("a", "b").union(links.select("b", "a")).distinct().persist()
-    labels = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root"))
-    done = False
-    while not done:
-        new = labels.withColumn("old", F.col("root"))
-        for _ in range(ROUNDS):
-            near = edges.join(new.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-            fallen = new.join(near, "node").select("node", "old", F.least("root", "near").alias("low"))
-            above = fallen.select(F.col("node").alias("low"), F.col("low").alias("above"))
-            new = fallen.join(above, "low", "left").select("node", "old", F.least("low", "above").alias("root"))
-        new = settled(new, "labels")
+    labels = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")).persist()
+    for turn in count(1):
+        near = edges.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        fallen = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
+        above = labels.select(F.col("node").alias("low"), F.col("root").alias("above"))
+        new = fallen.join(above, "low", "left").select("node", F.col("root").alias("old"), F.least("low", "above").alias("root"))
+        new = settled(new, "labels") if turn % WRITE_EVERY == 0 else new.persist()
         done = new.filter("root <> old").isEmpty()
-        labels = new.select("node", "root")
-    edges.unpersist()
-    return labels
+        labels.unpersist()
+        labels = new
+        if done:
+            edges.unpersist()
+            return labels.select("node", "root")
 
 
 #: Documents of a leader that meet in one block as queries or in the index.
