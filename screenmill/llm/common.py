@@ -45,11 +45,14 @@ def work_folder(spark: SparkSession, what: str) -> str:
     return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def settled(df: DataFrame, what: str) -> DataFrame:
-    """The rows written to a table in the shared folder and read again: later steps start from it."""
+def settled(df: DataFrame, what: str, tasks: int | None = None) -> DataFrame:
+    """The rows written to a table in the shared folder and read again: later steps start from it.
+
+    tasks: most tasks, and so files, of the last stage; for tables whose rows are few beside the shuffle partitions.
+    """
     spark = df.sparkSession
     path = work_folder(spark, what)
-    df.write.parquet(path)
+    (df.coalesce(tasks) if tasks else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

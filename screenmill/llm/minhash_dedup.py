@@ -24,8 +24,6 @@ class's; other columns are ignored; an empty table yields an empty table.
 
 from __future__ import annotations
 
-from itertools import count
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -168,29 +166,31 @@ def similarities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b"), make, "a long, b long, shared long, total long")
 
 
-#: Labels are written, which cuts their lineage, every so many rounds; else they are kept by the executors.
-WRITE_EVERY = 5
+#: Rows (texts of pairs) and ids that a task of the last stage of a written table is given.
+TEXTS_A_TASK, IDS_A_TASK = 5_000, 100_000
+
+
+def tasks_for(rows: int, each: int) -> int:
+    return max(8, -(-rows // each))
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node and root, the smallest node of its component, of all nodes of the links (a, b).
+def components(links: DataFrame, most: int) -> DataFrame:
+    """node and root, the smallest node of its component, of all nodes of the links (a, b), of which there are most at most.
 
-    In each round labels fall to the smallest of the neighbours' and then to their own label's label, until none changes.
+    In each round labels fall to the smallest of the neighbours' and then to their own label's label, until none changes;
+    each round's labels are written, which cuts their lineage.
     """
-    edges = links.select("a", "b").union(links.select("b", "a")).distinct().persist()
-    labels = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")).persist()
-    for turn in count(1):
+    tasks = tasks_for(most, IDS_A_TASK)
+    edges = settled(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges", tasks)
+    labels = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root"))
+    while True:
         near = edges.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         fallen = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
         above = labels.select(F.col("node").alias("low"), F.col("root").alias("above"))
-        new = fallen.join(above, "low", "left").select("node", F.col("root").alias("old"), F.least("low", "above").alias("root"))
-        new = settled(new, "labels") if turn % WRITE_EVERY == 0 else new.persist()
-        done = new.filter("root <> old").isEmpty()
-        labels.unpersist()
-        labels = new
-        if done:
-            edges.unpersist()
-            return labels.select("node", "root")
+        new = settled(fallen.join(above, "low", "left").select("node", F.col("root").alias("old"), F.least("low", "above").alias("root")), "labels", tasks)
+        labels = new.select("node", "root")
+        if new.filter("root <> old").isEmpty():
+            return labels
 
 
 #: Documents of a leader that meet in one block as queries or in the index.
@@ -248,19 +248,20 @@ def near_groups(docs: DataFrame, threshold_percent: int = 80) -> DataFrame:
     classes = same.select("h1", "h2", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands"))
     banded = classes.select("rep", F.explode("bands").alias("key"))
     leaders = banded.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    pairs = settled(banded.join(leaders, "key").filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    pairs = settled(banded.join(leaders, "key").filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs", tasks_for(signs.count(), IDS_A_TASK))
+    n_pairs = pairs.count()
     wanted = sized(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    texts = settled(keyed_texts(docs).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidate-texts")
+    texts = settled(keyed_texts(docs).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidate-texts", tasks_for(2 * n_pairs, TEXTS_A_TASK))
 
-    compared = settled(similarities(pairs, texts), "similarities")
-    roots = components(compared.filter(F.col("shared") * 100 >= F.col("total") * threshold_percent))
+    compared = settled(similarities(pairs, texts), "similarities", tasks_for(n_pairs, TEXTS_A_TASK))
+    roots = components(compared.filter(F.col("shared") * 100 >= F.col("total") * threshold_percent), n_pairs)
 
     # what is left: documents of one leader in different components that may be close by their distances to it
     reach = (100 - threshold_percent) / 100 + 1e-9
     own = roots.withColumnRenamed("node", "doc_id")
     members = compared.select(F.col("a").alias("leader"), F.col("b").alias("doc_id"), (1 - F.col("shared") / F.col("total")).alias("d")).join(own, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     members = members.join(own.select(F.col("doc_id").alias("leader"), F.col("root").alias("leader_root")), "leader", "left").withColumn("outside", F.col("root") != F.coalesce("leader_root", "leader"))
-    members = members.select("leader", "doc_id", "d", "root", "outside").persist()
+    members = settled(members.select("leader", "doc_id", "d", "root", "outside"), "members", tasks_for(n_pairs, IDS_A_TASK))
     counts = members.groupBy("leader").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count_if("outside").alias("n_out"), F.min(F.when(F.col("outside"), F.col("d"))).alias("nearest"), F.count(F.lit(1)).alias("n"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     counts = counts.filter("low <> high AND n_out > 0").select("leader", "nearest", "n_out", "n", blocks(F.col("n_out")).alias("n_q"), blocks(F.col("n")).alias("n_i"))
@@ -272,8 +273,8 @@ def near_groups(docs: DataFrame, threshold_percent: int = 80) -> DataFrame:
         every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
         asks = left.filter("outside").select("leader", "doc_id", "root", F.lit("q").alias("role"), deal(F.col("n_q")).alias("q"), every(F.col("n_i")).alias("i"))
         index = left.select("leader", "doc_id", "root", F.lit("i").alias("role"), every(F.col("n_q")).alias("q"), deal(F.col("n_i")).alias("i"))
-        joints = settled(linked_in_blocks(asks.unionByName(index).join(texts, "doc_id"), -(-total // (2 * BLOCK)), threshold_percent).distinct(), "joints")
-        upper = components(joints).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        joints = settled(linked_in_blocks(asks.unionByName(index).join(texts, "doc_id"), -(-total // (2 * BLOCK)), threshold_percent).distinct(), "joints", tasks_for(total, IDS_A_TASK))
+        upper = components(joints, joints.count()).select(F.col("node").alias("root"), F.col("root").alias("top"))
         roots = roots.select("node", "root").unionByName(joints.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))).distinct()
         roots = roots.join(upper, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     found = classes.select("h1", "h2", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("class_id"))
