@@ -135,9 +135,9 @@ def screening_prompts(t: Tables):
     return M.prompts(rows.select("query_id", "query_text"), rows)
 
 
-@query("""SELECT c_nationkey AS site, c_mktsegment AS property, round(avg(c_acctbal) FILTER (c_custkey % 3 <> 0), 2) AS mean FROM customer GROUP BY 1, 2""")
+@query("""SELECT c_nationkey AS site, c_mktsegment AS property, round(avg(c_custkey % 16) FILTER (c_custkey % 3 <> 0), 2) AS mean FROM customer GROUP BY 1, 2""")
 def forecast_means(t: Tables):
-    rows = t.customer.groupBy(F.col("c_nationkey").alias("site"), F.col("c_mktsegment").alias("property")).agg(F.collect_list(F.struct(F.when(F.col("c_custkey") % 3 != 0, F.col("c_acctbal")).alias("value"))).alias("values"))
+    rows = t.customer.groupBy(F.col("c_nationkey").alias("site"), F.col("c_mktsegment").alias("property")).agg(F.collect_list(F.struct(F.when(F.col("c_custkey") % 3 != 0, (F.col("c_custkey") % 16).cast("double")).alias("value"))).alias("values"))
     return P.forecast_means(rows)
 
 
