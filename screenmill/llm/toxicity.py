@@ -7,9 +7,11 @@ So a rare or unseen inflection is judged by what its stem does in each class.  A
 its two log-likelihoods.  A document's features are that difference per word (length-normalised), its largest value, and
 the sum of the excess over one nat, per word and in all; a logistic curve turns them into the score.
 
-The models and the curve are fitted on a bounded sample of the labelled rows (`sample_toxic`, `sample_ordinary`, chosen by
-a hash of doc_id), so the tables that are collected and broadcast are bounded too.  The curve is fitted on features from
-models that leave out a document's own quarter of the sample.  Every document is scored on its whole text.
+The models count the words of all labelled rows that are not held out; a Spark aggregation brings them to a row for each
+different word, which the driver collects and broadcasts, so that this table grows with the vocabulary of the labelled
+rows.  The logistic curve alone is fitted on a bounded sample of these rows (`sample_toxic`, `sample_ordinary`, chosen by
+a hash of doc_id), on features from models that leave out a document's own quarter of the rows.  Every document is scored
+on its whole text.
 
 Rows: a null text counts as empty and gets the score of no evidence; repeated labels of a doc_id count once, toxic if any
 says so; with no labelled row of one of the classes every score is 0; every row yields one row; other columns are
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, keyed_texts, map_arrow, settled, text_bytes
+from .common import Words, keyed_texts, map_arrow, settled, sized, text_bytes
 
 FOLDS = 4
 DISCOUNT = 0.75
@@ -36,20 +38,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def fitting_sample(docs: DataFrame, labels: DataFrame, sample_toxic: int, sample_ordinary: int) -> DataFrame:
-    """text, toxic and fold of at most about so many labelled rows of each class, by a hash of doc_id."""
+def known_labels(labels: DataFrame) -> DataFrame:
+    """doc_id, toxic and fold of all labelled rows that are not held out."""
     known = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).alias("toxic"))
     known = known.filter(~held_out(F.col("doc_id"))).filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
+    return known.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(FOLDS)).cast("int"))
+
+
+def fitting_sample(docs: DataFrame, known: DataFrame, sample_toxic: int, sample_ordinary: int) -> DataFrame:
+    """text, toxic and fold of at most about so many labelled rows of each class, by a hash of doc_id."""
     there = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = lambda toxic, most: min(1.0, most / max(1, there.get(toxic, 0)))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) / float(1 << 20)
     chosen = known.filter(draw < F.when(F.col("toxic"), share(True, sample_toxic)).otherwise(share(False, sample_ordinary)))
-    fold = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(FOLDS)).cast("int")
     # the list is bounded by the two parameters, so it is broadcast and the texts are not shuffled
-    return keyed_texts(docs).join(F.broadcast(chosen), "doc_id").select("text", "toxic", fold.alias("fold"))
+    return keyed_texts(docs).join(F.broadcast(chosen), "doc_id").select("text", "toxic", "fold")
 
 
-def word_counts(sample: DataFrame) -> DataFrame:
+def word_counts(rows: DataFrame) -> DataFrame:
     """Occurrences of each word, with its stems' hashes, by class and fold (columns n0 to n7)."""
 
     def make():
@@ -64,8 +70,8 @@ def word_counts(sample: DataFrame) -> DataFrame:
 
         return work
 
-    found = map_arrow(sample, make, "word long, stem4 long, stem6 long, cell long, n long")
-    return found.groupBy("word", "stem4", "stem6").agg(*(F.sum(F.when(F.col("cell") == c, F.col("n")).otherwise(0)).cast("int").alias(f"n{c}") for c in range(2 * FOLDS)))
+    found = map_arrow(rows, make, "word long, stem4 long, stem6 long, cell long, n long")
+    return found.groupBy("word", "stem4", "stem6").agg(*(F.sum(F.when(F.col("cell") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in range(2 * FOLDS)))
 
 
 class KneserNey:
@@ -146,8 +152,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_
     """doc_id, held_out, score and predicted of every document."""
     spark = docs.sparkSession
     schema = "doc_id long, score double"
-    sample = settled(fitting_sample(docs, labels, sample_toxic, sample_ordinary), "toxicity-sample")
-    table = word_counts(sample).toArrow()
+    known = sized(known_labels(labels))
+    sample = settled(fitting_sample(docs, known, sample_toxic, sample_ordinary), "toxicity-sample")
+    table = word_counts(keyed_texts(docs).join(known, "doc_id").select("text", "toxic", "fold")).toArrow()
     counts = np.stack([table[f"n{c}"].to_numpy() for c in range(2 * FOLDS)], 1)
     if min(counts[:, :FOLDS].sum(), counts[:, FOLDS:].sum()) == 0:
         scored = keyed_texts(docs).select("doc_id", F.lit(0.0).alias("score"))

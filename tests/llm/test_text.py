@@ -93,3 +93,17 @@ def test_toxicity_edges(spark):
 
 def test_results_as_tables(spark):
     assert isinstance(QUERIES["op1_token_counts"](spark, SF).limit(1).toPandas(), pd.DataFrame)
+
+
+def test_toxicity_counts_all_labelled_rows(spark):
+    # forty insults of ten rows each: a sample of a few rows sees few of them
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [f"{'the report says that people met ' * 3} {letters[k // 10 % 26] * 3}{letters[k // 260] * 5} today" if k < 400 else "the report says that people met " * 3 + "today" for k in range(800)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 400)) for k in range(800)], "doc_id long, toxic int")
+    sample = toxicity.known_labels(labels)
+    counts = toxicity.word_counts(docs.join(sample, "doc_id").select("text", "toxic", "fold"))
+    assert counts.count() == 7 + 40
+    rows = toxicity.toxicity(docs, labels, sample_toxic=20, sample_ordinary=20).filter("held_out").toPandas()
+    assert (rows[rows.doc_id < 400].predicted == 1).mean() > 0.9
+    assert (rows[rows.doc_id >= 400].predicted == 1).mean() < 0.1
