@@ -31,14 +31,18 @@ from .url_filter import host_of
 
 # Element names of the HTML standard, by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript textarea title iframe object svg math select".split())
+RAW = frozenset("script style template noscript textarea title iframe object svg select".split())
 BLOCK = frozenset("address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul br".split())
 CHROME = frozenset("nav header footer aside form button menu dialog head search fieldset".split())
 ARTICLE = frozenset(("article", "main"))
 #: An open element of the first kind is closed by a tag of the second.
 CLOSED_BY = {"p": BLOCK - {"br"}, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "tbody")), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")), "option": frozenset(("option",))}
-# Words of class names and ids that mark what is not the article.
+# Words of class names and ids that mark what is not the article, as the whole name or its last part.
 CHROME_WORDS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer footer header login masthead menu modal nav navbar navigation newsletter notice notification popup promo promoted related respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+#: A name that begins so tells what an element has or lacks, not what it is.
+STATES = frozenset("no not non has with without hide".split())
+#: Elements that hold the article, whatever their names say.
+HOLDERS = frozenset("html body main article".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
@@ -90,7 +94,8 @@ def blocks(page: str) -> Iterator[tuple[str, bool, bool, str]]:
                 if not depth or tag not in CLOSED_BY.get(stack[depth][0], ()):
                     break
                 del stack[depth:]
-        if tag in RAW:
+        # of these only svg can be closed by its own tag
+        if tag in RAW and not (tag == "svg" and found[3].endswith("/")):
             end = END_OF[tag].search(page, at)
             at = end.end() if end else n
             continue
@@ -100,15 +105,21 @@ def blocks(page: str) -> Iterator[tuple[str, bool, bool, str]]:
         _, path, chrome, article = stack[-1]
         names = [w.lower() for m in NAMES.findall(found[3]) for w in (m[0] or m[1] or m[2]).split()] if found[3] else []
         path = f"{path}>{tag}" + "".join(f".{re.sub(r'[0-9]+', '0', w)}" for w in sorted(set(names)))
-        words = {x for w in names for x in re.split(r"[^a-z]+", w)}
         # the heading of an article may stand in a header of its own
-        chrome = chrome or (tag in CHROME and not (tag == "header" and article)) or bool(words & CHROME_WORDS)
+        marks = {chrome_word(w) for w in names} & CHROME_WORDS - ({"header"} if article else set()) if tag not in HOLDERS else None
+        chrome = chrome or (tag in CHROME and not (tag == "header" and article)) or bool(marks)
         stack.append((tag, path, chrome, article or tag in ARTICLE))
         if tag in BLOCK:
             block = stack[-1]
     yield from flush()
 
 
+def chrome_word(name: str) -> str:
+    """The last word of a class, id or role, which says what the element is; '' for a name of a state."""
+    words = re.findall("[a-z]+", name)
+    return words[-1] if words and words[0] not in STATES else ""
+
+
 def _block(stack: list[tuple[str, str, bool, bool]]) -> tuple[str, str, bool, bool]:
     return next((x for x in reversed(stack) if x[0] in BLOCK), stack[0])
 

@@ -95,6 +95,22 @@ def test_results_as_tables(spark):
     assert isinstance(QUERIES["op1_token_counts"](spark, SF).limit(1).toPandas(), pd.DataFrame)
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<body class='single has-sidebar'><p>a</p></body>", "a"),
+        ("<div class='no-comments'><p>a</p></div>", "a"),
+        ("<article class='tag-cookies'><p>a</p></article>", "a"),
+        ("<article><header class='entry-header'><h1>T</h1></header><div class='post-header'><p>s</p></div><p>a</p></article>", "T\ns\na"),
+        ("<div class='page-header'>h</div><div class='widget-1'>w</div><p>a</p>", "a"),
+        ("<p>a <svg width='1' /> b</p><p>c</p>", "a b\nc"),
+        ("<p>a <math/> b</p><p>c <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p>", "a b\nc x=1"),
+    ],
+)
+def test_main_text_keeps_what_is_no_chrome(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_toxicity_counts_all_labelled_rows(spark):
     # forty insults of ten rows each: a sample of a few rows sees few of them
     letters = "abcdefghijklmnopqrstuvwxyz"
