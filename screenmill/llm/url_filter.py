@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 
 #: Copies of each list entry, among which the captures of a host are dealt.
 SALT = 16
-#: Longest path prefix that an entry may have, in parts.
-DEEPEST = 4
 
 
 def host_of(url: Column) -> Column:
@@ -30,18 +28,24 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)", 1)
 
 
-def lookup_keys(host: Column, path: Column) -> Column:
-    """The host, its parent domains of at least two labels, and the host with each prefix of the path that ends a part."""
+def lookup_keys(host: Column, path: Column, deepest: Column) -> Column:
+    """The host, its parent domains of at least two labels, and the host with each prefix of the path that ends a part.
+
+    deepest: the most parts that a prefix of an entry has; longer ones can't match and aren't built.
+    """
     labels = F.split(host, r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    prefixes = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(DEEPEST))), lambda k: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), k), "/")))).otherwise(F.array().cast("array<string>"))
+    most = F.least(F.size(parts), deepest)
+    prefixes = F.when(most > 0, F.transform(F.sequence(F.lit(1), most), lambda k: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), k), "/")))).otherwise(F.array().cast("array<string>"))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(domains, prefixes)))
 
 
 def intervals(changes: DataFrame) -> DataFrame:
     """entry, category, valid_from, valid_to (null: still active) of a log of changes (entry, category, day, action)."""
-    log = changes.filter("entry IS NOT NULL AND day IS NOT NULL").groupBy(F.lower("entry").alias("entry"), F.coalesce("category", F.lit("")).alias("category"), "day").agg(F.min((F.col("action") == "add").cast("int")).alias("adds"))
+    # hosts are the same in either case, paths are not
+    entry = F.concat(F.lower(F.regexp_extract("entry", "^[^/]*", 0)), F.regexp_replace("entry", "^[^/]*", ""))
+    log = changes.filter("entry IS NOT NULL AND day IS NOT NULL").groupBy(entry.alias("entry"), F.coalesce("category", F.lit("")).alias("category"), "day").agg(F.min((F.col("action") == "add").cast("int")).alias("adds"))
     w = Window.partitionBy("entry", "category").orderBy("day")
     state = log.withColumn("before", F.lag("adds").over(w)).filter("before IS NULL OR before <> adds")
     state = state.withColumn("valid_to", F.lead("day").over(w))
@@ -56,7 +60,8 @@ def filter_urls(captures: DataFrame, changes: DataFrame) -> DataFrame:
     rows = captures.select("page_id", "url", "fetched_on")
     # what decides is the URL and the day, so equal captures are looked up once
     asked = rows.filter("url IS NOT NULL AND fetched_on IS NOT NULL").select("url", "fetched_on").distinct()
-    keys = asked.select("*", F.explode(lookup_keys(host_of(F.col("url")), path_of(F.col("url")))).alias("entry"))
+    deepest = changes.agg(F.coalesce(F.max(F.size(F.split("entry", "/")) - 1), F.lit(0)).alias("deepest"))
+    keys = asked.crossJoin(F.broadcast(deepest)).select("url", "fetched_on", F.explode(lookup_keys(host_of(F.col("url")), path_of(F.col("url")), F.col("deepest"))).alias("entry"))
     active = intervals(changes)
     salted = active.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
     hits = (

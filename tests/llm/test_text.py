@@ -111,6 +111,15 @@ def test_main_text_keeps_what_is_no_chrome(page, want):
     assert html_text.main_text(page) == want
 
 
+def test_url_entries_of_any_depth_and_case(spark):
+    day = datetime.date(2020, 1, 1)
+    changes = spark.createDataFrame([(e, e, day, "add") for e in ("Wiki.example/Wiki/Page", "deep.example/1/2/3/4/5/6")], "entry string, category string, day date, action string")
+    asked = [("http://WIKI.example/Wiki/Page/x", True), ("http://wiki.example/wiki/page", False), ("http://deep.example/1/2/3/4/5/6/7/8", True), ("http://deep.example/1/2/3/4/5", False), ("http://deep.example", False)]
+    captures = spark.createDataFrame([(k, u, day) for k, (u, _) in enumerate(asked)], "page_id long, url string, fetched_on date")
+    got = {r.page_id: r.blocked for r in url_filter.filter_urls(captures, changes).collect()}
+    assert got == {k: b for k, (_, b) in enumerate(asked)}
+
+
 def test_toxicity_counts_all_labelled_rows(spark):
     # forty insults of ten rows each: a sample of a few rows sees few of them
     letters = "abcdefghijklmnopqrstuvwxyz"
