@@ -1,13 +1,18 @@
 """Lexical retrieval packing of documents into token sequences.
 
-Documents are dealt to shards of about `shard_docs` documents by a hash of their text and id.  Each shard has a BM25
-inverted index of its documents' token ids.  A sequence starts with a seed (the cut-off rest of the document before, or
-else the next unused document); the index returns the seed's best unused neighbours in order of their scores, which fill
-the window greedily; the one that goes over is cut, and its rest seeds the next sequence.  So only the last sequence of
-a shard can be short; it is cut into powers of two, which are not padded.
+A first pass encodes each document once, and a Spark aggregation counts the BM25 statistics (document frequencies, number
+and mean length of documents) over all of them.  Documents are then put into an order by lexical content: the key is a
+list of four min-hashes over a document's terms, in which a term counts by its square idf and terms of a single document
+come last.  The order is cut into shards of about `shard_docs` documents.  So documents with a common rare term lie side
+by side, a term of more documents than a shard holds is split by the next min-hash, and whole rows are kept.  Each shard
+has a BM25 inverted index of its documents' token ids.  A sequence starts with a seed (the cut-off rest of the document
+before, or else the next unused document); the index returns the seed's best unused neighbours in order of their scores,
+which fill the window greedily; the one that goes over is cut, and its rest seeds the next sequence.  So only the last
+sequence of a shard can be short; it is cut into powers of two, which are not padded.
 
-Shards bound what one task holds, and their number follows the number of documents.  No document, term or neighbour is
-dropped: neighbours without a common term come last, in order of their ids.
+Shards bound what one task holds, and their number follows the number of documents.  No document or term is dropped.
+Neighbours are those of the shard: the nearer two documents are, the likelier they meet in one, but this isn't certain,
+and a neighbour in another shard isn't found.  In a shard, neighbours without a common term come last, in order of ids.
 
 Rows: a null text counts as empty: one token, the end mark; repeated rows are packed each; other columns are ignored; an
 empty table yields an empty table.
@@ -17,23 +22,74 @@ from __future__ import annotations
 
 import zlib
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_texts
+from .common import keyed_texts, map_arrow, mix64, settled, text_bytes
 from .word_bpe import loaded
 
 K1, B = 1.2, 0.75
+#: Min-hashes of a document, 16 bits each.
+KEYS = 4
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+class Corpus(NamedTuple):
+    """What BM25 counts over all documents."""
+
+    n: int
+    mean: float
+    df: np.ndarray  # by term, an id of 16 bits
+
+    def idf(self) -> np.ndarray:
+        return np.log1p((self.n - self.df + 0.5) / (self.df + 0.5))
+
+
+def document_terms(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The number of documents that each term is in; bounds: of the documents among the tokens."""
+    n = len(bounds) - 1
+    owner = np.repeat(np.arange(n, dtype=np.uint32 if n <= 1 << 16 else np.uint64), np.diff(bounds))
+    pairs = np.sort(owner << 16 | tokens)
+    fresh = np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)]
+    return np.bincount((pairs[fresh] & 0xFFFF).astype(np.int64), minlength=1 << 16)
+
+
+def counted(docs: list[np.ndarray]) -> Corpus:
+    """The statistics of documents that are a corpus of their own."""
+    bounds = np.cumsum([0, *(len(d) for d in docs)])
+    return Corpus(len(docs), bounds[-1] / max(len(docs), 1), document_terms(np.concatenate(docs), bounds))
+
+
+def term_ranks(corpus: Corpus) -> np.ndarray:
+    """For each min-hash the places of all terms in its order: by exponential draws whose rate is the square idf."""
+    terms = np.arange(1 << 16, dtype=np.uint64)
+    # terms of one document relate it to none
+    rate = np.where(corpus.df > 1, corpus.idf() ** 2, 0) + 1e-12
+    ranks = np.zeros((KEYS, 1 << 16), np.uint16)
+    for k in range(KEYS):
+        draw = (mix64(terms + np.uint64((k + 1) << 32)).astype(np.float64) + 1) / 2.0**64
+        ranks[k, np.lexsort((terms, -np.log(draw) / rate))] = terms
+    return ranks
+
+
+def lexical_keys(tokens: np.ndarray, bounds: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The min-hashes of each document, the first in the highest bits, in the order of signed numbers."""
+    out = np.zeros(len(bounds) - 1, np.uint64)
+    for r in ranks:
+        out = out << np.uint64(16) | np.minimum.reduceat(r[tokens], bounds[:-1]).astype(np.uint64)
+    return (out ^ np.uint64(1 << 63)).view(np.int64)
+
+
 class ShardIndex:
     """BM25 postings of one shard: term -> (documents, weights)."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus):
         n = len(docs)
         sizes = np.array([len(d) for d in docs], np.float64)
         owner = np.repeat(np.arange(n), sizes.astype(np.int64))
@@ -42,9 +98,8 @@ class ShardIndex:
         terms, self.docs = keys // n, (keys % n).astype(np.int32)
         self.terms, self.starts = np.unique(terms, return_index=True)
         self.stops = np.append(self.starts[1:], len(terms))
-        df = self.stops - self.starts
-        idf = np.repeat(np.log1p((n - df + 0.5) / (df + 0.5)), df)
-        norm = K1 * (1 - B + B * sizes / max(sizes.mean(), 1))
+        idf = np.repeat(corpus.idf()[self.terms], self.stops - self.starts)
+        norm = K1 * (1 - B + B * sizes / max(corpus.mean, 1))
         self.weights = (idf * counts * (K1 + 1) / (counts + norm[self.docs])).astype(np.float32)
         # the terms of each document, as places in self.terms
         by_doc = np.argsort(self.docs, kind="stable")
@@ -59,9 +114,9 @@ class ShardIndex:
         return np.bincount(self.docs[at], self.weights[at], self.n)
 
 
-def fill(docs: list[np.ndarray], window: int) -> list[tuple[int, int, int, int, int]]:
-    """(document, start, length, sequence, offset) of all pieces of one shard."""
-    index = ShardIndex(docs)
+def fill(docs: list[np.ndarray], window: int, corpus: Corpus | None = None) -> list[tuple[int, int, int, int, int]]:
+    """(document, start, length, sequence, offset) of all pieces of one shard; a shard without a corpus is its own."""
+    index = ShardIndex(docs, corpus or counted(docs))
     unused = np.ones(len(docs), bool)
     out: list[tuple[int, int, int, int, int]] = []
     sequence, room, fresh, done = 0, window, 0, 0
@@ -121,27 +176,90 @@ def last_split(pieces: list[tuple[int, int, int, int, int]], window: int) -> lis
     return out
 
 
-def pack(docs: DataFrame, window: int = 2048, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, shard_docs: int = 400, n_docs: int | None = None) -> DataFrame:
-    """One row for each piece of a document, with its place in a sequence.
+def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
+    """doc_id and ids (16 bits each, with the end mark) of every document."""
+    end = np.array([end_id], "<u2").tobytes()
+
+    def make():
+        bpe = loaded(vocabulary)
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids = [x + end for x in bpe.encode(batch.column(1).to_pylist())]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
+        return work
+
+    return map_arrow(keyed_texts(docs), make, "doc_id long, ids binary")
+
+
+def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens of a column of ids, and the documents' bounds in them."""
+    raw, bounds = text_bytes(column.cast(pa.large_binary()).view(pa.large_string()))
+    return raw.view("<u2"), bounds // 2
+
+
+def corpus_of(coded: DataFrame) -> Corpus:
+    """The statistics over all documents; the driver gets a row for each term of the vocabulary."""
+
+    def make():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            tokens, bounds = tokens_of(batch.column(1))
+            df = document_terms(tokens, bounds)
+            terms = np.flatnonzero(df)
+            # two more rows: the numbers of documents and of tokens
+            return pa.RecordBatch.from_arrays([pa.array(np.append(terms, [-1, -2])), pa.array(np.append(df[terms], [batch.num_rows, len(tokens)]))], ["term", "n"])
+
+        return work
 
-    n_docs: the number of documents, counted if not given (Parquet answers that from its footers).
-    """
-    n_shards = max(1, -(-(docs.count() if n_docs is None else n_docs) // shard_docs))
-    texts = keyed_texts(docs)
-    shards = texts.withColumn("shard", F.pmod(F.xxhash64("text", "doc_id", F.lit(10)), F.lit(n_shards)))
+    table = map_arrow(coded, make, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    found = dict(zip(table["term"].to_pylist(), table["n"].to_pylist(), strict=True))
+    df = np.zeros(1 << 16, np.int64)
+    n, tokens = found.pop(-1, 0), found.pop(-2, 0)
+    df[list(found)] = list(found.values())
+    return Corpus(n, tokens / max(n, 1), df)
+
+
+def sharded(coded: DataFrame, corpus: Corpus, shard_docs: int) -> DataFrame:
+    """doc_id, ids and shard: the order by lexical keys, cut into shards of equal numbers of documents."""
+    spark = coded.sparkSession
+    shared = spark.sparkContext.broadcast(term_ranks(corpus))
+
+    def make():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keys = lexical_keys(*tokens_of(batch.column(1)), shared.value)
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys)], ["doc_id", "ids", "key"])
+
+        return work
+
+    keyed = map_arrow(coded, make, "doc_id long, ids binary, key long")
+    # a place is a task's number and a row's number in it (33 bits); the tasks' sizes make it a rank in the whole order
+    ordered = settled(keyed.orderBy("key", "doc_id", F.xxhash64("ids")).select("doc_id", "ids", F.monotonically_increasing_id().alias("place")), "packing-order")
+    task = F.shiftright("place", 33).alias("task")
+    sizes = sorted((r["task"], r["n"]) for r in ordered.groupBy(task).agg(F.count(F.lit(1)).alias("n")).collect())
+    before = np.cumsum([0, *(n for _, n in sizes)]).tolist()
+    firsts = spark.createDataFrame([(t, b) for (t, _), b in zip(sizes, before, strict=False)], "task long, before long")
+    rank = F.col("before") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    shard = F.floor(rank * F.lit(-(-corpus.n // shard_docs)) / F.lit(corpus.n)).alias("shard")
+    return ordered.select("*", task).join(F.broadcast(firsts), "task").select("doc_id", "ids", shard)
+
+
+def pack(docs: DataFrame, window: int = 2048, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, shard_docs: int = 400) -> DataFrame:
+    """One row for each piece of a document, with its place in a sequence."""
+    spark = docs.sparkSession
+    coded = settled(encoded(docs, vocabulary, end_id), "packing-ids")
+    corpus = corpus_of(coded)
+    if corpus.n == 0:
+        return spark.createDataFrame([], PIECES)
+    shared = spark.sparkContext.broadcast(corpus)
 
     def work(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        bpe = loaded(vocabulary)
-        rows = rows.sort_values(["doc_id", "text"], kind="stable", na_position="first")
-        end = np.array([end_id], "<u2")
-        coded, texts = [], rows["text"].tolist()
-        for at in range(0, len(texts), 100):
-            coded += [np.append(np.frombuffer(x, "<u2"), end) for x in bpe.encode(texts[at : at + 100])]
+        rows = rows.sort_values(["doc_id", "ids"], kind="stable", na_position="first")
+        coded = [np.frombuffer(x, "<u2") for x in rows["ids"].tolist()]
         ids = rows["doc_id"].astype("Int64").tolist()
-        pieces = last_split(fill(coded, window), window)
+        pieces = last_split(fill(coded, window, shared.value), window)
         first = int(key[0]) << 32
         crc = [zlib.crc32(coded[d][s : s + n].astype("<u4").tobytes()) for d, s, n, _, _ in pieces]
         doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*pieces, strict=True))
         return pd.DataFrame({"doc_id": pd.array([ids[d] for d in doc], "Int64"), "start": start, "length": length, "ids_crc32": np.array(crc, np.int64), "doc_tokens": np.array([len(coded[d]) for d in doc], np.int64), "sequence_id": first + sequence, "offset": offset})
 
-    return shards.groupBy("shard").applyInPandas(work, PIECES)
+    return sharded(coded, corpus, shard_docs).groupBy("shard").applyInPandas(work, PIECES)

@@ -109,3 +109,29 @@ def test_neighbours_share_words():
     for doc, _, _, sequence, _ in pieces:
         together[sequence].add(doc % 4)
     assert np.mean([len(t) for t in together.values()]) < 2.2  # mixed at random it would be nearly 4
+
+
+def test_related_documents_meet_in_a_shard(spark):
+    rng = np.random.default_rng(1)
+    # 40 topics of words of their own, each on 10 documents that a hash would deal to ten shards at random
+    words = [[f"{a}{b}{c}{d}ing" for a, b, c, d in rng.choice(list("bcdfglmnprst"), (40, 4))] for _ in range(40)]
+    rows = [(k, " ".join(rng.choice(words[k % 40], 120))) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    coded = packing.encoded(docs, "word_bpe_49k.json", 1)
+    corpus = packing.corpus_of(coded)
+    texts = [np.frombuffer(r.ids, "<u2") for r in coded.collect()]
+    assert corpus.n == 400 and corpus.mean == np.mean([len(d) for d in texts])
+    assert np.array_equal(corpus.df, packing.counted(texts).df)
+    shards = defaultdict(set)
+    for r in packing.pack(docs, shard_docs=40).collect():
+        shards[r.sequence_id >> 32].add(r.doc_id)
+    assert len(shards) == 10 and all(len(s) == 40 for s in shards.values())
+    pairs = [a % 40 == b % 40 for s in shards.values() for a in s for b in s if a < b]
+    # of 1800 pairs of a topic a tenth would meet at random
+    assert sum(pairs) > 0.4 * 1800
+
+
+def test_copies_and_equal_rows_are_spread_evenly(spark):
+    docs = spark.createDataFrame([(None, "the same text again and again")] * 50 + [(7, "another")], "doc_id long, text string")
+    rows = packing.sharded(packing.encoded(docs, "word_bpe_49k.json", 1), packing.corpus_of(packing.encoded(docs, "word_bpe_49k.json", 1)), 10).groupBy("shard").count().collect()
+    assert len(rows) == 6 and max(r["count"] for r in rows) <= 10
