@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -34,13 +35,20 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
 
 
+def hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash and text: rows with one doc_id and different texts are told apart by the hash."""
+    return keyed_texts(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+
+
 def work_folder(spark: SparkSession, what: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
-        top = tempfile.mkdtemp(prefix="spark-")  # unset only in tests on one machine
+        top = tempfile.mkdtemp(prefix="spark-")  # driver and executors are one process
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
@@ -61,8 +69,8 @@ BROADCAST_ROWS = 2_000_000
 
 
 def sized(ids: DataFrame) -> DataFrame:
-    """A narrow table, kept and counted, and marked for broadcast if its rows are few enough."""
-    ids = ids.persist()
+    """A narrow table, written and counted, and marked for broadcast if its rows are few enough; no executor holds it."""
+    ids = settled(ids, "ids", 64)
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
@@ -71,13 +79,95 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            for piece in pieces(batch):
-                yield work(piece)
+        try:
+            for batch in batches:
+                for piece in pieces(batch):
+                    yield work(piece)
+        finally:
+            release()
 
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the system: a Python worker is used again, by other operators too."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library than glibc
+
+
+def grouped_arrow(rows: DataFrame, key: str, work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """groupBy(key).applyInArrow(work) whose tasks give their memory back."""
+
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return work(table)
+        finally:
+            release()
+
+    return rows.groupBy(key).applyInArrow(run, schema)
+
+
+def met_arrow(left: DataFrame, right: DataFrame, key: str, work: Callable[[tuple, pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """The groups of both tables by the key, met by cogroup().applyInArrow(work), whose tasks give their memory back."""
+
+    def run(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        try:
+            return work(key, a, b)
+        finally:
+            release()
+
+    return left.groupBy(key).cogroup(right.groupBy(key)).applyInArrow(run, schema)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], most_bytes: int, most_rows: int = 1 << 16) -> Iterator[pa.Table]:
+    """The rows of a task in tables of about most_bytes and most_rows at most; a row is never cut."""
+    held: list[pa.RecordBatch] = []
+    size = rows = 0
+    for batch in batches:
+        for piece in pieces(batch):
+            for at in range(0, piece.num_rows, most_rows):
+                part = piece.slice(at, most_rows)
+                if held and (size + part.nbytes > most_bytes or rows + part.num_rows > most_rows):
+                    yield pa.Table.from_batches(held)
+                    held, size, rows = [], 0, 0
+                held.append(part)
+                size, rows = size + part.nbytes, rows + part.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def zipped(table: pa.Table) -> bytes:
+    """A table as compressed bytes."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+        out.write_table(table.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def unzipped(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all().combine_chunks()
+
+
+def block_number(nth: int) -> int:
+    """A number for the nth block of this task, unlike those of all others of the job."""
+    from pyspark import TaskContext
+
+    return (TaskContext.get().partitionId() << 32) | nth
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte of equal weight, so that the high ones, mostly 0, compress to nothing."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, kind: str, n: int, at: int = 0) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T).view(kind).reshape(n)
+
+
 def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The batch cut by rows into slices of about PIECE_BYTES."""
     n = batch.num_rows
@@ -153,7 +243,13 @@ class Words:
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(low * power[:n], out=self.sums[1:])
 
+        self.raw = raw
+
     def hashes(self, first: int | None = None) -> np.ndarray:
-        """Of the words, or of their first bytes only."""
-        ends = self.ends if first is None else np.minimum(self.starts + first, self.ends)
+        """Of the words, or of their first characters only."""
+        ends = self.ends
+        if first is not None and len(self.starts):
+            letters = np.append(np.flatnonzero((self.raw & 0xC0) != 0x80), len(self.raw))
+            after = np.searchsorted(letters, self.starts, "right") + first - 1
+            ends = np.minimum(letters[np.minimum(after, len(letters) - 1)], ends)
         return mix64((self.sums[ends] - self.sums[self.starts]) * self.inverse[self.starts] + (ends - self.starts).astype(np.uint64) * _GOLD)
