@@ -21,7 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, sized
+from .common import BROADCAST_ROWS, keyed_texts, release, settled, sized
+
+#: Fingerprints that a shard of the merge gets, on average; and groups that may be hot (each with that share of all rows).
+SHARD_FINGERPRINTS, HOT_GROUPS = 1 << 20, 1000
 
 
 class QuotientFilter:
@@ -32,11 +35,11 @@ class QuotientFilter:
 
     @classmethod
     def of(cls, fingerprints: np.ndarray, counts: np.ndarray, quotient_bits: int) -> QuotientFilter:
-        order = np.argsort(fingerprints, kind="stable")
-        sorted_ = fingerprints[order]
-        first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(sorted_) else np.zeros(0, np.int64)
-        total = np.add.reduceat(counts[order], first) if len(first) else counts[:0]
-        sorted_ = sorted_[first]
+        order = np.argsort(fingerprints)
+        return cls.sorted_run(*summed_run(fingerprints[order], counts[order]), quotient_bits)
+
+    @classmethod
+    def sorted_run(cls, sorted_: np.ndarray, total: np.ndarray, quotient_bits: int) -> QuotientFilter:
         rest = np.uint64(64 - quotient_bits)
         places, sizes = np.unique((sorted_ >> rest).astype(np.uint32), return_counts=True)
         return cls(quotient_bits, places, sizes.astype(np.uint32), sorted_ & ((np.uint64(1) << rest) - np.uint64(1)), total.astype(np.uint32))
@@ -46,8 +49,12 @@ class QuotientFilter:
 
     @classmethod
     def merged(cls, filters: list[QuotientFilter]) -> QuotientFilter:
-        """Lossless: every fingerprint keeps the sum of its counts."""
-        return cls.of(np.concatenate([f.fingerprints() for f in filters]), np.concatenate([f.counts for f in filters]).astype(np.int64), filters[0].quotient_bits)
+        """Lossless: every fingerprint keeps the sum of its counts.  Two by two, by the order that both already have."""
+        bits = filters[0].quotient_bits
+        runs = [(f.fingerprints(), f.counts.astype(np.int64)) for f in filters]
+        while len(runs) > 1:
+            runs = [merged_runs(*runs[k], *runs[k + 1]) if k + 1 < len(runs) else runs[k] for k in range(0, len(runs), 2)]
+        return cls.sorted_run(*runs[0], bits)
 
     def shards(self, bits: int) -> Iterator[tuple[int, QuotientFilter]]:
         """The parts whose quotients share their highest bits."""
@@ -73,14 +80,22 @@ class QuotientFilter:
         return cls(bits, parts[0], parts[1], parts[3], parts[2])
 
 
-def repeated_fingerprints(fingerprints: DataFrame, quotient_bits: int = 24, shard_bits: int | None = None) -> DataFrame:
-    """fp of all fingerprints that occur more than once in the column fp.
+def summed_run(fingerprints: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A sorted run with equal fingerprints made one."""
+    if not len(fingerprints):
+        return fingerprints, counts
+    first = np.flatnonzero(np.r_[True, fingerprints[1:] != fingerprints[:-1]])
+    return fingerprints[first], np.add.reduceat(counts, first)
+
 
-    shard_bits: the merge has 2**shard_bits tasks' worth of shards; at least four times spark.sql.shuffle.partitions
-    unless given, so that shards grow in number with the cluster's setting for its data.
-    """
-    if shard_bits is None:
-        shard_bits = min(quotient_bits - 4, max(8, (4 * int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
+def merged_runs(a: np.ndarray, a_counts: np.ndarray, b: np.ndarray, b_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.searchsorted(a, b)
+    return summed_run(np.insert(a, at, b), np.insert(a_counts, at, b_counts))
+
+
+def repeated_fingerprints(fingerprints: DataFrame, rows: int, quotient_bits: int = 24) -> DataFrame:
+    """fp of all fingerprints that occur more than once in the column fp; rows: how many there are, which sets the number of shards."""
+    shard_bits = min(quotient_bits - 4, max(8, (rows // SHARD_FINGERPRINTS).bit_length()))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: QuotientFilter | None = None
@@ -98,6 +113,7 @@ def repeated_fingerprints(fingerprints: DataFrame, quotient_bits: int = 24, shar
                 own = added()
         if waiting:
             own = added()
+        release()
         if own:
             parts = list(own.shards(shard_bits))
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in parts], pa.int32()), pa.array([f.to_bytes() for _, f in parts], pa.binary())], ["shard", "filter"])
@@ -111,25 +127,39 @@ def repeated_fingerprints(fingerprints: DataFrame, quotient_bits: int = 24, shar
 
 def exact_groups(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row; of equal texts the largest doc_id stays."""
+    return exact_rows(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def exact_rows(docs: DataFrame) -> DataFrame:
+    """The same with text_hash, the xxhash64 of the row's text."""
     texts = keyed_texts(docs)
     marked = texts.withColumn("fp", F.xxhash64("text"))
+    n = docs.count()
     # counted first: a short list is broadcast, so that only texts that may have a copy are shuffled
-    repeated = sized(repeated_fingerprints(marked))
+    repeated = sized(repeated_fingerprints(marked, n))
     # byte verification: the text itself is the key, so equal fingerprints of different texts part here
-    groups = (
+    groups = settled(
         marked.join(repeated, "fp", "left_semi")
         .groupBy("text")
         .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .filter("group_size > 1")
-        .select(F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size")
+        .select(F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size"),
+        "exact-groups",
     )
-    rows = texts.select("doc_id", F.sha2("text", 256).alias("text_sha256"))
-    return rows.join(groups, "text_sha256", "left").select(
+    rows = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), F.sha2("text", 256).alias("text_sha256"))
+    if groups.count() <= BROADCAST_ROWS:
+        joined = rows.join(F.broadcast(groups), "text_sha256", "left")
+    else:
+        # groups with more than this share of the rows are HOT_GROUPS at most, so they are broadcast; the others are shuffled
+        hot = F.broadcast(groups.filter(F.col("group_size") * HOT_GROUPS > n))
+        joined = rows.join(hot, "text_sha256").unionByName(rows.join(hot, "text_sha256", "left_anti").join(groups, "text_sha256", "left"))
+    return joined.select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.when(F.col("group_size").isNull(), True).otherwise(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         "text_sha256",
+        "text_hash",
     )
 
 
