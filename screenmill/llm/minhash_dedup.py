@@ -19,7 +19,8 @@ left out.  No candidate link between different components is lost.
 Words are runs of letters and digits (ASCII case folded); a text of one to four words is one shingle.  Rows: texts
 without a word (null, empty) are never near-duplicates and each stays; texts with the same words are one class from the
 start; a null doc_id has no class and stays; repeated rows are in one class, and each is kept if its doc_id is the
-class's; other columns are ignored; an empty table yields an empty table.
+class's; rows with one doc_id and different words are documents of their own, each with its own links; other columns are
+ignored; an empty table yields an empty table.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, keyed_texts, map_arrow, mix64, pieces, settled, sized, text_bytes
+from .common import Words, grouped_arrow, hashed, map_arrow, mix64, pieces, settled, sized, text_bytes
 
 SHINGLE = 5
 BANDS, BAND_ROWS = 24, 4
@@ -116,11 +117,11 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, a 128-bit hash of the sequence of words, and the band keys (null without words) of every document."""
+    """doc_id, a hash of the text, a 128-bit hash of the sequence of words, the band keys (null without words) and the number of shingles of every document."""
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            words = Words(*text_bytes(batch.column(1)))
+            words = Words(*text_bytes(batch.column(2)))
             h, rows = words.hashes(), words.rows
             n = np.diff(rows)
             owner = np.repeat(np.arange(len(n)), n)
@@ -129,45 +130,66 @@ def signed(docs: DataFrame) -> DataFrame:
             for k in (0, 1):
                 total = np.r_[np.uint64(0), np.cumsum(mix64(h + mix64((place + np.uint64(1)) * _ODD[k]) * _ODD[k + 2]))]
                 same.append(mix64(total[rows[1:]] - total[rows[:-1]]).view(np.int64))
-            keys = band_keys(signatures(*shingles(words))).view(np.int64)
+            elements, bounds = shingles(words)
+            keys = band_keys(signatures(elements, bounds)).view(np.int64)
             offsets = pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS)
             bands = pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()), mask=pa.array(n == 0))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(same[0]), pa.array(same[1]), bands], ["doc_id", "h1", "h2", "bands"])
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same[0]), pa.array(same[1]), bands, pa.array(np.diff(bounds))], ["doc_id", "text_hash", "h1", "h2", "bands", "size"])
 
         return work
 
-    return map_arrow(keyed_texts(docs).filter("doc_id IS NOT NULL"), make, "doc_id long, h1 long, h2 long, bands array<long>")
+    return map_arrow(hashed(docs).filter("doc_id IS NOT NULL"), make, "doc_id long, text_hash long, h1 long, h2 long, bands array<long>, size long")
 
 
-def similarities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b, shared and total (sums of minima and of maxima) of each pair of ids; texts: doc_id and text of all of them."""
+#: Members that meet one copy of their leader's text, and the shingles that a task gets at once.
+MEMBERS, TASK_SHINGLES = 64, 1_500_000
 
-    def make():
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n = batch.num_rows
-            keys, sizes = [], []
-            for k in (2, 3):
-                elements, bounds = shingles(Words(*text_bytes(batch.column(k))))
-                size = np.diff(bounds)
-                keys.append(mix64(elements + np.repeat(np.arange(n), size).astype(np.uint64) * _ODD[4]))
-                sizes.append(size)
-            unique, back = np.unique(np.concatenate(keys), return_inverse=True)
-            left, right = (np.bincount(x, minlength=len(unique)) for x in (back[: len(keys[0])], back[len(keys[0]) :]))
-            both = np.minimum(left, right)
-            pair = np.zeros(len(unique), np.int64)
-            pair[back[: len(keys[0])]] = np.repeat(np.arange(n), sizes[0])
-            shared = np.bincount(pair, both, n).astype(np.int64)
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared), pa.array(sizes[0] + sizes[1] - shared)], ["a", "b", "shared", "total"])
 
-        return work
+def layered(table: pa.Table) -> list[np.ndarray]:
+    """Hashes of the unit layers of each row's shingles; one piece of text at a time, so that they are the largest thing in memory."""
+    sets = []
+    for batch in table.select(["text"]).combine_chunks().to_batches():
+        for part in pieces(batch):
+            elements, bounds = shingles(Words(*text_bytes(part.column(0))))
+            units = layers(elements, np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)))
+            sets += [units[x:y].copy() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    return sets
+
+
+def similarities(pairs: DataFrame, texts: DataFrame, n_tasks: int) -> DataFrame:
+    """a, b, shared and total (sums of minima and of maxima) and size (of b) of each pair of a leader a and a member b.
+
+    A leader's members are dealt to groups of about MEMBERS, and its text is sent once to each group.
+    """
+    groups = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("n"))
+    members = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("n")).cast("int").alias("part"), F.col("b").alias("node"))
+    leaders = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"), F.col("a").alias("node"))
+    rows = members.unionByName(leaders).join(texts, "node").withColumn("deal", F.pmod(F.xxhash64("a", "part"), F.lit(n_tasks)))
+
+    def compare(table: pa.Table) -> pa.Table:
+        a, part, node = (table.column(c).to_numpy() for c in ("a", "part", "node"))
+        sets = layered(table)
+        order = np.lexsort((node != a, part, a))
+        edges = np.flatnonzero(np.r_[True, (np.diff(a[order]) != 0) | (np.diff(part[order]) != 0), True])
+        out: list[tuple[int, int, int, int, int]] = []
+        for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            leader, *others = order[x:y].tolist()  # the leader's row comes first
+            if not others or node[leader] != a[leader]:
+                continue
+            own = np.sort(sets[leader])
+            sizes = [len(sets[k]) for k in others]
+            every = np.concatenate([sets[k] for k in others])
+            hit = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+            shared = np.bincount(np.repeat(np.arange(len(others)), sizes), hit, len(others)).astype(np.int64)
+            out += [(int(a[k]), int(node[k]), n, len(own) + size - n, size) for k, n, size in zip(others, shared.tolist(), sizes, strict=True)]
+        columns = zip(*out, strict=True) if out else [[]] * 5
+        return pa.table({k: pa.array(list(v), pa.int64()) for k, v in zip(("a", "b", "shared", "total", "size"), columns, strict=True)})
 
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b"), make, "a long, b long, shared long, total long")
+    return grouped_arrow(rows.select("a", "part", "node", "text", "deal"), "deal", compare, "a long, b long, shared long, total long, size long")
 
 
-#: Rows (texts of pairs) and ids that a task of the last stage of a written table is given.
-TEXTS_A_TASK, IDS_A_TASK = 5_000, 100_000
+#: Rows of ids that a task of the last stage of a written table is given.
+IDS_A_TASK = 100_000
 
 
 def tasks_for(rows: int, each: int) -> int:
@@ -193,8 +215,8 @@ def components(links: DataFrame, most: int) -> DataFrame:
             return labels
 
 
-#: Documents of a leader that meet in one block as queries or in the index.
-BLOCK = 1000
+#: Documents, and shingles, of a leader that meet in one block as queries or in the index.
+BLOCK, BLOCK_SHINGLES = 1000, 750_000
 
 
 def linked_in_blocks(rows: DataFrame, n_groups: int, threshold_percent: int) -> DataFrame:
@@ -208,13 +230,7 @@ def linked_in_blocks(rows: DataFrame, n_groups: int, threshold_percent: int) ->
         leader, q, i = (table.column(c).to_numpy() for c in ("leader", "q", "i"))
         ids, roots = table.column("doc_id").to_numpy(), table.column("root").to_numpy()
         query = np.array(table.column("role").to_pylist()) == "q"
-        # one at a time, so that the texts' hashes are the largest thing in memory
-        sets = []
-        for batch in table.select(["text"]).combine_chunks().to_batches():
-            for part in pieces(batch):
-                elements, bounds = shingles(Words(*text_bytes(part.column(0))))
-                layered = layers(elements, np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)))
-                sets += [layered[x:y].copy() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        sets = layered(table)
         order = np.lexsort((ids, i, q, leader))
         starts = np.flatnonzero(np.r_[True, (np.diff(leader[order]) != 0) | (np.diff(q[order]) != 0) | (np.diff(i[order]) != 0), True])
         a, b = [], []
@@ -238,47 +254,70 @@ def linked_in_blocks(rows: DataFrame, n_groups: int, threshold_percent: int) ->
                 b += found
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("deal").applyInArrow(find, "a long, b long")
+    return grouped_arrow(dealt, "deal", find, "a long, b long")
 
 
 def near_groups(docs: DataFrame, threshold_percent: int = 80) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its near-duplicate group) and kept, of every row."""
+    return near_rows(docs, threshold_percent).select("doc_id", "class_id", "kept")
+
+
+def near_rows(docs: DataFrame, threshold_percent: int = 80) -> DataFrame:
+    """The same with text_hash, the xxhash64 of the row's text."""
     signs = settled(signed(docs), "signatures")
-    same = signs.filter("bands IS NOT NULL").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "bands")).alias("m"))
-    classes = same.select("h1", "h2", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands"))
-    banded = classes.select("rep", F.explode("bands").alias("key"))
-    leaders = banded.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    pairs = settled(banded.join(leaders, "key").filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs", tasks_for(signs.count(), IDS_A_TASK))
+    classes = settled(word_classes(signs), "classes")
+    banded = classes.select("node", F.explode("bands").alias("key"))
+    leaders = banded.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    pairs = settled(banded.join(leaders, "key").filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs", tasks_for(signs.count(), IDS_A_TASK))
     n_pairs = pairs.count()
-    wanted = sized(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    texts = settled(keyed_texts(docs).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidate-texts", tasks_for(2 * n_pairs, TEXTS_A_TASK))
-
-    compared = settled(similarities(pairs, texts), "similarities", tasks_for(n_pairs, TEXTS_A_TASK))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = sized(asked.join(classes.select("node", F.col("first").alias("doc_id"), "text_hash", "size"), "node"))
+    n_wanted, shingles_wanted = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    texts = settled(hashed(docs).join(wanted.drop("size"), ["doc_id", "text_hash"]).select("node", "text"), "candidate-texts", tasks_for(shingles_wanted, TASK_SHINGLES))
+    if texts.count() > n_wanted:  # rows that repeat doc_id and text
+        texts = settled(texts.dropDuplicates(["node"]), "candidate-texts")
+
+    compared = settled(similarities(pairs, texts, tasks_for(2 * shingles_wanted, TASK_SHINGLES)), "similarities", tasks_for(n_pairs, IDS_A_TASK))
     roots = components(compared.filter(F.col("shared") * 100 >= F.col("total") * threshold_percent), n_pairs)
 
     # what is left: documents of one leader in different components that may be close by their distances to it
     reach = (100 - threshold_percent) / 100 + 1e-9
     own = roots.withColumnRenamed("node", "doc_id")
-    members = compared.select(F.col("a").alias("leader"), F.col("b").alias("doc_id"), (1 - F.col("shared") / F.col("total")).alias("d")).join(own, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    members = compared.select(F.col("a").alias("leader"), F.col("b").alias("doc_id"), (1 - F.col("shared") / F.col("total")).alias("d"), "size").join(own, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     members = members.join(own.select(F.col("doc_id").alias("leader"), F.col("root").alias("leader_root")), "leader", "left").withColumn("outside", F.col("root") != F.coalesce("leader_root", "leader"))
-    members = settled(members.select("leader", "doc_id", "d", "root", "outside"), "members", tasks_for(n_pairs, IDS_A_TASK))
-    counts = members.groupBy("leader").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count_if("outside").alias("n_out"), F.min(F.when(F.col("outside"), F.col("d"))).alias("nearest"), F.count(F.lit(1)).alias("n"))
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    counts = counts.filter("low <> high AND n_out > 0").select("leader", "nearest", "n_out", "n", blocks(F.col("n_out")).alias("n_q"), blocks(F.col("n")).alias("n_i"))
-    total = counts.agg(F.sum(F.col("n_out") * F.col("n_i") + F.col("n") * F.col("n_q"))).first()[0]
+    members = settled(members.select("leader", "doc_id", "d", "size", "root", "outside"), "members", tasks_for(n_pairs, IDS_A_TASK))
+    counts = members.groupBy("leader").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count_if("outside").alias("n_out"), F.coalesce(F.sum(F.when(F.col("outside"), F.col("size"))), F.lit(0)).alias("size_out"), F.min(F.when(F.col("outside"), F.col("d"))).alias("nearest"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")
+    )
+    blocks = lambda n, size: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(size) / BLOCK_SHINGLES)).cast("int")
+    counts = counts.filter("low <> high AND n_out > 0").select("leader", "nearest", "n_out", "n", "size_out", "size", blocks("n_out", "size_out").alias("n_q"), blocks("n", "size").alias("n_i"))
+    total, shingles_met = counts.agg(F.sum(F.col("n_out") * F.col("n_i") + F.col("n") * F.col("n_q")), F.sum(F.col("size_out") * F.col("n_i") + F.col("size") * F.col("n_q"))).first()
     if total:
         # a document within reach of the leader can only be close to one outside that is within twice the reach
-        left = members.join(counts, "leader").filter(F.col("outside") | (F.col("nearest") <= F.col("d") + reach))
+        left = members.join(counts.drop("size"), "leader").filter(F.col("outside") | (F.col("nearest") <= F.col("d") + reach))
         deal = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
         asks = left.filter("outside").select("leader", "doc_id", "root", F.lit("q").alias("role"), deal(F.col("n_q")).alias("q"), every(F.col("n_i")).alias("i"))
         index = left.select("leader", "doc_id", "root", F.lit("i").alias("role"), every(F.col("n_q")).alias("q"), deal(F.col("n_i")).alias("i"))
-        joints = settled(linked_in_blocks(asks.unionByName(index).join(texts, "doc_id"), -(-total // (2 * BLOCK)), threshold_percent).distinct(), "joints", tasks_for(total, IDS_A_TASK))
+        met = asks.unionByName(index).join(texts.withColumnRenamed("node", "doc_id"), "doc_id")
+        joints = settled(linked_in_blocks(met, max(-(-total // (2 * BLOCK)), -(-shingles_met // TASK_SHINGLES)), threshold_percent).distinct(), "joints", tasks_for(total, IDS_A_TASK))
         upper = components(joints, joints.count()).select(F.col("node").alias("root"), F.col("root").alias("top"))
         roots = roots.select("node", "root").unionByName(joints.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))).distinct()
         roots = roots.join(upper, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    found = classes.select("h1", "h2", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("class_id"))
-    rows = signs.select("doc_id", F.when(F.col("bands").isNotNull(), F.col("h1")).alias("h1"), F.when(F.col("bands").isNotNull(), F.col("h2")).alias("h2"))
-    named = rows.join(found, ["h1", "h2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-    nameless = keyed_texts(docs).filter("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"))
-    return named.unionByName(nameless).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    found = classes.select("h1", "h2", "first", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = found.join(found.groupBy("root").agg(F.min("first").alias("class_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "root", "left").select("h1", "h2", F.coalesce("class_id", "first").alias("class_id"))
+    hash_of = lambda c: F.when(F.col("bands").isNotNull(), F.col(c)).alias(c)
+    rows = signs.select("doc_id", "text_hash", hash_of("h1"), hash_of("h2")).join(named, ["h1", "h2"], "left").select("doc_id", "text_hash", F.coalesce("class_id", "doc_id").alias("class_id"))
+    nameless = hashed(docs).filter("doc_id IS NULL").select("doc_id", "text_hash", F.lit(None).cast("long").alias("class_id"))
+    return rows.unionByName(nameless).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+
+
+def word_classes(signs: DataFrame) -> DataFrame:
+    """One row for each different sequence of words: its hash, its first row (doc_id `first`, text_hash) and a node.
+
+    The node is the first doc_id, or a negative number made of the hash where one doc_id has several sequences of words.
+    """
+    same = signs.filter("bands IS NOT NULL").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_hash", "bands", "size")).alias("m")).select("h1", "h2", F.col("m.doc_id").alias("first"), "m.text_hash", "m.bands", "m.size")
+    clash = sized(signs.filter("bands IS NOT NULL").groupBy(F.col("doc_id").alias("first")).agg((F.min(F.struct("h1", "h2")) != F.max(F.struct("h1", "h2"))).alias("clash")).filter("clash"))
+    other = F.xxhash64("h1", "h2", "first").bitwiseOR(F.lit(-(1 << 63)))
+    return same.join(clash, "first", "left").select("h1", "h2", "first", "text_hash", "bands", "size", F.when(F.col("clash"), other).otherwise(F.col("first")).alias("node"))
