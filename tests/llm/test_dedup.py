@@ -95,6 +95,14 @@ def test_near_groups_equal_brute_force(spark, monkeypatch, block):
     assert got == brute_classes(texts)
 
 
+def test_near_groups_of_one_id_with_two_texts(spark):
+    rng = random.Random(5)
+    one, other = ([rng.choice(VOCABULARY) for _ in range(80)] for _ in range(2))
+    rows = [(1, " ".join(one)), (7, " ".join([*one[:-1], "end"])), (7, " ".join(other)), (8, " ".join([*other[:-1], "end"])), (8, " ".join([*other[:-1], "end"])), (None, " ".join(one)), (9, "")]
+    got = sorted(((r.doc_id or 0, r.class_id or 0, r.kept) for r in minhash_dedup.near_groups(frame(spark, rows)).collect()))
+    assert got == [(0, 0, True), (1, 1, True), (7, 1, False), (7, 7, True), (8, 7, False), (8, 7, False), (9, 9, True)]
+
+
 def test_near_groups_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = {r.doc_id: (r.class_id, r.kept) for r in minhash_dedup.near_groups(docs).collect()}
@@ -147,10 +155,43 @@ def test_spans_equal_brute_force(spark, seed):
         parts = [rng.choice(passages) if rng.random() < 0.5 else "".join(rng.choice("abcdefgh é") for _ in range(rng.randint(0, 90))) for _ in range(rng.randint(0, 6))]
         rows.append((i, "".join(p[rng.randint(0, 3) :] for p in parts)))
     rows += [(70, None), (71, ""), (72, "z" * 130), (72, "z" * 200), (5, "z" * 130)]
-    got = sorted(map(tuple, repeated_spans.remove_repeats(frame(spark, rows), block_docs=10).collect()))
+    got = sorted(map(tuple, repeated_spans.remove_repeats(frame(spark, rows), block_bytes=2000).collect()))
+    assert got == brute_spans(rows)
+
+
+@pytest.mark.parametrize("route", ["phrases", "strings"])
+def test_spans_of_long_texts_and_hot_triggers(spark, route):
+    """Texts over 100 kB and over one piece, a passage after other words in every text; all triggers by either route."""
+    rng = random.Random(7)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    passage, long = letters(400), letters(1_150_000)
+    rows = [(k, letters(20) + passage + letters(rng.randint(0, 60))) for k in range(80)]
+    rows += [(90, long), (91, letters(77) + long[1_000_000:1_100_000] + letters(5)), (92, long[:120_000] + passage + long[1_048_500:1_048_700])]
+    raw = "".join(t for _, t in rows[:40]).encode()
+    every = np.unique(repeated_spans.Phrases(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).trigger)
+    got = sorted(map(tuple, repeated_spans.remove_repeats(frame(spark, rows), hot=every if route == "strings" else every[:0], block_bytes=20_000).collect()))
     assert got == brute_spans(rows)
 
 
+def test_suffix_order_is_that_of_the_bytes():
+    rng = np.random.default_rng(4)
+    raw = rng.integers(97, 99, 4000).astype(np.uint8)
+    raw[1000:1200] = raw[:200]
+    starts = np.arange(len(raw) - 49)
+    order, rank = repeated_spans.suffix_order(raw, starts)
+    strings = [raw[k : k + 50].tobytes() for k in starts]
+    assert [strings[k] for k in order] == sorted(strings)
+    assert len(set(rank.tolist())) == len(set(strings))
+
+
+def test_hot_triggers_are_found(spark):
+    rng = random.Random(8)
+    passage = "a passage of more than fifty bytes that many texts share, after other words"
+    rows = [(k, "".join(rng.choice("abcdefghijklmnop") for _ in range(60)) + passage) for k in range(900)]
+    blocks = repeated_spans.packed_blocks(frame(spark, rows).select("doc_id", "text"), 1 << 22)
+    assert len(repeated_spans.hot_triggers(blocks)) > 0
+
+
 def test_spans_carry_columns_and_null_ids(spark):
     long = "q" * 30 + "the same passage that is long enough to be found twice, é" + "r" * 30
     rows = spark.createDataFrame([(None, long, "n"), (2, long, "two"), (1, long, "one"), (3, "short", "s")], "doc_id long, text string, lang string")
