@@ -1,8 +1,8 @@
 """A training-data pipeline over documents: five stages, each on all that the one before kept.
 
 run(spark, sf_dir) applies them to the table documents, with each stage's result written as Parquet in the shared folder
-and read again.  All stages but the last return the columns of documents; a stage that drops rows drops them by doc_id,
-so rows without one are never dropped.
+and read again.  All stages but the last return the columns of documents.  A stage that drops rows drops them by doc_id
+and text together, nulls included: a row's own verdict takes effect, whatever other rows have its doc_id.
 """
 
 from __future__ import annotations
@@ -12,32 +12,48 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenmill.llm.common import documents, settled, sized
-from screenmill.llm.exact_dedup import exact_groups
-from screenmill.llm.minhash_dedup import near_groups
+from screenmill.llm.common import documents, settled, sized, whole_text
+from screenmill.llm.exact_dedup import exact_rows
+from screenmill.llm.minhash_dedup import near_rows
 from screenmill.llm.packing import pack
 from screenmill.llm.repeated_spans import remove_repeats
-from screenmill.llm.toxicity import toxicity
+from screenmill.llm.toxicity import toxic_rows
 
+def with_hash(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_hash", F.xxhash64(whole_text()))
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id is not among the ids, which are counted first: few are broadcast, many shuffled."""
-    return docs.join(sized(ids.select("doc_id").distinct()), "doc_id", "left_anti").select(docs.columns)
+
+def matching(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """The rows of docs that are (left_semi) or are not (left_anti) among the rows (doc_id, text_hash)."""
+    here, there = with_hash(docs).alias("here"), rows.select("doc_id", "text_hash").alias("there")
+    same = F.col("here.doc_id").cast("long").eqNullSafe(F.col("there.doc_id")) & (F.col("here._hash") == F.col("there.text_hash"))
+    return here.join(there, same, how).select(docs.columns)
+
+
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of docs that are not in the list (doc_id, text_hash), which is counted first: short ones are broadcast."""
+    return matching(docs, sized(rows.select("doc_id", "text_hash").distinct()), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that operator 5 rejects go; it learns from the labels of the documents that it is given."""
-    return without(docs, toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("predicted = 1"))
+    return without(docs, toxic_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("predicted = 1"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
-    return without(docs, exact_groups(docs).filter("NOT kept"))
+    """Of equal texts the row with the largest doc_id stays; of rows that repeat doc_id and text, one."""
+    copies = settled(exact_rows(docs).filter("group_size > 1").groupBy("doc_id", "text_hash").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "pipeline-copies")
+    doubles = sized(copies.filter("kept AND n > 1"))
+    left = without(docs, copies.filter("NOT kept"))
+    if doubles.isEmpty():
+        return left
+    once = with_hash(matching(left, doubles, "left_semi")).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    return matching(left, doubles, "left_anti").unionByName(once)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    return without(docs, near_groups(docs).filter("NOT kept"))
+    return without(docs, near_rows(docs).filter("NOT kept"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
