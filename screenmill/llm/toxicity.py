@@ -67,7 +67,7 @@ def fitting_sample(known: DataFrame, sample_toxic: int, sample_ordinary: int) ->
 def packed(*parts: bytes) -> bytes:
     """Byte strings with their sizes, compressed."""
     data = np.array([len(parts), *map(len, parts)], "<i8").tobytes() + b"".join(parts)
-    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(data, asbytes=True)
 
 
 def unpacked(data: bytes) -> list[bytes]:
@@ -96,13 +96,35 @@ class Vocabulary:
 
     def shards(self, n_shards: int) -> np.ndarray:
         """The places where shards begin, and the end."""
-        edges = -(-(np.arange(n_shards + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(n_shards))
-        return np.searchsorted(self.four, edges)
+        edges = (np.arange(n_shards, dtype=np.uint64) << np.uint64(32)) // np.uint64(n_shards)
+        return np.r_[np.searchsorted(self.four, edges.astype(np.uint32)), len(self.four)]
 
     def keys(self) -> np.ndarray:
         return (self.six.astype(np.uint64) << np.uint64(32)) | self.word
 
 
+#: Ranks below this take a byte of a stream.
+SHORT = 255
+
+
+def packed_stream(places: np.ndarray, n_words: int) -> bytes:
+    """Places in a list of words as ranks by frequency, with the list's order by rank."""
+    order = np.argsort(-np.bincount(places, minlength=n_words), kind="stable")
+    rank = np.empty(n_words, np.int64)
+    rank[order] = np.arange(n_words)
+    ranks = rank[places]
+    # words of one frequency stand in the list's order, so steps are small
+    return packed(planes(np.diff(order, prepend=0).astype("<i4")), np.minimum(ranks, SHORT).astype(np.uint8).tobytes(), planes((ranks[ranks >= SHORT] - SHORT).astype("<u4")))
+
+
+def unpacked_stream(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The list's order by rank, and the ranks."""
+    steps, head, rest = unpacked(data)
+    ranks = np.frombuffer(head, np.uint8).astype(np.int64)
+    ranks[ranks == SHORT] += from_planes(rest, "<u4", len(rest) // 4)
+    return np.cumsum(from_planes(steps, "<i4", len(steps) // 4), dtype=np.int64), ranks
+
+
 def word_blocks(texts: DataFrame, block_bytes: int) -> DataFrame:
     """Blocks of the rows (doc_id, text_hash, text, cell): their words, and their texts as places in that list.
 
@@ -146,7 +168,7 @@ def word_blocks(texts: DataFrame, block_bytes: int) -> DataFrame:
         ids = table.column("doc_id").combine_chunks()
         there = np.array(ids.is_valid().to_pylist(), np.uint8)
         docs = packed(planes(ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")), there.tobytes(), table.column("text_hash").to_numpy().astype("<i8").tobytes(), cells.tobytes(), planes(n_words.astype("<u4")))
-        row = [block_number(nth), n_bytes, docs, Vocabulary(four[order], six[order], word[order]).to_bytes(), packed(planes(stream.astype("<u4"))), counted]
+        row = [block_number(nth), n_bytes, docs, Vocabulary(four[order], six[order], word[order]).to_bytes(), packed_stream(stream, len(order)), counted]
         return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, (pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], ["block", "n_bytes", "docs", "words", "stream", "counted"])
 
     return texts.select("doc_id", "text_hash", "text", "cell").mapInArrow(run, "block long, n_bytes long, docs binary, words binary, stream binary, counted binary")
@@ -315,11 +337,10 @@ def with_features(blocks: DataFrame, evidence: DataFrame, by_fold: bool, curve:
         ids, there, hashes, cells, sizes = unpacked(own.column("docs")[0].as_py())
         cells = np.frombuffer(cells, np.int8)
         rows = np.r_[0, np.cumsum(from_planes(sizes, "<u4", len(cells)).astype(np.int64))]
-        stream = unpacked(own.column("stream")[0].as_py())[0]
-        stream = from_planes(stream, "<u4", len(stream) // 4)
+        by_rank, stream = unpacked_stream(own.column("stream")[0].as_py())
         order = np.argsort(got.column("part").to_numpy(), kind="stable").tolist()
         parts = [unpacked(x) for x in got.column("evidence").to_pylist()]
-        values = [np.concatenate([from_planes(parts[k][m], "<f2", len(parts[k][m]) // 2) for k in order]).astype(np.float32) for m in range(len(parts[0]))] if parts else []
+        values = [np.concatenate([from_planes(parts[k][m], "<f2", len(parts[k][m]) // 2) for k in order])[by_rank].astype(np.float32) for m in range(len(parts[0]))] if parts else []
         if not len(stream):
             each = np.zeros(0, np.float32)
         elif by_fold:
@@ -349,12 +370,12 @@ def fitted_curve(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[np.ndar
     return mean, deviation, w
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_toxic: int = 4000, sample_ordinary: int = 6000, block_bytes: int = 1 << 24) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_toxic: int = 4000, sample_ordinary: int = 6000, block_bytes: int = 1 << 25) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     return toxic_rows(docs, labels, threshold, sample_toxic, sample_ordinary, block_bytes).drop("text_hash")
 
 
-def toxic_rows(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_toxic: int = 4000, sample_ordinary: int = 6000, block_bytes: int = 1 << 24) -> DataFrame:
+def toxic_rows(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_toxic: int = 4000, sample_ordinary: int = 6000, block_bytes: int = 1 << 25) -> DataFrame:
     """The same with text_hash, the xxhash64 of the row's text."""
     known = sized(known_labels(labels).select("doc_id", "toxic", "fold", (F.col("toxic").cast("int") * FOLDS + F.col("fold")).alias("cell")))
     texts = hashed(docs)
