@@ -124,7 +124,7 @@ def unpack48(data: bytes, n: int, at: int) -> np.ndarray:
 
 def shard_edges(sorted_hashes: np.ndarray, n_shards: int) -> np.ndarray:
     """Where the shards, which are ranges of the hashes' high halves, begin in a sorted array, and its end."""
-    edges = -(-(np.arange(n_shards, dtype=np.uint64) << np.uint64(32)) // np.uint64(n_shards)) << np.uint64(32)
+    edges = ((np.arange(n_shards, dtype=np.uint64) << np.uint64(32)) // np.uint64(n_shards)) << np.uint64(32)
     return np.r_[np.searchsorted(sorted_hashes, edges), len(sorted_hashes)]
 
 
