@@ -1,11 +1,15 @@
-"""Sections to chunks of bounded token counts."""
+"""Sections to chunks of bounded token counts, with column functions only.
+
+What a section needs for itself (its paragraphs' bins, windows, overlaps) is folded over the arrays of its own row.  Only
+runs of small neighbours have to meet: a window over each document's pieces marks where a run begins, and a run's pieces
+are folded into chunks.  Both share one exchange by document, so a document is a sorted stream, not a group in memory.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenmill import schemas
@@ -13,175 +17,162 @@ from screenmill.functions import text as X
 from screenmill.vocab import MAX_TOKENS, MIN_TOKENS, OVERLAP_TOKENS, TARGET_TOKENS
 
 SOURCE_FIELDS = [f.strip().split(" ")[0] for f in schemas.SOURCE.split(",")]
+PIECE = "array<struct<text:string,subsection:string>>"
 
 
-def split_words(text: str) -> list[str]:
-    return text.split()
-
-
-def windows(words: list[str], size: int, overlap: int, stop_at_end: bool) -> list[str]:
-    out = []
-    for at in range(0, len(words), size - overlap):
-        out.append(" ".join(words[at : at + size]))
-        if stop_at_end and at + size >= len(words):
-            break
-    return out
-
-
-def packed(pieces: list[tuple[str, str]], size: int, most: int, target: int, overlap: int, encode: Callable[[str], list[str]]) -> list[tuple[str, str | None]]:
-    """(text, label) of labelled paragraphs packed up to the target, over-long ones cut into windows, then overlapped."""
-    out: list[tuple[str, str | None]] = []
-    held: list[tuple[str, str]] = []
-    weight = 0
-
-    def close() -> None:
-        nonlocal weight
-        if held:
-            labels = [x for x, _ in held if x]
-            out.append((" ".join(t for _, t in held).strip(), None if not labels else labels[0] if len(labels) == 1 else f"{labels[0]}-{labels[-1]}"))
-        held.clear()
-        weight = 0
-
-    for label, text in pieces:
-        n = len(encode(text))
-        if n > most:
-            close()
-            out += [(t, f"window-{k}") for k, t in enumerate(windows(encode(text), target, overlap, False))]
-            continue
-        if held and weight + n > target:
-            close()
-        held.append((label, text))
-        weight += n
-    close()
-    # each chunk begins with the end of the one before it, which may begin with an overlap itself
-    for k in range(1, len(out)):
-        tail = encode(out[k - 1][0])
-        if len(tail) > overlap:
-            out[k] = (" ".join(tail[-overlap:]) + " " + out[k][0], out[k][1])
-    return out
-
-
-def split_sections(sections: DataFrame, most: int = MAX_TOKENS, target: int = TARGET_TOKENS, overlap: int = OVERLAP_TOKENS, encode: Callable[[str], list[str]] = split_words) -> DataFrame:
-    """One row for each piece of a section (pieces: array of text and subsection): sections are split before documents meet."""
-    body = X.trim_white(F.coalesce("body", F.lit("")))
-    rows = sections.select("doc_id", "pos", F.struct(*SOURCE_FIELDS).alias("source"), body.alias("body"), X.has_table(body).alias("has_table"), X.is_definition(F.col("document_type"), F.col("part"), F.col("section")).alias("is_definition"), X.token_count(body).alias("n"), X.labelled_paragraphs(body).alias("parts"))
+class Tokens:
+    """A tokenizer as column functions: text to an array of tokens, and tokens to text."""
 
-    @F.pandas_udf("array<struct<text:string,subsection:string>>")
-    def cut(bodies: pd.Series, parts: pd.Series) -> pd.Series:
-        out = []
-        for text, own in zip(bodies, parts, strict=True):
-            pieces = [(p["label"], p["text"]) for p in own]
-            made = packed(pieces, len(pieces), most, target, overlap, encode) if len(pieces) > 1 else [(t, f"window-{k}") for k, t in enumerate(windows(encode(text), target, overlap, False))]
-            out.append([{"text": t, "subsection": s} for t, s in made])
-        return pd.Series(out)
+    def __init__(self, split: Callable[[Column], Column] = X.tokens, glue: str = " "):
+        self.split, self.glue = split, glue
 
-    whole = F.array(F.struct(F.col("body").alias("text"), F.lit(None).cast("string").alias("subsection")))
-    small = rows.filter(F.col("is_definition") | (F.col("n") <= most)).withColumn("pieces", whole)
-    large = rows.filter(~F.col("is_definition") & (F.col("n") > most)).withColumn("pieces", cut("body", "parts"))
-    return small.unionByName(large).drop("parts", "body")
+    def count(self, text: Column) -> Column:
+        return F.size(self.split(text))
+
+    def text(self, tokens: Column) -> Column:
+        return F.array_join(tokens, self.glue)
+
+    def windows(self, tokens: Column, size: int, overlap: int, stop_at_end: bool) -> Column:
+        """Texts of windows of size tokens; stop_at_end: none begins once a window has reached the last token."""
+        last = F.greatest(F.size(tokens) - (overlap + 1), F.lit(0)) if stop_at_end else F.size(tokens) - 1
+        starts = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), last, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: self.text(F.slice(tokens, i + 1, size)))
+
+
+WORDS = Tokens()
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once for each row."""
+    return F.transform(F.array(value), use)[0]
+
+
+def bins(weights: Column, most: int, limit: int) -> Column:
+    """The bin of each of the weights, in order: one heavier than most is alone, the others share bins up to the limit."""
+    start = F.struct(F.lit(-1).alias("bin"), F.lit(0).alias("filled"), F.array().cast("array<int>").alias("of"))
+
+    def place(state: Column, weight: Column) -> Column:
+        alone = weight > most
+        opens = (state["bin"] < 0) | alone | (state["filled"] > most) | (state["filled"] + weight > limit)
+        at = F.when(opens, state["bin"] + 1).otherwise(state["bin"])
+        return F.struct(at.alias("bin"), F.when(opens, weight).otherwise(state["filled"] + weight).alias("filled"), F.concat(state["of"], F.array(at)).alias("of"))
+
+    return F.aggregate(weights, start, place, lambda state: state["of"])
+
+
+def binned(parts: Column, of: Column) -> Column:
+    """The parts of each bin as an array of arrays."""
+    pairs = F.arrays_zip(parts.alias("part"), of.alias("bin"))
+    return F.transform(F.array_distinct(of), lambda b: F.transform(F.filter(pairs, lambda p: p["bin"] == b), lambda p: p["part"]))
+
+
+def overlapped(pieces: Column, overlap: int, tokens: Tokens) -> Column:
+    """Each piece behind the last tokens of the one before it, as it then is, if that has more than the overlap."""
+
+    def add(made: Column, piece: Column) -> Column:
+        before = lambda: tokens.split(F.try_element_at(made, F.lit(-1))["text"])
+        text = F.when(F.size(made) == 0, piece["text"]).otherwise(let(before(), lambda t: F.when(F.size(t) > overlap, F.concat(tokens.text(F.slice(t, -overlap, overlap)), F.lit(" "), piece["text"])).otherwise(piece["text"])))
+        return F.concat(made, F.array(F.struct(text.alias("text"), piece["subsection"].alias("subsection"))))
+
+    return F.aggregate(pieces, F.array().cast(PIECE), add)
 
 
-def siblings(a: dict, b: dict) -> bool:
-    """Sections that may share a chunk: of one part, one title of a statute or one order."""
-    if a["document_type"] != b["document_type"]:
-        return False
-    kind = a["document_type"]
-    if kind == "cfr_regulation":
-        return a["part"] == b["part"] != "1508"
-    if kind == "statute":
-        return (a["parent_statute"], a["statute_title"]) == (b["parent_statute"], b["statute_title"])
-    return kind == "executive_order" and a["parent_statute"] == b["parent_statute"]
+def named_windows(windows: Column) -> Column:
+    return F.transform(windows, lambda t, k: F.struct(t.alias("text"), F.concat(F.lit("window-"), k.cast("string")).alias("subsection")))
 
 
-def merge_runts(units: list[dict], least: int, most: int, count: Callable[[str], int]) -> list[dict]:
-    """Neighbouring small sections merged: forward while either side is small, then what is left small backward.
+def pieces_of(body: Column, most: int, target: int, overlap: int, tokens: Tokens) -> Column:
+    """array of struct(text, subsection) of a section over the largest size: labelled paragraphs share bins, others are cut into windows."""
 
-    A unit: sources, chunks (text, subsection, tokens), definition, table, tokens (of a single chunk).
+    def by_labels(parts: Column) -> Column:
+        weights = F.transform(parts, lambda p: tokens.count(p["text"]))
+
+        def made(group: Column) -> Column:
+            text = F.array_join(F.transform(group, lambda p: p["text"]), " ")
+            own = F.array(F.struct(text.alias("text"), X.subsection_label(F.transform(group, lambda p: p["label"])).alias("subsection")))
+            return F.when(tokens.count(text) > most, named_windows(tokens.windows(tokens.split(text), target, overlap, False))).otherwise(own)
+
+        return overlapped(F.flatten(F.transform(binned(parts, bins(weights, most, target)), made)), overlap, tokens)
+
+    whole = lambda: let(tokens.split(body), lambda t: named_windows(tokens.windows(t, target, overlap, False)))
+    return let(X.labelled_paragraphs(body), lambda parts: F.when(F.size(parts) > 1, by_labels(parts)).otherwise(whole()))
+
+
+def sibling_key(document_type: Column, part: Column, parent_statute: Column, statute_title: Column) -> Column:
+    """Sections with one key may share a chunk; null for those that never do."""
+    named = lambda *c: F.concat_ws("\x1f", document_type, *(F.coalesce(x, F.lit("")) for x in c))
+    return F.when((document_type == "cfr_regulation") & ~part.eqNullSafe(F.lit("1508")), named(part)).when(document_type == "statute", named(parent_statute, statute_title)).when(document_type == "executive_order", named(parent_statute))
+
+
+def merged_sizes(items: Column, least: int, most: int) -> Column:
+    """How many of a run's items (n: tokens, solo: a whole section) each chunk takes.
+
+    A chunk that begins with a small whole section takes the whole sections that follow, while it or the next is small
+    and the sum isn't too large; a small item that stays alone goes to the chunk before it, if the sum isn't too large.
     """
+    start = F.struct(F.array().cast("array<struct<k:int,n:int>>").alias("done"), F.lit(0).alias("k"), F.lit(0).alias("n"), F.lit(False).alias("grows"))
+    chunk = lambda k, n: F.array(F.struct(k.alias("k"), n.alias("n")))
+
+    def closed(s: Column) -> Column:
+        last = F.try_element_at(s["done"], F.lit(-1))
+        back = (s["k"] == 1) & (s["n"] < least) & (F.size(s["done"]) > 0) & F.coalesce(last["n"] + s["n"] <= most, F.lit(False))
+        return F.when(s["k"] == 0, s["done"]).when(back, F.concat(F.slice(s["done"], F.lit(1), F.size(s["done"]) - 1), chunk(last["k"] + s["k"], last["n"] + s["n"]))).otherwise(F.concat(s["done"], chunk(s["k"], s["n"])))
+
+    def step(s: Column, x: Column) -> Column:
+        takes = s["grows"] & x["solo"] & (s["n"] + x["n"] <= most) & ((s["n"] < least) | (x["n"] < least))
+        return F.struct(
+            F.when(takes, s["done"]).otherwise(closed(s)).alias("done"),
+            F.when(takes, s["k"] + 1).otherwise(1).alias("k"),
+            F.when(takes, s["n"] + x["n"]).otherwise(x["n"]).alias("n"),
+            (takes | (x["solo"] & (x["n"] < least))).alias("grows"),
+        )
 
-    def single(u: dict) -> bool:
-        return len(u["chunks"]) == 1 and not u["definition"]
-
-    def joined(a: dict, b: dict) -> dict:
-        text = (a["chunks"][0][0] + " " + b["chunks"][0][0]).strip()
-        return {"sources": a["sources"] + b["sources"], "chunks": [(text, None)], "definition": False, "table": a["table"] or b["table"], "tokens": count(text), "merged": True}
-
-    forward: list[dict] = []
-    k = 0
-    while k < len(units):
-        unit = units[k]
-        k += 1
-        if single(unit) and unit["tokens"] < least:
-            while k < len(units) and single(units[k]) and siblings(unit["sources"][0], units[k]["sources"][0]) and unit["tokens"] + units[k]["tokens"] <= most and min(unit["tokens"], units[k]["tokens"]) < least:
-                unit = joined(unit, units[k])
-                k += 1
-        forward.append(unit)
-    # single chunks of split sections count one by one when runts look back
-    flat = [dict(u, chunks=[c], tokens=count(c[0]), index=i, total=len(u["chunks"])) for u in forward for i, c in enumerate(u["chunks"])]
-    out: list[dict] = []
-    for unit in flat:
-        before = out[-1] if out else None
-        if before and unit["tokens"] < least and not unit["definition"] and len(unit["sources"]) == 1 and not before["definition"] and siblings(before["sources"][-1], unit["sources"][0]) and before["tokens"] + unit["tokens"] <= most:
-            out[-1] = dict(joined(before, unit), index=0, total=1)
-        else:
-            out.append(unit)
-    return out
-
-
-def chunk_regulation(sections: DataFrame, least: int = MIN_TOKENS, most: int = MAX_TOKENS, target: int = TARGET_TOKENS, overlap: int = OVERLAP_TOKENS, encode: Callable[[str], list[str]] = split_words) -> DataFrame:
+    return F.transform(F.aggregate(items, start, step, closed), lambda c: c["k"])
+
+
+def chunk_regulation(sections: DataFrame, least: int = MIN_TOKENS, most: int = MAX_TOKENS, target: int = TARGET_TOKENS, overlap: int = OVERLAP_TOKENS, tokens: Tokens = WORDS) -> DataFrame:
     """Chunks of regulation sections, in the order of their documents.
 
-    Sections over the largest size are split by themselves; only what is at most a chunk long meets in a document's
-    group, where small neighbours are merged.
+    A section over the largest size is split by itself; small neighbours with one sibling key share chunks.  Definitions
+    are neither split nor merged.
     """
-    split = split_sections(sections, most, target, overlap, encode)
-    count = lambda t: len(encode(t))
-
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos", kind="stable")
-        units = [{"sources": [r.source], "chunks": [(p["text"], p["subsection"]) for p in r.pieces], "definition": r.is_definition, "table": r.has_table, "tokens": r.n, "merged": False} for r in rows.itertuples()]
-        out = []
-        for no, u in enumerate(merge_runts(units, least, most, count)):
-            text, sub = u["chunks"][0]
-            out.append((rows["doc_id"].iloc[0], no, u["sources"], text, sub, u["index"], u["total"], u["table"], u["definition"], u["merged"], u["tokens"]))
-        return pd.DataFrame(out, columns=["doc_id", "chunk_no", "sources", "body", "subsection", "chunk_index", "total_chunks_in_section", "has_table", "is_definition", "is_merged_siblings", "token_count"])
-
-    return split.groupBy("doc_id").applyInPandas(merge, schemas.CHUNK)
-
-
-def chunk_report(sections: DataFrame, most: int = MAX_TOKENS, target: int = TARGET_TOKENS, overlap: int = OVERLAP_TOKENS) -> DataFrame:
-    """Chunks of report sections: paragraphs packed up to the largest size, longer ones cut into windows."""
-
-    @F.pandas_udf("array<string>")
-    def cut(bodies: pd.Series) -> pd.Series:
-        out = []
-        for body in bodies:
-            slices: list[str] = []
-            held: list[str] = []
-            weight = 0
-            import re
-
-            for part in [p.strip() for p in re.split(r"\n\s*\n", body) if p.strip()] or [body]:
-                words = split_words(part)
-                if len(words) > most:
-                    if held:
-                        slices.append("\n\n".join(held))
-                        held, weight = [], 0
-                    slices += windows(words, target, overlap, True)
-                elif held and weight + len(words) > most:
-                    slices.append("\n\n".join(held))
-                    held, weight = [part], len(words)
-                else:
-                    held.append(part)
-                    weight += len(words)
-            out.append(slices + (["\n\n".join(held)] if held else []))
-        return pd.Series(out)
-
-    n = X.token_count(F.col("body"))
-    small = sections.filter(n <= most).withColumn("slices", F.array("body"))
-    rows = small.unionByName(sections.filter(n > most).withColumn("slices", cut("body")))
-    made = rows.select("*", F.size("slices").alias("total_chunks_in_section"), F.posexplode("slices").alias("chunk_index", "content"))
-    return made.drop("slices", "body").withColumn("has_table", F.col("has_table_hint") | X.has_table(F.col("content"))).withColumn("token_count", X.token_count(F.col("content")))
+    body = X.trim_white(F.coalesce("body", F.lit("")))
+    rows = sections.select("doc_id", "pos", F.struct(*SOURCE_FIELDS).alias("source"), body.alias("body"), X.is_definition(F.col("document_type"), F.col("part"), F.col("section")).alias("is_definition")).withColumn("n", tokens.count(F.col("body")))
+    whole = F.array(F.struct(F.col("body").alias("text"), F.lit(None).cast("string").alias("subsection")))
+    split = F.when(F.col("is_definition") | (F.col("n") <= most), whole).otherwise(pieces_of(F.col("body"), most, target, overlap, tokens))
+    key = F.when(~F.col("is_definition"), sibling_key(*(F.col(f"source.{c}") for c in ("document_type", "part", "parent_statute", "statute_title"))))
+    cut = rows.select("doc_id", "pos", "source", "is_definition", X.has_table(F.col("body")).alias("has_table"), key.alias("key"), split.alias("pieces"))
+    items = cut.select("*", F.size("pieces").alias("total"), F.posexplode("pieces").alias("index", "piece")).drop("pieces").withColumn("n", tokens.count(F.col("piece.text")))
+    w = Window.partitionBy("doc_id").orderBy("pos", "index")
+    before = lambda c: F.lag(c).over(w)
+    goes_on = (before("key") == F.col("key")) & ~((before("n") >= least) & (F.col("n") >= least))
+    items = items.withColumn("run", F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(w))
+    fields = F.struct("pos", "index", "n", (F.col("total") == 1).alias("solo"), "total", "source", "piece", "has_table", "is_definition")
+    runs = items.groupBy("doc_id", "run").agg(F.sort_array(F.collect_list(fields)).alias("items")).withColumn("sizes", merged_sizes(F.col("items"), least, most))
+    upto = lambda k: F.aggregate(F.slice("sizes", F.lit(1), k), F.lit(0), lambda a, b: a + b)
+    made = runs.select("doc_id", F.explode(F.transform("sizes", lambda size, k: F.slice("items", upto(k) + 1, size))).alias("own"))
+    first, alone = F.element_at("own", 1), F.size("own") == 1
+    text = F.when(alone, first["piece"]["text"]).otherwise(F.trim(F.array_join(F.transform("own", lambda x: x["piece"]["text"]), " ")))
+    number = (F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1).cast("int")
+    made = made.select(
+        "doc_id", F.struct(first["pos"], first["index"]).alias("at"), F.transform("own", lambda x: x["source"]).alias("sources"), text.alias("body"), F.when(alone, first["piece"]["subsection"]).alias("subsection"),
+        F.when(alone, first["index"]).otherwise(0).alias("chunk_index"), F.when(alone, first["total"]).otherwise(1).alias("total_chunks_in_section"), F.exists("own", lambda x: x["has_table"]).alias("has_table"), first["is_definition"].alias("is_definition"), (~alone).alias("is_merged_siblings"),
+    )
+    return made.withColumn("token_count", tokens.count(F.col("body"))).select("doc_id", number.alias("chunk_no"), "sources", "body", "subsection", "chunk_index", "total_chunks_in_section", "has_table", "is_definition", "is_merged_siblings", "token_count")
+
+
+def chunk_report(sections: DataFrame, most: int = MAX_TOKENS, target: int = TARGET_TOKENS, overlap: int = OVERLAP_TOKENS, tokens: Tokens = WORDS) -> DataFrame:
+    """Chunks of report sections: paragraphs share bins up to the largest size, longer ones are cut into windows."""
+
+    def slices(parts: Column) -> Column:
+        weights = F.transform(parts, tokens.count)
+        text = lambda group: F.array_join(group, "\n\n")
+        made = lambda group: F.when(tokens.count(text(group)) > most, tokens.windows(tokens.split(text(group)), target, overlap, True)).otherwise(F.array(text(group)))
+        return F.flatten(F.transform(binned(parts, bins(weights, most, most)), made))
+
+    cut = F.when(tokens.count(F.col("body")) <= most, F.array("body")).otherwise(let(X.paragraphs(F.col("body")), slices))
+    made = sections.withColumn("slices", cut).select("*", F.size("slices").alias("total_chunks_in_section"), F.posexplode("slices").alias("chunk_index", "content"))
+    return made.drop("slices", "body").withColumn("has_table", F.col("has_table_hint") | X.has_table(F.col("content"))).withColumn("token_count", tokens.count(F.col("content")))
 
 
 def chunk_generic(docs: DataFrame, size: int = 512, overlap: int = 50) -> DataFrame:

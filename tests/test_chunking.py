@@ -1,53 +1,105 @@
-"""Chunking: sizes, merging, overlap; properties over random documents."""
+"""Chunking: sizes, merging, overlap; random documents against plain loops over lists."""
 
 from __future__ import annotations
 
-from hypothesis import given, settings
-from hypothesis import strategies as st
+import random
 
+from screenmill import schemas
 from screenmill.operators import chunking as C
 
-
-def unit(n, part="1500", definition=False, section="1500.1"):
-    text = " ".join(["w"] * n)
-    source = {"document_type": "cfr_regulation", "part": part, "section": section, "parent_statute": None, "statute_title": None}
-    return {"sources": [source], "chunks": [(text, None)], "definition": definition, "table": False, "tokens": n, "merged": False}
-
-
-def merged(units):
-    return C.merge_runts(units, 200, 1500, lambda t: len(t.split()))
-
-
-def test_runts_merge_within_a_part_only():
-    assert [len(u["sources"]) for u in merged([unit(10), unit(10)])] == [2]
-    assert [len(u["sources"]) for u in merged([unit(10, "1500"), unit(10, "1501")])] == [1, 1]
-    assert [len(u["sources"]) for u in merged([unit(10, "1508", True), unit(10, "1508", True)])] == [1, 1]
-
-
-def test_last_runt_merges_backward():
-    assert [u["tokens"] for u in merged([unit(700), unit(10)])] == [710]
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.integers(1, 1500), st.sampled_from(["1500", "1501", "1508"])), max_size=12))
-def test_merging_loses_nothing(items):
-    units = [unit(n, part, part == "1508") for n, part in items]
-    out = merged(units)
-    assert sum(u["tokens"] for u in out) == sum(n for n, _ in items)
-    assert all(u["tokens"] <= 1500 for u in out)
-    assert [s for u in out for s in u["sources"]] == [s for u in units for s in u["sources"]]
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 2000), min_size=1, max_size=8))
-def test_packing_covers_all_words(sizes):
-    pieces = [(f"({chr(97 + k)})", " ".join(f"{k}.{i}" for i in range(n))) for k, n in enumerate(sizes)]
-    out = C.packed(pieces, len(pieces), 1500, 700, 90, str.split)
-    assert {w for _, t in pieces for w in t.split()} <= {w for t, _ in out for w in t.split()}
-    assert all(len(t.split()) <= 1700 for t, _ in out)
-
-
-def test_window_variants():
-    words = [str(k) for k in range(1300)]
-    assert [len(w.split()) for w in C.windows(words, 700, 90, False)] == [700, 690, 80]
-    assert [len(w.split()) for w in C.windows(words, 700, 90, True)] == [700, 690]
+LEAST, MOST, TARGET, OVERLAP = 20, 150, 70, 9
+
+
+def section(doc, pos, body, kind="cfr_regulation", part="1500", statute=None, title=None):
+    return (doc, pos, kind, f"{part}.{pos}", "T", body, f"c{pos}", [1], part, None, statute, title, None)
+
+
+def chunks(spark, rows):
+    made = C.chunk_regulation(spark.createDataFrame(rows, schemas.SECTION), LEAST, MOST, TARGET, OVERLAP)
+    return [([s.section for s in r.sources], r.body, r.subsection, r.chunk_index, r.total_chunks_in_section, r.token_count, r.is_merged_siblings) for r in sorted(made.collect(), key=lambda r: (r.doc_id, r.chunk_no))]
+
+
+def words(n, tag="w"):
+    return " ".join(f"{tag}{k}" for k in range(n))
+
+
+def sizes(spark, *rows):
+    return [(len(c[0]), c[5]) for c in chunks(spark, [section("d", k, words(n), **more) for k, (n, more) in enumerate(rows)])]
+
+
+def test_small_neighbours_share_a_chunk_within_a_part_only(spark):
+    assert sizes(spark, (10, {}), (5, {})) == [(2, 15)]
+    assert sizes(spark, (10, {}), (5, {"part": "1501"})) == [(1, 10), (1, 5)]
+    assert sizes(spark, (10, {"part": "1508"}), (5, {"part": "1508"})) == [(1, 10), (1, 5)]
+    assert sizes(spark, (10, {"kind": "state_code"}), (5, {"kind": "state_code"})) == [(1, 10), (1, 5)]
+    assert sizes(spark, (10, {"kind": "statute", "statute": "S", "title": "I"}), (5, {"kind": "statute", "statute": "S", "title": "II"})) == [(1, 10), (1, 5)]
+
+
+def test_what_is_left_small_goes_back(spark):
+    assert sizes(spark, (70, {}), (5, {})) == [(2, 75)]
+    assert sizes(spark, (149, {}), (5, {})) == [(1, 149), (1, 5)]
+    assert sizes(spark, (10, {}), (60, {}), (60, {}), (5, {})) == [(2, 70), (2, 65)]
+
+
+def test_split_by_labels_with_overlap(spark):
+    body = f"head words here. (a) {words(60, 'a')} (b) {words(60, 'b')} (c) {words(200, 'c')} (d) {words(3, 'd')}"
+    got = chunks(spark, [section("d", 1, body)])
+    assert [c[2] for c in got][:3] == ["(a)", "(b)", "window-0"]
+    assert got[1][1].startswith(" ".join(got[0][1].split()[-OVERLAP:]))
+    assert got[-1][1].endswith("(d) d0 d1 d2") and {w for w in body.split()} <= {w for c in got for w in c[1].split()}
+    # the small rest goes back to the window before it
+    assert [c[3] for c in got] == [*range(len(got) - 1), 0] and got[-1][4] == 1 and got[-1][6] and {c[4] for c in got[:-1]} == {len(got) + 1}
+
+
+def test_window_variants(spark):
+    df = spark.createDataFrame([(words(1300),)], "t string")
+    row = df.select(C.WORDS.windows(C.WORDS.split(df.t), 700, 90, False).alias("a"), C.WORDS.windows(C.WORDS.split(df.t), 700, 90, True).alias("b")).first()
+    assert [len(x.split()) for x in row.a] == [700, 690, 80]
+    assert [len(x.split()) for x in row.b] == [700, 690]
+
+
+def plain_merge(units):
+    """units: (tokens, key, solo) in order; groups of their numbers, by two passes over lists."""
+    groups, k = [], 0
+    while k < len(units):
+        group, total = [k], units[k][0]
+        if units[k][2] and total < LEAST:
+            for j in range(k + 1, len(units)):
+                n, key, solo = units[j]
+                if not solo or key is None or key != units[k][1] or total + n > MOST or (total >= LEAST and n >= LEAST):
+                    break
+                group.append(j)
+                total += n
+        groups.append(group)
+        k = group[-1] + 1
+    out = []
+    for group in groups:
+        n = sum(units[j][0] for j in group)
+        if out and len(group) == 1 and n < LEAST and units[group[0]][1] is not None and units[out[-1][-1]][1] == units[group[0]][1] and n + sum(units[j][0] for j in out[-1]) <= MOST:
+            out[-1] += group
+        else:
+            out.append(group)
+    return out
+
+
+def test_merging_equals_two_passes_over_lists(spark):
+    rng = random.Random(1)
+    rows, want = [], []
+    for doc in range(60):
+        units = []
+        part = "1500"
+        for pos in range(rng.randint(1, 14)):
+            part = rng.choice([part, part, part, "1501", "1508"])
+            n = rng.choice([rng.randint(1, 30), rng.randint(1, 150)])
+            rows.append(section(f"{doc:02}", pos, words(n), part=part))
+            units.append((n, None if part == "1508" else part, True))
+        want += [(len(g), sum(units[k][0] for k in g)) for g in plain_merge(units)]
+    assert [(len(c[0]), c[5]) for c in chunks(spark, rows)] == want
+
+
+def test_report_chunks(spark):
+    body = "\n\n".join([words(100, "a"), words(40, "b"), words(20, "c"), words(400, "d"), words(5, "e")])
+    rows = spark.createDataFrame([("d", 1, body, False), ("d", 2, "| x |\n", False)], "doc_id string, pos int, body string, has_table_hint boolean")
+    got = sorted(C.chunk_report(rows, MOST, TARGET, OVERLAP).collect(), key=lambda r: (r.pos, r.chunk_index))
+    assert [r.token_count for r in got if r.pos == 1] == [140, 20, 70, 70, 70, 70, 70, 70, 34, 5]
+    assert [(r.has_table, r.total_chunks_in_section) for r in got if r.pos == 2] == [(True, 1)]
