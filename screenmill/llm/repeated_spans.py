@@ -21,7 +21,7 @@ documents stand at each place in it.
    by hashes inside a document.
 
 Hot triggers (of a third of all documents, say, with another phrase in each, as where one passage follows different
-texts) would bring all these phrases to one shard.  They are found on a bounded number of blocks, which decides the route
+texts) would bring all these phrases to one shard.  They are looked for in a bounded number of blocks, which decides the route
 only: for them the blocks send a hash of 128 bits for each different string, dealt by that hash, instead of phrases.
 
 Memory: a block is worked on in pieces of about a megabyte, long texts in overlapping segments; shards are sized by the
@@ -49,8 +49,8 @@ STRINGS = SPAN - GRAM + 1  # most strings that a phrase can have: it must fit 32
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id
 _SEED = np.uint64(0x632BE59BD9B4E019)
 _LOW32 = np.uint64(0xFFFFFFFF)
-#: A trigger is hot if it has phrases in more than this share of the documents of HOT_BLOCKS blocks: at most 1 / HOT_SHARE times a document's triggers are.
-HOT_SHARE, HOT_LEAST, HOT_BLOCKS = 0.005, 200, 16
+#: Hot triggers are looked for in so many blocks, in which they have more than so many phrases: the list is bounded.
+HOT_BLOCKS, HOT_LEAST = 8, 100
 #: Bytes of phrases whose suffixes are sorted at once (more only if one trigger has more).
 SORTED_BYTES = 1 << 19
 
@@ -201,21 +201,22 @@ def packed_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     return docs.mapInArrow(run, "block long, n_bytes long, docs binary")
 
 
-def hot_triggers(blocks: DataFrame) -> np.ndarray:
-    """Sorted triggers that have different phrases in many documents of some blocks; decides the route only, never a result."""
+def hot_triggers(blocks: DataFrame, most: int, least: int = HOT_LEAST) -> np.ndarray:
+    """Sorted triggers that would bring more than most phrases to a shard, judged by some blocks; decides the route only, never a result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                own = Block(data, np.zeros(0, np.uint64))
-                trigger, n = np.unique(own.trigger, return_counts=True)
-                least = max(2, HOT_LEAST // HOT_BLOCKS, HOT_SHARE * len(own.ids) / 2)
-                yield pa.RecordBatch.from_arrays([pa.array(trigger[n > least].view(np.int64)), pa.array(n[n > least]), pa.array(np.full((n > least).sum(), len(own.ids)))], ["trigger", "n", "docs"])
+                trigger, n = np.unique(Block(data, np.zeros(0, np.uint64)).trigger, return_counts=True)
+                chosen = n * HOT_BLOCKS > least / 2
+                yield pa.RecordBatch.from_arrays([pa.array(trigger[chosen].view(np.int64)), pa.array(n[chosen])], ["trigger", "n"])
         release()
 
     # the blocks with the smallest numbers are the same ones whenever they are asked for
-    found = blocks.orderBy("block").limit(HOT_BLOCKS).select("docs").mapInArrow(run, "trigger long, n long, docs long")
-    hot = found.groupBy("trigger").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).filter((F.col("n") > HOT_LEAST) & (F.col("n") > HOT_SHARE * F.col("docs")))
+    some = [r["block"] for r in blocks.select("block").orderBy("block").limit(HOT_BLOCKS).collect()]
+    share = blocks.count() / max(1, len(some))
+    found = blocks.filter(F.col("block").isin(some)).select("docs").mapInArrow(run, "trigger long, n long")
+    hot = found.groupBy("trigger").agg(F.sum("n").alias("n")).filter((F.col("n") > least) & (F.col("n") * share > most))
     return np.sort(np.array([r["trigger"] for r in hot.select("trigger").collect()], np.int64).view(np.uint64))
 
 
@@ -451,7 +452,8 @@ def remove_repeats(docs: DataFrame, carried: list[str] | None = None, block_byte
     kinds = None if carried is None else {f"carried_{k}": texts.schema[f"carried_{k}"].dataType.simpleString() for k in range(len(carried))}
     blocks = settled(packed_blocks(texts, block_bytes), "span-blocks")
     n_shards = max(8, -(-(blocks.agg(F.sum("n_bytes")).first()[0] or 0) // block_bytes))
-    hot = hot_triggers(blocks) if hot is None else hot
+    # a shard gets a phrase for about sixteen bytes; twice that from one trigger is too much
+    hot = hot_triggers(blocks, block_bytes // 8) if hot is None else hot
     first = settled(first_answers(sent_phrases(blocks, hot, n_shards)), "first-answers")
     second = settled(second_answers(asked_bytes(blocks, first, hot, n_shards)), "second-answers")
     result = applied(blocks, first.unionByName(second), hot, n_shards, kinds)

@@ -189,7 +189,8 @@ def test_hot_triggers_are_found(spark):
     passage = "a passage of more than fifty bytes that many texts share, after other words"
     rows = [(k, "".join(rng.choice("abcdefghijklmnop") for _ in range(60)) + passage) for k in range(900)]
     blocks = repeated_spans.packed_blocks(frame(spark, rows).select("doc_id", "text"), 1 << 22)
-    assert len(repeated_spans.hot_triggers(blocks)) > 0
+    assert len(repeated_spans.hot_triggers(blocks, 500)) > 0
+    assert len(repeated_spans.hot_triggers(blocks, 5000)) == 0
 
 
 def test_spans_carry_columns_and_null_ids(spark):
