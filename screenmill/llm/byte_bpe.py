@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 
 from .common import keyed_texts, map_arrow
 
-#: Caches and memos are started anew beyond so many entries, keeping the last full one to look in: memory stays bounded.
-CACHE_ENTRIES = 300_000
+#: Caches and memos are started anew beyond so many entries, keeping the last full one to look in; longer pieces aren't kept: memory stays bounded.
+CACHE_ENTRIES, LONGEST_KEPT = 200_000, 100
 MEMO_ENTRIES = 1_000_000
 
 
@@ -135,6 +135,8 @@ class ByteBpe:
             if known is None:
                 ids = self.encode_piece(word.encode())
                 known = len(ids), b"".join([self.digits[i] for i in ids]), b"".join([self.bytes_of[i] for i in ids])
+            if len(word) > LONGEST_KEPT:
+                return known
             if len(self.words) >= CACHE_ENTRIES:
                 self.old_words, self.words = self.words, {}
             self.words[word] = known
@@ -170,7 +172,8 @@ class ByteBpe:
                     if not piece or piece[0].isspace() or piece[-1].isspace():
                         return self.learn(text)
                     known = self.learn(" " + piece)
-                pieces[piece] = known
+                if len(piece) <= LONGEST_KEPT:
+                    pieces[piece] = known
             found.append(known)
         count, ids, data = zip(*found, strict=True)
         return sum(count), b"".join(ids), b"".join(data)

@@ -11,6 +11,7 @@ ignored; an empty table yields an empty table.
 from __future__ import annotations
 
 import json
+import os
 import unicodedata
 
 import numpy as np
@@ -20,8 +21,8 @@ from pyspark.sql import DataFrame
 
 from .common import keyed_texts, map_arrow
 
-#: A cache is started anew beyond so many entries, keeping the last full one to look in: memory stays bounded.
-CACHE_ENTRIES = 400_000
+#: The cache is started anew beyond so many bytes of texts and ids, keeping the last full one to look in; longer chunks aren't kept.
+CACHE_BYTES, LONGEST_KEPT = 6_000_000, 100
 
 
 def byte_symbols() -> list[str]:
@@ -90,10 +91,11 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.at_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.chunks: dict[str, bytes] = {}
-        self.old_chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
+        #: What all special strings begin with: a text without it has none.
+        self.mark = os.path.commonprefix(list(self.special))
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.known_bytes = 0
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all words, one after another, and each word's count."""
@@ -148,38 +150,34 @@ class WordBpe:
         return ids[order], np.diff(np.r_[np.searchsorted(places[order], first), len(ids)])
 
     def learn(self, chunks: set[str]) -> None:
-        """Fill the cache with the ids of chunks without white space, as little-endian 16-bit numbers."""
-        if len(self.words) > CACHE_ENTRIES:
-            self.old_words, self.words = self.words, {}
-        split = {c: self.cut(c) for c in chunks}
-        words, old = self.words, self.old_words
-        new = []
-        for w in {w for ws in split.values() for w in ws}:
-            if w not in words:
-                if w in old:
-                    words[w] = old[w]
-                else:
-                    new.append(w)
+        """The ids of chunks without white space, as little-endian 16-bit numbers, go to the cache with those of their words."""
+        known = self.known
+        compound = {c: ws for c in chunks if not c.isalpha() for ws in [self.cut(c)]}
+        new = {w for ws in compound.values() for w in ws if w not in known}
+        new.update(c for c in chunks if c not in compound)
+        if self.old:
+            for w in new & self.old.keys():
+                known[w] = self.old[w]
+            new -= known.keys()
         if new:
-            ids, counts = self.merge([w.encode() for w in new])
-            data, at = ids.astype("<u2").tobytes(), 0
-            for w, n in zip(new, counts.tolist(), strict=True):
-                words[w] = data[at : at + 2 * n]
-                at += 2 * n
-        for c, ws in split.items():
-            self.chunks[c] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
+            words = list(new)
+            ids, counts = self.merge([w.encode() for w in words])
+            data, ends = ids.astype("<u2").tobytes(), (2 * np.cumsum(counts)).tolist()
+            known.update(zip(words, [data[a:b] for a, b in zip([0, *ends], ends)], strict=True))
+            self.known_bytes += sum(map(len, words)) + len(data)
+        for c, ws in compound.items():
+            known[c] = b"".join([known[w] for w in ws])
+            self.known_bytes += len(c) + len(known[c])
 
     def cut(self, chunk: str) -> list[str]:
-        """The chunk's words by the vocabulary's pattern; letters alone or with one mark behind them need no search."""
-        if chunk.isalpha():
-            return [chunk]
+        """The chunk's words by the vocabulary's pattern; letters with one mark behind them need no search."""
         if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
             return [chunk[:-1], chunk[-1]]
         return self.pattern.findall(chunk)
 
     def segments(self, text: str) -> list[list[str]]:
         """Chunks of each part of the text between special strings."""
-        if self.at_special is None or "<|" not in text:
+        if self.at_special is None or self.mark not in text:
             return [self.normal(text)]
         return [self.normal(x) for x in self.at_special.split(text)]
 
@@ -196,31 +194,32 @@ class WordBpe:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 16-bit numbers."""
-        if len(self.chunks) > CACHE_ENTRIES:
-            self.old_chunks, self.chunks = self.chunks, {}
+        if self.known_bytes > CACHE_BYTES:
+            self.old, self.known, self.known_bytes = self.known, {}, 0
         cut = [self.segments(t) for t in texts]
-        get = self.chunks.get
-        found = [[list(map(get, chunks)) for chunks in parts] for parts in cut]
-        # the places whose chunks aren't known yet
-        gaps = [(k, p, [i for i, x in enumerate(ids) if x is None]) for k, parts in enumerate(found) for p, ids in enumerate(parts)]
-        missing = {cut[k][p][i] for k, p, places in gaps for i in places}
-        for c in [c for c in missing if c in self.old_chunks]:
-            self.chunks[c] = self.old_chunks[c]
-            missing.remove(c)
+        missing: set[str] = set()
+        for parts in cut:
+            for chunks in parts:
+                missing.update(chunks)
+        missing -= self.known.keys()
+        if self.old:
+            for c in missing & self.old.keys():
+                self.known[c] = self.old[c]
+                self.known_bytes += len(c) + len(self.known[c])
+            missing -= self.known.keys()
         if missing:
             self.learn(missing)
-        for k, p, places in gaps:
-            ids, chunks = found[k][p], cut[k][p]
-            for i in places:
-                ids[i] = self.chunks[chunks[i]]
+        get = self.known.__getitem__
         out = []
-        for text, parts in zip(texts, found, strict=True):
-            joined = [b"".join(parts[0])]
+        for text, parts in zip(texts, cut, strict=True):
+            joined = [b"".join(map(get, parts[0]))]
             if len(parts) > 1:
                 marks = [self.special[m].to_bytes(2, "little") for m in self.at_special.findall(text)]
-                for mark, ids in zip(marks, parts[1:], strict=True):
-                    joined += [mark, *ids]
+                for mark, chunks in zip(marks, parts[1:], strict=True):
+                    joined += [mark, *map(get, chunks)]
             out.append(joined[0] if len(joined) == 1 else b"".join(joined))
+        for c in [c for c in self.known if len(c) > LONGEST_KEPT] if any(len(c) > LONGEST_KEPT for c in missing) else ():
+            del self.known[c]
         return out
 
 
