@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from screenmill import schemas
+from screenmill.functions.text import trim_white
 from screenmill.vocab import MITIGATION, REVIEW_BELOW, SIGNIFICANCE
 
 
 def unfenced(text: Column) -> Column:
     """Without code fences, trimmed."""
-    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"```(?:json)?\s*|\s*```", ""), r"(?U)^\s+|\s+$", "")
+    parts = F.split(F.coalesce(text, F.lit("")), "```")
+    # a fence opens every second part, with the language's name before the code
+    code = F.transform(parts, lambda p, k: trim_white(F.when(k > 0, F.regexp_replace(p, "^json", "")).otherwise(p)))
+    return trim_white(F.array_join(code, ""))
 
 
 def salvaged(text: Column, schema: str, key: str | None, mode: str) -> Column:

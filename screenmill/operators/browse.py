@@ -47,12 +47,24 @@ def filtered(chunks: DataFrame, filters: dict) -> DataFrame:
     return chunks
 
 
+def source_scopes(projects: DataFrame, sources: DataFrame) -> DataFrame:
+    """project_id, source_ids (its own ready sources, in order) and sees_all, true where it has none and so sees every ready source.
+
+    A search of a project that sees all needs no filter: the sources need not be listed for it.
+    """
+    own = sources.filter("status = 'ready' AND project_id IS NOT NULL").groupBy("project_id").agg(F.sort_array(F.collect_list("id")).alias("source_ids"))
+    named = projects.select("project_id").join(own, "project_id", "left")
+    return named.select("project_id", F.coalesce("source_ids", F.array().cast(own.schema["source_ids"].dataType)).alias("source_ids"), F.col("source_ids").isNull().alias("sees_all"))
+
+
 def scoped_sources(projects: DataFrame, sources: DataFrame) -> DataFrame:
-    """project_id and source_id: a project's ready sources, or all ready sources where it has none assigned."""
-    ready = sources.filter("status = 'ready'").select(F.col("id").alias("source_id"), F.col("project_id").alias("owner"))
-    own = projects.select("project_id").join(ready, F.col("project_id") == F.col("owner")).select("project_id", "source_id")
-    without = projects.select("project_id").join(own.select("project_id").distinct(), "project_id", "left_anti")
-    return own.unionByName(without.crossJoin(ready.select("source_id")))
+    """project_id and source_id: the scopes as pairs, for listings of few projects; searches take source_scopes."""
+    ready = sources.filter("status = 'ready'").select(F.col("id").alias("source_id"))
+    scopes = source_scopes(projects, sources)
+    own = scopes.filter("NOT sees_all").select("project_id", F.explode("source_ids").alias("source_id"))
+    # one row with all ready sources meets the projects that see them; it is as long as the listing asked for
+    every = ready.groupBy(F.lit(True).alias("sees_all")).agg(F.collect_list("source_id").alias("all_ids"))
+    return own.unionByName(scopes.join(every, "sees_all").select("project_id", F.explode("all_ids").alias("source_id")))
 
 
 def listing(df: DataFrame, ready_only: bool = False, project_id=None, newest: str = "uploaded_at") -> DataFrame:

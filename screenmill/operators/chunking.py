@@ -42,11 +42,6 @@ class Tokens:
 WORDS = Tokens()
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with the value computed once for each row."""
-    return F.transform(F.array(value), use)[0]
-
-
 def bins(weights: Column, most: int, limit: int) -> Column:
     """The bin of each of the weights, in order: one heavier than most is alone, the others share bins up to the limit."""
     start = F.struct(F.lit(-1).alias("bin"), F.lit(0).alias("filled"), F.array().cast("array<int>").alias("of"))
@@ -71,7 +66,7 @@ def overlapped(pieces: Column, overlap: int, tokens: Tokens) -> Column:
 
     def add(made: Column, piece: Column) -> Column:
         before = lambda: tokens.split(F.try_element_at(made, F.lit(-1))["text"])
-        text = F.when(F.size(made) == 0, piece["text"]).otherwise(let(before(), lambda t: F.when(F.size(t) > overlap, F.concat(tokens.text(F.slice(t, -overlap, overlap)), F.lit(" "), piece["text"])).otherwise(piece["text"])))
+        text = F.when(F.size(made) == 0, piece["text"]).otherwise(X.let(before(), lambda t: F.when(F.size(t) > overlap, F.concat(tokens.text(F.slice(t, -overlap, overlap)), F.lit(" "), piece["text"])).otherwise(piece["text"])))
         return F.concat(made, F.array(F.struct(text.alias("text"), piece["subsection"].alias("subsection"))))
 
     return F.aggregate(pieces, F.array().cast(PIECE), add)
@@ -94,8 +89,8 @@ def pieces_of(body: Column, most: int, target: int, overlap: int, tokens: Tokens
 
         return overlapped(F.flatten(F.transform(binned(parts, bins(weights, most, target)), made)), overlap, tokens)
 
-    whole = lambda: let(tokens.split(body), lambda t: named_windows(tokens.windows(t, target, overlap, False)))
-    return let(X.labelled_paragraphs(body), lambda parts: F.when(F.size(parts) > 1, by_labels(parts)).otherwise(whole()))
+    whole = lambda: X.let(tokens.split(body), lambda t: named_windows(tokens.windows(t, target, overlap, False)))
+    return X.let(X.labelled_paragraphs(body), lambda parts: F.when(F.size(parts) > 1, by_labels(parts)).otherwise(whole()))
 
 
 def sibling_key(document_type: Column, part: Column, parent_statute: Column, statute_title: Column) -> Column:
@@ -170,7 +165,7 @@ def chunk_report(sections: DataFrame, most: int = MAX_TOKENS, target: int = TARG
         made = lambda group: F.when(tokens.count(text(group)) > most, tokens.windows(tokens.split(text(group)), target, overlap, True)).otherwise(F.array(text(group)))
         return F.flatten(F.transform(binned(parts, bins(weights, most, most)), made))
 
-    cut = F.when(tokens.count(F.col("body")) <= most, F.array("body")).otherwise(let(X.paragraphs(F.col("body")), slices))
+    cut = F.when(tokens.count(F.col("body")) <= most, F.array("body")).otherwise(X.let(X.paragraphs(F.col("body")), slices))
     made = sections.withColumn("slices", cut).select("*", F.size("slices").alias("total_chunks_in_section"), F.posexplode("slices").alias("chunk_index", "content"))
     return made.drop("slices", "body").withColumn("has_table", F.col("has_table_hint") | X.has_table(F.col("content"))).withColumn("token_count", tokens.count(F.col("content")))
 
@@ -196,14 +191,14 @@ def build_metadata(chunks: DataFrame, sources: DataFrame) -> DataFrame:
     return made.join(known, "doc_id", "left").withColumn("chunk_id", F.sha2(F.concat_ws("\x1f", F.coalesce("source_id", F.lit("")), "citation", F.col("chunk_index").cast("string"), F.coalesce("subsection", F.lit(""))), 256))
 
 
-def chunk_summary(chunks: DataFrame) -> DataFrame:
-    """Per document type: chunks, split, merged and defining ones, and token counts with the exclusive 95th percentile.
+def chunk_summary(chunks: DataFrame, key: str = "document_type") -> DataFrame:
+    """Per document type (or part, where a chunk has one): chunks, split, merged and defining ones, and token counts with the exclusive 95th percentile.
 
     Exact without sorting all rows: token counts are few different values, so cumulated numbers of them do.
     """
-    by = chunks.select(F.element_at("sources", 1)["document_type"].alias("document_type"), "token_count", "total_chunks_in_section", "is_merged_siblings", "is_definition")
-    flags = by.groupBy("document_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("total_chunks_in_section") > 1).alias("n_split"), F.count_if("is_merged_siblings").alias("n_merged"), F.count_if("is_definition").alias("n_definitions"), F.min("token_count").alias("min_tokens"), F.max("token_count").alias("max_tokens"), F.avg("token_count").alias("mean_tokens"))
-    return flags.join(exclusive_p95(by, "document_type", "token_count"), "document_type")
+    by = chunks.select(F.element_at("sources", 1)[key].alias(key), "token_count", "total_chunks_in_section", "is_merged_siblings", "is_definition").filter(F.col(key).isNotNull())
+    flags = by.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("total_chunks_in_section") > 1).alias("n_split"), F.count_if("is_merged_siblings").alias("n_merged"), F.count_if("is_definition").alias("n_definitions"), F.min("token_count").alias("min_tokens"), F.max("token_count").alias("max_tokens"), F.avg("token_count").alias("mean_tokens"))
+    return flags.join(exclusive_p95(by, key, "token_count"), key)
 
 
 def exclusive_p95(df: DataFrame, key: str, value: str) -> DataFrame:

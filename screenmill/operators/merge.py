@@ -43,6 +43,27 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str], keep: list[st
     return joined.select(*(F.when(updated, F.coalesce(F.col(f"t.{c}"), F.col(f"u.{c}")) if c in keep else F.col(f"u.{c}")).otherwise(F.col(f"t.{c}")).alias(c) if c in updates.columns else F.col(f"t.{c}").alias(c) for c in target.columns))
 
 
+#: What identifies a source of regulation XML, and the fields that begin anew when it is loaded again.
+SOURCE_KEY = ["source_type", "cfr_title", "cfr_part", "effective_date"]
+SOURCE_RESET = {"status": "pending", "status_message": None, "chunks_total": None, "chunks_embedded": 0, "chunk_count": 0, "sections_count": 0, "parser_warnings": 0, "embedding_dim": None, "embedding_started_at": None, "embedding_finished_at": None}
+
+
+def upsert_sources(target: DataFrame, updates: DataFrame) -> DataFrame:
+    """Sources loaded again take the place of those of the same identity (nulls equal), keep their id and begin anew."""
+    fresh = updates.select(*updates.columns, *(F.lit(v).cast(target.schema[c].dataType).alias(c) for c, v in SOURCE_RESET.items() if c in target.columns and c not in updates.columns))
+    return upsert(target, fresh.select(target.columns), SOURCE_KEY, keep=["id"])
+
+
+def upsert_ground_truth(target: DataFrame, updates: DataFrame) -> DataFrame:
+    """One row of categories for each evaluation."""
+    return upsert(target, updates, ["evaluation_id"])
+
+
+def upsert_scores(target: DataFrame, updates: DataFrame) -> DataFrame:
+    """One row of scores for each project."""
+    return upsert(target, updates, ["project_id"])
+
+
 def replace_partitions(target: DataFrame, updates: DataFrame, key: str) -> DataFrame:
     """All rows of the updates' partitions replaced; as a sink: partitionBy(key) with dynamic partition overwrite."""
     return target.join(updates.select(key).distinct(), key, "left_anti").select(target.columns).unionByName(updates)
@@ -102,6 +123,21 @@ def backfill_source_id(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("source_id", F.coalesce("source_id", shaped))
 
 
+def backfill_current(df: DataFrame) -> DataFrame:
+    """Rows from before the default changed: is_current is true for all."""
+    return df.withColumn("is_current", F.lit(True))
+
+
+def reset_on_dimension_change(evaluations: DataFrame, chunks: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
+    """The two tables when the provider's vectors have dim numbers: if stored ones have another length, every evaluation is failed and no chunk stays."""
+    other = chunks.filter(F.size("embedding") != dim).agg(F.min(F.size("embedding")).alias("_old"))
+    joined = evaluations.join(F.broadcast(other))  # one row
+    hit = F.col("_old").isNotNull() & (F.col("status") != "failed")
+    message = F.format_string(f"embedding dim changed from %d to {dim}; reingest required", F.col("_old"))
+    failed = joined.withColumn("status_message", F.when(hit, message).otherwise(F.col("status_message"))).withColumn("status", F.when(hit, "failed").otherwise(F.col("status")))
+    return failed.select(evaluations.columns), chunks.join(F.broadcast(other)).filter("_old IS NULL").select(chunks.columns)
+
+
 def check_dimension(chunks: DataFrame, dim: int) -> DataFrame:
     """dimension_ok per chunk: whether its vector has the provider's length."""
     return chunks.withColumn("dimension_ok", F.coalesce(F.size("embedding") == dim, F.lit(False)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,12 +43,28 @@ def features_in_box(sites: DataFrame, features: DataFrame, half_deg: float = 0.0
     return pairs.filter((F.abs(F.col("lat") - F.col("site_lat")) <= half_deg) & (F.abs(F.col("lon") - F.col("site_lon")) <= half_deg))
 
 
-def features_within(sites: DataFrame, features: DataFrame, radius_m: float = 1000.0, max_lat: float = 72.0) -> DataFrame:
-    """Pairs within the radius, with distance_m; max_lat bounds the latitudes for the grid's width."""
-    import math
+def features_within(sites: DataFrame, features: DataFrame, radius_m: float = 1000.0) -> DataFrame:
+    """Pairs within the radius, with distance_m, at any latitude and across the date line.
 
-    lat_reach = radius_m / EARTH_M * 180 / math.pi * 1.001
-    pairs = near_cells(_sites(sites), features, lat_reach, lat_reach / math.cos(math.radians(max_lat)))
+    Rows of the grid are as high as the radius; a row has as many cells as keep each as wide as the radius reaches there,
+    one around the poles.  A site is copied to the cells around it, an equi-join finds the candidates.
+    """
+    reach = radius_m / EARTH_M * 1.001
+    height = math.degrees(reach)
+    row_of = lambda lat: F.floor(lat / height).cast("long")
+
+    def cells_in(row: Column) -> Column:
+        # the farthest from the equator that a site or feature of this row or one beside it can be
+        far = F.radians(F.greatest(F.abs(row - 1), F.abs(row + 2)) * height)
+        width = F.degrees(F.asin(F.least(F.lit(math.sin(min(reach, math.pi / 2))) / F.greatest(F.cos(far), F.lit(1e-12)), F.lit(1.0))))
+        return F.when(far + reach >= math.pi / 2, 1).otherwise(F.greatest(F.floor(360 / width), F.lit(1))).cast("long")
+
+    cell_of = lambda lon, n: F.pmod(F.floor((lon + 180) / 360 * n).cast("long"), n)
+    near = _sites(sites).select("*", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda k: row_of(F.col("site_lat")) + k)).alias("_y")).withColumn("_n", cells_in(F.col("_y")))
+    around = F.array_distinct(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda k: F.pmod(cell_of(F.col("site_lon"), F.col("_n")) + k, F.col("_n"))))
+    left = near.select("*", F.explode(around).alias("_x")).drop("_n")
+    right = features.withColumn("_y", row_of(F.col("lat"))).withColumn("_x", cell_of(F.col("lon"), cells_in(F.col("_y"))))
+    pairs = left.join(right, ["_x", "_y"]).drop("_x", "_y")
     return pairs.withColumn("distance_m", haversine(F.col("site_lat"), F.col("site_lon"), F.col("lat"), F.col("lon"))).filter(F.col("distance_m") <= radius_m)
 
 
@@ -84,13 +102,27 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
     return F.aggregate(edges, F.lit(0), lambda n, e: n + e) % 2 == 1
 
 
+#: The largest cell is this many times doubled from the smallest: it holds the whole earth.
+LEVELS = 14
+
+
 def sites_in_polygons(sites: DataFrame, polygons: DataFrame, cell: float = 0.05) -> DataFrame:
-    """Pairs of sites and polygons (ring) around them: an equi-join on the cells of the polygons' boxes, then the exact test."""
+    """Pairs of sites and polygons (ring) around them: an equi-join on grid cells, then the exact test.
+
+    A polygon goes to the grid whose cells are as large as its box, so it is copied four times at most, whatever its size;
+    a site is looked up in each grid that there are polygons in.
+    """
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    cells = lambda v: F.sequence(_cell(F.array_min(v), cell), _cell(F.array_max(v), cell))
-    right = polygons.filter("size(ring) > 2").select("*", F.explode(cells(xs)).alias("_x"), cells(ys).alias("_ys")).select("*", F.explode("_ys").alias("_y")).drop("_ys")
-    left = _sites(sites).withColumn("_x", _cell(F.col("site_lon"), cell)).withColumn("_y", _cell(F.col("site_lat"), cell))
-    return left.join(right, ["_x", "_y"]).filter(in_ring(F.col("site_lon"), F.col("site_lat"), F.col("ring"))).drop("_x", "_y")
+    extent = F.greatest(F.array_max(xs) - F.array_min(xs), F.array_max(ys) - F.array_min(ys))
+    level = F.least(F.greatest(F.ceil(F.log2(F.greatest(extent, F.lit(1e-9)) / cell)), F.lit(0)), F.lit(LEVELS)).cast("int")
+    size = lambda level: F.lit(cell) * F.pow(F.lit(2.0), level)
+    at = lambda v, level: F.floor(v / size(level)).cast("long")
+    every = lambda v: F.explode(F.sequence(at(F.array_min(v), F.col("_level")), at(F.array_max(v), F.col("_level"))))
+    right = polygons.filter("size(ring) > 2").withColumn("_level", level).select("*", every(xs).alias("_x")).select("*", every(ys).alias("_y"))
+    used = sorted(r["_level"] for r in polygons.filter("size(ring) > 2").select(level.alias("_level")).distinct().collect())  # LEVELS + 1 numbers at most
+    left = _sites(sites).select("*", F.explode(F.array(*map(F.lit, used)).cast("array<int>")).alias("_level"))
+    left = left.withColumn("_x", at(F.col("site_lon"), F.col("_level"))).withColumn("_y", at(F.col("site_lat"), F.col("_level")))
+    return left.join(right, ["_level", "_x", "_y"]).filter(in_ring(F.col("site_lon"), F.col("site_lat"), F.col("ring"))).drop("_level", "_x", "_y")
 
 
 def flood_status(sites: DataFrame, zones: DataFrame) -> DataFrame:

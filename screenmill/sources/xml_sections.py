@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+from collections import deque
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -27,28 +28,34 @@ def head_of(el: ElementTree.Element) -> str:
     return flat_text(head).strip() if head is not None else ""
 
 
-def hierarchy(el: ElementTree.Element, warnings: list[str]) -> dict:
-    raw = el.get("hierarchy_metadata")
-    if not raw:
-        warnings.append(f"{el.tag} {el.get('N')}: no hierarchy_metadata")
-        return {}
-    for text in (raw, html.unescape(raw)):
-        try:
-            found = json.loads(text)
-            return found if isinstance(found, dict) else {}
-        except ValueError:
-            continue
-    warnings.append(f"{el.tag} {el.get('N')}: hierarchy_metadata is no JSON")
-    return {}
-
-
-def leaves(el: ElementTree.Element) -> Iterator[ElementTree.Element]:
-    """Children in order, with those of subparts in their place."""
-    for child in el:
-        if child.tag == "DIV6" and child.get("TYPE") == "SUBPART":
-            yield from leaves(child)
+def json_object(text: str) -> dict | None:
+    try:
+        found = json.loads(text)
+    except ValueError:
+        return None
+    return found if isinstance(found, dict) else {}
+
+
+def own_metadata(el: ElementTree.Element, warnings: list[str]) -> dict:
+    """The JSON in the element's attribute, also if its quotes are written as entities twice over."""
+    raw = el.get("hierarchy_metadata", "")
+    found = json_object(raw) if raw else {}
+    if found is None:
+        found = json_object(html.unescape(raw))
+    if not raw or found is None:
+        warnings.append(f"{el.tag} {el.get('N')}: {'hierarchy_metadata is no JSON' if raw else 'no hierarchy_metadata'}")
+    return found or {}
+
+
+def opened(part: ElementTree.Element) -> Iterator[ElementTree.Element]:
+    """The part's children in order, with what is in a subpart in the subpart's place."""
+    waiting = deque(part)
+    while waiting:
+        el = waiting.popleft()
+        if (el.tag, el.get("TYPE")) == ("DIV6", "SUBPART"):
+            waiting.extendleft(reversed(el))
         else:
-            yield child
+            yield el
 
 
 def parse_part(doc_id: str, content: bytes) -> list[tuple]:
@@ -61,13 +68,13 @@ def parse_part(doc_id: str, content: bytes) -> list[tuple]:
     except (ValueError, ElementTree.ParseError) as problem:
         return [(doc_id, 0, None, None, None, None, None, None, None, [], f"{type(problem).__name__}: {problem}")]
     warnings: list[str] = []
-    hierarchy(root, warnings)
+    own_metadata(root, warnings)
     part, title = (root.get("N") or "").strip(), head_of(root)
     out = []
-    for el in leaves(root):
+    for el in opened(root):
         kind = {("DIV8", "SECTION"): "section", ("DIV9", "APPENDIX"): "appendix"}.get((el.tag, el.get("TYPE")))
         if kind:
-            cited = hierarchy(el, warnings).get("citation")
+            cited = own_metadata(el, warnings).get("citation")
             body = "\n\n".join(t for t in (flat_text(p).strip() for p in el.findall("P")) if t)
             out.append([doc_id, len(out) + 1, kind, (el.get("N") or "").strip(), head_of(el), body, cited if isinstance(cited, str) else None, part, title])
         elif el.tag not in DROPPED and el.tag not in ("HEAD", "AUTH", "SOURCE"):

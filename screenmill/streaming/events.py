@@ -7,6 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from screenmill.operators.chunking import chunk_regulation
+from screenmill.operators.merge import ingest_status
+from screenmill.sources.io import read_table, write_table
+from screenmill.sources.xml_sections import parse_regulation_xml
+from screenmill.vocab import MAX_TOKENS, MIN_TOKENS
+
 
 def agent_totals(events: DataFrame, window: str, slide: str | None = None) -> DataFrame:
     """Per time window, agent and model: completions, duration, tokens and cost.  Batch, or stream with a watermark."""
@@ -36,3 +42,28 @@ def start_intake(files: DataFrame, sink: Callable[[DataFrame], None], checkpoint
     """A stream of files (path, content, modificationTime): new contents, by SHA-256, go to the sink in micro-batches."""
     named = files.withColumn("sha256", F.sha2("content", 256)).withWatermark("modificationTime", watermark).dropDuplicatesWithinWatermark(["sha256"])
     return named.writeStream.foreachBatch(lambda batch, _: sink(batch)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def ingest(batch: DataFrame, chunks_path: str, status_path: str, least: int = MIN_TOKENS, most: int = MAX_TOKENS) -> None:
+    """One micro-batch of regulation XML (path, content, sha256): sections, chunks, and the tables they are merged into.
+
+    Chunks are written in a partition for each content, which a repeated batch overwrites, so running it twice changes
+    nothing; so is the status of each document, failed with a reason where there are no sections or chunks.
+    """
+    docs = batch.select(F.col("sha256").alias("doc_id"), "path", "content").persist()
+    try:
+        parsed = parse_regulation_xml(docs)
+        found = parsed.filter("error IS NULL AND section IS NOT NULL")
+        sections = found.select("doc_id", "pos", F.lit("cfr_regulation").alias("document_type"), "section", "title", "body", "citation", F.array().cast("array<int>").alias("pages"), "part", "part_title", *(F.lit(None).cast("string").alias(c) for c in ("parent_statute", "statute_title", "effective_date")))
+        chunks = chunk_regulation(sections, least, most)
+        write_table(chunks.withColumn("content", F.col("doc_id")), chunks_path, ["content"], "overwrite")
+        stored = read_table(docs.sparkSession, chunks_path).select("doc_id").join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+        status = ingest_status(docs.select("doc_id", "path"), sections.select("doc_id"), stored)
+        write_table(status.withColumn("content", F.col("doc_id")), status_path, ["content"], "overwrite")
+    finally:
+        docs.unpersist()
+
+
+def start_ingest(files: DataFrame, chunks_path: str, status_path: str, checkpoint: str, **limits):
+    """The whole chain on a stream of files: new contents are parsed, chunked and merged."""
+    return start_intake(files, lambda batch: ingest(batch, chunks_path, status_path, **limits), checkpoint)
