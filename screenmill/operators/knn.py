@@ -40,12 +40,12 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int, scope: str | None = None,
     parts = n_asked.join(n_known, "scope")
     part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asked.join(parts, "scope").select("scope", part("n_q").alias("q"), every("n_c").alias("c"), "id", "embedding")
-    right = known.join(parts, "scope").select("scope", every("n_q").alias("q"), part("n_c").alias("c"), "id", "embedding")
+    left = asked.join(parts, "scope").select("scope", part("n_q").alias("q"), every("n_c").alias("c"), "id", F.col("embedding").alias("asked"))
+    right = known.join(parts, "scope").select("scope", every("n_q").alias("q"), part("n_c").alias("c"), "id", F.col("embedding").alias("known"))
 
     def unit(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         """By length: ids, sorted, and unit vectors; zero vectors left out."""
-        vectors = rows.column("embedding").combine_chunks()
+        vectors = rows.column(rows.num_columns - 1).combine_chunks()
         sizes, ids = pc.list_value_length(vectors).to_numpy(zero_copy_only=False), rows.column("id").combine_chunks()
         out = {}
         for d in np.unique(sizes).tolist():

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +14,7 @@ from screenmill.operators import knn as K
 from screenmill.operators import merge as G
 from screenmill.operators import metrics as M
 from screenmill.operators import scoring as S
+from screenmill.operators import spatial as P
 from screenmill.streaming import events as E
 
 
@@ -89,3 +93,97 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     key = lambda df: sorted(map(tuple, df.collect()), key=repr)
     assert key(spark.table("totals")) == key(E.agent_totals(rows, "1 hour"))
+
+
+def test_knn_in_small_tiles_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-2, 3, (300, 6)).astype(float)
+    scopes = rng.integers(0, 3, 300).tolist()
+    chunks = spark.createDataFrame([(k, v.tolist(), s) for k, (v, s) in enumerate(zip(vectors, scopes, strict=True))], "chunk_id long, embedding array<double>, scope int")
+    queries = chunks.filter("chunk_id < 40").withColumnRenamed("chunk_id", "query_id")
+    norm = np.linalg.norm(vectors, axis=1)
+    for scope in (None, "scope"):
+        got = sorted((r.query_id, r["rank"], r.chunk_id) for r in K.knn(queries, chunks, 5, scope, query_rows=16, chunk_rows=50, tile=8).collect())
+        want = []
+        for q in range(40):
+            hits = [(-round(float(vectors[q] @ vectors[c] / (norm[q] * norm[c])), 9), c) for c in range(300) if norm[q] and norm[c] and (scope is None or scopes[q] == scopes[c])]
+            want += [(q, n + 1, c) for n, (_, c) in enumerate(sorted(hits)[:5])]
+        assert [x[:2] for x in got] == [x[:2] for x in sorted(want)]
+        sims = lambda rows: [round(float(vectors[q] @ vectors[c] / (norm[q] * norm[c])), 9) for q, _, c in rows]
+        assert sims(got) == sims(sorted(want))
+
+
+def test_features_within_at_high_latitudes_and_the_date_line(spark):
+    rng = np.random.default_rng(5)
+    for lat, lon in ((80.0, 20.0), (-89.99, 0.0), (0.0, 179.999), (51.0, -180.0)):
+        sites = [(k, lat + float(rng.uniform(-0.004, 0.004)), lon) for k in range(5)]
+        places = [(k, lat + float(rng.uniform(-0.012, 0.012)), (lon + float(rng.uniform(-0.1, 0.1) if abs(lat) < 85 else rng.uniform(-180, 180)) + 180) % 360 - 180) for k in range(300)]
+
+        def metres(a, b):
+            p, q = math.radians(a[1]), math.radians(b[1])
+            h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+            return 2 * P.EARTH_M * math.asin(min(1.0, math.sqrt(h)))
+
+        want = {(s[0], f[0]) for s in sites for f in places if metres(s, f) <= 1000}
+        got = P.features_within(spark.createDataFrame(sites, "project_id int, lat double, lon double"), spark.createDataFrame(places, "feature_id int, lat double, lon double"), 1000.0)
+        assert want and {(r.project_id, r.feature_id) for r in got.collect()} == want
+
+
+def test_polygons_of_any_size_are_copied_four_times_at_most(spark):
+    sites = spark.createDataFrame([(k, -60 + k * 1.37, -170 + k * 3.1) for k in range(100)], "project_id int, lat double, lon double")
+    boxes = [(0, -100.0, 10.0, 60.0), (1, -20.003, 0.001, 0.02), (2, -179.0, -80.0, 150.0), (3, 5.0, 5.0, 1.0)]
+    ring = lambda x, y, n: [(x, y), (x + n, y), (x + n, y + n), (x, y + n)]
+    polygons = spark.createDataFrame([(k, ring(x, y, n)) for k, x, y, n in boxes], "zone int, ring array<struct<x:double,y:double>>")
+    got = {(r.project_id, r.zone) for r in P.sites_in_polygons(sites, polygons).collect()}
+    assert got == {(k, z) for k in range(100) for z, x, y, n in boxes if x < -170 + k * 3.1 < x + n and y < -60 + k * 1.37 < y + n}
+
+
+def test_sources_loaded_again_keep_their_id(spark):
+    kinds = "id string, source_type string, cfr_title int, cfr_part string, effective_date string, filename string, status string, status_message string, chunks_total int"
+    target = spark.createDataFrame([("a", "ecfr", 40, "1500", None, "old.xml", "failed", "why", 7), ("b", "pdf", None, None, None, "b.pdf", "ready", None, 3)], kinds)
+    updates = spark.createDataFrame([("x", "ecfr", 40, "1500", None, "new.xml"), ("y", "ecfr", 40, "1501", "2020-01-01", "n.xml")], "id string, source_type string, cfr_title int, cfr_part string, effective_date string, filename string")
+    got = {r.id: (r.filename, r.status, r.status_message, r.chunks_total) for r in G.upsert_sources(target, updates).collect()}
+    assert got == {"a": ("new.xml", "pending", None, None), "b": ("b.pdf", "ready", None, 3), "y": ("n.xml", "pending", None, None)}
+
+
+def test_change_of_dimension(spark):
+    evaluations = spark.createDataFrame([(1, "ready", None), (2, "failed", "why")], "id int, status string, status_message string")
+    chunks = spark.createDataFrame([(1, [1.0, 2.0])], "id int, embedding array<double>")
+    failed, left = G.reset_on_dimension_change(evaluations, chunks, 3)
+    assert {r.id: (r.status, r.status_message) for r in failed.collect()} == {1: ("failed", "embedding dim changed from 2 to 3; reingest required"), 2: ("failed", "why")} and left.count() == 0
+    same, kept = G.reset_on_dimension_change(evaluations, chunks, 2)
+    assert sorted(r.status for r in same.collect()) == ["failed", "ready"] and kept.count() == 1
+    assert G.reset_on_dimension_change(evaluations, chunks.limit(0), 2)[0].count() == 2
+
+
+def test_keyed_merges(spark):
+    truth = spark.createDataFrame([(1, "a"), (2, "b")], "evaluation_id int, categories string")
+    assert sorted(map(tuple, G.upsert_ground_truth(truth, spark.createDataFrame([(2, "B"), (3, "c")], truth.schema)).collect())) == [(1, "a"), (2, "B"), (3, "c")]
+    scores = spark.createDataFrame([("p", 0.5)], "project_id string, overall_score double")
+    assert sorted(map(tuple, G.upsert_scores(scores, spark.createDataFrame([("p", 0.7)], scores.schema)).collect())) == [("p", 0.7)]
+    assert [r.is_current for r in G.backfill_current(spark.createDataFrame([(1, None), (2, False)], "id int, is_current boolean")).collect()] == [True, True]
+
+
+def test_source_scopes(spark):
+    projects = spark.createDataFrame([(1,), (2,)], "project_id int")
+    sources = spark.createDataFrame([(10, 1, "ready"), (11, 1, "pending"), (12, None, "ready"), (13, 2, "failed")], "id int, project_id int, status string")
+    assert {r.project_id: (r.source_ids, r.sees_all) for r in B.source_scopes(projects, sources).collect()} == {1: ([10], False), 2: ([], True)}
+    assert sorted(map(tuple, B.scoped_sources(projects, sources).collect())) == [(1, 10), (2, 10), (2, 12)]
+
+
+def test_ingest_stream(spark, tmp_path):
+    part = lambda n: f'<DIV5 TYPE="PART" N="{n}"><HEAD>P</HEAD>' + "".join(f'<DIV8 TYPE="SECTION" N="{n}.{k}"><HEAD>§ {n}.{k} H</HEAD><P>{"word " * 30}</P></DIV8>' for k in range(3)) + "</DIV5>"
+    (tmp_path / "in").mkdir()
+    for name, text in (("a", part(1500)), ("b", part(1501)), ("copy", part(1500)), ("bad", "<DIV5")):
+        (tmp_path / "in" / f"{name}.xml").write_text(text)
+
+    def run():
+        files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(str(tmp_path / "in"))
+        E.start_ingest(files, str(tmp_path / "chunks"), str(tmp_path / "status"), str(tmp_path / "check"), least=40, most=100).awaitTermination(120)
+        chunks, status = (spark.read.parquet(str(tmp_path / x)) for x in ("chunks", "status"))
+        return sorted((len(r.sources), r.token_count) for r in chunks.collect()), sorted((r.sections_count, r.status, r.status_message or "") for r in status.collect())
+
+    once = run()
+    assert once == ([(3, 90), (3, 90)], [(0, "failed", "no sections found"), (3, "ready", ""), (3, "ready", "")])
+    (tmp_path / "in" / "late.xml").write_text(part(1502))
+    assert len(run()[0]) == 3

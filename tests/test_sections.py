@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from screenmill.functions import text as X
 from screenmill.operators import sections as S
+from screenmill.sources.io import read_files, read_table, write_table
 from screenmill.sources.xml_sections import parse_part
 
 
@@ -46,6 +47,31 @@ def test_recover_and_collapse(spark):
     assert one(spark, " responsi-\nbilities   of\tall ", X.collapse) == "responsibilities of all"
 
 
+def test_nested_quotes_and_what_stays_lost(spark):
+    lost = X.LOST
+    assert one(spark, f"a {lost}{lost}b x{lost} c{lost} d", X.recover_chars) == 'a ""b x" c" d'
+    assert one(spark, f"{lost * 4}a{lost}b{lost}c{lost}d{lost}", X.recover_chars) == f'{lost * 2}""a"b"c"d"'
+    left = f"{'x' * 30}{lost}{'y' * 30}"
+    assert one(spark, left, X.recover_chars) == left
+    assert one(spark, left, X.lost_contexts, "string") == [f"{'x' * 20}?{'y' * 20}"]
+    assert one(spark, "none", X.lost_contexts) == []
+
+
+def test_blocks_of_spans(spark):
+    spans = [("d", 1, 1, 0, "Bold", 12.0, True), ("d", 1, 1, 1, "plain", 10.0, False), ("d", 1, 2, 0, "bold words", 9.0, True), ("d", 1, 2, 1, "x", 9.0, False), ("d", 1, 3, 0, "  ", 9.0, True)]
+    rows = S.blocks_of_spans(spark.createDataFrame(spans, "doc_id string, page int, block_no int, span_no int, text string, size double, is_bold boolean")).orderBy("block_no").collect()
+    assert [(r.text, r.max_size, r.is_bold) for r in rows] == [("Bold plain", 12.0, False), ("bold words x", 9.0, True)]
+
+
+def test_write_table_replaces_partitions(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "v int, part string")
+    write_table(rows, str(tmp_path / "t"), ["part"])
+    write_table(spark.createDataFrame([(3, "b")], rows.schema), str(tmp_path / "t"), ["part"], "overwrite")
+    assert sorted((r.v, r.part) for r in read_table(spark, str(tmp_path / "t")).collect()) == [(1, "a"), (3, "b")]
+    (tmp_path / "x.pdf").write_bytes(b"%PDF-")
+    assert [r.content_type for r in read_files(spark, str(tmp_path / "x.pdf")).collect()] == ["application/pdf"]
+
+
 def test_state_sections(spark):
     page = "105.1. Contents\n§ 105.1. Purpose.\nFirst line\n12/140\nsecond line\nSource\nAdopted, effective January 3, 1979.\nSubchapter B. DAMS\n§ 105.81. Permits.\n§ 105.82. [Reserved].\nnot kept\n§ 105.83. Design.\ntext\nAPPENDIX A\n§ 105.99. Never.\nx"
     rows = S.assemble_state_sections(spark.createDataFrame([("d", 1, page)], "doc_id string, page int, text string")).orderBy("pos").collect()
