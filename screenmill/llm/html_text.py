@@ -3,15 +3,18 @@
 The DOMs of all pages of a host are merged: a style node is a path of tags with their classes.  A content node is
 weighed by the entropy of its blocks of text over the host's m different pages: a block on c of them has the entropy
 log c / log m, and the node's importance is one minus the mean.  A presentation node is weighed by the entropy of the
-styles of its children over the pages, mixed with its children's importance.  Nodes that several different pages share
-and whose importance is low are boilerplate, with all below them.
+styles of its children over the pages, mixed with its children's importance.  What few pages say is uncertain, so an
+importance is mixed with a prior that counts as much as a few pages: one for nodes in a marked article, a half for others.
+Nodes of low importance are boilerplate, with all below them.
 
-Entropy alone can't tell chrome whose words change from page to page (a menu of random links) from an article, so
-elements and class names that HTML itself defines as menu, header, footer, sidebar, notice, advert, form or comments
-have importance 0 whatever their entropy, and where a page marks its article only that is looked into.
+Entropy can't tell chrome whose words change from page to page (a menu of random links) from an article, so elements that
+HTML itself defines as menu, header, footer, sidebar, advert, form or comments, and class names that say the same as a
+whole or by their last part, have importance 0 whatever their entropy, and where a page marks its article only that is
+looked into.  A form around the marked main part, or around all that a page has, is none of the page's forms.
 
 Rows: null or empty HTML gives an empty text; a null URL has the host ''; unclosed elements and cut-off pages are read
-as far as they go; every row yields one row; other columns are ignored; an empty table yields an empty table.
+as far as they go; every row yields one row, repeated pages count once for their host; other columns are ignored; an empty
+table yields an empty table.
 """
 
 from __future__ import annotations
@@ -41,35 +44,53 @@ CLOSED_BY = {"p": BLOCK - {"br"}, "li": frozenset(("li",)), "dt": frozenset(("dt
 CHROME_WORDS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer footer header login masthead menu modal nav navbar navigation newsletter notice notification popup promo promoted related respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 #: A name that begins so tells what an element has or lacks, not what it is.
 STATES = frozenset("no not non has with without hide".split())
-#: Elements that hold the article, whatever their names say.
+#: Elements that hold the article, whatever their names say; names of other elements that do.
 HOLDERS = frozenset("html body main article".split())
+MAIN_WORDS = frozenset("main content article".split())
+#: A header with such a name is that of the article.
+ARTICLE_PARTS = frozenset("entry post article story content".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 SPACE = re.compile(r"\s+")
-END_OF = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in RAW}
+DIGITS = re.compile("[0-9]+")
+END_OF = {tag: re.compile(rf"<(/?){tag}\b[^>]*>", re.IGNORECASE) for tag in RAW}
+#: What a block lies under: nothing of the kind, a form, chrome.
+CLEAR, IN_FORM, CHROME_ABOVE = range(3)
 
 
-def blocks(page: str) -> Iterator[tuple[str, bool, bool, str]]:
-    """(style path, under chrome, inside an article, text) of each block of text in page order."""
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, chrome, article
+def raw_end(page: str, tag: str, at: int, closed: bool) -> int:
+    """Where the content of a raw element that begins at a place ends; closed: its tag ends in />.
+
+    Such a tag has no content if none of its kind ends before the next begins.
+    """
+    for found in END_OF[tag].finditer(page, at):
+        if found[1]:
+            return found.end()
+        if closed:
+            return at
+    return at if closed else len(page)
+
+
+def blocks(page: str) -> Iterator[tuple[str, int, bool, str]]:
+    """(style path, what it lies under, inside an article, text) of each block of text in page order."""
+    stack: list[tuple[str, str, int, bool]] = [("", "", CLEAR, False)]  # tag, path, under, article
     parts: list[str] = []
     at, n = 0, len(page)
 
-    def flush() -> Iterator[tuple[str, bool, bool, str]]:
+    def flush() -> Iterator[tuple[str, int, bool, str]]:
         if parts:
             text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                _, path, chrome, article = block
-                yield path, chrome, article, text
+                _, path, under, article = block
+                yield path, under, article, text
 
     block = stack[0]
     while at < n:
         found = TOKEN.search(page, at)
         if found is None:
-            rest = page[at:]
-            parts.append(rest)
+            parts.append(page[at:])
             break
         if found.start() > at:
             parts.append(page[at : found.start()])
@@ -87,6 +108,7 @@ def blocks(page: str) -> Iterator[tuple[str, bool, bool, str]]:
                 if tag in BLOCK:
                     block = _block(stack)
             continue
+        closed = found[3].endswith("/")
         if tag in BLOCK:
             yield from flush()
             while len(stack) > 1:
@@ -94,45 +116,55 @@ def blocks(page: str) -> Iterator[tuple[str, bool, bool, str]]:
                 if not depth or tag not in CLOSED_BY.get(stack[depth][0], ()):
                     break
                 del stack[depth:]
-        # of these only svg can be closed by its own tag
-        if tag in RAW and not (tag == "svg" and found[3].endswith("/")):
-            end = END_OF[tag].search(page, at)
-            at = end.end() if end else n
+        if tag in RAW:
+            at = at if tag == "svg" and closed else raw_end(page, tag, at, closed)
             continue
-        if tag in VOID or found[3].endswith("/"):
+        if tag in VOID or closed:
             block = _block(stack)
             continue
-        _, path, chrome, article = stack[-1]
-        names = [w.lower() for m in NAMES.findall(found[3]) for w in (m[0] or m[1] or m[2]).split()] if found[3] else []
-        path = f"{path}>{tag}" + "".join(f".{re.sub(r'[0-9]+', '0', w)}" for w in sorted(set(names)))
-        # the heading of an article may stand in a header of its own
-        marks = {chrome_word(w) for w in names} & CHROME_WORDS - ({"header"} if article else set()) if tag not in HOLDERS else None
-        chrome = chrome or (tag in CHROME and not (tag == "header" and article)) or bool(marks)
-        stack.append((tag, path, chrome, article or tag in ARTICLE))
+        _, path, under, article = stack[-1]
+        names = {w.lower() for m in NAMES.findall(found[3]) for w in (m[0] or m[1] or m[2]).split()} if found[3] else ()
+        path = f"{path}>{tag}" + "".join(f".{DIGITS.sub('0', w)}" for w in sorted(names))
+        main = tag in ARTICLE or bool(names and {*names} & MAIN_WORDS)
+        if under == IN_FORM and main and not article:
+            under = CLEAR
+        elif tag not in HOLDERS and under < CHROME_ABOVE:
+            # the heading of an article may stand in a header of its own
+            if (tag in CHROME and tag != "form" and not (tag == "header" and article)) or any(is_chrome(w, article) for w in names):
+                under = CHROME_ABOVE
+            elif tag == "form":
+                under = CHROME_ABOVE if article else IN_FORM
+        stack.append((tag, path, under, article or tag in ARTICLE))
         if tag in BLOCK:
             block = stack[-1]
     yield from flush()
 
 
-def chrome_word(name: str) -> str:
-    """The last word of a class, id or role, which says what the element is; '' for a name of a state."""
+def is_chrome(name: str, in_article: bool) -> bool:
+    """Whether a class, id or role says that an element is no part of the article."""
     words = re.findall("[a-z]+", name)
-    return words[-1] if words and words[0] not in STATES else ""
+    if not words or words[0] in STATES or words[-1] not in CHROME_WORDS:
+        return False
+    return words[-1] != "header" or not (in_article or words[0] in ARTICLE_PARTS)
 
 
-def _block(stack: list[tuple[str, str, bool, bool]]) -> tuple[str, str, bool, bool]:
+def _block(stack: list[tuple[str, str, int, bool]]) -> tuple[str, str, int, bool]:
     return next((x for x in reversed(stack) if x[0] in BLOCK), stack[0])
 
 
 def main_text(page: str, low: frozenset[str] = frozenset()) -> str:
     """The blocks that are not chrome nor under a style node in low; those in an article if the page has any."""
-    kept = [(article, text) for path, chrome, article, text in blocks(page) if not chrome and not _under(path, low)]
-    inside = [text for article, text in kept if article]
-    return "\n".join(inside or [text for _, text in kept])
+    below: dict[str, bool] = {"": False}
 
+    def is_low(path: str) -> bool:
+        if path not in below:
+            below[path] = path in low or is_low(path.rpartition(">")[0])
+        return below[path]
 
-def _under(path: str, low: frozenset[str]) -> bool:
-    return bool(low) and any(path == x or path.startswith(x + ">") for x in low)
+    found = [(under, article, text) for path, under, article, text in blocks(page) if under < CHROME_ABOVE and not (low and is_low(path))]
+    kept = [(article, text) for under, article, text in found if under == CLEAR] or [(article, text) for _, article, text in found]
+    inside = [text for article, text in kept if article]
+    return "\n".join(inside or [text for _, text in kept])
 
 
 def style_features(pages: DataFrame) -> DataFrame:
@@ -146,7 +178,7 @@ def style_features(pages: DataFrame) -> DataFrame:
             rows = []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = list(blocks(page))
-                signature = hash64("\n".join(t for _, c, _, t in found if not c))
+                signature = hash64("\n".join(t for _, under, _, t in found if under < CHROME_ABOVE))
                 children: dict[str, list[str]] = {}
                 for path, _, _, text in found:
                     rows.append((host, path, True, hash64(text), signature))
@@ -170,6 +202,9 @@ def hash64(text: str) -> int:
 
 #: Weight of the importance of a presentation node's children, to the power of their number.
 CHILDREN_WEIGHT = 0.9
+#: The prior importance of nodes, in an article or not, and how many pages it counts as.
+PRIOR_ARTICLE, PRIOR, PRIOR_PAGES = 1.0, 0.5, 3
+IN_ARTICLE = re.compile(r">(?:article|main)\b")
 
 
 def importance(nodes: pd.DataFrame) -> dict[str, float]:
@@ -193,29 +228,34 @@ def importance(nodes: pd.DataFrame) -> dict[str, float]:
     return out
 
 
-def low_importance(pages: DataFrame, least_pages: int = 5, threshold: float = 0.2) -> DataFrame:
-    """host and its style nodes (array low) whose importance is under the threshold on at least least_pages different pages.
+def low_importance(pages: DataFrame, threshold: float = 0.2) -> DataFrame:
+    """host and its style nodes (array low) whose importance, mixed with the prior, is under the threshold.
 
     What a host's task gets is a row for each style node, however many pages the host has.
     """
-    features = style_features(pages).distinct()
+    features = settled(style_features(pages).distinct(), "style-features")  # read twice, parsed once
     counted = features.groupBy("host", "path", "content", "feature").agg(F.count(F.lit(1)).alias("c"))
     logs = counted.groupBy("host", "path", "content").agg(F.avg(F.log("c")).alias("mean_log"), F.sum(F.col("c") * F.log("c")).alias("sum_log"))
     shared = features.select("host", "path", "content", "page").distinct().groupBy("host", "path", "content").agg(F.count(F.lit(1)).alias("m"))
 
     def low(key: tuple, nodes: pd.DataFrame) -> pd.DataFrame:
-        found = importance(nodes)
-        common = set(nodes["path"][nodes["m"] >= least_pages])
-        return pd.DataFrame({"host": [key[0]], "low": [sorted(p for p, x in found.items() if x < threshold and p in common)]})
+        m = nodes.groupby("path")["m"].max().to_dict()
+        return pd.DataFrame({"host": [key[0]], "low": [sorted(p for p, x in importance(nodes).items() if mixed(p, x, m[p]) < threshold)]})
 
     return logs.join(shared, ["host", "path", "content"]).groupBy("host").applyInPandas(low, "host string, low array<string>").filter("size(low) > 0")
 
 
-def extract_text(pages: DataFrame, least_pages: int = 5, threshold: float = 0.2) -> DataFrame:
+def mixed(path: str, importance: float, pages: int) -> float:
+    """The importance that so many pages give, with the prior's."""
+    prior = PRIOR_ARTICLE if IN_ARTICLE.search(path) else PRIOR
+    return (pages * importance + PRIOR_PAGES * prior) / (pages + PRIOR_PAGES)
+
+
+def extract_text(pages: DataFrame, threshold: float = 0.2) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host_of(F.coalesce("url", F.lit(""))).alias("host"))
     # written first, so that its size is known when the join is planned: broadcast if small, else by a shuffle
-    low = settled(low_importance(rows, least_pages, threshold), "style-nodes")
+    low = settled(low_importance(rows, threshold), "style-nodes")
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:

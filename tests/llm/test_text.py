@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime
+import math
 import zlib
+from collections import Counter
 
 import duckdb
 import pandas as pd
@@ -111,6 +113,62 @@ def test_main_text_keeps_what_is_no_chrome(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>one <iframe src='x'/> two</p><p>three</p>", "one two\nthree"),
+        ("<p>one <script src='x'/> two</p><script>no()</script><p>three</p>", "one two\nthree"),
+        ("<p>one</p><iframe>inner <p>no</p></iframe><p>two</p>", "one\ntwo"),
+        ("<form id='aspnetForm'><div class='nav'>n</div><div id='main'><p>a</p></div></form><p>tail</p>", "a\ntail"),
+        ("<form id='aspnetForm'><div><p>a</p><form>q</form></div></form>", "a\nq"),
+        ("<article><p>a</p><form><div class='content'>q</div></form></article>", "a"),
+        ("<html class='no-cookies'><body class='post no-sidebar'><article><p>a</p></article></body></html>", "a"),
+        ("<div class='post'><div class='post-header'><h1>T</h1></div><p>a</p><div class='post-footer'>f</div></div>", "T\na"),
+        ("<p>" + "long " * 50000 + "</p>", ("long " * 50000).strip()),
+    ],
+)
+def test_main_text_of_odd_markup(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_style_tree_equals_one_over_lists(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").unionByName(spark.createDataFrame([(90_000 + k, f"https://h.example/{k % 11}", f"<div class='top'>Same slogan</div><section><p>Words {k % 11}</p><p>Terms apply</p></section>") for k in range(20)], "page_id long, url string, html string"))
+    rows = pages.select("page_id", "html", html_text.host_of(F.coalesce("url", F.lit(""))).alias("host")).collect()
+    # by host and node: the set of (feature, page) pairs
+    nodes: dict = {}
+    for r in rows:
+        found = list(html_text.blocks(r.html or ""))
+        page = "\n".join(t for _, under, _, t in found if under < html_text.CHROME_ABOVE)
+        below: dict = {}
+        for path, _, _, text in found:
+            nodes.setdefault((r.host, path, True), set()).add((text, page))
+            while path:
+                below.setdefault(path.rpartition(">")[0], []).append(path)
+                path = path.rpartition(">")[0]
+        for path, children in below.items():
+            if path:
+                nodes.setdefault((r.host, path, False), set()).add(("|".join(children), page))
+    table = []
+    for (host, path, content), pairs in nodes.items():
+        times = Counter(f for f, _ in pairs)
+        table.append((host, path, content, len({p for _, p in pairs}), sum(math.log(c) for c in times.values()) / len(times), sum(c * math.log(c) for c in times.values())))
+    want = {}
+    for host in {t[0] for t in table}:
+        own = pd.DataFrame([t[1:] for t in table if t[0] == host], columns=["path", "content", "m", "mean_log", "sum_log"])
+        m = own.groupby("path")["m"].max()
+        low = sorted(p for p, x in html_text.importance(own).items() if html_text.mixed(p, x, m[p]) < 0.2)
+        if low:
+            want[host] = low
+    got = {r.host: list(r.low) for r in html_text.low_importance(spark.createDataFrame(rows).select("host", F.coalesce("html", F.lit("")).alias("html"))).collect()}
+    assert got == want and "h.example" in got
+
+
+def test_html_extra_columns_and_empty_table(spark):
+    rows = spark.createDataFrame([(1, "http://h.example", "<p>a</p>", "clash", 5)], "page_id long, url string, html string, text string, host int")
+    assert [tuple(r) for r in html_text.extract_text(rows).collect()] == [(1, "http://h.example", "a", 1)]
+    assert html_text.extract_text(rows.limit(0)).count() == 0
+
+
 def test_url_entries_of_any_depth_and_case(spark):
     day = datetime.date(2020, 1, 1)
     changes = spark.createDataFrame([(e, e, day, "add") for e in ("Wiki.example/Wiki/Page", "deep.example/1/2/3/4/5/6")], "entry string, category string, day date, action string")
