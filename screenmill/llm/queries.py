@@ -81,7 +81,7 @@ iv AS (
 d AS (SELECT row_number() OVER () AS r, *, string_split(host, '.') AS l, list_filter(string_split(path, '/'), lambda x: x <> '') AS s FROM p),
 keys AS (
   SELECT r, fetched_on, array_to_string(l[i:], '.') AS entry FROM (SELECT *, unnest(range(1, greatest(len(l), 2))) AS i FROM d WHERE host <> '')
-  UNION SELECT r, fetched_on, host || '/' || array_to_string(s[1:i], '/') FROM (SELECT *, unnest(range(1, least(len(s), 4) + 1)) AS i FROM d WHERE host <> '')),
+  UNION SELECT r, fetched_on, host || '/' || array_to_string(s[1:i], '/') FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM d WHERE host <> '')),
 hit AS (SELECT r, count(*) AS n, min(category) AS category FROM keys JOIN iv USING (entry)
   WHERE fetched_on - date '2020-01-01' >= a AND fetched_on - date '2020-01-01' < b GROUP BY r)
 SELECT page_id, url, fetched_on, coalesce(n, 0)::BIGINT AS n_entries, category, n IS NOT NULL AS blocked FROM d LEFT JOIN hit USING (r)

@@ -4,11 +4,14 @@ A list is a log of dated changes: on `day` an `entry` (a host, standing for all
 prefix) is added to or removed from a `category`.  The changes of an entry become validity intervals [from, to): an add
 opens one, the next removal closes it.  A capture is looked up by its host, its host's parent domains and its path
 prefixes, and the entries that were active on the day of its fetch decide: an as-of join on an equality of keys with a
-comparison of dates.  The page's content is never shuffled, only keys; equal captures are looked up once, and keys are
-salted, so that a host with a third of all captures is dealt to many tasks.
-
-Rows: a null or unparsable URL or a null day matches nothing and is allowed; every capture yields one row; of changes on one day a removal counts after an add; repeated changes count
-once; an empty list allows all; other columns are ignored.
+comparison of dates.  The page's content is never shuffled, only keys; equal captures are looked up once.  Keys that a
+large share of all look-ups have, as those of a host with a third of all captures, are dealt to many tasks, to which
+their entries alone are copied.
+
+Hosts are compared without case and without a dot at their end; an address (IPv4, or IPv6 in brackets) has no parent
+domains.  Rows: a null or unparsable URL or a null day matches nothing and is allowed; every capture yields one row; of
+changes on one day a removal counts after an add; repeated changes count once; an empty list allows all; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -16,12 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Copies of each list entry, among which the captures of a host are dealt.
-SALT = 16
+#: A key with more than this share of all look-ups is dealt to several tasks; so there are at most as many such keys.
+HOT_KEYS, LEAST_SPLIT = 4096, 1000
 
 
 def host_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[]+)", 1)
+    return F.regexp_replace(F.lower(host), r"\.$", "")
 
 
 def path_of(url: Column) -> Column:
@@ -33,7 +37,8 @@ def lookup_keys(host: Column, path: Column, deepest: Column) -> Column:
 
     deepest: the most parts that a prefix of an entry has; longer ones can't match and aren't built.
     """
-    labels = F.split(host, r"\.")
+    address = host.rlike(r"^(?:\[.*\]|[0-9]+(?:\.[0-9]+){3})$")
+    labels = F.when(address, F.array(host)).otherwise(F.split(host, r"\."))
     domains = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
     most = F.least(F.size(parts), deepest)
@@ -44,7 +49,7 @@ def lookup_keys(host: Column, path: Column, deepest: Column) -> Column:
 def intervals(changes: DataFrame) -> DataFrame:
     """entry, category, valid_from, valid_to (null: still active) of a log of changes (entry, category, day, action)."""
     # hosts are the same in either case, paths are not
-    entry = F.concat(F.lower(F.regexp_extract("entry", "^[^/]*", 0)), F.regexp_replace("entry", "^[^/]*", ""))
+    entry = F.concat(F.regexp_replace(F.lower(F.regexp_extract("entry", "^[^/]*", 0)), r"\.$", ""), F.regexp_replace("entry", "^[^/]*", ""))
     log = changes.filter("entry IS NOT NULL AND day IS NOT NULL").groupBy(entry.alias("entry"), F.coalesce("category", F.lit("")).alias("category"), "day").agg(F.min((F.col("action") == "add").cast("int")).alias("adds"))
     w = Window.partitionBy("entry", "category").orderBy("day")
     state = log.withColumn("before", F.lag("adds").over(w)).filter("before IS NULL OR before <> adds")
@@ -62,11 +67,15 @@ def filter_urls(captures: DataFrame, changes: DataFrame) -> DataFrame:
     asked = rows.filter("url IS NOT NULL AND fetched_on IS NOT NULL").select("url", "fetched_on").distinct()
     deepest = changes.agg(F.coalesce(F.max(F.size(F.split("entry", "/")) - 1), F.lit(0)).alias("deepest"))
     keys = asked.crossJoin(F.broadcast(deepest)).select("url", "fetched_on", F.explode(lookup_keys(host_of(F.col("url")), path_of(F.col("url")), F.col("deepest"))).alias("entry"))
-    active = intervals(changes)
-    salted = active.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    # where a key is hot, its look-ups are dealt to parts and its entries copied to each; the list of such keys is bounded
+    totals = keys.groupBy("entry").agg(F.count(F.lit(1)).alias("n"))
+    share = totals.agg(F.greatest(F.ceil(F.sum("n") / HOT_KEYS), F.lit(LEAST_SPLIT)).alias("most"))
+    hot = F.broadcast(totals.crossJoin(F.broadcast(share)).filter("n > most").select("entry", F.ceil(F.col("n") / F.col("most")).cast("int").alias("parts")))
+    part = F.coalesce(F.pmod(F.xxhash64("url", "fetched_on"), F.col("parts")).cast("int"), F.lit(0))
+    dealt = keys.join(hot, "entry", "left").select("url", "fetched_on", "entry", part.alias("part"))
+    active = intervals(changes).join(hot, "entry", "left").select("entry", "category", "valid_from", "valid_to", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
     hits = (
-        keys.withColumn("salt", F.pmod(F.xxhash64("url", "fetched_on"), F.lit(SALT)).cast("int"))
-        .join(salted, ["entry", "salt"])
+        dealt.join(active, ["entry", "part"])
         .filter("fetched_on >= valid_from AND (valid_to IS NULL OR fetched_on < valid_to)")
         .groupBy("url", "fetched_on")
         .agg(F.count(F.lit(1)).alias("n_entries"), F.min("category").alias("category"))

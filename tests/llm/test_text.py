@@ -65,6 +65,32 @@ def test_quality_edges_and_order(spark):
     assert quality.quality(docs.limit(0)).count() == 0
 
 
+def test_cascade_spares_what_a_rejected_document_does_not_need(spark, monkeypatch):
+    """A measure that fails when it is computed: rows that an earlier rule rejects never get there, in the query's own cascade too."""
+    monkeypatch.setitem(quality.MEASURES, "costly", lambda text, words: F.raise_error(F.lit("computed")).cast("long"))
+    costly = quality.Rule("costly", ("costly",), lambda m: m["costly"] > 0)
+    docs = spark.createDataFrame([(1, " ".join(f"##w{c}" for c in "abcdefghijklmnopq"))], "doc_id long, text string")
+    assert quality.quality(docs, [quality.RULES[0], costly]).first().kept is False
+    assert quality.filter_quality(docs, [quality.RULES[0], costly]).count() == 0
+    with pytest.raises(Exception, match="computed"):
+        quality.quality(docs, [costly, quality.RULES[0]]).collect()
+
+
+def test_rules_are_ranked_by_what_is_left(spark):
+    """Of two rules that reject the same rows the second has nothing left to reject."""
+    twin = quality.Rule("twin", ("n_words", "n_symbols"), quality.RULES[0].rejects)
+    rows = spark.createDataFrame([(k, ("## " if k % 2 else "") + "some plain words that go on " * 3) for k in range(200)], "doc_id long, text string")
+    ranked = quality.ranked_rules(rows, (quality.RULES[0], twin, quality.RULES[4]), 1000)
+    gains = {r.name: share for r, share, _ in ranked}
+    assert sorted((gains["symbols"], gains["twin"])) == [0.0, 0.5] and ranked[0][1] == 0.5
+
+
+def test_quality_of_lines_and_digits(spark):
+    texts = ["1234567890 " * 12, "- an item of a list here\n" * 1 + "".join(f"* item {c} of it\n" for c in "abcdefghij"), "".join(f"line {c} that is cut off...\n" for c in "abcdef"), "".join(f"line {c} that is whole\n" for c in "abcdef")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in quality.filter_quality(docs).collect()) == [3]
+
+
 def test_url_intervals(spark):
     day = datetime.date
     log = [("bad.example", "spam", day(2020, 1, 1), "add"), ("bad.example", "spam", day(2020, 1, 1), "add"), ("bad.example", "spam", day(2020, 2, 1), "remove"), ("bad.example", "spam", day(2020, 3, 1), "add"), ("ok.example/ads", "ads", day(2020, 1, 1), "add"), (None, "x", day(2020, 1, 1), "add")]
@@ -178,6 +204,17 @@ def test_url_entries_of_any_depth_and_case(spark):
     assert got == {k: b for k, (_, b) in enumerate(asked)}
 
 
+def test_url_hosts_and_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "LEAST_SPLIT", 3)
+    monkeypatch.setattr(url_filter, "HOT_KEYS", 4)
+    day = datetime.date(2020, 1, 1)
+    changes = spark.createDataFrame([(e, "c", day, "add") for e in ("hot.example.", "[2001:DB8::1]", "3.4", "1.2.3.4")], "entry string, category string, day date, action string")
+    asked = [(f"http://www.hot.example/{k}", True) for k in range(40)] + [("http://hot.example./x", True), ("http://[2001:db8::1]:80/x", True), ("http://[2001:db8::2]/", False), ("http://9.9.3.4/", False), ("http://1.2.3.4/", True)]
+    captures = spark.createDataFrame([(k, u, day, "clash", k) for k, (u, _) in enumerate(asked)], "page_id long, url string, fetched_on date, category string, n int")
+    got = {r.page_id: (r.blocked, r.n_entries) for r in url_filter.filter_urls(captures, changes).collect()}
+    assert got == {k: (b, int(b)) for k, (_, b) in enumerate(asked)}
+
+
 def test_toxicity_counts_all_labelled_rows(spark):
     # forty insults of ten rows each: a sample of a few rows sees few of them
     letters = "abcdefghijklmnopqrstuvwxyz"
