@@ -53,14 +53,28 @@ def work_folder(spark: SparkSession, what: str) -> str:
     return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def settled(df: DataFrame, what: str, tasks: int | None = None) -> DataFrame:
+#: For tables whose rows are megabytes: a row group is closed by its size, not after a hundred rows, and isn't held as a dictionary.
+BLOCK_ROWS = {"parquet.block.size": 1 << 23, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": "false"}
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def settled(df: DataFrame, what: str, tasks: int | None = None, blocks: bool = False) -> DataFrame:
     """The rows written to a table in the shared folder and read again: later steps start from it.
 
     tasks: most tasks, and so files, of the last stage; for tables whose rows are few beside the shuffle partitions.
+    blocks: the rows are packed blocks.
     """
     spark = df.sparkSession
     path = work_folder(spark, what)
-    (df.coalesce(tasks) if tasks else df).write.parquet(path)
+    before = spark.conf.get(BATCH_BYTES, None)
+    spark.conf.set(BATCH_BYTES, "8m")  # what JVM and Python hold of a batch at once
+    try:
+        (df.coalesce(tasks) if tasks else df).write.options(**(BLOCK_ROWS if blocks else {})).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH_BYTES)
+        else:
+            spark.conf.set(BATCH_BYTES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

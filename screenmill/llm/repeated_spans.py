@@ -450,7 +450,7 @@ def remove_repeats(docs: DataFrame, carried: list[str] | None = None, block_byte
     own = [F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")]
     texts = docs.select(*own, *(F.col(f"`{c}`").alias(f"carried_{k}") for k, c in enumerate(carried or ())))
     kinds = None if carried is None else {f"carried_{k}": texts.schema[f"carried_{k}"].dataType.simpleString() for k in range(len(carried))}
-    blocks = settled(packed_blocks(texts, block_bytes), "span-blocks")
+    blocks = settled(packed_blocks(texts, block_bytes), "span-blocks", blocks=True)
     n_shards = max(8, -(-(blocks.agg(F.sum("n_bytes")).first()[0] or 0) // block_bytes))
     # a shard gets a phrase for about sixteen bytes; twice that from one trigger is too much
     hot = hot_triggers(blocks, block_bytes // 8) if hot is None else hot

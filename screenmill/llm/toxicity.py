@@ -370,18 +370,18 @@ def fitted_curve(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[np.ndar
     return mean, deviation, w
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_toxic: int = 4000, sample_ordinary: int = 6000, block_bytes: int = 1 << 25) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_toxic: int = 4000, sample_ordinary: int = 6000, block_bytes: int = 1 << 23) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     return toxic_rows(docs, labels, threshold, sample_toxic, sample_ordinary, block_bytes).drop("text_hash")
 
 
-def toxic_rows(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_toxic: int = 4000, sample_ordinary: int = 6000, block_bytes: int = 1 << 25) -> DataFrame:
+def toxic_rows(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_toxic: int = 4000, sample_ordinary: int = 6000, block_bytes: int = 1 << 23) -> DataFrame:
     """The same with text_hash, the xxhash64 of the row's text."""
     known = sized(known_labels(labels).select("doc_id", "toxic", "fold", (F.col("toxic").cast("int") * FOLDS + F.col("fold")).alias("cell")))
     texts = hashed(docs)
-    blocks = settled(word_blocks(texts.join(known.select("doc_id", "cell"), "doc_id", "left").select("doc_id", "text_hash", "text", F.coalesce("cell", F.lit(-1)).alias("cell")), block_bytes), "toxicity-blocks")
+    blocks = settled(word_blocks(texts.join(known.select("doc_id", "cell"), "doc_id", "left").select("doc_id", "text_hash", "text", F.coalesce("cell", F.lit(-1)).alias("cell")), block_bytes), "toxicity-blocks", blocks=True)
     n_shards = max(8, -(-(blocks.agg(F.sum("n_bytes")).first()[0] or 0) // block_bytes))
-    model = settled(summed(count_shards(blocks, n_shards)), "toxicity-counts")
+    model = settled(summed(count_shards(blocks, n_shards)), "toxicity-counts", blocks=True)
     totals = {r["at"]: r["n"] for r in model.select(F.posexplode("totals").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect()}
     totals = np.array([totals.get(k, 0.0) for k in range((FOLDS + 1) * 8 + 1)])
     if totals[:-1].reshape(FOLDS + 1, 2, 4)[FOLDS, :, 0].min() == 0:
@@ -389,7 +389,7 @@ def toxic_rows(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sampl
     else:
         # the list is bounded by the two parameters, so it is broadcast and the texts are not shuffled
         chosen = fitting_sample(known, sample_toxic, sample_ordinary).select("doc_id", "cell")
-        sample = settled(word_blocks(texts.join(F.broadcast(chosen), "doc_id"), block_bytes // 8), "toxicity-sample")
+        sample = settled(word_blocks(texts.join(F.broadcast(chosen), "doc_id"), block_bytes // 2), "toxicity-sample", blocks=True)
         fit = with_features(sample, evidence_of(sample, model, totals, n_shards, tuple(range(FOLDS))), True, None).toArrow()
         x = np.stack([fit[f"x{k}"].to_numpy() for k in range(FEATURES)], 1)
         y = np.array(fit["toxic"].to_pylist(), np.float64)
