@@ -96,6 +96,7 @@ class WordBpe:
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.known_bytes = 0
+        self.long: list[str] = []
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all words, one after another, and each word's count."""
@@ -156,9 +157,9 @@ class WordBpe:
         new = {w for ws in compound.values() for w in ws if w not in known}
         new.update(c for c in chunks if c not in compound)
         if self.old:
-            for w in new & self.old.keys():
-                known[w] = self.old[w]
-            new -= known.keys()
+            old = [w for w in new if w in self.old]
+            known.update(zip(old, [self.old[w] for w in old], strict=True))
+            new.difference_update(old)
         if new:
             words = list(new)
             ids, counts = self.merge([w.encode() for w in words])
@@ -166,8 +167,9 @@ class WordBpe:
             known.update(zip(words, [data[a:b] for a, b in zip([0, *ends], ends)], strict=True))
             self.known_bytes += sum(map(len, words)) + len(data)
         for c, ws in compound.items():
-            known[c] = b"".join([known[w] for w in ws])
-            self.known_bytes += len(c) + len(known[c])
+            ids = known[c] = b"".join([known[w] for w in ws])
+            self.known_bytes += len(c) + len(ids)
+        self.long += [c for c in (*compound, *new) if len(c) > LONGEST_KEPT]
 
     def cut(self, chunk: str) -> list[str]:
         """The chunk's words by the vocabulary's pattern; letters with one mark behind them need no search."""
@@ -201,12 +203,12 @@ class WordBpe:
         for parts in cut:
             for chunks in parts:
                 missing.update(chunks)
-        missing -= self.known.keys()
+        missing = missing.difference(self.known)
         if self.old:
-            for c in missing & self.old.keys():
-                self.known[c] = self.old[c]
-                self.known_bytes += len(c) + len(self.known[c])
-            missing -= self.known.keys()
+            for c in [c for c in missing if c in self.old]:
+                ids = self.known[c] = self.old[c]
+                self.known_bytes += len(c) + len(ids)
+                missing.remove(c)
         if missing:
             self.learn(missing)
         get = self.known.__getitem__
@@ -218,8 +220,9 @@ class WordBpe:
                 for mark, chunks in zip(marks, parts[1:], strict=True):
                     joined += [mark, *map(get, chunks)]
             out.append(joined[0] if len(joined) == 1 else b"".join(joined))
-        for c in [c for c in self.known if len(c) > LONGEST_KEPT] if any(len(c) > LONGEST_KEPT for c in missing) else ():
-            del self.known[c]
+        for c in self.long:
+            self.known.pop(c, None)
+        self.long.clear()
         return out
 
 
