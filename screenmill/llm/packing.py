@@ -1,41 +1,42 @@
 """Lexical retrieval packing of documents into token sequences.
 
 A first pass encodes each document once, and a Spark aggregation counts the BM25 statistics (document frequencies, number
-and mean length of documents) over all of them.  Documents are then put into an order by lexical content: the key is a
-list of four min-hashes over a document's terms, in which a term counts by its square idf and terms of a single document
-come last.  The order is cut into shards of about `shard_docs` documents.  So documents with a common rare term lie side
-by side, a term of more documents than a shard holds is split by the next min-hash, and whole rows are kept.  Each shard
-has a BM25 inverted index of its documents' token ids.  A sequence starts with a seed (the cut-off rest of the document
-before, or else the next unused document); the index returns the seed's best unused neighbours in order of their scores,
-which fill the window greedily; the one that goes over is cut, and its rest seeds the next sequence.  So only the last
-sequence of a shard can be short; it is cut into powers of two, which are not padded.
-
-Shards bound what one task holds, and their number follows the number of documents.  No document or term is dropped.
-Neighbours are those of the shard: the nearer two documents are, the likelier they meet in one, but this isn't certain,
-and a neighbour in another shard isn't found.  In a shard, neighbours without a common term come last, in order of ids.
-
-Rows: a null text counts as empty: one token, the end mark; repeated rows are packed each; other columns are ignored; an
-empty table yields an empty table.
+and mean length of documents) over all of them.  Documents are then sorted by lexical content: the key is a list of four
+min-hashes over a document's terms, in which a term counts by its square idf and terms of a single document come last.
+The order is cut into shards of at most `shard_docs` documents and `shard_bytes` of ids.  So documents with a common rare
+term lie side by side, a term of more documents than a shard holds is split by the next min-hash, and whole rows are kept.
+Each shard has a BM25 inverted index of its documents' token ids.  A sequence starts with a seed (the cut-off rest of the
+document before, or else the next unused document); the index returns the seed's best unused neighbours in order of their
+scores, which fill the window greedily; the one that goes over is cut, and its rest seeds the next sequence.  So only the
+last sequence of a shard can be short; it is cut into powers of two, which are not padded.
+
+Shards bound what one task holds, and their number follows the documents.  No document or term is dropped.  Neighbours
+are those of the shard: the nearer two documents are, the likelier they meet in one, but this isn't certain, and a
+neighbour in another shard isn't found.  In a shard, neighbours without a common term come last, in order.
+
+Rows: a null text counts as empty: one token, the end mark; repeated rows are packed each, null doc_ids too; other columns
+are ignored; an empty table yields an empty table.
 """
 
 from __future__ import annotations
 
 import zlib
-
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, map_arrow, mix64, settled, text_bytes
+from .common import block_number, gathered, keyed_texts, map_arrow, mix64, release, settled, text_bytes
 from .word_bpe import loaded
 
 K1, B = 1.2, 0.75
 #: Min-hashes of a document, 16 bits each.
 KEYS = 4
+#: Terms whose postings are multiplied at once.
+TERMS_AT_ONCE = 4096
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -87,7 +88,7 @@ def lexical_keys(tokens: np.ndarray, bounds: np.ndarray, ranks: np.ndarray) -> n
 
 
 class ShardIndex:
-    """BM25 postings of one shard: term -> (documents, weights)."""
+    """BM25 postings of one shard, and from them the scores of all its documents as neighbours of each."""
 
     def __init__(self, docs: list[np.ndarray], corpus: Corpus):
         n = len(docs)
@@ -95,23 +96,22 @@ class ShardIndex:
         owner = np.repeat(np.arange(n), sizes.astype(np.int64))
         # a posting for each pair of term and document, sorted by term
         keys, counts = np.unique(np.concatenate(docs).astype(np.int64) * n + owner, return_counts=True)
-        terms, self.docs = keys // n, (keys % n).astype(np.int32)
-        self.terms, self.starts = np.unique(terms, return_index=True)
-        self.stops = np.append(self.starts[1:], len(terms))
-        idf = np.repeat(corpus.idf()[self.terms], self.stops - self.starts)
+        terms, of = keys // n, keys % n
         norm = K1 * (1 - B + B * sizes / max(corpus.mean, 1))
-        self.weights = (idf * counts * (K1 + 1) / (counts + norm[self.docs])).astype(np.float32)
-        # the terms of each document, as places in self.terms
-        by_doc = np.argsort(self.docs, kind="stable")
-        self.of_doc = np.searchsorted(self.terms, terms)[by_doc]
-        self.first = np.searchsorted(self.docs[by_doc], np.arange(n + 1))
-        self.n = n
-
-    def scores(self, doc: int) -> np.ndarray:
-        own = self.of_doc[self.first[doc] : self.first[doc + 1]]
-        starts, sizes = self.starts[own], self.stops[own] - self.starts[own]
-        at = np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-        return np.bincount(self.docs[at], self.weights[at], self.n)
+        weights = corpus.idf()[terms] * counts * (K1 + 1) / (counts + norm[of])
+        # only terms of several documents make neighbours
+        fresh = np.flatnonzero(np.r_[True, terms[1:] != terms[:-1]])
+        times = np.diff(np.r_[fresh, len(terms)])
+        use = np.repeat(times > 1, times)
+        place = np.repeat(np.cumsum(times > 1) - 1, times)[use]
+        of, weights = of[use], weights[use]
+        self.scores = np.zeros((n, n), np.float32)
+        for low in range(0, int((times > 1).sum()), TERMS_AT_ONCE):
+            k = slice(*np.searchsorted(place, (low, low + TERMS_AT_ONCE)))
+            weighed, there = np.zeros((2, n, TERMS_AT_ONCE), np.float32)
+            weighed[of[k], place[k] - low] = weights[k]
+            there[of[k], place[k] - low] = 1
+            self.scores += there @ weighed.T
 
 
 def fill(docs: list[np.ndarray], window: int, corpus: Corpus | None = None) -> list[tuple[int, int, int, int, int]]:
@@ -146,7 +146,7 @@ def fill(docs: list[np.ndarray], window: int, corpus: Corpus | None = None) -> l
                 done += 1
             if done == len(docs):
                 break
-            score = np.where(unused, index.scores(seed), -1.0)
+            score = np.where(unused, index.scores[seed], -1.0)
             queue = np.lexsort((np.arange(len(docs)), -score))[: int(unused.sum())][::-1].tolist()
         doc = queue.pop()
         before = sequence
@@ -219,10 +219,9 @@ def corpus_of(coded: DataFrame) -> Corpus:
     return Corpus(n, tokens / max(n, 1), df)
 
 
-def sharded(coded: DataFrame, corpus: Corpus, shard_docs: int) -> DataFrame:
-    """doc_id, ids and shard: the order by lexical keys, cut into shards of equal numbers of documents."""
-    spark = coded.sparkSession
-    shared = spark.sparkContext.broadcast(term_ranks(corpus))
+def in_order(coded: DataFrame, corpus: Corpus) -> DataFrame:
+    """doc_id and ids, sorted by lexical keys."""
+    shared = coded.sparkSession.sparkContext.broadcast(term_ranks(corpus))
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -232,18 +231,21 @@ def sharded(coded: DataFrame, corpus: Corpus, shard_docs: int) -> DataFrame:
         return work
 
     keyed = map_arrow(coded, make, "doc_id long, ids binary, key long")
-    # a place is a task's number and a row's number in it (33 bits); the tasks' sizes make it a rank in the whole order
-    ordered = settled(keyed.orderBy("key", "doc_id", F.xxhash64("ids")).select("doc_id", "ids", F.monotonically_increasing_id().alias("place")), "packing-order")
-    task = F.shiftright("place", 33).alias("task")
-    sizes = sorted((r["task"], r["n"]) for r in ordered.groupBy(task).agg(F.count(F.lit(1)).alias("n")).collect())
-    before = np.cumsum([0, *(n for _, n in sizes)]).tolist()
-    firsts = spark.createDataFrame([(t, b) for (t, _), b in zip(sizes, before, strict=False)], "task long, before long")
-    rank = F.col("before") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
-    shard = F.floor(rank * F.lit(-(-corpus.n // shard_docs)) / F.lit(corpus.n)).alias("shard")
-    return ordered.select("*", task).join(F.broadcast(firsts), "task").select("doc_id", "ids", shard)
-
-
-def pack(docs: DataFrame, window: int = 2048, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, shard_docs: int = 400) -> DataFrame:
+    return keyed.orderBy("key", "doc_id", F.xxhash64("ids")).select("doc_id", "ids")
+
+
+def packed_shard(rows: pa.Table, window: int, corpus: Corpus, first_sequence: int) -> tuple[pa.RecordBatch, int]:
+    """The pieces of a shard's documents and the number of its sequences."""
+    coded = [np.frombuffer(x, "<u2") for x in rows.column("ids").to_pylist()]
+    pieces = last_split(fill(coded, window, corpus), window)
+    crc = [zlib.crc32(coded[d][s : s + n].astype("<u4").tobytes()) for d, s, n, _, _ in pieces]
+    doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*pieces, strict=True))
+    sizes = np.array([len(x) for x in coded], np.int64)
+    columns = [rows.column("doc_id").combine_chunks().take(pa.array(doc)), start, length, np.array(crc, np.int64), sizes[doc], first_sequence + sequence, offset]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split(" ")[0] for c in PIECES.split(", ")]), int(sequence.max()) + 1
+
+
+def pack(docs: DataFrame, window: int = 2048, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, shard_docs: int = 400, shard_bytes: int = 1 << 21) -> DataFrame:
     """One row for each piece of a document, with its place in a sequence."""
     spark = docs.sparkSession
     coded = settled(encoded(docs, vocabulary, end_id), "packing-ids")
@@ -252,14 +254,15 @@ def pack(docs: DataFrame, window: int = 2048, vocabulary: str = "word_bpe_49k.js
         return spark.createDataFrame([], PIECES)
     shared = spark.sparkContext.broadcast(corpus)
 
-    def work(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "ids"], kind="stable", na_position="first")
-        coded = [np.frombuffer(x, "<u2") for x in rows["ids"].tolist()]
-        ids = rows["doc_id"].astype("Int64").tolist()
-        pieces = last_split(fill(coded, window, shared.value), window)
-        first = int(key[0]) << 32
-        crc = [zlib.crc32(coded[d][s : s + n].astype("<u4").tobytes()) for d, s, n, _, _ in pieces]
-        doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*pieces, strict=True))
-        return pd.DataFrame({"doc_id": pd.array([ids[d] for d in doc], "Int64"), "start": start, "length": length, "ids_crc32": np.array(crc, np.int64), "doc_tokens": np.array([len(coded[d]) for d in doc], np.int64), "sequence_id": first + sequence, "offset": offset})
-
-    return sharded(coded, corpus, shard_docs).groupBy("shard").applyInPandas(work, PIECES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sequences = 0
+        try:
+            # the task's rows come in order, so a shard is what follows one another
+            for shard in gathered(batches, shard_bytes, shard_docs):
+                pieces, n = packed_shard(shard, window, shared.value, block_number(0) + sequences)
+                sequences += n
+                yield pieces
+        finally:
+            release()
+
+    return in_order(coded, corpus).mapInArrow(run, PIECES)

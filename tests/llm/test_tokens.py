@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import zlib
 from collections import defaultdict
 
@@ -13,6 +14,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from screenmill.llm import byte_bpe, packing, word_bpe
@@ -122,16 +124,50 @@ def test_related_documents_meet_in_a_shard(spark):
     texts = [np.frombuffer(r.ids, "<u2") for r in coded.collect()]
     assert corpus.n == 400 and corpus.mean == np.mean([len(d) for d in texts])
     assert np.array_equal(corpus.df, packing.counted(texts).df)
-    shards = defaultdict(set)
-    for r in packing.pack(docs, shard_docs=40).collect():
-        shards[r.sequence_id >> 32].add(r.doc_id)
-    assert len(shards) == 10 and all(len(s) == 40 for s in shards.values())
+    order = [r.doc_id for r in packing.in_order(coded, corpus).collect()]
+    shards = {k: set(order[k : k + 40]) for k in range(0, 400, 40)}
     pairs = [a % 40 == b % 40 for s in shards.values() for a in s for b in s if a < b]
     # of 1800 pairs of a topic a tenth would meet at random
     assert sum(pairs) > 0.4 * 1800
 
 
-def test_copies_and_equal_rows_are_spread_evenly(spark):
-    docs = spark.createDataFrame([(None, "the same text again and again")] * 50 + [(7, "another")], "doc_id long, text string")
-    rows = packing.sharded(packing.encoded(docs, "word_bpe_49k.json", 1), packing.corpus_of(packing.encoded(docs, "word_bpe_49k.json", 1)), 10).groupBy("shard").count().collect()
-    assert len(rows) == 6 and max(r["count"] for r in rows) <= 10
+def test_copies_and_equal_rows_are_packed_each(spark, word_library):
+    docs = spark.createDataFrame([(None, "the same text again and again")] * 50 + [(7, "another")] * 2 + [(8, None)], "doc_id long, text string").withColumn("ids", F.lit("clash"))
+    rows = packing.pack(docs, shard_docs=10).collect()
+    size = {text: len(word_library.encode(text or "", add_special_tokens=False).ids) + 1 for text in ("the same text again and again", "another", None)}
+    assert sum(r.length for r in rows) == 50 * size["the same text again and again"] + 2 * size["another"] + size[None]
+    assert sum(r.length for r in rows if r.doc_id is None) == 50 * size["the same text again and again"]
+    places = sorted((r.sequence_id, r.offset, r.length) for r in rows)
+    assert all(b[1] == (a[1] + a[2] if a[0] == b[0] else 0) for a, b in zip(places, places[1:], strict=False))
+
+
+def test_neighbours_equal_plain_bm25():
+    """The scores by the formula, document by document, and the order in which a window takes its neighbours."""
+    rng = np.random.default_rng(5)
+    docs = [np.append(rng.integers(0, 300, rng.integers(5, 60)), 1).astype("<u2") for _ in range(40)]
+    corpus = packing.counted(docs)
+    n, mean = len(docs), sum(map(len, docs)) / len(docs)
+    df = {t: sum(t in d for d in docs) for t in range(300)}
+
+    def score(seed, doc):
+        total = 0.0
+        for t in set(docs[seed].tolist()):
+            tf = int((docs[doc] == t).sum())
+            if tf:
+                total += math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(docs[doc]) / mean))
+        return total
+
+    got = packing.ShardIndex(docs, corpus).scores
+    own = [max(score(k, k) for k in range(n))]
+    assert all(abs(got[a, b] - score(a, b)) < 1e-3 * own[0] for a in range(n) for b in range(n) if a != b)
+    pieces = packing.fill(docs, 100_000, corpus)
+    assert [p[0] for p in pieces] == [0, *sorted(range(1, n), key=lambda k: (-np.float32(got[0, k]), k))]
+
+
+def test_a_shard_is_bounded_by_bytes(spark):
+    docs = spark.createDataFrame([(k, f"word{k} " * 3000) for k in range(12)], "doc_id long, text string")
+    rows = packing.pack(docs.coalesce(1), shard_bytes=20_000).collect()
+    sequences = defaultdict(set)
+    for r in rows:
+        sequences[r.doc_id].add(r.sequence_id)
+    assert len(set.union(*sequences.values())) > 12 and sum(r.length for r in rows) == sum(r.doc_tokens for r in rows if r.start == 0)
