@@ -92,7 +92,7 @@ def runs_with_project(runs: DataFrame, projects: DataFrame, how: str = "inner")
 
 def run_detail(runs: DataFrame, projects: DataFrame, outputs: DataFrame) -> DataFrame:
     """Each run with the first output row (lowest id) of each of its agents; runs without outputs stay."""
-    first = outputs.groupBy("run_id", "agent").agg(F.min_by(F.struct("model", "input_tokens", "output_tokens", "cost_usd", "duration_ms"), "id").alias("o")).select("run_id", "agent", "o.*")
+    first = outputs.groupBy("run_id", "agent").agg(F.min_by(F.struct("model", "input_tokens", "output_tokens", "cost_usd", "duration_ms"), F.struct("id", "cost_usd", "input_tokens")).alias("o")).select("run_id", "agent", "o.*")
     named = runs.join(projects.select(F.col("id").alias("project_id"), F.col("name").alias("project_name")), "project_id", "left")
     return named.select(F.col("id").alias("run_id"), "project_id", "project_name", "total_cost_usd").join(first, "run_id", "left")
 

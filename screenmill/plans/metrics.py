@@ -63,10 +63,10 @@ def runs_with_project(t: Tables):
     return rounded(M.runs_with_project(t.runs(), t.projects().filter("id % 7 <> 0"), "left"))
 
 
-@query(f"""WITH {OUTPUTS}, f AS (SELECT run_id, agent, arg_min((input_tokens, id), (id, input_tokens)) AS o FROM (SELECT run_id, agent, id, input_tokens FROM outputs) GROUP BY run_id, agent)
-SELECT o_orderkey AS run_id, o_custkey AS project_id, c_name AS project_name, agent FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN f ON run_id = o_orderkey""")
+@query(f"""WITH {OUTPUTS}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, agent ORDER BY id, cost_usd, input_tokens) AS k FROM outputs) WHERE k = 1)
+SELECT o_orderkey AS run_id, o_custkey AS project_id, c_name AS project_name, round(o_totalprice, 2) AS total_cost_usd, agent, model, input_tokens, output_tokens, round(cost_usd, 2) AS cost_usd, duration_ms FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN f ON run_id = o_orderkey""")
 def run_detail(t: Tables):
-    return M.run_detail(t.runs(), t.projects(), t.outputs()).select("run_id", "project_id", "project_name", "agent")
+    return rounded(M.run_detail(t.runs(), t.projects(), t.outputs()))
 
 
 @query("""WITH price AS (SELECT p_brand AS model, 'Label ' || p_brand AS label, min(p_retailprice) AS i, max(p_retailprice) AS o FROM part WHERE p_brand < 'Brand#4' GROUP BY p_brand),

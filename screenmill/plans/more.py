@@ -15,6 +15,7 @@ from screenmill.operators import metrics as R
 from screenmill.operators import spatial as P
 from screenmill.plans.registry import OUTPUTS, Tables, query
 from screenmill.plans.report import CELLS, SITES, cells, features, ordered_cells, sites, squares
+from screenmill.plans.search import chunks
 from screenmill.plans.text import sections_of
 
 
@@ -149,20 +150,20 @@ def feature_summary(t: Tables):
 
 
 @query(f"""WITH {SITES}, z AS (SELECT s_suppkey AS k, -90.0013 + (s_suppkey * 17) % 100 / 10 AS x, 35.0017 + (s_suppkey * 43) % 100 / 10 AS y FROM supplier)
-SELECT project_id, z.k % 4 AS county, z.k AS tract, CASE WHEN z.k % 5 <> 0 THEN round((z.k * 10 - z.k * 3) / (z.k * 10), 4) END AS minority_share FROM sites JOIN z ON slon > x AND slon < x + 0.5 AND slat > y AND slat < y + 0.5""")
+SELECT project_id, z.k % 4 AS county, z.k AS tract, CASE WHEN z.k % 5 <> 0 THEN round((z.k * 10 - z.k * 3) / (z.k * 10), 4) END AS minority_share, CASE WHEN z.k % 2 = 0 AND z.k > 0 THEN 0.25 END AS poverty_share FROM sites JOIN z ON slon > x AND slon < x + 0.5 AND slat > y AND slat < y + 0.5""")
 def site_demographics(t: Tables):
     k = F.col("s_suppkey")
     tracts = squares(t).select(F.lit(42).alias("state"), (F.col("zone_id") % 4).alias("county"), F.col("zone_id").alias("tract"), "ring")
-    acs = t.supplier.select(F.lit(42).alias("state"), (k % 4).alias("county"), k.alias("tract"), F.when(k % 5 != 0, k * 10).otherwise(0).alias("race_total"), (k * 3).alias("white_nh"), F.lit(0).alias("poverty_total"), F.lit(0).alias("below_poverty"))
-    return P.demographics(sites(t), tracts, acs).select("project_id", "county", "tract", "minority_share")
+    acs = t.supplier.select(F.lit(42).alias("state"), (k % 4).alias("county"), k.alias("tract"), F.when(k % 5 != 0, k * 10).otherwise(0).alias("race_total"), (k * 3).alias("white_nh"), F.when(k % 2 == 0, k * 4).otherwise(0).alias("poverty_total"), k.alias("below_poverty"))
+    return P.demographics(sites(t), tracts, acs).select("project_id", "county", "tract", "minority_share", "poverty_share")
 
 
-@query(f"""WITH {OUTPUTS}, f AS (SELECT run_id, agent, max(input_tokens) AS i, max(output_tokens) AS o, max(duration_ms) AS d FROM outputs GROUP BY 1, 2)
-SELECT run_id, sum(i)::BIGINT AS total_input_tokens, sum(o)::BIGINT AS total_output_tokens, sum(d)::BIGINT AS total_duration_ms FROM f GROUP BY run_id""")
+@query(f"""WITH {OUTPUTS}, f AS (SELECT run_id, agent, max(input_tokens) AS i, max(output_tokens) AS o, max(duration_ms) AS d, max(cost_usd) AS c FROM outputs GROUP BY 1, 2)
+SELECT run_id, round(sum(c), 2) AS total_cost_usd, sum(i)::BIGINT AS total_input_tokens, sum(o)::BIGINT AS total_output_tokens, sum(d)::BIGINT AS total_duration_ms FROM f GROUP BY run_id""")
 def saved_runs(t: Tables):
     per = t.outputs().groupBy("run_id", "agent").agg(*(F.max(c).alias(c) for c in ("input_tokens", "output_tokens", "duration_ms", "cost_usd")))
     payloads = per.groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("agent", F.struct("input_tokens", "output_tokens", "duration_ms", "cost_usd")))).alias("agents")).withColumn("project_id", F.lit(1)).withColumn("started_at", F.lit("2026-01-01T00:00:00Z"))
-    return R.build_runs(payloads)[0].select("run_id", "total_input_tokens", "total_output_tokens", "total_duration_ms")
+    return R.build_runs(payloads)[0].select("run_id", F.round("total_cost_usd", 2).alias("total_cost_usd"), "total_input_tokens", "total_output_tokens", "total_duration_ms")
 
 
 @query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'ready' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 3 = 0 THEN 9 ELSE 1 END AS chunks_total, CASE WHEN o_orderkey % 2 <> 0 THEN 'old' END AS status_message FROM orders""")
@@ -172,11 +173,11 @@ def applied_status(t: Tables):
     return G.apply_status(rows, updates)
 
 
-@query("SELECT event_id::VARCHAR AS correlation_id, 'started' AS status, NULL AS chunks_count FROM events UNION ALL SELECT event_id::VARCHAR, CASE WHEN event_id % 3 = 0 THEN 'failed' ELSE 'ready' END, event_id % 10 FROM events")
+@query("SELECT event_id::VARCHAR AS correlation_id, 'started' AS status, NULL AS chunks_count, NULL AS duration_ms, ts FROM events UNION ALL SELECT event_id::VARCHAR, CASE WHEN event_id % 3 = 0 THEN 'failed' ELSE 'ready' END, event_id % 10, event_id % 1000, ts + INTERVAL 5 SECOND FROM events")
 def audit_rows(t: Tables):
     k = F.col("event_id")
-    runs = t.events.select(k.cast("string").alias("correlation_id"), F.col("ts").alias("started_at"), F.col("ts").alias("finished_at"), (k % 3 != 0).alias("ok"), (k % 1000).alias("duration_ms"), (k % 10).alias("chunks_count"), F.lit(None).cast("string").alias("error_message"))
-    return G.audit_pair(runs).select("correlation_id", "status", "chunks_count")
+    runs = t.events.select(k.cast("string").alias("correlation_id"), F.col("ts").alias("started_at"), (F.col("ts") + F.expr("INTERVAL 5 SECONDS")).alias("finished_at"), (k % 3 != 0).alias("ok"), (k % 1000).alias("duration_ms"), (k % 10).alias("chunks_count"), F.lit(None).cast("string").alias("error_message"))
+    return G.audit_pair(runs).select("correlation_id", "status", "chunks_count", "duration_ms", "ts")
 
 
 @query()
@@ -185,11 +186,65 @@ def chunk_metadata(t: Tables):
     return C.build_metadata(C.chunk_regulation(sections_of(t)), sources).drop("body", "embedding_text")
 
 
-@query()
-def runt_report(t: Tables):
-    return C.runts(C.chunk_regulation(sections_of(t)), 300).select("doc_id", "chunk_no", "token_count", "problem")
-
-
 @query()
 def hashed_embeddings(t: Tables):
     return t.documents.select("doc_id", K.embedder(dim=32)(F.coalesce("text", F.lit(""))).alias("embedding"))
+
+
+@query("SELECT label::VARCHAR AS source, count(*) AS n FROM embeddings GROUP BY 1")
+def chunk_totals(t: Tables):
+    return B.chunk_counts(chunks(t), "source")
+
+
+@query("""SELECT project_id, printf('POLYGON((%.6f %.6f, %.6f %.6f, %.6f %.6f, %.6f %.6f, %.6f %.6f))', x - 0.05, y - 0.05, x + 0.05, y - 0.05, x + 0.05, y + 0.05, x - 0.05, y + 0.05, x - 0.05, y - 0.05) AS wkt
+FROM (SELECT c_custkey AS project_id, (35 + (c_custkey * 37) % 1000 / 100)::DOUBLE AS y, (-90 + (c_custkey * 53) % 1000 / 100)::DOUBLE AS x FROM customer)""")
+def site_boxes(t: Tables):
+    return sites(t).select("project_id", X.box_wkt(F.col("lat"), F.col("lon"), 0.05).alias("wkt"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 <> 0 THEN make_timestamp(2024, 1 + (o_orderkey % 12)::INT, 15, 10, (o_orderkey % 60)::INT, 0.0) END AS started_at FROM orders")
+def started_at(t: Tables):
+    k = F.col("o_orderkey")
+    text = F.concat(F.lit("2024-"), F.lpad((1 + k % 12).cast("string"), 2, "0"), F.lit("-15T10:"), F.lpad((k % 60).cast("string"), 2, "0"), F.lit(":00"), F.when(k % 2 == 0, "Z").otherwise(""))
+    return t.orders.select(k.alias("id"), X.parse_started_at(F.when(k % 3 == 0, F.concat(F.lit("soon "), text)).otherwise(text)).cast("timestamp_ntz").alias("started_at"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'bat' WHEN s_suppkey % 3 = 1 THEN 'myotis' ELSE 'Unknown' END AS name FROM supplier")
+def species_names(t: Tables):
+    k = F.col("s_suppkey") % 3
+    return t.supplier.select("s_suppkey", P.species_name(F.when(k == 0, "bat").when(k == 1, ""), F.when(k < 2, "myotis").otherwise("")).alias("name"))
+
+
+@query("SELECT doc_id, array_to_string(string_split(coalesce(text, ''), ' ')[1:5], ' ') AS first_words FROM documents")
+def capped_lists(t: Tables):
+    return t.documents.select("doc_id", F.array_join(X.cap_list(F.split(F.coalesce("text", F.lit("")), " "), 5), " ").alias("first_words"))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS id, CASE WHEN s_nationkey < 12 THEN s_nationkey END AS owner FROM supplier)
+SELECT n_nationkey AS project_id, coalesce(array_to_string(list_sort(list(id) FILTER (id IS NOT NULL)), ','), '') AS source_ids, count(id) = 0 AS sees_all FROM nation LEFT JOIN s ON owner = n_nationkey GROUP BY n_nationkey""")
+def source_scopes(t: Tables):
+    sources = t.supplier.select(F.col("s_suppkey").alias("id"), F.when(F.col("s_nationkey") < 12, F.col("s_nationkey")).alias("project_id"), F.lit("ready").alias("status"))
+    return B.source_scopes(t.nation.select(F.col("n_nationkey").alias("project_id")), sources).select("project_id", F.array_join(F.col("source_ids").cast("array<string>"), ",").alias("source_ids"), "sees_all")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN chr(65533) || 'a' ELSE '§§1501.7 see ' || '\"quoted\" § 4332' END AS text, CASE WHEN doc_id % 3 = 0 THEN '?a' ELSE '' END AS warnings FROM documents")
+def recovered_chars(t: Tables):
+    raw = F.when(F.col("doc_id") % 3 == 0, F.lit(f"{X.LOST}a")).otherwise(F.lit(f"{X.LOST * 2}1501.7 see {X.LOST}quoted{X.LOST} {X.LOST} 4332"))
+    return t.documents.select("doc_id", X.recover_chars(raw).alias("text")).withColumn("warnings", F.array_join(X.lost_contexts(F.col("text")), "|"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'App' WHEN 1 THEN 'AppIII' WHEN 2 THEN 'AppB' WHEN 3 THEN 'App_some_thing' ELSE 'AppC' END AS appendix, CASE WHEN doc_id % 2 = 0 THEN 'Heading of ' || doc_id ELSE 'Heading § ' || doc_id END AS title FROM documents""")
+def appendix_ids(t: Tables):
+    k, number = F.col("doc_id") % 5, F.col("doc_id").cast("string")
+    raw = F.when(k == 0, "").when(k == 1, "Appendix iii to Part 800").when(k == 2, "B").when(k == 3, "some  thing").otherwise("appendix c")
+    head = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("§ "), number, F.lit(".  Heading of "), number)).otherwise(F.concat(F.lit("Heading § "), number))
+    return t.documents.select("doc_id", X.appendix_id(raw).alias("appendix"), X.strip_section_prefix(head, number).alias("title"))
+
+
+@query("""WITH t AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'ecfr' ELSE 'pdf' END AS source_type, o_custkey AS cfr_title, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey::VARCHAR END AS cfr_part, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey END AS effective_date, o_orderkey AS u FROM orders)
+SELECT id, source_type, cfr_title, cfr_part, effective_date, CASE WHEN id % 4 = 0 THEN 'new' ELSE 'old' END AS filename, CASE WHEN id % 4 = 0 THEN 'pending' ELSE 'ready' END AS status, CASE WHEN id % 4 <> 0 THEN 7 END AS chunks_total FROM t WHERE cfr_part IS NOT NULL OR effective_date IS NOT NULL""")
+def upserted_sources(t: Tables):
+    k = F.col("o_orderkey")
+    rows = t.orders.select(k.alias("id"), F.when(k % 2 == 0, "ecfr").otherwise("pdf").alias("source_type"), F.col("o_custkey").alias("cfr_title"), F.when(k % 3 != 0, k.cast("string")).alias("cfr_part"), F.when(k % 5 != 0, k).alias("effective_date"), F.lit("old").alias("filename"), F.lit("ready").alias("status"), F.lit(7).alias("chunks_total")).filter("cfr_part IS NOT NULL OR effective_date IS NOT NULL")
+    again = rows.filter("id % 4 = 0").select((F.col("id") + 10_000_000).alias("id"), *G.SOURCE_KEY, F.lit("new").alias("filename"))
+    return G.upsert_sources(rows, again)

@@ -49,14 +49,16 @@ def disclaimer_items(t: Tables):
     return M.disclaimers(cells(t)).select("project_id", "action", "category", "confidence")
 
 
-@query(f"WITH {CELLS} SELECT project_id, category, count(*) AS n_cells FROM cells GROUP BY 1, 2")
+@query(f"WITH {CELLS} SELECT project_id, category, count(*) AS n_cells, string_agg(action || '/' || significance || '/' || printf('%.1f', confidence), ', ' ORDER BY run_id) AS cells FROM cells GROUP BY 1, 2")
 def cells_by_category(t: Tables):
-    return M.by_category(cells(t)).select("project_id", "category", "n_cells")
+    text = F.transform("cells", lambda c: F.concat_ws("/", c["action"], c["significance"], F.format_string("%.1f", c["confidence"])))
+    return M.by_category(ordered_cells(t)).select("project_id", "category", "n_cells", F.array_join(text, ", ").alias("cells"))
 
 
-@query(f"WITH {CELLS} SELECT project_id, 'avoidance' AS mitigation, count(*) AS n_cells FROM cells GROUP BY 1")
+@query(f"WITH {CELLS} SELECT project_id, 'avoidance' AS mitigation, count(*) AS n_cells, string_agg(action || '/' || category, ', ' ORDER BY run_id) AS cells FROM cells GROUP BY 1")
 def cells_by_mitigation(t: Tables):
-    return M.by_mitigation(cells(t)).select("project_id", "mitigation", "n_cells")
+    text = F.transform("cells", lambda c: F.concat_ws("/", c["action"], c["category"]))
+    return M.by_mitigation(ordered_cells(t)).select("project_id", "mitigation", "n_cells", F.array_join(text, ", ").alias("cells"))
 
 
 def ordered_cells(t: Tables):
@@ -120,12 +122,14 @@ def category_labels(t: Tables):
  coalesce(avg(CASE WHEN label = 'TN' THEN NULL WHEN abs(a - s) = 0 THEN 1.0 WHEN abs(a - s) = 1 THEN 0.5 ELSE 0.0 END), 0) AS acc FROM l GROUP BY project_id),
 r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 1.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 1.0 END AS q FROM n),
 f AS (SELECT *, CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0.0 END AS f FROM r)
-SELECT project_id, round(f, 4) AS category_f1, round(p, 4) AS category_precision, round(q, 4) AS category_recall, round(acc, 4) AS significance_accuracy, round(0.4 * f + 0.4 * acc, 4) AS overall_score FROM f""")
+SELECT project_id, round(f, 4) AS category_f1, round(p, 4) AS category_precision, round(q, 4) AS category_recall, round(acc, 4) AS significance_accuracy, round(0.4 * f + 0.4 * acc, 4) AS overall_score,
+ tp + fp + fn AS significance_samples, tps, fps, fns FROM f JOIN (SELECT project_id, {', '.join(f"coalesce(string_agg(category, ',' ORDER BY category) FILTER (label = '{x.upper()}'), '') AS {x}s" for x in ('tp', 'fp', 'fn'))} FROM l GROUP BY project_id) USING (project_id)""")
 def project_scores(t: Tables):
-    return S.scores(S.category_labels(agent_cells(t), S.merge_ground_truth(truth(t), evaluations(t)))).select("project_id", "category_f1", "category_precision", "category_recall", "significance_accuracy", "overall_score")
+    return S.scores(S.category_labels(agent_cells(t), S.merge_ground_truth(truth(t), evaluations(t)))).select("project_id", "category_f1", "category_precision", "category_recall", "significance_accuracy", "overall_score", "significance_samples", *(F.array_join(c, ",").alias(f"{c}s") for c in ("tp", "fp", "fn")))
 
 
-@query()
+@query("""WITH q AS (SELECT label AS project_id, vec_id AS k, embedding FROM embeddings WHERE vec_id % 50 = 0), c AS (SELECT label, embedding FROM embeddings),
+b AS (SELECT project_id, k, max(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[])) AS sim FROM q JOIN c ON label = project_id GROUP BY 1, 2) SELECT project_id, round(avg(sim), 4) AS coverage FROM b GROUP BY project_id""")
 def semantic_coverage(t: Tables):
     reasonings = t.embeddings.filter("vec_id % 50 = 0").select(F.col("label").alias("project_id"), F.col("vec_id").alias("k"), "embedding")
     return S.semantic_coverage(reasonings, t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding", F.col("label").alias("project_id"))).select("project_id", F.round("coverage", 4).alias("coverage"))
@@ -195,11 +199,11 @@ def flood_status(t: Tables):
 
 
 @query(f"""WITH {SITES}, z AS (SELECT s_suppkey AS k, -90.0013 + (s_suppkey * 17) % 100 / 10 AS x, 35.0017 + (s_suppkey * 43) % 100 / 10 AS y FROM supplier),
-c AS (SELECT p_partkey % 100 + 1 AS k, arg_max(p_name, (p_size, p_name)) AS compname, max(p_size) AS s FROM part WHERE p_partkey % 2 = 0 GROUP BY 1)
-SELECT project_id, z.k::VARCHAR AS mukey, compname FROM sites JOIN z ON slon > x AND slon < x + 0.5 AND slat > y AND slat < y + 0.5 JOIN c ON c.k = z.k""")
+c AS (SELECT p_partkey % 100 + 1 AS k, arg_max(p_name, (p_size, p_name)) AS compname, (arg_max(p_partkey, (p_size, p_name)) % 8)::VARCHAR AS nirrcapcl FROM part WHERE p_partkey % 2 = 0 GROUP BY 1)
+SELECT project_id, z.k::VARCHAR AS mukey, compname, nirrcapcl, CASE nirrcapcl WHEN '1' THEN 'Prime Farmland' WHEN '2' THEN 'Prime Farmland' WHEN '3' THEN 'Farmland of Statewide Importance' ELSE 'Not prime farmland' END AS farmland_class, nirrcapcl IN ('1', '2') AS is_prime FROM sites JOIN z ON slon > x AND slon < x + 0.5 AND slat > y AND slat < y + 0.5 JOIN c ON c.k = z.k""")
 def dominant_soil(t: Tables):
     parts = t.part.select((F.col("p_partkey") % 100 + 1).cast("string").alias("mukey"), F.col("p_name").alias("compname"), (F.col("p_partkey") % 8).cast("string").alias("nirrcapcl"), F.col("p_size").alias("comppct_r"), F.when(F.col("p_partkey") % 2 == 0, "Yes").otherwise("No").alias("majcompflag"))
-    return P.dominant_soil(sites(t), squares(t).withColumn("mukey", F.col("zone_id").cast("string")), parts).select("project_id", "mukey", "compname")
+    return P.dominant_soil(sites(t), squares(t).withColumn("mukey", F.col("zone_id").cast("string")), parts).select("project_id", "mukey", "compname", "nirrcapcl", "farmland_class", "is_prime")
 
 
 @query("""SELECT c_custkey AS project_id, concat_ws(',', CASE WHEN c_custkey % 2 = 0 THEN 'endangered_species' END, CASE WHEN c_custkey % 3 = 0 THEN 'wetlands' END, 'air_quality', 'noise,traffic') AS categories FROM customer""")

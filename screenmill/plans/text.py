@@ -73,7 +73,24 @@ def report_body_sizes(t: Tables):
     return S.body_sizes(report_blocks(t))
 
 
-@query()
+#: Sections between headings; an ancestor of a heading is one before it that no later one of its depth or less replaces.
+REPORTS = r"""l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) - 1 AS n FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
+b AS (SELECT doc_id, n * 2 + 10 AS bno, line AS text, 10.0 + length(line) % 3 AS size, length(line) % 11 = 0 AS bold FROM l WHERE trim(line, ' ') <> ''
+ UNION ALL SELECT doc_id, unnest([1, 9, 13]), unnest(['Chapter 4: Resources', '4.1 Water', '4.1.2 Groundwater']), 14.0, true FROM documents),
+plain AS (SELECT doc_id, size, count(*) AS n, min(bno) AS p0 FROM b WHERE NOT bold GROUP BY 1, 2),
+c AS (SELECT b.*, trim(text) AS s, coalesce(body, 11.0) AS body FROM b LEFT JOIN (SELECT doc_id, arg_min(size, (-n, p0)) AS body FROM plain GROUP BY doc_id) USING (doc_id)),
+k AS (SELECT *, CASE WHEN regexp_matches(s, '(?i)^Chapter\s+\d+\s*[:\-]?\s*.+?$') THEN 'chapter' WHEN (size > body * 1.15 OR bold) AND regexp_matches(s, '^\d+(\.\d+){0,3}\s+\S.*$') THEN 'section' END AS kind FROM c),
+h AS (SELECT doc_id, bno, kind, CASE WHEN kind = 'chapter' THEN regexp_extract(s, '(?i)^Chapter\s+(\d+)', 1) ELSE regexp_extract(s, '^(\d+(?:\.\d+){0,3})\s', 1) END AS number,
+ trim(CASE WHEN kind = 'chapter' THEN regexp_extract(s, '(?i)^Chapter\s+\d+\s*[:\-]?\s*(.+?)$', 1) ELSE regexp_extract(s, '^\d+(?:\.\d+){0,3}\s+(\S.*)$', 1) END) AS title FROM k WHERE kind IS NOT NULL),
+d AS (SELECT *, CASE WHEN kind = 'chapter' THEN -1 ELSE len(string_split(number, '.')) - 1 END AS depth, CASE WHEN kind = 'chapter' THEN 'Chapter ' || number || ': ' || title ELSE number || ' ' || title END AS label, row_number() OVER (PARTITION BY doc_id ORDER BY bno) AS no FROM h),
+path AS (SELECT x.doc_id, x.no, string_agg(y.label, ' > ' ORDER BY y.depth) AS breadcrumb FROM d x JOIN d y ON y.doc_id = x.doc_id AND y.no <= x.no
+ AND NOT EXISTS (SELECT 1 FROM d z WHERE z.doc_id = x.doc_id AND z.no > y.no AND z.no <= x.no AND z.depth <= y.depth) GROUP BY 1, 2),
+o AS (SELECT k.doc_id, (SELECT max(no) FROM d WHERE d.doc_id = k.doc_id AND d.bno < k.bno) AS no, bno, text FROM k WHERE kind IS NULL),
+t AS (SELECT doc_id, no, trim(string_agg(text, chr(10) ORDER BY bno), ' ' || chr(9) || chr(10) || chr(13)) AS body, bool_or(regexp_matches(text, '(?m)^\s*\|.*\|\s*$')) AS has_table_hint FROM o WHERE no IS NOT NULL GROUP BY 1, 2),
+made AS (SELECT doc_id, no::INT AS pos, string_split(number, '.')[1] AS chapter, CASE WHEN kind = 'section' THEN number END AS section_number, CASE WHEN kind = 'chapter' THEN label ELSE title END AS section_title, breadcrumb, body, 1 AS page_start, 1 AS page_end, has_table_hint FROM t JOIN d USING (doc_id, no) JOIN path USING (doc_id, no))"""
+
+
+@query(f"WITH {REPORTS} SELECT * FROM made")
 def report_sections(t: Tables):
     return S.assemble_report_sections(report_blocks(t))
 
@@ -111,12 +128,53 @@ def sections_of(t: Tables):
     )
 
 
-@query()
+#: Chunks by two passes in recursive queries: paragraphs fill bins, then small neighbours go forward, then what is left goes back.
+CHUNKS = r"""w0 AS (SELECT source AS doc_id, doc_id AS pos, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '') AS w FROM documents),
+w1 AS (SELECT doc_id, pos, list_filter(string_split_regex(array_to_string(CASE WHEN len(w) > 900 THEN list_transform(w, lambda x, k: CASE WHEN (k - 1) % 300 = 0 THEN '(' || chr((97 + ((k - 1) // 300) % 26)::INT) || ') ' || x ELSE x END) ELSE w END, ' '), '\s+'), lambda x: x <> '') AS w FROM w0),
+parted AS (SELECT doc_id, pos, floor(pos / 40)::INT::VARCHAR AS part, w, len(w) AS n FROM w1),
+toks AS (SELECT doc_id, pos, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM parted WHERE n > 1500 AND part <> '1508'),
+para0 AS (SELECT doc_id, pos, i, x, sum(CASE WHEN i = 1 OR regexp_matches(x, '^\([a-z]\)$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, pos ORDER BY i) AS p FROM toks),
+para AS (SELECT doc_id, pos, p, list(x ORDER BY i) AS w, count(*) AS n FROM para0 GROUP BY 1, 2, 3),
+pack AS (SELECT doc_id, pos, p, n AS filled, 0 AS bin FROM para WHERE p = 1
+ UNION ALL SELECT q.doc_id, q.pos, q.p, CASE WHEN k.filled + q.n > 700 THEN q.n ELSE k.filled + q.n END, CASE WHEN k.filled + q.n > 700 THEN k.bin + 1 ELSE k.bin END FROM pack k JOIN para q ON q.doc_id = k.doc_id AND q.pos = k.pos AND q.p = k.p + 1),
+bins AS (SELECT doc_id, pos, bin, flatten(list(w ORDER BY p)) AS w, list_filter(list(CASE WHEN regexp_matches(w[1], '^\([a-z]\)$') THEN w[1] END ORDER BY p), lambda x: x IS NOT NULL) AS labels FROM pack JOIN para USING (doc_id, pos, p) GROUP BY 1, 2, 3),
+pieces AS (SELECT doc_id, pos, bin::INT AS index, count(*) OVER (PARTITION BY doc_id, pos) AS total, coalesce(lag(w[-90:]) OVER (PARTITION BY doc_id, pos ORDER BY bin), []) || w AS w, CASE WHEN len(labels) = 1 THEN labels[1] WHEN len(labels) > 1 THEN labels[1] || '-' || labels[-1] END AS subsection FROM bins
+ UNION ALL SELECT doc_id, pos, 0, 1, w, NULL FROM parted WHERE n <= 1500 OR part = '1508'),
+items AS (SELECT doc_id, pos, index, total, w, subsection, len(w) AS n, total = 1 AS solo, CASE WHEN floor(pos / 40) <> 1508 THEN floor(pos / 40)::INT END AS k, row_number() OVER (PARTITION BY doc_id ORDER BY pos, index) AS rn FROM pieces),
+fwd AS (SELECT doc_id, rn, rn AS g, n AS gn, solo AND n < 200 AS grows, k FROM items WHERE rn = 1
+ UNION ALL SELECT i.doc_id, i.rn, CASE WHEN t THEN f.g ELSE i.rn END, CASE WHEN t THEN f.gn + i.n ELSE i.n END, CASE WHEN t THEN f.grows ELSE i.solo AND i.n < 200 END, i.k
+ FROM (SELECT f.*, i.rn AS nrn, coalesce(f.grows AND i.solo AND i.k = f.k AND f.gn + i.n <= 1500 AND (f.gn < 200 OR i.n < 200), false) AS t FROM fwd f JOIN items i ON i.doc_id = f.doc_id AND i.rn = f.rn + 1) f JOIN items i ON i.doc_id = f.doc_id AND i.rn = f.nrn),
+units AS (SELECT doc_id, g, sum(n) AS n, count(*) AS c, any_value(k) AS k, row_number() OVER (PARTITION BY doc_id ORDER BY g) AS un FROM (SELECT doc_id, rn, g, i.n, i.k FROM fwd JOIN items i USING (doc_id, rn)) GROUP BY doc_id, g),
+bwd AS (SELECT doc_id, un, un AS h, n AS hn, k FROM units WHERE un = 1
+ UNION ALL SELECT u.doc_id, u.un, CASE WHEN u.c = 1 AND u.n < 200 AND u.k = b.k AND b.hn + u.n <= 1500 THEN b.h ELSE u.un END, CASE WHEN u.c = 1 AND u.n < 200 AND u.k = b.k AND b.hn + u.n <= 1500 THEN b.hn + u.n ELSE u.n END, u.k FROM bwd b JOIN units u ON u.doc_id = b.doc_id AND u.un = b.un + 1),
+chunks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY min(rn)) - 1 AS chunk_no, count(*) AS n_sources, CASE WHEN count(*) = 1 THEN any_value(subsection) END AS subsection, CASE WHEN count(*) = 1 THEN any_value(index) ELSE 0 END AS chunk_index, CASE WHEN count(*) = 1 THEN any_value(total) ELSE 1 END AS total_chunks_in_section,
+ count(*) > 1 AS is_merged_siblings, sum(items.n) AS token_count, trim(array_to_string(flatten(list(w ORDER BY rn)), ' ')) AS body, min(pos) AS first_pos FROM items JOIN fwd USING (doc_id, rn) JOIN units USING (doc_id, g) JOIN bwd USING (doc_id, un) GROUP BY doc_id, h)"""
+
+
+@query(f"""WITH RECURSIVE {CHUNKS} SELECT doc_id, chunk_no::INT AS chunk_no, n_sources::INT AS n_sources, subsection, chunk_index::INT AS chunk_index, total_chunks_in_section::INT AS total_chunks_in_section, is_merged_siblings, token_count::INT AS token_count, md5(body) AS body_md5 FROM chunks""")
 def regulation_chunks(t: Tables):
     return C.chunk_regulation(sections_of(t)).select("doc_id", "chunk_no", F.size("sources").alias("n_sources"), "subsection", "chunk_index", "total_chunks_in_section", "is_merged_siblings", "token_count", F.md5("body").alias("body_md5"))
 
 
-@query()
+QUANTILES = """r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY token_count) AS k, count(*) OVER (PARTITION BY key) AS c FROM keyed),
+j AS (SELECT *, least(greatest(19 * (c + 1) // 20, 1), c - 1) AS j FROM r), d AS (SELECT *, 19 * (c + 1) - 20 * j AS d FROM j)
+SELECT key AS {key}, count(*) AS n, count(*) FILTER (total_chunks_in_section > 1) AS n_split, count(*) FILTER (is_merged_siblings) AS n_merged, 0::BIGINT AS n_definitions, min(token_count)::INT AS min_tokens, max(token_count)::INT AS max_tokens, sum(token_count)::DOUBLE / count(*) AS mean_tokens,
+ (max(token_count) FILTER (k = (c + 1) // 2) + max(token_count) FILTER (k = c // 2 + 1)) / 2.0 AS median_tokens,
+ CASE WHEN max(c) < 20 THEN max(token_count) ELSE floor((max(token_count) FILTER (k = j) * (20 - max(d)) + max(token_count) FILTER (k = j + 1) * max(d)) / 20.0) END::INT AS p95_tokens FROM d GROUP BY key"""
+
+
+@query(f"WITH RECURSIVE {CHUNKS}, keyed AS (SELECT *, floor(first_pos / 40)::INT::VARCHAR AS key FROM chunks), {QUANTILES.format(key='part')}")
+def regulation_chunks_by_part(t: Tables):
+    return C.chunk_summary(C.chunk_regulation(sections_of(t)), "part")
+
+
+@query(f"""WITH RECURSIVE {CHUNKS} SELECT doc_id, chunk_no::INT AS chunk_no, token_count::INT AS token_count, CASE WHEN token_count > 1500 THEN 'oversize' ELSE 'runt' END AS problem FROM chunks
+WHERE token_count > 1500 OR (token_count < 300 AND floor(first_pos / 40) <> 1508)""")
+def runt_report(t: Tables):
+    return C.runts(C.chunk_regulation(sections_of(t)), 300).select("doc_id", "chunk_no", "token_count", "problem")
+
+
+@query(f"WITH RECURSIVE {CHUNKS}, keyed AS (SELECT *, 'cfr_regulation' AS key FROM chunks), {QUANTILES.format(key='document_type')}")
 def regulation_chunk_summary(t: Tables):
     return C.chunk_summary(C.chunk_regulation(sections_of(t)))
 
@@ -131,7 +189,10 @@ def token_quantiles(t: Tables):
     return C.exclusive_p95(t.documents.select("source", X.token_count(F.coalesce("text", F.lit(""))).alias("n")), "source", "n")
 
 
-@query()
+@query(rf"""WITH {REPORTS}, w AS (SELECT doc_id, pos, body, list_filter(string_split_regex(body, '\s+'), lambda x: x <> '') AS w FROM made),
+s AS (SELECT doc_id, pos, w, unnest(range(0, greatest(len(w) - 21, 0) + 1, 120)) AS p0 FROM w WHERE len(w) > 300),
+x AS (SELECT doc_id, pos, p0 // 120 AS i, w[p0 + 1 : p0 + 140] AS w, array_to_string(w[p0 + 1 : p0 + 140], ' ') AS content FROM s UNION ALL SELECT doc_id, pos, 0, w, body FROM w WHERE len(w) <= 300)
+SELECT doc_id, pos, i::INT AS chunk_index, count(*) OVER (PARTITION BY doc_id, pos)::INT AS total_chunks_in_section, len(w)::INT AS token_count, md5(content) AS content_md5 FROM x""")
 def report_chunks(t: Tables):
     sections = S.assemble_report_sections(report_blocks(t))
     return C.chunk_report(sections, most=300, target=140, overlap=20).select("doc_id", "pos", "chunk_index", "total_chunks_in_section", "token_count", F.md5("content").alias("content_md5"))
