@@ -18,7 +18,7 @@ _PRIME = 0x5851F42D4C957F2D
 _MASK64 = (1 << 64) - 1
 
 #: Arrow batches are worked on in pieces of about so many bytes of text, whatever the rows' lengths.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

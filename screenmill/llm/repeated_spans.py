@@ -24,7 +24,7 @@ Hot triggers (of a third of all documents, say, with another phrase in each, as
 texts) would bring all these phrases to one shard.  They are looked for in a bounded number of blocks, which decides the route
 only: for them the blocks send a hash of 128 bits for each different string, dealt by that hash, instead of phrases.
 
-Memory: a block is worked on in pieces of about a megabyte, long texts in overlapping segments; shards are sized by the
+Memory: a block is worked on in pieces of a quarter of a megabyte, long texts in overlapping segments; shards are sized by the
 bytes of all documents.  Rows: a null text counts as empty; texts under 50 bytes lose nothing; rows with equal doc_id
 never remove each other's bytes; a null doc_id counts as larger than all others; every row yields one row; other columns
 are ignored; an empty table yields an empty table.
@@ -41,7 +41,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE_BYTES, block_number, from_planes, gathered, grouped_arrow, met_arrow, mix64, planes, powers, release, settled, text_bytes, unzipped, whole_text, zipped
+from .common import block_number, from_planes, gathered, grouped_arrow, met_arrow, mix64, planes, powers, release, settled, text_bytes, unzipped, whole_text, zipped
 
 SPAN = 50
 GRAM = 20
@@ -51,6 +51,8 @@ _SEED = np.uint64(0x632BE59BD9B4E019)
 _LOW32 = np.uint64(0xFFFFFFFF)
 #: Hot triggers are looked for in so many blocks, in which they have more than so many phrases: the list is bounded.
 HOT_BLOCKS, HOT_LEAST = 8, 100
+#: Bytes of text whose hashes are held at once, about 80 bytes for each.
+PARSED_BYTES = 1 << 18
 #: Bytes of phrases whose suffixes are sorted at once (more only if one trigger has more).
 SORTED_BYTES = 1 << 19
 
@@ -96,17 +98,17 @@ class Phrases:
 
 
 def text_pieces(bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:
-    """(low, bounds from low, first row) of runs of texts of about PIECE_BYTES; a longer text is cut into segments that share SPAN - 1 bytes."""
+    """(low, bounds from low, first row) of runs of texts of about PARSED_BYTES; a longer text is cut into segments that share SPAN - 1 bytes."""
     k, n = 0, len(bounds) - 1
     while k < n:
         low = int(bounds[k])
-        if int(bounds[k + 1]) - low > PIECE_BYTES:
+        if int(bounds[k + 1]) - low > PARSED_BYTES:
             high = int(bounds[k + 1])
-            for at in range(low, high - SPAN + 1, PIECE_BYTES):
-                yield at, np.array([0, min(PIECE_BYTES + SPAN - 1, high - at)]), k
+            for at in range(low, high - SPAN + 1, PARSED_BYTES):
+                yield at, np.array([0, min(PARSED_BYTES + SPAN - 1, high - at)]), k
             k += 1
             continue
-        last = max(k + 1, int(np.searchsorted(bounds, low + PIECE_BYTES, "right")) - 1)
+        last = max(k + 1, int(np.searchsorted(bounds, low + PARSED_BYTES, "right")) - 1)
         if int(bounds[last]) - low >= SPAN:
             yield low, bounds[k : last + 1] - low, k
         k = last
@@ -408,7 +410,8 @@ def removed_bytes(own: Block, got: pa.Table, n_shards: int) -> np.ndarray:
     for x in (starts, hot):
         np.add.at(edge, x, 1)
         np.add.at(edge, x + SPAN, -1)
-    return np.cumsum(edge[:-1]) > 0
+    np.cumsum(edge, out=edge)
+    return edge[:-1] > 0
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -421,16 +424,18 @@ def applied(blocks: DataFrame, answers: DataFrame, hot: np.ndarray, n_shards: in
         own = Block(docs.column("docs")[0].as_py(), hot)
         gone = removed_bytes(own, got, n_shards)
         bounds = own.bounds
-        upto = np.r_[0, np.cumsum(gone)]
+        upto = np.zeros(len(gone) + 1, np.int32)
+        np.cumsum(gone, out=upto[1:])
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
         inner = bounds[:-1][np.diff(bounds) > 0]
         begins[inner] = gone[inner]  # runs of different documents are never joined
-        runs = np.r_[0, np.cumsum(begins)]
+        runs = np.zeros(len(gone) + 1, np.int32)
+        np.cumsum(begins, out=runs[1:])
         kept = own.raw[~gone].tobytes()
         at = (bounds - upto[bounds]).tolist()
         rest = [kept[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-        made = {"doc_id": own.table.column("doc_id"), "n_bytes": np.diff(bounds), "n_removed": np.diff(upto[bounds]), "n_spans": np.diff(runs[bounds]), "kept_sha256": [hashlib.sha256(x).hexdigest() for x in rest]}
+        made = {"doc_id": own.table.column("doc_id"), "n_bytes": np.diff(bounds), "n_removed": np.diff(upto[bounds]).astype(np.int64), "n_spans": np.diff(runs[bounds]).astype(np.int64), "kept_sha256": [hashlib.sha256(x).hexdigest() for x in rest]}
         if carried is not None:
             # a run may begin or end within a character: what is left of such a character goes too
             made["text"] = pa.array([x.decode(errors="ignore") for x in rest], pa.string())
