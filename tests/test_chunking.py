@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+import zlib
+
+from pyspark.sql import functions as F
 
 from screenmill import schemas
+from screenmill.functions import text as X
 from screenmill.operators import chunking as C
+from screenmill.operators.knn import embedder
 
 LEAST, MOST, TARGET, OVERLAP = 20, 150, 70, 9
 
@@ -103,3 +109,54 @@ def test_report_chunks(spark):
     got = sorted(C.chunk_report(rows, MOST, TARGET, OVERLAP).collect(), key=lambda r: (r.pos, r.chunk_index))
     assert [r.token_count for r in got if r.pos == 1] == [140, 20, 70, 70, 70, 70, 70, 70, 34, 5]
     assert [(r.has_table, r.total_chunks_in_section) for r in got if r.pos == 2] == [(True, 1)]
+
+
+def breadcrumbs(spark, *cases):
+    """cases: (sources, subsection, definition)."""
+    kinds = f"n int, sources array<struct<{', '.join(f.strip().replace(' ', ':', 1) for f in schemas.SOURCE.split(','))}>>, subsection string, definition boolean"
+    rows = spark.createDataFrame([(n, *c) for n, c in enumerate(cases)], kinds)
+    made = rows.select("n", X.breadcrumb(F.col("sources"), F.col("subsection"), F.col("definition")).alias("b")).collect()
+    return [r.b for r in sorted(made)]
+
+
+def source(kind, section, title, citation, part=None, part_title=None, statute=None, statute_title=None):
+    return (kind, section, title, citation, [1], part, part_title, statute, statute_title, None)
+
+
+def test_breadcrumbs_of_all_kinds(spark):
+    a = source("cfr_regulation", "1501.1", "Purpose", "40 CFR §1501.1", "1501", "NEPA and Planning")
+    b = source("cfr_regulation", "1501.3", "When to prepare", "40 CFR §1501.3", "1501", "NEPA and Planning")
+    nepa = source("statute", "101", "Policy", "NEPA §101", statute="NEPA", statute_title="Title I")
+    other = source("statute", "2", "Aim", "X §2", statute=None)
+    order = source("executive_order", "1", "Policy", "EO 11514 §1", statute="Executive Order 11514")
+    state = source("state_code", "105.1", "Definitions", "25 Pa. Code § 105.1", "A", None)
+    head = "Title 40 — Protection of Environment > Chapter V — Council on Environmental Quality > Part 1501 — NEPA and Planning > "
+    assert breadcrumbs(spark, ([a], "(a)-(c)", False), ([a, b], None, False), ([nepa], None, False), ([other], "(a)", False), ([order], None, False), ([state], None, True)) == [
+        head + "§1501.1 — Purpose (a)-(c)",
+        head + "§1501.1–1501.3 — Purpose / When to prepare",
+        "NEPA (42 USC §4321 et seq.) > Title I > Policy (NEPA §101)",
+        "Statute > Aim (X §2) (a)",
+        "Executive Order 11514 (1970) — Protection and Enhancement of Environmental Quality > Policy (EO 11514 §1)",
+        "Title 25 — Environmental Protection > Chapter 105 — Dam Safety and Waterway Management > Subchapter A > § 105.1 — Definitions [DEFINITION]",
+    ]
+
+
+def test_metadata_of_a_merged_chunk(spark):
+    rows = [section("d", 1, "see §1502.2 and 42 USC §4332"), section("d", 2, "| a | b |")]
+    made = C.chunk_regulation(spark.createDataFrame(rows, schemas.SECTION), LEAST, MOST, TARGET, OVERLAP)
+    known = spark.createDataFrame([("d", "s-d", "d.pdf", "aa", True, 5)], "doc_id string, id string, filename string, sha256 string, is_current boolean, project_id int")
+    r = C.build_metadata(made, known).first()
+    assert (r.all_sections, r.all_citations, r.page_numbers, r.cross_references) == (["1500.1", "1500.2"], ["c1", "c2"], [1], ["40 CFR §1502.2", "42 USC §4332"])
+    assert (r.has_table, r.is_merged_siblings, r.source_id, r.filename, r.project_id) == (True, True, "s-d", "d.pdf", 5)
+    assert r.embedding_text == r.breadcrumb + "\n\n" + r.body and r.chunk_id == hashlib.sha256(b"s-d\x1fc1\x1f0\x1f").hexdigest()
+
+
+def test_hashed_embeddings_equal_the_formula(spark):
+    text = "some words and some Words again"
+    got = spark.createDataFrame([(text,), ("",)], "t string").select(embedder(dim=16)("t").alias("v")).collect()
+    want = [0.0] * 16
+    for w in text.lower().split():
+        h = zlib.crc32(w.encode())
+        want[h % 16] += 1.0 if h >> 31 else -1.0
+    norm = sum(x * x for x in want) ** 0.5
+    assert [round(x, 5) for x in got[0].v] == [round(x / norm, 5) for x in want] and set(got[1].v) == {0.0}
