@@ -21,10 +21,13 @@ PIECE = "array<struct<text:string,subsection:string>>"
 
 
 class Tokens:
-    """A tokenizer as column functions: text to an array of tokens, and tokens to text."""
+    """A tokenizer as column functions: text to an array of tokens, and tokens to text.
 
-    def __init__(self, split: Callable[[Column], Column] = X.tokens, glue: str = " "):
-        self.split, self.glue = split, glue
+    adds_up: texts joined by a space have as many tokens as all of them.
+    """
+
+    def __init__(self, split: Callable[[Column], Column] = X.tokens, glue: str = " ", adds_up: bool = True):
+        self.split, self.glue, self.adds_up = split, glue, adds_up
 
     def count(self, text: Column) -> Column:
         return F.size(self.split(text))
@@ -136,8 +139,8 @@ def chunk_regulation(sections: DataFrame, least: int = MIN_TOKENS, most: int = M
     whole = F.array(F.struct(F.col("body").alias("text"), F.lit(None).cast("string").alias("subsection")))
     split = F.when(F.col("is_definition") | (F.col("n") <= most), whole).otherwise(pieces_of(F.col("body"), most, target, overlap, tokens))
     key = F.when(~F.col("is_definition"), sibling_key(*(F.col(f"source.{c}") for c in ("document_type", "part", "parent_statute", "statute_title"))))
-    cut = rows.select("doc_id", "pos", "source", "is_definition", X.has_table(F.col("body")).alias("has_table"), key.alias("key"), split.alias("pieces"))
-    items = cut.select("*", F.size("pieces").alias("total"), F.posexplode("pieces").alias("index", "piece")).drop("pieces").withColumn("n", tokens.count(F.col("piece.text")))
+    cut = rows.select("doc_id", "pos", "source", "is_definition", "n", X.has_table(F.col("body")).alias("has_table"), key.alias("key"), split.alias("pieces"))
+    items = cut.select("*", F.size("pieces").alias("total"), F.posexplode("pieces").alias("index", "piece")).drop("pieces").withColumn("n", F.when(F.col("total") == 1, F.col("n")).otherwise(tokens.count(F.col("piece.text"))))
     w = Window.partitionBy("doc_id").orderBy("pos", "index")
     before = lambda c: F.lag(c).over(w)
     goes_on = (before("key") == F.col("key")) & ~((before("n") >= least) & (F.col("n") >= least))
@@ -151,9 +154,10 @@ def chunk_regulation(sections: DataFrame, least: int = MIN_TOKENS, most: int = M
     number = (F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1).cast("int")
     made = made.select(
         "doc_id", F.struct(first["pos"], first["index"]).alias("at"), F.transform("own", lambda x: x["source"]).alias("sources"), text.alias("body"), F.when(alone, first["piece"]["subsection"]).alias("subsection"),
-        F.when(alone, first["index"]).otherwise(0).alias("chunk_index"), F.when(alone, first["total"]).otherwise(1).alias("total_chunks_in_section"), F.exists("own", lambda x: x["has_table"]).alias("has_table"), first["is_definition"].alias("is_definition"), (~alone).alias("is_merged_siblings"),
+        F.when(alone, first["index"]).otherwise(0).alias("chunk_index"), F.when(alone, first["total"]).otherwise(1).alias("total_chunks_in_section"), F.exists("own", lambda x: x["has_table"]).alias("has_table"), first["is_definition"].alias("is_definition"), (~alone).alias("is_merged_siblings"), F.aggregate("own", F.lit(0), lambda a, x: a + x["n"]).alias("n"),
     )
-    return made.withColumn("token_count", tokens.count(F.col("body"))).select("doc_id", number.alias("chunk_no"), "sources", "body", "subsection", "chunk_index", "total_chunks_in_section", "has_table", "is_definition", "is_merged_siblings", "token_count")
+    count = F.col("n") if tokens.adds_up else F.when(F.col("is_merged_siblings"), tokens.count(F.col("body"))).otherwise(F.col("n"))
+    return made.withColumn("token_count", count).select("doc_id", number.alias("chunk_no"), "sources", "body", "subsection", "chunk_index", "total_chunks_in_section", "has_table", "is_definition", "is_merged_siblings", "token_count")
 
 
 def chunk_report(sections: DataFrame, most: int = MAX_TOKENS, target: int = TARGET_TOKENS, overlap: int = OVERLAP_TOKENS, tokens: Tokens = WORDS) -> DataFrame:
