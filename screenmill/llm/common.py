@@ -78,6 +78,16 @@ def settled(df: DataFrame, what: str, tasks: int | None = None, blocks: bool = F
     return spark.read.schema(df.schema).parquet(path)
 
 
+def rested(spark: SparkSession) -> None:
+    """Have the executors collect their garbage.
+
+    A heap that one operator has filled is only given back after a full collection; until then it takes the memory that
+    the next operator's Python workers need.  A task for each core reaches every executor that has any.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 #: A list of ids is broadcast up to so many rows (about 100 MB); beyond that Spark shuffles both sides.
 BROADCAST_ROWS = 2_000_000
 
