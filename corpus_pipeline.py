@@ -2,7 +2,8 @@
 
 run(spark, sf_dir) applies them to the table documents, with each stage's result written as Parquet in the shared folder
 and read again.  All stages but the last return the columns of documents.  A stage that drops rows drops them by doc_id
-and text together, nulls included: a row's own verdict takes effect, whatever other rows have its doc_id.
+and text together, nulls included: a row's own verdict takes effect, whatever other rows have its doc_id.  Stages run one
+after another in the same executors, so each begins with having them collect their garbage.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenmill.llm.common import documents, settled, sized, whole_text
+from screenmill.llm.common import documents, rested, settled, sized, whole_text
 from screenmill.llm.exact_dedup import exact_rows
 from screenmill.llm.minhash_dedup import near_rows
 from screenmill.llm.packing import pack
@@ -37,11 +38,13 @@ def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that operator 5 rejects go; it learns from the labels of the documents that it is given."""
+    rested(spark)
     return without(docs, toxic_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("predicted = 1"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays; of rows that repeat doc_id and text, one."""
+    rested(spark)
     copies = settled(exact_rows(docs).filter("group_size > 1").groupBy("doc_id", "text_hash").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "pipeline-copies")
     doubles = sized(copies.filter("kept AND n > 1"))
     left = without(docs, copies.filter("NOT kept"))
@@ -53,11 +56,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays."""
+    rested(spark)
     return without(docs, near_rows(docs).filter("NOT kept"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that a document with a smaller doc_id has are cut out; n_chars follows."""
+    rested(spark)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     cut = remove_repeats(docs, carried=others)
     if "n_chars" in others:
@@ -67,6 +72,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every remaining document, also an emptied one, is packed into sequences of 2048 tokens."""
+    rested(spark)
     return pack(docs)
 
 
