@@ -8,10 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[k]) for k in keys))
-
-
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Of rows with one key the first in the order; one exchange with the rows combined before it."""
     rest = [c for c in df.columns if c not in keys]
