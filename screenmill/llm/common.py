@@ -98,6 +98,24 @@ def sized(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
+#: Groups that may be hot: those with more than this share of all rows are no more than so many.
+HOT_GROUPS = 1000
+#: Rows of a list of groups (a key of 32 bytes and a few numbers each) that are broadcast: about 40 MB.
+BROADCAST_GROUPS = 400_000
+
+
+def grouped_left(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
+    """rows left join groups (a written table: key, size, ...; a row for each key), where a key may have a third of all rows.
+
+    A short list is broadcast.  Beyond that the hot groups are, of which there are HOT_GROUPS at most, and the rest is shuffled.
+    """
+    if groups.count() <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(groups), key, "left")
+    hot = F.broadcast(groups.filter(F.col("size") * HOT_GROUPS > total))
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups, key, "left")
+    return rows.join(hot, key).unionByName(cold)
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with a function that make() builds once in each task."""
 

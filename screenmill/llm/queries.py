@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, html_text, minhash_dedup, packing, quality, repeated_spans, toxicity, url_filter, word_bpe
+from . import byte_bpe, exact_dedup, filter_audit, html_text, manifest, minhash_dedup, packing, quality, repeated_spans, toxicity, url_filter, warc, word_bpe
 from .common import documents
 
 
@@ -92,7 +92,41 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(documents(spark, sf_dir))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_exact_dedup, op4_minhash_dedup, op5_toxicity, op6_suffix_dedup, op7_quality_rules, op8_html_extraction, op9_url_filters, op10_packing)
+    f.__name__: f
+    for f in (
+        op1_token_counts,
+        op2_byte_bpe,
+        op3_exact_dedup,
+        op4_minhash_dedup,
+        op5_toxicity,
+        op6_suffix_dedup,
+        op7_quality_rules,
+        op8_html_extraction,
+        op9_url_filters,
+        op10_packing,
+        op11_filter_audit,
+        op12_merkle_manifest,
+        op13_warc,
+    )
+}
+SQL: dict[str, str] = {
+    "op3_exact_dedup": exact_dedup.EXACT_SQL,
+    "op7_quality_rules": quality.QUALITY_SQL,
+    "op9_url_filters": URL_SQL,
+    "op11_filter_audit": filter_audit.AUDIT_SQL,
+    "op12_merkle_manifest": manifest.MANIFEST_SQL,
+    "op13_warc": warc.WARC_SQL,
 }
-SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.EXACT_SQL, "op7_quality_rules": quality.QUALITY_SQL, "op9_url_filters": URL_SQL}
