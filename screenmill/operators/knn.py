@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+
+from screenmill.operators.nearest import build_index, meeting, top
+from screenmill.sources.io import work_folder
 
 #: Rows of queries and of chunks that meet in a group; and of the tiles of both whose similarities are held at once (8 MB).
 QUERY_ROWS, CHUNK_ROWS, TILE = 8192, 16384, 1024
+#: Chunks beyond which a search builds an index.
+INDEX_ROWS = 8 * CHUNK_ROWS
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -23,15 +25,26 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm)
 
 
-def knn(queries: DataFrame, chunks: DataFrame, k: int, scope: str | None = None, query_rows: int = QUERY_ROWS, chunk_rows: int = CHUNK_ROWS, tile: int = TILE) -> DataFrame:
+def knn(queries: DataFrame, chunks: DataFrame, k: int, scope: str | None = None, index_rows: int = INDEX_ROWS) -> DataFrame:
     """query_id, rank, chunk_id and similarity of each query's k nearest chunks; ties by chunk_id.
 
+    Beyond index_rows chunks an index of clusters is written in the shared folder, of which each query meets only what its
+    bounds leave (operators/nearest.py); fewer are compared in pairs.  The rows are the same.
+    """
+    if chunks.count() <= index_rows:
+        return knn_pairs(queries, chunks, k, scope)
+    return build_index(chunks, work_folder(chunks.sparkSession, "nearest"), scope).search(queries, k, scope)
+
+
+def knn_pairs(queries: DataFrame, chunks: DataFrame, k: int, scope: str | None = None, query_rows: int = QUERY_ROWS, chunk_rows: int = CHUNK_ROWS, tile: int = TILE) -> DataFrame:
+    """The same by comparing all pairs.
+
     Both sides are dealt to parts of about query_rows and chunk_rows by a hash, and every part of the queries meets every
     part of the chunks in a group of its own: nothing passes through the driver, chunks are copied once for each
-    query_rows queries, and a task holds the vectors of two parts and the similarities of two tiles.  A group keeps k rows a query, so only these are shuffled.  With a scope (a column of
-    both) only parts of one scope meet.  Zero vectors and vectors of another length match nothing.
+    query_rows queries, and a task holds the vectors of two parts and the similarities of two tiles.  A group keeps k rows a
+    query, so only these are shuffled.  With a scope (a column of both) only parts of one scope meet.  Zero vectors and
+    vectors of another length match nothing.
     """
-    id_type, query_type = (df.schema[c].dataType.simpleString() for df, c in ((chunks, "chunk_id"), (queries, "query_id")))
     within = F.col(scope) if scope else F.lit(0)
     asked = queries.filter("size(embedding) > 0").select(within.alias("scope"), F.col("query_id").alias("id"), "embedding").filter("scope IS NOT NULL")
     known = chunks.filter("size(embedding) > 0").select(within.alias("scope"), F.col("chunk_id").alias("id"), "embedding").filter("scope IS NOT NULL")
@@ -40,51 +53,13 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int, scope: str | None = None,
     parts = n_asked.join(n_known, "scope")
     part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asked.join(parts, "scope").select("scope", part("n_q").alias("q"), every("n_c").alias("c"), "id", F.col("embedding").alias("asked"))
-    right = known.join(parts, "scope").select("scope", every("n_q").alias("q"), part("n_c").alias("c"), "id", F.col("embedding").alias("known"))
-
-    def unit(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """By length: ids, sorted, and unit vectors; zero vectors left out."""
-        vectors = rows.column(rows.num_columns - 1).combine_chunks()
-        sizes, ids = pc.list_value_length(vectors).to_numpy(zero_copy_only=False), rows.column("id").combine_chunks()
-        out = {}
-        for d in np.unique(sizes).tolist():
-            at = np.flatnonzero(sizes == d)
-            own = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
-            norm = np.linalg.norm(own, axis=1)
-            names = ids.take(pa.array(at)).to_numpy(zero_copy_only=False)
-            use = np.flatnonzero(norm > 0)
-            use = use[np.argsort(names[use], kind="stable")]
-            out[d] = names[use], own[use] / norm[use, None]
-        return out
-
-    def search(key: tuple, q: pa.Table, c: pa.Table) -> pa.Table:
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        asks, own = (unit(x) if x.num_rows else {} for x in (q, c))
-        for d in asks.keys() & own.keys():
-            (ids, a), (names, b) = asks[d], own[d]
-            for low in range(0, len(ids), tile):
-                best: tuple[np.ndarray, np.ndarray] | None = None
-                for at in range(0, len(names), tile):
-                    sim = a[low : low + tile] @ b[at : at + tile].T
-                    place = np.broadcast_to(np.arange(at, at + sim.shape[1]), sim.shape)
-                    if best is not None:  # what was found before has smaller ids, so it wins ties
-                        sim, place = np.concatenate([best[0], sim], 1), np.concatenate([best[1], place], 1)
-                    if sim.shape[1] > k:
-                        # all that are as similar as the k-th, then the first k by similarity and id
-                        bound = np.partition(sim, sim.shape[1] - k, axis=1)[:, sim.shape[1] - k][:, None]
-                        order = np.argsort(np.where(sim >= bound, -sim, np.inf), axis=1, kind="stable")[:, :k]
-                        sim, place = np.take_along_axis(sim, order, 1), np.take_along_axis(place, order, 1)
-                    best = sim, place
-                if best is not None:
-                    found.append((np.repeat(ids[low : low + tile], best[0].shape[1]), names[best[1]].ravel(), best[0].ravel()))
-        ids, names, sims = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0), np.zeros(0), np.zeros(0))
-        return pa.table({"query_id": pa.array(ids.tolist()), "chunk_id": pa.array(names.tolist()), "similarity": pa.array(sims, pa.float64())}).cast(target)
-
-    target = pa.schema([("query_id", to_arrow_type(queries.schema["query_id"].dataType)), ("chunk_id", to_arrow_type(chunks.schema["chunk_id"].dataType)), ("similarity", pa.float64())])
-    hits = left.groupBy("scope", "q", "c").cogroup(right.groupBy("scope", "q", "c")).applyInArrow(search, f"query_id {query_type}, chunk_id {id_type}, similarity double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
-    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "similarity")
+    left = asked.join(parts, "scope").select("scope", part("n_q").alias("q"), every("n_c").alias("c"), "id", "embedding")
+    right = known.join(parts, "scope").select("scope", every("n_q").alias("q"), part("n_c").alias("c"), "id", "embedding")
+
+    types = asked.schema["id"].dataType, known.schema["id"].dataType
+    meet = meeting(types, k, tile)
+    hits = left.groupBy("scope", "q", "c").cogroup(right.groupBy("scope", "q", "c")).applyInArrow(meet, f"query_id {types[0].simpleString()}, space string, chunk_id {types[1].simpleString()}, similarity double")
+    return top(hits, k).select("query_id", "rank", "chunk_id", "similarity")
 
 
 def hit_stats(hits: DataFrame) -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from screenmill.operators import browse as B
 from screenmill.operators import knn as K
 from screenmill.operators import merge as G
-from screenmill.plans.registry import Tables, query
+from screenmill.operators import nearest as N
+from screenmill.plans.registry import SQL, Tables, query
+from screenmill.sources.io import work_folder
 
 
 def vectors(t: Tables):
@@ -34,6 +36,19 @@ def nearest_chunks_in_scope(t: Tables):
     return K.knn(asked(t), vectors(t), 5, scope="label").withColumn("similarity", F.round("similarity", 5))
 
 
+@query(SQL["nearest_chunks"])
+def nearest_chunks_by_index(t: Tables):
+    """The same through a written index, with shells small enough for these tables to have several."""
+    index = N.build_index(vectors(t), work_folder(t.spark, "nearest"), shell_rows=256)
+    return index.search(asked(t), 8).withColumn("similarity", F.round("similarity", 5))
+
+
+@query(SQL["nearest_chunks_in_scope"])
+def nearest_in_scope_by_index(t: Tables):
+    index = N.build_index(vectors(t), work_folder(t.spark, "nearest"), scope="label", shell_rows=64)
+    return index.search(asked(t), 5, scope="label").withColumn("similarity", F.round("similarity", 5))
+
+
 @query(f"""WITH {KNN}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) AS rank FROM s)
 SELECT query_id, round(min(sim), 4) AS min_similarity, round(max(sim), 4) AS max_similarity, round(avg(sim), 4) AS mean_similarity, count(*) AS n_hits FROM r WHERE rank <= 8 GROUP BY query_id""")
 def hit_statistics(t: Tables):

@@ -2,12 +2,34 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenmill.vocab import UPLOAD_LIMIT
 
 
+def work_folder(spark: SparkSession, what: str) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        import tempfile
+
+        top = tempfile.mkdtemp(prefix="spark-")  # driver and executors are one process
+        spark.conf.set("spark.checkpoint.dir", top)
+    return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """The rows written to a table in the shared folder and read again, so that a lost executor costs one step only."""
+    path = work_folder(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, path: str, schema: str | None = None, fmt: str = "parquet") -> DataFrame:
     reader = spark.read.format(fmt)
     return (reader.schema(schema) if schema else reader).load(path)

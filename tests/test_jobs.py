@@ -103,7 +103,7 @@ def test_knn_in_small_tiles_equals_brute_force(spark):
     queries = chunks.filter("chunk_id < 40").withColumnRenamed("chunk_id", "query_id")
     norm = np.linalg.norm(vectors, axis=1)
     for scope in (None, "scope"):
-        got = sorted((r.query_id, r["rank"], r.chunk_id) for r in K.knn(queries, chunks, 5, scope, query_rows=16, chunk_rows=50, tile=8).collect())
+        got = sorted((r.query_id, r["rank"], r.chunk_id) for r in K.knn_pairs(queries, chunks, 5, scope, query_rows=16, chunk_rows=50, tile=8).collect())
         want = []
         for q in range(40):
             hits = [(-round(float(vectors[q] @ vectors[c] / (norm[q] * norm[c])), 9), c) for c in range(300) if norm[q] and norm[c] and (scope is None or scopes[q] == scopes[c])]
