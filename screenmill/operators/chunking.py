@@ -1,8 +1,9 @@
-"""Sections to chunks of bounded token counts, with column functions only.
+"""Sections to chunks of bounded token counts.
 
-What a section needs for itself (its paragraphs' bins, windows, overlaps) is folded over the arrays of its own row.  Only
-runs of small neighbours have to meet: a window over each document's pieces marks where a run begins, and a run's pieces
-are folded into chunks.  Both share one exchange by document, so a document is a sorted stream, not a group in memory.
+What a section needs for itself (its paragraphs' bins, windows, overlaps) are column functions over the arrays of its own
+row, in time that grows with its length: tokens are looked up by place, and folds keep short arrays.  Only small
+neighbours have to meet.  Who meets whom is decided on narrow rows, sorted over all tasks (operators/runs.py), so a
+document is never one task's work; only the texts of small sections that share a chunk are grouped, and a chunk is bounded.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from screenmill import schemas
 from screenmill.functions import text as X
+from screenmill.operators.runs import Rule, grouped, in_order, numbered
+from screenmill.sources.io import written
 from screenmill.vocab import MAX_TOKENS, MIN_TOKENS, OVERLAP_TOKENS, TARGET_TOKENS
 
 SOURCE_FIELDS = [f.strip().split(" ")[0] for f in schemas.SOURCE.split(",")]
@@ -37,42 +40,77 @@ class Tokens:
 
     def windows(self, tokens: Column, size: int, overlap: int, stop_at_end: bool) -> Column:
         """Texts of windows of size tokens; stop_at_end: none begins once a window has reached the last token."""
-        last = F.greatest(F.size(tokens) - (overlap + 1), F.lit(0)) if stop_at_end else F.size(tokens) - 1
-        starts = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), last, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: self.text(F.slice(tokens, i + 1, size)))
+        return X.windows(tokens, size, overlap, stop_at_end, self.glue)
 
 
 WORDS = Tokens()
 
 
+#: Items of the inner folds of a scan: what is made so far is copied once for each.
+SCAN_ITEMS = 256
+
+
+def scan(items: Column, start: Column, step: Callable[[Column, Column], Column], out: Callable[[Column], Column], kind: str) -> Column:
+    """out(state) after each of the items, where step makes the next state from the state and the item.
+
+    A fold within a fold: an array that grows by each item is copied each time, so it is kept short.
+    """
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(items) / SCAN_ITEMS) - 1, F.lit(0))), lambda b: F.slice(items, (b * SCAN_ITEMS + 1).cast("int"), SCAN_ITEMS))
+
+    def one(acc: Column, item: Column) -> Column:
+        return X.let(step(acc["state"], item), lambda s: F.struct(s.alias("state"), F.concat(acc["made"], F.array(out(s))).alias("made")))
+
+    def block(acc: Column, own: Column) -> Column:
+        inner = F.aggregate(own, F.struct(acc["state"].alias("state"), F.array().cast(f"array<{kind}>").alias("made")), one)
+        return X.let(inner, lambda x: F.struct(x["state"].alias("state"), F.concat(acc["made"], F.array(x["made"])).alias("made")))
+
+    whole = F.struct(start.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("made"))
+    return F.aggregate(blocks, whole, block, lambda acc: F.flatten(acc["made"]))
+
+
 def bins(weights: Column, most: int, limit: int) -> Column:
     """The bin of each of the weights, in order: one heavier than most is alone, the others share bins up to the limit."""
-    start = F.struct(F.lit(-1).alias("bin"), F.lit(0).alias("filled"), F.array().cast("array<int>").alias("of"))
 
     def place(state: Column, weight: Column) -> Column:
         alone = weight > most
         opens = (state["bin"] < 0) | alone | (state["filled"] > most) | (state["filled"] + weight > limit)
-        at = F.when(opens, state["bin"] + 1).otherwise(state["bin"])
-        return F.struct(at.alias("bin"), F.when(opens, weight).otherwise(state["filled"] + weight).alias("filled"), F.concat(state["of"], F.array(at)).alias("of"))
+        return F.struct(F.when(opens, state["bin"] + 1).otherwise(state["bin"]).alias("bin"), F.when(opens, weight).otherwise(state["filled"] + weight).alias("filled"))
 
-    return F.aggregate(weights, start, place, lambda state: state["of"])
+    return scan(weights, F.struct(F.lit(-1).alias("bin"), F.lit(0).alias("filled")), place, lambda s: s["bin"], "int")
 
 
 def binned(parts: Column, of: Column) -> Column:
-    """The parts of each bin as an array of arrays."""
-    pairs = F.arrays_zip(parts.alias("part"), of.alias("bin"))
-    return F.transform(F.array_distinct(of), lambda b: F.transform(F.filter(pairs, lambda p: p["bin"] == b), lambda p: p["part"]))
+    """The parts of each bin as an array of arrays; bins are neighbours."""
+
+    def cut(of: Column) -> Column:
+        firsts = F.filter(F.sequence(F.lit(0), F.size(of) - 1), lambda i: (i == 0) | (F.get(of, i) != F.get(of, i - 1)))
+        return X.let(firsts, lambda f: F.transform(f, lambda low, k: X.span(parts, low, F.coalesce(F.get(f, k + 1), F.size(of)))))
+
+    return X.let(of, cut)
 
 
 def overlapped(pieces: Column, overlap: int, tokens: Tokens) -> Column:
-    """Each piece behind the last tokens of the one before it, as it then is, if that has more than the overlap."""
+    """Each piece behind the last tokens of the one before it, as it then is, if that has more than the overlap.
+
+    With what it got, a piece still is a stretch of all pieces' tokens that ends where its own do, so what the next one
+    gets is found by place; only its length has to be carried from piece to piece.
+    """
+
+    def added(own: Column) -> Column:
+        sizes = F.transform(own, F.size)
+        start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("held"))
+        step = lambda s, n: F.struct((s["end"] + n).alias("end"), (n + F.when(s["held"] > overlap, overlap).otherwise(0)).alias("held"))
+        states = scan(sizes, start, step, lambda s: s, "struct<end:int,held:int>")
+
+        def behind(all_tokens: Column, states: Column) -> Column:
+            before = lambda k: F.get(states, k - 1)
+            tail = lambda k: tokens.text(X.span(all_tokens, before(k)["end"] - overlap, before(k)["end"]))
+            text = lambda p, k: F.when((k > 0) & (before(k)["held"] > overlap), F.concat(tail(k), F.lit(" "), p["text"])).otherwise(p["text"])
+            return F.transform(pieces, lambda p, k: F.struct(text(p, k).alias("text"), p["subsection"].alias("subsection")))
 
-    def add(made: Column, piece: Column) -> Column:
-        before = lambda: tokens.split(F.try_element_at(made, F.lit(-1))["text"])
-        text = F.when(F.size(made) == 0, piece["text"]).otherwise(X.let(before(), lambda t: F.when(F.size(t) > overlap, F.concat(tokens.text(F.slice(t, -overlap, overlap)), F.lit(" "), piece["text"])).otherwise(piece["text"])))
-        return F.concat(made, F.array(F.struct(text.alias("text"), piece["subsection"].alias("subsection"))))
+        return X.let(F.flatten(own), lambda t: X.let(states, lambda s: behind(t, s)))
 
-    return F.aggregate(pieces, F.array().cast(PIECE), add)
+    return X.let(F.transform(pieces, lambda p: tokens.split(p["text"])), added)
 
 
 def named_windows(windows: Column) -> Column:
@@ -86,11 +124,11 @@ def pieces_of(body: Column, most: int, target: int, overlap: int, tokens: Tokens
         weights = F.transform(parts, lambda p: tokens.count(p["text"]))
 
         def made(group: Column) -> Column:
-            text = F.array_join(F.transform(group, lambda p: p["text"]), " ")
-            own = F.array(F.struct(text.alias("text"), X.subsection_label(F.transform(group, lambda p: p["label"])).alias("subsection")))
-            return F.when(tokens.count(text) > most, named_windows(tokens.windows(tokens.split(text), target, overlap, False))).otherwise(own)
+            own = lambda text: F.array(F.struct(text.alias("text"), X.subsection_label(F.transform(group, lambda p: p["label"])).alias("subsection")))
+            cut = lambda text: X.let(tokens.split(text), lambda t: F.when(F.size(t) > most, named_windows(tokens.windows(t, target, overlap, False))).otherwise(own(text)))
+            return X.let(F.array_join(F.transform(group, lambda p: p["text"]), " "), cut)
 
-        return overlapped(F.flatten(F.transform(binned(parts, bins(weights, most, target)), made)), overlap, tokens)
+        return X.let(F.flatten(F.transform(binned(parts, bins(weights, most, target)), made)), lambda pieces: overlapped(pieces, overlap, tokens))
 
     whole = lambda: X.let(tokens.split(body), lambda t: named_windows(tokens.windows(t, target, overlap, False)))
     return X.let(X.labelled_paragraphs(body), lambda parts: F.when(F.size(parts) > 1, by_labels(parts)).otherwise(whole()))
@@ -102,32 +140,6 @@ def sibling_key(document_type: Column, part: Column, parent_statute: Column, sta
     return F.when((document_type == "cfr_regulation") & ~part.eqNullSafe(F.lit("1508")), named(part)).when(document_type == "statute", named(parent_statute, statute_title)).when(document_type == "executive_order", named(parent_statute))
 
 
-def merged_sizes(items: Column, least: int, most: int) -> Column:
-    """How many of a run's items (n: tokens, solo: a whole section) each chunk takes.
-
-    A chunk that begins with a small whole section takes the whole sections that follow, while it or the next is small
-    and the sum isn't too large; a small item that stays alone goes to the chunk before it, if the sum isn't too large.
-    """
-    start = F.struct(F.array().cast("array<struct<k:int,n:int>>").alias("done"), F.lit(0).alias("k"), F.lit(0).alias("n"), F.lit(False).alias("grows"))
-    chunk = lambda k, n: F.array(F.struct(k.alias("k"), n.alias("n")))
-
-    def closed(s: Column) -> Column:
-        last = F.try_element_at(s["done"], F.lit(-1))
-        back = (s["k"] == 1) & (s["n"] < least) & (F.size(s["done"]) > 0) & F.coalesce(last["n"] + s["n"] <= most, F.lit(False))
-        return F.when(s["k"] == 0, s["done"]).when(back, F.concat(F.slice(s["done"], F.lit(1), F.size(s["done"]) - 1), chunk(last["k"] + s["k"], last["n"] + s["n"]))).otherwise(F.concat(s["done"], chunk(s["k"], s["n"])))
-
-    def step(s: Column, x: Column) -> Column:
-        takes = s["grows"] & x["solo"] & (s["n"] + x["n"] <= most) & ((s["n"] < least) | (x["n"] < least))
-        return F.struct(
-            F.when(takes, s["done"]).otherwise(closed(s)).alias("done"),
-            F.when(takes, s["k"] + 1).otherwise(1).alias("k"),
-            F.when(takes, s["n"] + x["n"]).otherwise(x["n"]).alias("n"),
-            (takes | (x["solo"] & (x["n"] < least))).alias("grows"),
-        )
-
-    return F.transform(F.aggregate(items, start, step, closed), lambda c: c["k"])
-
-
 def chunk_regulation(sections: DataFrame, least: int = MIN_TOKENS, most: int = MAX_TOKENS, target: int = TARGET_TOKENS, overlap: int = OVERLAP_TOKENS, tokens: Tokens = WORDS) -> DataFrame:
     """Chunks of regulation sections, in the order of their documents.
 
@@ -141,23 +153,45 @@ def chunk_regulation(sections: DataFrame, least: int = MIN_TOKENS, most: int = M
     key = F.when(~F.col("is_definition"), sibling_key(*(F.col(f"source.{c}") for c in ("document_type", "part", "parent_statute", "statute_title"))))
     cut = rows.select("doc_id", "pos", "source", "is_definition", "n", X.has_table(F.col("body")).alias("has_table"), key.alias("key"), split.alias("pieces"))
     items = cut.select("*", F.size("pieces").alias("total"), F.posexplode("pieces").alias("index", "piece")).drop("pieces").withColumn("n", F.when(F.col("total") == 1, F.col("n")).otherwise(tokens.count(F.col("piece.text"))))
-    w = Window.partitionBy("doc_id").orderBy("pos", "index")
-    before = lambda c: F.lag(c).over(w)
-    goes_on = (before("key") == F.col("key")) & ~((before("n") >= least) & (F.col("n") >= least))
-    items = items.withColumn("run", F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(w))
-    fields = F.struct("pos", "index", "n", (F.col("total") == 1).alias("solo"), "total", "source", "piece", "has_table", "is_definition")
-    runs = items.groupBy("doc_id", "run").agg(F.sort_array(F.collect_list(fields)).alias("items")).withColumn("sizes", merged_sizes(F.col("items"), least, most))
-    upto = lambda k: F.aggregate(F.slice("sizes", F.lit(1), k), F.lit(0), lambda a, b: a + b)
-    made = runs.select("doc_id", F.explode(F.transform("sizes", lambda size, k: F.slice("items", upto(k) + 1, size))).alias("own"))
-    first, alone = F.element_at("own", 1), F.size("own") == 1
-    text = F.when(alone, first["piece"]["text"]).otherwise(F.trim(F.array_join(F.transform("own", lambda x: x["piece"]["text"]), " ")))
-    number = (F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1).cast("int")
-    made = made.select(
-        "doc_id", F.struct(first["pos"], first["index"]).alias("at"), F.transform("own", lambda x: x["source"]).alias("sources"), text.alias("body"), F.when(alone, first["piece"]["subsection"]).alias("subsection"),
-        F.when(alone, first["index"]).otherwise(0).alias("chunk_index"), F.when(alone, first["total"]).otherwise(1).alias("total_chunks_in_section"), F.exists("own", lambda x: x["has_table"]).alias("has_table"), first["is_definition"].alias("is_definition"), (~alone).alias("is_merged_siblings"), F.aggregate("own", F.lit(0), lambda a, x: a + x["n"]).alias("n"),
+    items = written(items.withColumn("item", F.monotonically_increasing_id()), "chunk-items")
+    marks = chunk_marks(items.select("doc_id", "pos", "index", "item", "n", "key", (F.col("total") == 1).alias("solo")), least, most)
+    # each piece's text meets the number of its chunk; only those that share one meet each other
+    fields = F.struct("pos", "index", "n", "total", "source", "piece", "has_table", "is_definition")
+    met = items.join(marks, "item").select("doc_id", "chunk_no", "pieces", fields.alias("x"))
+    alone = met.filter("pieces = 1").select(
+        "doc_id", "chunk_no", F.array("x.source").alias("sources"), F.col("x.piece.text").alias("body"), F.col("x.piece.subsection").alias("subsection"), F.col("x.index").alias("chunk_index"), F.col("x.total").alias("total_chunks_in_section"),
+        F.col("x.has_table").alias("has_table"), F.col("x.is_definition").alias("is_definition"), F.lit(False).alias("is_merged_siblings"), F.col("x.n").alias("token_count"),
+    )
+    shared = met.filter("pieces > 1").groupBy("doc_id", "chunk_no").agg(F.sort_array(F.collect_list("x")).alias("own"))
+    text = F.trim(F.array_join(F.transform("own", lambda x: x["piece"]["text"]), " "))
+    shared = shared.select(
+        "doc_id", "chunk_no", F.transform("own", lambda x: x["source"]).alias("sources"), text.alias("body"), F.lit(None).cast("string").alias("subsection"), F.lit(0).alias("chunk_index"), F.lit(1).alias("total_chunks_in_section"),
+        F.exists("own", lambda x: x["has_table"]).alias("has_table"), F.element_at("own", 1)["is_definition"].alias("is_definition"), F.lit(True).alias("is_merged_siblings"), F.aggregate("own", F.lit(0), lambda a, x: a + x["n"]).alias("token_count"),
     )
-    count = F.col("n") if tokens.adds_up else F.when(F.col("is_merged_siblings"), tokens.count(F.col("body"))).otherwise(F.col("n"))
-    return made.withColumn("token_count", count).select("doc_id", number.alias("chunk_no"), "sources", "body", "subsection", "chunk_index", "total_chunks_in_section", "has_table", "is_definition", "is_merged_siblings", "token_count")
+    if not tokens.adds_up:
+        shared = shared.withColumn("token_count", tokens.count(F.col("body")))
+    return alone.unionByName(shared)
+
+
+def chunk_marks(items: DataFrame, least: int, most: int) -> DataFrame:
+    """item, chunk_no and pieces, how many the chunk has, of pieces (doc_id, pos, index, item, n, key, solo: a whole section).
+
+    A chunk that begins with a small whole section takes the whole sections that follow, while it or the next is small
+    and the sum isn't too large; then a small piece that stays alone goes to the chunk before it, if the sum isn't too
+    large.  Both passes are greedy groupings of sorted rows; the groups of the first are the rows of the second.
+    """
+    rule = Rule(least, most)
+    placed = in_order(items, ["doc_id", "pos", "index", "item"])
+    rows = placed.select("*", F.col("solo").alias("may"), (F.col("solo") & (F.col("n") < least)).alias("opens"))
+    first = written(placed.select("item", "at", "doc_id", "key", "n").join(grouped(rows, rule), "at"), "chunk-groups")
+    own = F.min_by(F.struct("doc_id", "key"), "at").alias("own")
+    units = first.groupBy(F.col("begin").alias("at")).agg(own, F.sum("n").cast("int").alias("n"), F.count(F.lit(1)).alias("pieces"))
+    units = units.select("at", F.shiftright("at", 33).cast("int").alias("task"), "own.doc_id", "own.key", "n", "pieces", ((F.col("pieces") == 1) & (F.col("n") < least)).alias("may"), (F.col("n") <= most).alias("opens"))
+    units = written(units, "chunk-units")
+    joined = units.select("at", "doc_id", "pieces").join(grouped(units, rule).withColumnRenamed("begin", "chunk"), "at")
+    chunks = numbered(joined.groupBy(F.col("chunk").alias("at")).agg(F.min("doc_id").alias("doc_id"), F.sum("pieces").alias("pieces")))
+    of = joined.select(F.col("at").alias("begin"), "chunk").join(chunks.select(F.col("at").alias("chunk"), F.col("number").alias("chunk_no"), "pieces"), "chunk")
+    return first.select("item", "begin").join(of, "begin").select("item", "chunk_no", "pieces")
 
 
 def chunk_report(sections: DataFrame, most: int = MAX_TOKENS, target: int = TARGET_TOKENS, overlap: int = OVERLAP_TOKENS, tokens: Tokens = WORDS) -> DataFrame:
@@ -165,9 +199,8 @@ def chunk_report(sections: DataFrame, most: int = MAX_TOKENS, target: int = TARG
 
     def slices(parts: Column) -> Column:
         weights = F.transform(parts, tokens.count)
-        text = lambda group: F.array_join(group, "\n\n")
-        made = lambda group: F.when(tokens.count(text(group)) > most, tokens.windows(tokens.split(text(group)), target, overlap, True)).otherwise(F.array(text(group)))
-        return F.flatten(F.transform(binned(parts, bins(weights, most, most)), made))
+        cut = lambda text: X.let(tokens.split(text), lambda t: F.when(F.size(t) > most, tokens.windows(t, target, overlap, True)).otherwise(F.array(text)))
+        return F.flatten(F.transform(binned(parts, bins(weights, most, most)), lambda group: X.let(F.array_join(group, "\n\n"), cut)))
 
     cut = F.when(tokens.count(F.col("body")) <= most, F.array("body")).otherwise(X.let(X.paragraphs(F.col("body")), slices))
     made = sections.withColumn("slices", cut).select("*", F.size("slices").alias("total_chunks_in_section"), F.posexplode("slices").alias("chunk_index", "content"))
