@@ -50,7 +50,7 @@ def valid_significance(text: Column, lower: bool = True) -> Column:
 
 def parse_cells(answers: DataFrame, by: tuple[str, ...] = ("project_id",)) -> DataFrame:
     """One row for each cell of each answer (column text), in order (pos); nothing for answers that can't be read."""
-    cells = answers.select(*by, F.posexplode(salvaged(F.col("text"), schemas.CELLS, "cells", "object")).alias("pos", "c")).filter("c IS NOT NULL")
+    cells = answers.select(*by, F.posexplode_outer(salvaged(F.col("text"), schemas.CELLS, "cells", "object")).alias("pos", "c")).filter("c IS NOT NULL")
     det = F.col("c.determination")
     mitigation = F.filter(F.coalesce(det["mitigation"], F.array().cast("array<string>")), lambda m: F.lower(m).isin(*MITIGATION))
     confidence = valid_confidence(det["confidence"])
@@ -70,14 +70,14 @@ def parse_cells(answers: DataFrame, by: tuple[str, ...] = ("project_id",)) -> Da
 
 
 def parse_ground_truth(answers: DataFrame, by: tuple[str, ...] = ("evaluation_id",)) -> DataFrame:
-    rows = answers.select(*by, F.posexplode(salvaged(F.col("text"), schemas.TRUTH, None, "list")).alias("pos", "c")).filter("c IS NOT NULL")
+    rows = answers.select(*by, F.posexplode_outer(salvaged(F.col("text"), schemas.TRUTH, None, "list")).alias("pos", "c")).filter("c IS NOT NULL")
     name = F.trim(F.lower(F.coalesce("c.category_name", F.lit("unknown"))))
     mitigation = F.filter(F.coalesce("c.mitigation", F.array().cast("array<string>")), lambda m: m.isin(*MITIGATION))
     return rows.select(*by, "pos", name.alias("category_name"), valid_significance(F.lower(F.col("c.significance"))).alias("significance"), mitigation.alias("mitigation"), F.coalesce("c.evidence", F.lit("")).alias("evidence"))
 
 
 def parse_regulations(answers: DataFrame, by: tuple[str, ...] = ("project_id",)) -> DataFrame:
-    rows = answers.select(*by, F.posexplode(salvaged(F.col("text"), schemas.REGULATIONS, None, "bare_list")).alias("pos", "c")).filter("c IS NOT NULL")
+    rows = answers.select(*by, F.posexplode_outer(salvaged(F.col("text"), schemas.REGULATIONS, None, "bare_list")).alias("pos", "c")).filter("c IS NOT NULL")
     return rows.select(*by, "pos", *(F.coalesce(f"c.{k}", F.lit("")).alias(k) for k in ("name", "description", "jurisdiction", "citation")))
 
 

@@ -151,8 +151,9 @@ def chunk_regulation(sections: DataFrame, least: int = MIN_TOKENS, most: int = M
     whole = F.array(F.struct(F.col("body").alias("text"), F.lit(None).cast("string").alias("subsection")))
     split = F.when(F.col("is_definition") | (F.col("n") <= most), whole).otherwise(pieces_of(F.col("body"), most, target, overlap, tokens))
     key = F.when(~F.col("is_definition"), sibling_key(*(F.col(f"source.{c}") for c in ("document_type", "part", "parent_statute", "statute_title"))))
+    # outer: else a filter that no array is empty is put before all this, and computes the pieces once more
     cut = rows.select("doc_id", "pos", "source", "is_definition", "n", X.has_table(F.col("body")).alias("has_table"), key.alias("key"), split.alias("pieces"))
-    items = cut.select("*", F.size("pieces").alias("total"), F.posexplode("pieces").alias("index", "piece")).drop("pieces").withColumn("n", F.when(F.col("total") == 1, F.col("n")).otherwise(tokens.count(F.col("piece.text"))))
+    items = cut.select("*", F.size("pieces").alias("total"), F.posexplode_outer("pieces").alias("index", "piece")).drop("pieces").withColumn("n", F.when(F.col("total") == 1, F.col("n")).otherwise(tokens.count(F.col("piece.text"))))
     items = written(items.withColumn("item", F.monotonically_increasing_id()), "chunk-items")
     marks = chunk_marks(items.select("doc_id", "pos", "index", "item", "n", "key", (F.col("total") == 1).alias("solo")), least, most)
     # each piece's text meets the number of its chunk; only those that share one meet each other
@@ -203,13 +204,14 @@ def chunk_report(sections: DataFrame, most: int = MAX_TOKENS, target: int = TARG
         return F.flatten(F.transform(binned(parts, bins(weights, most, most)), lambda group: X.let(F.array_join(group, "\n\n"), cut)))
 
     cut = F.when(tokens.count(F.col("body")) <= most, F.array("body")).otherwise(X.let(X.paragraphs(F.col("body")), slices))
-    made = sections.withColumn("slices", cut).select("*", F.size("slices").alias("total_chunks_in_section"), F.posexplode("slices").alias("chunk_index", "content"))
+    made = sections.withColumn("slices", cut).select("*", F.size("slices").alias("total_chunks_in_section"), F.posexplode_outer("slices").alias("chunk_index", "content"))
     return made.drop("slices", "body").withColumn("has_table", F.col("has_table_hint") | X.has_table(F.col("content"))).withColumn("token_count", tokens.count(F.col("content")))
 
 
 def chunk_generic(docs: DataFrame, size: int = 512, overlap: int = 50) -> DataFrame:
     """doc_id, chunk_index and content of token windows over plain documents."""
-    return docs.select("doc_id", F.posexplode(X.token_windows(F.coalesce("text", F.lit("")), size, overlap, True)).alias("chunk_index", "content"))
+    made = docs.select("doc_id", F.posexplode_outer(X.token_windows(F.coalesce("text", F.lit("")), size, overlap, True)).alias("chunk_index", "content"))
+    return made.filter("chunk_index IS NOT NULL")
 
 
 def build_metadata(chunks: DataFrame, sources: DataFrame) -> DataFrame:

@@ -53,8 +53,8 @@ def knn_pairs(queries: DataFrame, chunks: DataFrame, k: int, scope: str | None =
     parts = n_asked.join(n_known, "scope")
     part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asked.join(parts, "scope").select("scope", part("n_q").alias("q"), every("n_c").alias("c"), "id", "embedding")
-    right = known.join(parts, "scope").select("scope", every("n_q").alias("q"), part("n_c").alias("c"), "id", "embedding")
+    left = asked.join(parts, "scope").select("scope", part("n_q").alias("q"), every("n_c").alias("c"), "id", F.col("embedding").alias("embedding"))
+    right = known.join(parts, "scope").select("scope", every("n_q").alias("q"), part("n_c").alias("c"), "id", F.col("embedding").alias("embedding"))
 
     types = asked.schema["id"].dataType, known.schema["id"].dataType
     meet = meeting(types, k, tile)

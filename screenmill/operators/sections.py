@@ -19,7 +19,7 @@ def _pages(when: Column) -> Column:
 
 def lines_of(pages: DataFrame, text: Column) -> DataFrame:
     """doc_id, page, pos and line of every line: pos orders the lines of a document."""
-    return pages.select("doc_id", "page", F.posexplode(F.split(text, "\n")).alias("n", "line")).withColumn("pos", F.struct("page", "n")).drop("n")
+    return pages.select("doc_id", "page", F.posexplode_outer(F.split(text, "\n")).alias("n", "line")).filter("n IS NOT NULL").withColumn("pos", F.struct("page", "n")).drop("n")
 
 
 def assemble_state_sections(pages: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def bold_spans(pages: DataFrame) -> DataFrame:
     """Bold and plain spans of pages (doc_id, page, html) in order, white space collapsed, empty ones left out."""
     marked = X.recover_chars(X.marked_text(F.col("html")))
     cut = F.split(F.regexp_replace(marked, rf"(?s){X.BOLD}(.*?){X.PLAIN}", "\x03B$1\x03P"), "\x03")
-    rows = pages.select("doc_id", "page", F.posexplode(cut).alias("n", "raw"))
+    rows = pages.select("doc_id", "page", F.posexplode_outer(cut).alias("n", "raw")).filter("n IS NOT NULL")
     span = X.collapse(F.regexp_replace(F.when(F.col("n") == 0, F.col("raw")).otherwise(F.substring("raw", 2, 1 << 30)), f"[{X.BOLD}{X.PLAIN}]", ""))
     return rows.select("doc_id", "page", F.struct("page", "n").alias("pos"), ((F.col("n") > 0) & F.col("raw").startswith("B")).alias("bold"), span.alias("span")).filter("span <> ''")
 
@@ -175,6 +175,6 @@ def assemble_federal_sections(pages: DataFrame) -> DataFrame:
 
 def resolve_references(chunks: DataFrame) -> DataFrame:
     """src, dst and whether dst is a section of the corpus, for each citation in chunks (chunk_id, citation, body)."""
-    refs = chunks.select(F.col("citation").alias("src"), F.explode(X.cross_references(F.col("body"), F.col("citation"))).alias("dst")).distinct()
+    refs = chunks.select(F.col("citation").alias("src"), F.explode_outer(X.cross_references(F.col("body"), F.col("citation"))).alias("dst")).filter("dst IS NOT NULL").distinct()
     known = chunks.select(F.col("citation").alias("dst")).distinct().withColumn("resolved", F.lit(True))
     return refs.join(known, "dst", "left").select("src", "dst", F.coalesce("resolved", F.lit(False)).alias("resolved"))

@@ -27,7 +27,7 @@ REFS = """r AS (SELECT doc_id, '40 CFR §' || (1500 + doc_id % 9) || '.' || (doc
 
 @query(f"WITH {REFS}, u AS (SELECT doc_id, own, unnest(refs) AS ref FROM r) SELECT DISTINCT doc_id, ref FROM u WHERE ref <> own")
 def cross_references(t: Tables):
-    return cited(t).select("doc_id", F.explode(X.cross_references(F.col("body"), F.col("citation"))).alias("ref"))
+    return cited(t).select("doc_id", F.explode_outer(X.cross_references(F.col("body"), F.col("citation"))).alias("ref")).filter("ref IS NOT NULL")
 
 
 @query(f"""WITH {REFS}, u AS (SELECT DISTINCT own AS src, unnest(refs) AS dst FROM r), k AS (SELECT DISTINCT own FROM r)
@@ -119,8 +119,10 @@ def generic_chunks(t: Tables):
 
 def sections_of(t: Tables):
     """Documents as sections of a part for each source, with a label every 300 words."""
-    words = X.tokens(F.coalesce("text", F.lit("")))
-    labelled = F.array_join(F.transform(words, lambda w, k: F.when((k % 300 == 0) & (F.size(words) > 900), F.concat(F.lit("("), F.element_at(F.array(*map(F.lit, "abcdefghijklmnopqrstuvwxyz")), ((k / 300).cast("int") % 26) + 1), F.lit(") "), w)).otherwise(w)), " ")
+    letters = F.array(*map(F.lit, "abcdefghijklmnopqrstuvwxyz"))
+    mark = lambda k: F.concat(F.lit("("), F.element_at(letters, ((k / 300).cast("int") % 26) + 1), F.lit(") "))
+    marked = lambda words: F.when(F.size(words) > 900, F.transform(words, lambda w, k: F.when(k % 300 == 0, F.concat(mark(k), w)).otherwise(w))).otherwise(words)
+    labelled = F.array_join(X.let(X.tokens(F.coalesce("text", F.lit(""))), marked), " ")
     null = F.lit(None).cast("string")
     return t.documents.select(
         F.col("source").alias("doc_id"), F.col("doc_id").cast("int").alias("pos"), F.lit("cfr_regulation").alias("document_type"), F.concat(F.lit("1500."), F.col("doc_id").cast("string")).alias("section"), F.lit("Title").alias("title"), labelled.alias("body"),
