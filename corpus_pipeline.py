@@ -13,22 +13,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenmill.llm.common import documents, rested, settled, sized, whole_text
+from screenmill.llm.common import columns_of, documents, rested, settled, sized, whole_text
 from screenmill.llm.exact_dedup import exact_rows
 from screenmill.llm.minhash_dedup import near_rows
 from screenmill.llm.packing import pack
 from screenmill.llm.repeated_spans import remove_repeats
 from screenmill.llm.toxicity import toxic_rows
 
-def with_hash(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_hash", F.xxhash64(whole_text()))
+
+def held(docs: DataFrame) -> DataFrame:
+    """The rows as one column, with id and hash beside it: columns of documents may have any names."""
+    return docs.select(F.struct(*columns_of(docs)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(whole_text()).alias("hash"))
 
 
 def matching(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     """The rows of docs that are (left_semi) or are not (left_anti) among the rows (doc_id, text_hash)."""
-    here, there = with_hash(docs).alias("here"), rows.select("doc_id", "text_hash").alias("there")
-    same = F.col("here.doc_id").cast("long").eqNullSafe(F.col("there.doc_id")) & (F.col("here._hash") == F.col("there.text_hash"))
-    return here.join(there, same, how).select(docs.columns)
+    here, there = held(docs).alias("here"), rows.select("doc_id", "text_hash").alias("there")
+    same = F.col("here.id").eqNullSafe(F.col("there.doc_id")) & (F.col("here.hash") == F.col("there.text_hash"))
+    return here.join(there, same, how).select("row.*")
 
 
 def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -50,7 +52,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     left = without(docs, copies.filter("NOT kept"))
     if doubles.isEmpty():
         return left
-    once = with_hash(matching(left, doubles, "left_semi")).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    once = held(matching(left, doubles, "left_semi")).dropDuplicates(["id", "hash"]).select("row.*")
     return matching(left, doubles, "left_anti").unionByName(once)
 
 
@@ -63,11 +65,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that a document with a smaller doc_id has are cut out; n_chars follows."""
     rested(spark)
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    cut = remove_repeats(docs, carried=others)
-    if "n_chars" in others:
-        cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.select(docs.columns)
+    plain = [f"c{k}" for k in range(len(docs.columns))]
+    cut = remove_repeats(docs.select("doc_id", "text", *(c.alias(p) for c, p in zip(columns_of(docs), plain, strict=True))), carried=plain)
+    new = {"text": F.col("text"), "n_chars": F.char_length("text")}
+    return cut.select(*((new[c].cast(docs.schema[c].dataType) if c in new else F.col(p)).alias(c) for c, p in zip(docs.columns, plain, strict=True)))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

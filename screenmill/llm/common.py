@@ -30,6 +30,11 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns by their names, whatever characters those have."""
+    return [F.col("`" + c.replace("`", "``") + "`").alias(c) for c in df.columns]
+
+
 def keyed_texts(docs: DataFrame) -> DataFrame:
     """doc_id and whole text alone: extra or clashing columns never reach the operators."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))

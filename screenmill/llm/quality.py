@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_texts
+from .common import columns_of, keyed_texts, whole_text
 
 WHITE = r"\x20\x09-\x0D"
 SYMBOLS = "#*$%&|<>"
@@ -185,8 +185,9 @@ def quality(docs: DataFrame, order: list[Rule] | None = None) -> DataFrame:
 def filter_quality(docs: DataFrame, order: list[Rule] | None = None) -> DataFrame:
     """The rows of docs that no rule rejects; here the cascade spares all measures that a rejected document doesn't need."""
     order = order if order is not None else [r for r, _, _ in ranked_rules(docs)]
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumn("__words", words_of(text)).filter(cascade(order, text, F.col("__words")).isNull()).drop("__words")
+    # the rows are one column, so that theirs may have any names
+    rows = docs.select(F.struct(*columns_of(docs)).alias("row"), whole_text().alias("text")).withColumn("words", words_of(F.col("text")))
+    return rows.filter(cascade(order, F.col("text"), F.col("words")).isNull()).select("row.*")
 
 
 QUALITY_SQL = r"""

@@ -11,7 +11,8 @@ their entries alone are copied.
 Hosts are compared without case and without a dot at their end; an address (IPv4, or IPv6 in brackets) has no parent
 domains.  Rows: a null or unparsable URL or a null day matches nothing and is allowed; every capture yields one row; of
 changes on one day a removal counts after an add; repeated changes count once; an empty list allows all; other columns are
-ignored.
+ignored.  Of an entry the scheme, `*.`, the port, blanks around it and slashes at its end are dropped; one without a host
+or with a query takes no effect, and rejected_entries() lists such with the reason.
 """
 
 from __future__ import annotations
@@ -46,11 +47,32 @@ def lookup_keys(host: Column, path: Column, deepest: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(domains, prefixes)))
 
 
+#: An entry: a scheme, `*.` and a port are allowed and say nothing more than the host does.
+ENTRY = r"^(?:[A-Za-z][A-Za-z0-9+.-]*://|(?![A-Za-z][A-Za-z0-9+.-]*://))(?:\*?\.)?(\[[^\]/?#@]*\]|[^/?#:@*\[\]]+?)\.?(?::[0-9]*)?(?:/([^?#]*))?$"
+
+
+def entry_of(entry: Column) -> Column:
+    """The host in lower case, with the parts of the path that aren't empty; null if the entry is none."""
+    text = F.trim(entry)
+    host = F.lower(F.regexp_extract(text, ENTRY, 1))
+    return F.when(host != "", F.array_join(F.concat(F.array(host), F.filter(F.split(F.regexp_extract(text, ENTRY, 2), "/"), lambda x: x != "")), "/"))
+
+
+def rejected_entries(changes: DataFrame) -> DataFrame:
+    """The changes of a log that can't take effect, with a reason."""
+    reason = (
+        F.when(F.coalesce(F.trim("entry"), F.lit("")) == "", "no entry")
+        .when(F.col("day").isNull(), "no day")
+        .when(F.col("entry").rlike(r"[?#]"), "a query or fragment, which no look-up has")
+        .when(entry_of(F.col("entry")).isNull(), "no host")
+    )
+    return changes.withColumn("reject_reason", reason).filter("reject_reason IS NOT NULL")
+
+
 def intervals(changes: DataFrame) -> DataFrame:
     """entry, category, valid_from, valid_to (null: still active) of a log of changes (entry, category, day, action)."""
     # hosts are the same in either case, paths are not
-    entry = F.concat(F.regexp_replace(F.lower(F.regexp_extract("entry", "^[^/]*", 0)), r"\.$", ""), F.regexp_replace("entry", "^[^/]*", ""))
-    log = changes.filter("entry IS NOT NULL AND day IS NOT NULL").groupBy(entry.alias("entry"), F.coalesce("category", F.lit("")).alias("category"), "day").agg(F.min((F.col("action") == "add").cast("int")).alias("adds"))
+    log = changes.select(entry_of(F.col("entry")).alias("entry"), "category", "day", "action").filter("entry IS NOT NULL AND day IS NOT NULL").groupBy("entry", F.coalesce("category", F.lit("")).alias("category"), "day").agg(F.min((F.col("action") == "add").cast("int")).alias("adds"))
     w = Window.partitionBy("entry", "category").orderBy("day")
     state = log.withColumn("before", F.lag("adds").over(w)).filter("before IS NULL OR before <> adds")
     state = state.withColumn("valid_to", F.lead("day").over(w))
@@ -65,8 +87,9 @@ def filter_urls(captures: DataFrame, changes: DataFrame) -> DataFrame:
     rows = captures.select("page_id", "url", "fetched_on")
     # what decides is the URL and the day, so equal captures are looked up once
     asked = rows.filter("url IS NOT NULL AND fetched_on IS NOT NULL").select("url", "fetched_on").distinct()
-    deepest = changes.agg(F.coalesce(F.max(F.size(F.split("entry", "/")) - 1), F.lit(0)).alias("deepest"))
-    keys = asked.crossJoin(F.broadcast(deepest)).select("url", "fetched_on", F.explode(lookup_keys(host_of(F.col("url")), path_of(F.col("url")), F.col("deepest"))).alias("entry"))
+    deepest = changes.agg(F.coalesce(F.max(F.size(F.split(entry_of(F.col("entry")), "/")) - 1), F.lit(0)).alias("deepest"))
+    url = F.trim("url")
+    keys = asked.crossJoin(F.broadcast(deepest)).select("url", "fetched_on", F.explode_outer(lookup_keys(host_of(url), path_of(url), F.col("deepest"))).alias("entry")).filter("entry IS NOT NULL")
     # where a key is hot, its look-ups are dealt to parts and its entries copied to each; the list of such keys is bounded
     totals = keys.groupBy("entry").agg(F.count(F.lit(1)).alias("n"))
     share = totals.agg(F.greatest(F.ceil(F.sum("n") / HOT_KEYS), F.lit(LEAST_SPLIT)).alias("most"))

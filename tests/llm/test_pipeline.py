@@ -71,7 +71,7 @@ def test_stages(spark):
 def frame(spark, rows):
     """Rows (doc_id, text) with the columns of documents and others whose names the operators use."""
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    clash = ("keep_id", "block", "node", "text_hash", "kept", "ids", "carried_0", "score")
+    clash = ("keep_id", "block", "node", "text_hash", "kept", "ids", "carried_0", "score", "_hash", "hash", "id", "row", "a.b", "t`k")
     return docs.select("*", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.char_length("text").alias("n_chars"), *(F.lit(f"own {c}").alias(c) for c in clash))
 
 
@@ -92,7 +92,7 @@ def test_exact_stage_keeps_every_text_once(spark, folder):
     left = STAGES["exact dedup"](spark, docs, folder)
     assert left.columns == docs.columns
     assert contents(left) == Counter([(9, ONE), (5, OTHER), (None, "solo"), (8, ""), (3, "x")])
-    assert all(r.keep_id == "own keep_id" for r in left.collect())
+    assert all(r[c] == f"own {c}" for r in left.collect() for c in ("keep_id", "_hash", "hash", "row", "a.b", "t`k"))
 
 
 def test_near_stage_drops_rows_by_their_own_text(spark, folder):

@@ -63,6 +63,10 @@ def test_quality_edges_and_order(spark):
     kept = [sorted(r.doc_id for r in quality.filter_quality(docs, o).collect()) for o in orders]
     assert kept[0] == kept[1] == sorted(k for k, r in got.items() if r.kept)
     assert quality.quality(docs.limit(0)).count() == 0
+    named = docs.withColumnsRenamed({"words": "__words"}).select("*", F.lit(1).alias("a.b"), F.lit(2).alias("row"), F.lit(3).alias("t`k"))
+    left = quality.filter_quality(named, orders[0])
+    assert left.columns == named.columns and {(r["__words"], r["a.b"], r["row"], r["t`k"]) for r in left.collect()} <= {("clash", 1, 2, 3)}
+    assert sorted(r.doc_id for r in left.collect()) == kept[0]
 
 
 def test_cascade_spares_what_a_rejected_document_does_not_need(spark, monkeypatch):
@@ -204,6 +208,19 @@ def test_url_entries_of_any_depth_and_case(spark):
     assert got == {k: b for k, (_, b) in enumerate(asked)}
 
 
+def test_url_entries_are_normalised_or_rejected(spark):
+    day = datetime.date(2020, 1, 1)
+    entries = ["slash.example/a/", "https://scheme.example/", "port.example:8080/b", "*.wild.example", " blank.example ", ".dot.example", "all.example/*", "q.example/a?b", "https://", "", None]
+    changes = spark.createDataFrame([(e, "c", day, "add") for e in entries] + [("late.example", "c", None, "add")], "entry string, category string, day date, action string")
+    asked = [("http://slash.example/a", True), ("http://slash.example/a/b", True), ("http://slash.example/", False), ("http://scheme.example/x", True), ("http://port.example/b", True), ("http://x.wild.example", True), (" http://blank.example/", True), ("http://dot.example/", True), ("http://q.example/a?b", False), ("http://late.example", False)]
+    captures = spark.createDataFrame([(k, u, day) for k, (u, _) in enumerate(asked)] + [(90, "http://dot.example/", day)] * 2, "page_id long, url string, fetched_on date")
+    got = [(r.page_id, r.blocked) for r in url_filter.filter_urls(captures, changes).collect()]
+    assert sorted(got) == [(k, b) for k, (_, b) in enumerate(asked)] + [(90, True)] * 2
+    reasons = {r.entry: r.reject_reason for r in url_filter.rejected_entries(changes).collect()}
+    assert {k: v[:5] for k, v in reasons.items()} == {"q.example/a?b": "a que", "https://": "no ho", "": "no en", None: "no en", "late.example": "no da"}
+    assert url_filter.filter_urls(captures.limit(0), changes).count() == 0
+
+
 def test_url_hosts_and_hot_keys(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "LEAST_SPLIT", 3)
     monkeypatch.setattr(url_filter, "HOT_KEYS", 4)
