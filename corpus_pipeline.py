@@ -65,10 +65,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that a document with a smaller doc_id has are cut out; n_chars follows."""
     rested(spark)
-    plain = [f"c{k}" for k in range(len(docs.columns))]
-    cut = remove_repeats(docs.select("doc_id", "text", *(c.alias(p) for c, p in zip(columns_of(docs), plain, strict=True))), carried=plain)
-    new = {"text": F.col("text"), "n_chars": F.char_length("text")}
-    return cut.select(*((new[c].cast(docs.schema[c].dataType) if c in new else F.col(p)).alias(c) for c, p in zip(docs.columns, plain, strict=True)))
+    others = {c: f"c{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    names = [others.get(c, c) for c in docs.columns]
+    cut = remove_repeats(docs.toDF(*names), carried=list(others.values()))
+    if "n_chars" in others:
+        cut = cut.withColumn(others["n_chars"], F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return cut.select(names).toDF(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
