@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from screenmill.operators import metrics as M
 from screenmill.plans.registry import OUTPUTS, Tables, query
 from screenmill.streaming import events as E
+from screenmill.streaming import runs as RS
+from screenmill.vocab import AGENTS
 
 
 def rounded(df, places: int = 2):
@@ -104,3 +106,37 @@ s AS (SELECT *, sum(fresh) OVER (PARTITION BY run_id ORDER BY ts, event_id) AS k
 SELECT run_id, min(ts) AS started_at, max(ts) + INTERVAL '30 minutes' AS ended_at, count(*) AS n_events, count(*) FILTER (event_id % 2 = 1) AS completed, 0::BIGINT AS failures, false AS finished FROM s GROUP BY run_id, k""")
 def event_sessions(t: Tables):
     return E.run_sessions(run_events(t), "30 minutes")
+
+
+def staged_events(t: Tables):
+    """The events table as a feed of stages: agents in turn, starts, ends, errors and costs by id; some runs end or are cancelled."""
+    k = F.col("event_id")
+    kind = F.when(k % 90 == 0, "result").when(k % 91 == 0, "cancelled").when(k % 97 == 0, "pipeline_error")
+    for at, name in enumerate(("agent_start", "agent_complete", "agent_start", "agent_complete", "agent_error", "agent_cost")):
+        kind = kind.when(k % 6 == at, name)
+    return t.events.select("ts", F.col("user_id").alias("run_id"), kind.alias("event"), F.element_at(F.array(*map(F.lit, AGENTS)), (k / 2 % 5).cast("int") + 1).alias("agent"))
+
+
+STAGES_SQL = f"""WITH e AS (SELECT ts, user_id AS run_id, event_id, CASE WHEN event_id % 90 = 0 THEN 'result' WHEN event_id % 91 = 0 THEN 'cancelled' WHEN event_id % 97 = 0 THEN 'pipeline_error'
+ WHEN event_id % 6 IN (0, 2) THEN 'agent_start' WHEN event_id % 6 IN (1, 3) THEN 'agent_complete' WHEN event_id % 6 = 4 THEN 'agent_error' ELSE 'agent_cost' END AS event, {list(AGENTS)}[event_id // 2 % 5 + 1] AS agent FROM events),
+g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL '6 hours' THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY run_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY run_id ORDER BY ts, event_id) AS k FROM g),
+f AS (SELECT run_id, k, min(ts) AS started_at, max(ts) + INTERVAL '6 hours' AS ended_at, count(*) AS n_events, coalesce(arg_max(CASE event WHEN 'result' THEN 'finished' WHEN 'pipeline_error' THEN 'failed' ELSE 'cancelled' END, (ts, list_position(['result', 'pipeline_error', 'cancelled'], event)))
+  FILTER (event IN ('result', 'pipeline_error', 'cancelled')), 'interrupted') AS run_status, max((ts, agent)) FILTER (event = 'cancelled') AS stopped FROM s GROUP BY 1, 2),
+a AS (SELECT run_id, k, agent, arg_max(event, (ts, list_position(['agent_start', 'agent_complete', 'agent_error'], event))) AS last, count(*) FILTER (event = 'agent_start') AS starts, count(*) FILTER (event = 'agent_error') AS failures, max(ts) AS last_at
+  FROM s WHERE event IN ('agent_start', 'agent_complete', 'agent_error') GROUP BY 1, 2, 3)"""
+
+
+@query(f"""{STAGES_SQL} SELECT f.run_id, started_at, ended_at, n_events, run_status, CASE WHEN run_status = 'cancelled' THEN stopped[2] END AS stopped_before, p.agent,
+CASE last WHEN 'agent_start' THEN 'running' WHEN 'agent_complete' THEN 'complete' WHEN 'agent_error' THEN 'error' ELSE 'pending' END AS status, coalesce(starts, 0) AS starts, coalesce(failures, 0) AS failures, last_at
+FROM f CROSS JOIN (SELECT unnest({list(AGENTS)}) AS agent) p LEFT JOIN a ON a.run_id = f.run_id AND a.k = f.k AND a.agent = p.agent""")
+def run_stages(t: Tables):
+    made = RS.run_stages(staged_events(t), "6 hours")
+    return made.select(*made.columns[:-1], F.explode("stages").alias("s")).select(*made.columns[:-1], "s.*")
+
+
+@query(f"""{STAGES_SQL}, b AS (SELECT f.run_id, f.k, any_value(run_status) AS run_status, count(*) FILTER (last = 'agent_complete') AS done, count(*) FILTER (last = 'agent_error') AS failed FROM f LEFT JOIN a ON a.run_id = f.run_id AND a.k = f.k GROUP BY 1, 2)
+SELECT run_status, done::INT AS stages_done, failed::INT AS stages_failed, done = 5 AND run_status = 'finished' AS complete, count(*) AS n FROM b GROUP BY 1, 2, 3, 4""")
+def run_outcomes(t: Tables):
+    made = RS.with_outcome(RS.run_stages(staged_events(t), "6 hours"))
+    return made.groupBy("run_status", F.size("completed_stages").alias("stages_done"), F.size("failed_stages").alias("stages_failed"), "complete").agg(F.count(F.lit(1)).alias("n"))

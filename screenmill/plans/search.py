@@ -118,7 +118,7 @@ def upserted_chunks(t: Tables):
     return G.upsert(stored(t), changes(t), ["citation", "chunk_index"], keep=["id"])
 
 
-@query(f"""WITH {STORED} SELECT citation, chunk_index, id, body FROM target WHERE citation NOT IN (SELECT citation FROM updates) UNION ALL SELECT citation, chunk_index, id, body FROM updates""")
+@query(f"""WITH {STORED} SELECT citation, chunk_index, id, body FROM target ANTI JOIN (SELECT DISTINCT citation FROM updates) u USING (citation) UNION ALL SELECT citation, chunk_index, id, body FROM updates""")
 def replaced_partitions(t: Tables):
     return G.replace_partitions(stored(t), changes(t), "citation")
 

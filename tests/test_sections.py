@@ -113,3 +113,19 @@ def test_scalar_functions(spark):
     assert one(spark, "40.1", X.coordinates) is None
     assert one(spark, "x (a) one (b) two", X.labelled_paragraphs) == [("", "x"), ("(a)", "(a) one"), ("(b)", "(b) two")]
     assert one(spark, "**bold** [a](b) `c`\n# head\n* item", X.strip_markdown) == "bold a c\nhead\n- item"
+
+
+def test_citations_that_overlap(spark):
+    """Each kind is looked for in the whole text, so one mention may be part of another's."""
+    cases = {
+        "under section 42 U.S.C. § 4332": ["42 USC §4332", "NEPA §42"],
+        "see § 5 U.S.C. § 552": ["5 USC §552"],
+        "section 32 P.S. § 693.1": ["NEPA §32", "25 Pa. Code § 693.1", "32 P.S. § 693.1"],
+        "§§1501.7(b), § 1502.14 and §1501.7; Section 102(2)(C), 42 usc 4332A": ["40 CFR §1501.7", "40 CFR §1502.14", "42 USC §4332A", "NEPA §102"],
+        "25 Pa. Code § 105.14a and §§ 105.15": ["25 Pa. Code § 105.14a", "25 Pa. Code § 105.15"],
+        "no mention": [],
+    }
+    rows = spark.createDataFrame([(c,) for c in cases], "t string")
+    assert {r.t: r.refs for r in rows.select("t", X.cross_references(F.col("t"), F.lit("40 CFR §1.1")).alias("refs")).collect()} == cases
+    own = rows.select("t", X.cross_references(F.col("t"), F.lit("NEPA §42")).alias("refs")).first()
+    assert own.refs == ["42 USC §4332"]
