@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from screenmill.operators.chunking import chunk_regulation
 from screenmill.operators.merge import ingest_status
-from screenmill.sources.io import read_table, write_table
+from screenmill.sources.buckets import BucketTable
 from screenmill.sources.xml_sections import parse_regulation_xml
 from screenmill.vocab import MAX_TOKENS, MIN_TOKENS
 
@@ -44,26 +44,45 @@ def start_intake(files: DataFrame, sink: Callable[[DataFrame], None], checkpoint
     return named.writeStream.foreachBatch(lambda batch, _: sink(batch)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def ingest(batch: DataFrame, chunks_path: str, status_path: str, least: int = MIN_TOKENS, most: int = MAX_TOKENS) -> None:
-    """One micro-batch of regulation XML (path, content, sha256): sections, chunks, and the tables they are merged into.
+#: Buckets of the tables that files are taken into, and data folders of a bucket after which it is compacted.
+BUCKETS, MOST_FOLDERS = 64, 8
 
-    Chunks are written in a partition for each content, which a repeated batch overwrites, so running it twice changes
-    nothing; so is the status of each document, failed with a reason where there are no sections or chunks.
+
+def ingest(batch: DataFrame, folder: str, least: int = MIN_TOKENS, most: int = MAX_TOKENS, buckets: int = BUCKETS, most_folders: int = MOST_FOLDERS) -> None:
+    """One micro-batch of regulation XML (path, content): contents that are new become sections and chunks.
+
+    Below folder are tables in buckets: chunks (replaced by document), status (a row for each document, failed with a
+    reason where there are no sections or chunks) and digests (the SHA-256 of every content that was taken in, and the
+    path that it came with).  A content is new if its digest isn't stored, whenever it came first.  Digests are written
+    last, so a batch that failed is done again as a whole, and doing it twice changes nothing.
     """
-    docs = batch.select(F.col("sha256").alias("doc_id"), "path", "content").persist()
+    spark = batch.sparkSession
+    named = batch.select(F.sha2("content", 256).alias("doc_id"), "path", "content").filter("content IS NOT NULL")
+    table = lambda like, name, **facts: BucketTable.opened(like, f"{folder}/{name}", ["doc_id"], buckets=buckets, **facts)
+    digests = table(spark.createDataFrame([], "doc_id string, path string"), "digests", bloom="doc_id")
+    once = named.groupBy("doc_id").agg(F.min_by(F.struct("path", "content"), "path").alias("r")).select("doc_id", "r.*")
+    known = digests.find(named).select("doc_id")
+    docs = once.join(known, "doc_id", "left_anti").persist()
     try:
+        if docs.isEmpty():
+            return
         parsed = parse_regulation_xml(docs)
         found = parsed.filter("error IS NULL AND section IS NOT NULL")
         sections = found.select("doc_id", "pos", F.lit("cfr_regulation").alias("document_type"), "section", "title", "body", "citation", F.array().cast("array<int>").alias("pages"), "part", "part_title", *(F.lit(None).cast("string").alias(c) for c in ("parent_statute", "statute_title", "effective_date")))
         chunks = chunk_regulation(sections, least, most)
-        write_table(chunks.withColumn("content", F.col("doc_id")), chunks_path, ["content"], "overwrite")
-        stored = read_table(docs.sparkSession, chunks_path).select("doc_id").join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-        status = ingest_status(docs.select("doc_id", "path"), sections.select("doc_id"), stored)
-        write_table(status.withColumn("content", F.col("doc_id")), status_path, ["content"], "overwrite")
+        stored = table(chunks, "chunks", keyed=False)
+        stored.write(chunks)
+        status = ingest_status(docs.select("doc_id", "path"), sections.select("doc_id"), stored.find(docs).select("doc_id"))
+        statuses = table(status, "status")
+        statuses.write(status)
+        digests.write(docs.select("doc_id", "path"))
+        for t in (stored, statuses, digests):
+            t.compact(most_folders)
     finally:
         docs.unpersist()
 
 
-def start_ingest(files: DataFrame, chunks_path: str, status_path: str, checkpoint: str, **limits):
-    """The whole chain on a stream of files: new contents are parsed, chunked and merged."""
-    return start_intake(files, lambda batch: ingest(batch, chunks_path, status_path, **limits), checkpoint)
+def start_ingest(files: DataFrame, folder: str, checkpoint: str, trigger: dict | None = None, **limits):
+    """The whole chain on a stream of files (path, content): new contents are parsed, chunked and stored below folder."""
+    writer = files.writeStream.foreachBatch(lambda batch, _: ingest(batch, folder, **limits))
+    return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import math
 
 import numpy as np
@@ -15,6 +17,7 @@ from screenmill.operators import merge as G
 from screenmill.operators import metrics as M
 from screenmill.operators import scoring as S
 from screenmill.operators import spatial as P
+from screenmill.sources.buckets import BucketTable
 from screenmill.streaming import events as E
 
 
@@ -179,11 +182,24 @@ def test_ingest_stream(spark, tmp_path):
 
     def run():
         files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(str(tmp_path / "in"))
-        E.start_ingest(files, str(tmp_path / "chunks"), str(tmp_path / "status"), str(tmp_path / "check"), least=40, most=100).awaitTermination(120)
-        chunks, status = (spark.read.parquet(str(tmp_path / x)) for x in ("chunks", "status"))
-        return sorted((len(r.sources), r.token_count) for r in chunks.collect()), sorted((r.sections_count, r.status, r.status_message or "") for r in status.collect())
+        E.start_ingest(files, str(tmp_path / "kept"), str(tmp_path / "check"), least=40, most=100, buckets=4, most_folders=2).awaitTermination(120)
+        return state()
+
+    def state():
+        chunks, status, digests = (BucketTable(spark, str(tmp_path / "kept" / x)) for x in ("chunks", "status", "digests"))
+        assert all(n <= 3 for t in (chunks, status, digests) for n in t.folders().values())
+        return sorted((len(r.sources), r.token_count) for r in chunks.read().collect()), sorted((r.sections_count, r.chunks_count, r.status, r.status_message or "") for r in status.read().collect())
 
     once = run()
-    assert once == ([(3, 90), (3, 90)], [(0, "failed", "no sections found"), (3, "ready", ""), (3, "ready", "")])
+    assert once == ([(3, 90), (3, 90)], [(0, 0, "failed", "no sections found"), (3, 1, "ready", ""), (3, 1, "ready", "")])
     (tmp_path / "in" / "late.xml").write_text(part(1502))
-    assert len(run()[0]) == 3
+    twice = run()
+    assert len(twice[0]) == 3
+    # the same content under another name days later, and a batch that is repeated: nothing changes, nothing is written
+    manifests = sorted(str(p) for p in (tmp_path / "kept").glob("*/manifests/*"))
+    (tmp_path / "in" / "again.xml").write_text(part(1501))
+    os.utime(tmp_path / "in" / "again.xml", (2e9, 2e9))
+    assert run() == twice
+    batch = spark.read.format("binaryFile").load(str(tmp_path / "in")).select("path", "content")
+    E.ingest(batch, str(tmp_path / "kept"), least=40, most=100)
+    assert state() == twice and sorted(str(p) for p in (tmp_path / "kept").glob("*/manifests/*")) == manifests
