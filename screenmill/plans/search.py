@@ -9,6 +9,7 @@ from screenmill.operators import knn as K
 from screenmill.operators import merge as G
 from screenmill.operators import nearest as N
 from screenmill.plans.registry import SQL, Tables, query
+from screenmill.sources.buckets import BucketTable
 from screenmill.sources.io import work_folder
 
 
@@ -123,6 +124,23 @@ def replaced_partitions(t: Tables):
     return G.replace_partitions(stored(t), changes(t), "citation")
 
 
+@query(SQL["upserted_chunks"])
+def upserted_in_buckets(t: Tables):
+    """The same on a stored table: the changes are written as a delta, and the touched buckets compacted."""
+    table = BucketTable.create(stored(t), work_folder(t.spark, "buckets"), ["citation", "chunk_index"], buckets=16, keep=("id",))
+    table.write(changes(t))
+    table.compact()
+    return table.read()
+
+
+@query(SQL["replaced_partitions"])
+def replaced_in_buckets(t: Tables):
+    """The same on a stored table whose groups are replaced, read without compaction."""
+    table = BucketTable.create(stored(t), work_folder(t.spark, "buckets"), ["citation"], buckets=16, keyed=False)
+    table.write(changes(t))
+    return table.read()
+
+
 @query("""WITH s AS (SELECT sha256(coalesce(text, '')) AS sha256, doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN source END AS project_id, doc_id % 3 = 0 AS new FROM documents),
 f AS (SELECT sha256, arg_min(id, (new, id)) AS id, arg_min(coalesce(project_id, '-'), (new, id)) AS p, arg_max(project_id, id) FILTER (new AND project_id IS NOT NULL) AS moved FROM s GROUP BY sha256)
 SELECT sha256, id, coalesce(moved, nullif(p, '-')) AS project_id FROM f""")

@@ -9,8 +9,10 @@ from screenmill.operators import chunking as C
 from screenmill.operators import merge as G
 from screenmill.operators import sections as S
 from screenmill.plans.registry import Tables, query
-from screenmill.sources.io import intake_files
+from screenmill.sources.buckets import BucketTable
+from screenmill.sources.io import intake_files, work_folder
 from screenmill.sources.xml_sections import parse_regulation_xml
+from screenmill.streaming.events import ingest
 
 
 def cited(t: Tables):
@@ -227,12 +229,37 @@ def rejected_files(t: Tables):
     return intake_files(files, 10000)[1]
 
 
-@query("""SELECT doc_id::VARCHAR AS doc_id, 1 AS pos, '800.' || doc_id AS section, 'Heading' AS title, CASE WHEN doc_id % 2 = 0 THEN '36 CFR 800.' || doc_id ELSE '800 CFR §800.' || doc_id END AS citation, '800' AS part, 'PART 800' AS part_title FROM documents WHERE doc_id % 3 <> 0
-UNION ALL SELECT doc_id::VARCHAR, 0, NULL, NULL, NULL, NULL, NULL FROM documents WHERE doc_id % 3 = 0""")
-def xml_sections(t: Tables):
+def regulation_xml(t: Tables):
+    """Documents as files of a part with one section; every third is broken."""
     d = F.col("doc_id").cast("string")
     safe = F.regexp_replace(F.coalesce("text", F.lit("")), r"[<&\x00-\x08\x0B\x0C\x0E-\x1F]", " ")
     hierarchy = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(' hierarchy_metadata="{&quot;citation&quot;:&quot;36 CFR 800.'), d, F.lit('&quot;}"'))).otherwise("")
     xml = F.concat(F.lit('<DIV5 TYPE="PART" N="800"><HEAD>PART 800</HEAD><DIV6 TYPE="SUBPART"><DIV8 TYPE="SECTION" N="800.'), d, F.lit('"'), hierarchy, F.lit("><HEAD>§ 800."), d, F.lit("  Heading</HEAD><P>"), safe, F.lit("<I>kept</I><FTREF>gone</FTREF></P></DIV8></DIV6></DIV5>"))
-    docs = t.documents.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.lit("<DIV5>")).otherwise(xml).cast("binary").alias("content"))
-    return parse_regulation_xml(docs).select("doc_id", "pos", "section", "title", "citation", "part", "part_title")
+    return t.documents.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.lit("<DIV5>")).otherwise(xml).cast("binary").alias("content"))
+
+
+@query("""SELECT doc_id::VARCHAR AS doc_id, 1 AS pos, '800.' || doc_id AS section, 'Heading' AS title, CASE WHEN doc_id % 2 = 0 THEN '36 CFR 800.' || doc_id ELSE '800 CFR §800.' || doc_id END AS citation, '800' AS part, 'PART 800' AS part_title FROM documents WHERE doc_id % 3 <> 0
+UNION ALL SELECT doc_id::VARCHAR, 0, NULL, NULL, NULL, NULL, NULL FROM documents WHERE doc_id % 3 = 0""")
+def xml_sections(t: Tables):
+    return parse_regulation_xml(regulation_xml(t)).select("doc_id", "pos", "section", "title", "citation", "part", "part_title")
+
+
+@query(r"""WITH x AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[<&\x00-\x08\x0B\x0C\x0E-\x1F]', ' ', 'g') || 'kept', ' ' || chr(9) || chr(10) || chr(13)) AS body FROM documents WHERE doc_id % 3 <> 0)
+SELECT doc_id::VARCHAR AS doc_id, '800.' || doc_id AS section, md5(replace(replace(body, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS body_md5 FROM x""")
+def xml_bodies(t: Tables):
+    found = parse_regulation_xml(regulation_xml(t)).filter("section IS NOT NULL")
+    return found.select("doc_id", "section", F.md5("body").alias("body_md5"))
+
+
+@query(r"""WITH n AS (SELECT doc_id, len(list_filter(string_split_regex(regexp_replace(coalesce(text, ''), '[<&\x00-\x08\x0B\x0C\x0E-\x1F]', ' ', 'g') || 'kept', '\s+'), lambda x: x <> '')) AS n FROM documents WHERE doc_id % 3 <> 0),
+c AS (SELECT *, CASE WHEN n <= 1500 THEN 1 ELSE ceil(n / 610.0)::INT - (n - 610 * (ceil(n / 610.0)::INT - 1) < 200)::INT END AS c FROM n)
+SELECT CASE WHEN doc_id % 2 = 0 THEN 'a/' ELSE 'b/' END || doc_id AS path, 1::BIGINT AS sections_count, c::BIGINT AS chunks_count, 'ready' AS status, NULL AS status_message FROM c
+UNION ALL SELECT min('a/' || doc_id), 0, 0, 'failed', 'no sections found' FROM documents WHERE doc_id % 6 = 0""")
+def ingested_files(t: Tables):
+    """Two batches into an empty store: files of even ids, then all files under other names; what came before isn't taken in again."""
+    folder = work_folder(t.spark, "store")
+    files = regulation_xml(t)
+    named = lambda prefix: files.select(F.concat(F.lit(prefix), "doc_id").alias("path"), "content")
+    ingest(named("a/").filter("doc_id % 2 = 0"), folder, buckets=8)
+    ingest(named("b/"), folder, buckets=8)
+    return BucketTable(t.spark, f"{folder}/status").read().drop("doc_id")
