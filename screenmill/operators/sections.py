@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenmill.functions import text as X
+from screenmill.sources.io import written
 
 
 def _joined(pos: Column, value: Column, when: Column, sep: str) -> Column:
@@ -178,3 +179,36 @@ def resolve_references(chunks: DataFrame) -> DataFrame:
     refs = chunks.select(F.col("citation").alias("src"), F.explode_outer(X.cross_references(F.col("body"), F.col("citation"))).alias("dst")).filter("dst IS NOT NULL").distinct()
     known = chunks.select(F.col("citation").alias("dst")).distinct().withColumn("resolved", F.lit(True))
     return refs.join(known, "dst", "left").select("src", "dst", F.coalesce("resolved", F.lit(False)).alias("resolved"))
+
+
+def citation_degrees(references: DataFrame, sections: DataFrame) -> DataFrame:
+    """citation, cites and cited_by: how many others each of the sections (citation) cites and is cited by, of references (src, dst)."""
+    pairs = references.filter("src <> dst").select("src", "dst").distinct()
+    # one row of +1 for each end, combined before the shuffle, so that a section that all others cite is no hot key
+    ends = pairs.select(F.col("src").alias("citation"), F.lit(1).alias("cites"), F.lit(0).alias("cited_by")).unionByName(pairs.select(F.col("dst").alias("citation"), F.lit(0).alias("cites"), F.lit(1).alias("cited_by")))
+    none = sections.filter("citation IS NOT NULL").select("citation", F.lit(0).alias("cites"), F.lit(0).alias("cited_by"), F.lit(True).alias("own"))
+    both = ends.withColumn("own", F.lit(False)).unionByName(none)
+    return both.groupBy("citation").agg(F.sum("cites").alias("cites"), F.sum("cited_by").alias("cited_by"), F.max("own").alias("own")).filter("own").drop("own")
+
+
+def reachable(references: DataFrame, starts: DataFrame, most_rounds: int | None = None) -> DataFrame:
+    """start, citation and depth of all that the starts (citation) lead to over references (src, dst), by the fewest steps.
+
+    Breadth first: each round joins what was new in the last one, and only that, with the references; rounds are written,
+    so a lost executor costs one.  A start that leads back to itself has itself at the depth of its shortest circle.
+    """
+    edges = written(references.select("src", F.col("dst").alias("citation")).distinct(), "citation-edges")
+    frontier, found, depth = starts.filter("citation IS NOT NULL").select(F.col("citation").alias("start"), "citation").distinct(), None, 0
+    while most_rounds is None or depth < most_rounds:
+        depth += 1
+        after = frontier.withColumnRenamed("citation", "src").join(edges, "src").select("start", "citation").distinct()
+        if found is not None:
+            after = after.join(found, ["start", "citation"], "left_anti")
+        after = written(after.withColumn("depth", F.lit(depth)), "citation-round")
+        found = after if found is None else found.unionByName(after)
+        if after.isEmpty():
+            break
+        if depth % 16 == 0:  # keeps the plan short
+            found = written(found, "citation-found")
+        frontier = after.select("start", "citation")
+    return found

@@ -65,6 +65,11 @@ def runs_with_project(t: Tables):
     return rounded(M.runs_with_project(t.runs(), t.projects().filter("id % 7 <> 0"), "left"))
 
 
+@query("""SELECT o_custkey AS project_id, o_orderkey AS id, round(o_totalprice, 2) AS total_cost_usd, o_orderkey % 1000 AS total_duration_ms, o_orderdate AS saved_at, c_name AS project_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 7 <> 0""")
+def runs_of_known_projects(t: Tables):
+    return rounded(M.runs_with_project(t.runs(), t.projects().filter("id % 7 <> 0"), "inner"))
+
+
 @query(f"""WITH {OUTPUTS}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, agent ORDER BY id, cost_usd, input_tokens) AS k FROM outputs) WHERE k = 1)
 SELECT o_orderkey AS run_id, o_custkey AS project_id, c_name AS project_name, round(o_totalprice, 2) AS total_cost_usd, agent, model, input_tokens, output_tokens, round(cost_usd, 2) AS cost_usd, duration_ms FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN f ON run_id = o_orderkey""")
 def run_detail(t: Tables):

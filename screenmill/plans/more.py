@@ -248,3 +248,20 @@ def upserted_sources(t: Tables):
     rows = t.orders.select(k.alias("id"), F.when(k % 2 == 0, "ecfr").otherwise("pdf").alias("source_type"), F.col("o_custkey").alias("cfr_title"), F.when(k % 3 != 0, k.cast("string")).alias("cfr_part"), F.when(k % 5 != 0, k).alias("effective_date"), F.lit("old").alias("filename"), F.lit("ready").alias("status"), F.lit(7).alias("chunks_total")).filter("cfr_part IS NOT NULL OR effective_date IS NOT NULL")
     again = rows.filter("id % 4 = 0").select((F.col("id") + 10_000_000).alias("id"), *G.SOURCE_KEY, F.lit("new").alias("filename"))
     return G.upsert_sources(rows, again)
+
+
+@query("""SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN 'set' WHEN vec_id % 2 = 0 THEN '00000000-0000-4000-8000-' || lpad(vec_id::VARCHAR, 12, '0') END AS source_id FROM embeddings""")
+def backfilled_sources(t: Tables):
+    k = F.col("vec_id")
+    shaped = F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(k.cast("string"), 12, "0"))
+    rows = t.embeddings.select(k.alias("id"), F.when(k % 3 == 0, "set").alias("source_id"), F.when(k % 2 == 0, shaped).otherwise("file.pdf").alias("metadata_source"))
+    return G.backfill_source_id(rows).select("id", "source_id")
+
+
+@query("SELECT conv_id * 1000 + turn AS evaluation_id, CASE WHEN (conv_id + turn) % 4 = 0 THEN 'new' ELSE role END AS categories FROM conversations UNION ALL SELECT -1 - (conv_id * 1000 + turn), 'new' FROM conversations WHERE (conv_id + turn) % 8 = 0")
+def upserted_truths(t: Tables):
+    key = F.col("conv_id") * 1000 + F.col("turn")
+    rows = t.conversations.select(key.alias("evaluation_id"), F.col("role").alias("categories"))
+    sum_ = F.col("conv_id") + F.col("turn")
+    new = lambda when, key: t.conversations.filter(when).select(key.alias("evaluation_id"), F.lit("new").alias("categories"))
+    return G.upsert_ground_truth(rows, new(sum_ % 4 == 0, key).unionByName(new(sum_ % 8 == 0, -1 - key)))

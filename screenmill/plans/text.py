@@ -38,6 +38,19 @@ def resolved_references(t: Tables):
     return S.resolve_references(cited(t))
 
 
+@query(f"""WITH {REFS}, u AS (SELECT DISTINCT own AS src, unnest(refs) AS dst FROM r), p AS (SELECT * FROM u WHERE src <> dst), k AS (SELECT DISTINCT own AS citation FROM r)
+SELECT citation, coalesce(a, 0) AS cites, coalesce(b, 0) AS cited_by FROM k LEFT JOIN (SELECT src, count(*) AS a FROM p GROUP BY 1) x ON x.src = citation LEFT JOIN (SELECT dst, count(*) AS b FROM p GROUP BY 1) y ON y.dst = citation""")
+def citation_degrees(t: Tables):
+    return S.citation_degrees(S.resolve_references(cited(t)), cited(t))
+
+
+@query(f"""WITH RECURSIVE {REFS}, u AS (SELECT DISTINCT own AS src, unnest(refs) AS dst FROM r), p AS (SELECT * FROM u WHERE src <> dst), q AS (SELECT DISTINCT own AS start FROM r WHERE doc_id % 50 = 0),
+c AS (SELECT start, dst AS citation FROM q JOIN p ON src = start UNION SELECT start, dst FROM c JOIN p ON src = citation) SELECT start, citation FROM c""")
+def reachable_citations(t: Tables):
+    """From the sections of every fiftieth document over the citations of all."""
+    return S.reachable(S.resolve_references(cited(t)), cited(t).filter("doc_id % 50 = 0")).select("start", "citation")
+
+
 @query(r"""SELECT p_partkey, trim(array_to_string(list_filter(string_split_regex(regexp_replace(lower(p_type || ' Resources & the ' || p_brand), '[^a-z0-9 ]', ' ', 'g'), ' +'),
  lambda w: w NOT IN ('', 'and', 'or', 'the', 'of', 'a', 'an', 'impact', 'impacts', 'resource', 'resources', 'environmental', 'section', 'assessment')), ' ')) AS norm FROM part""")
 def normalized_categories(t: Tables):

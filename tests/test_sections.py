@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +131,29 @@ def test_citations_that_overlap(spark):
     assert {r.t: r.refs for r in rows.select("t", X.cross_references(F.col("t"), F.lit("40 CFR §1.1")).alias("refs")).collect()} == cases
     own = rows.select("t", X.cross_references(F.col("t"), F.lit("NEPA §42")).alias("refs")).first()
     assert own.refs == ["42 USC §4332"]
+
+
+def test_citation_graph(spark):
+    rng = random.Random(4)
+    names = [f"s{k}" for k in range(40)]
+    pairs = [(rng.choice(names), rng.choice(names)) for _ in range(60)] + [("s1", "s1"), ("s0", "hub"), ("s0", "hub")] + [(n, "hub") for n in names]
+    refs = spark.createDataFrame(pairs, "src string, dst string")
+    out = {n: {b for a, b in pairs if a == n} for n in [*names, "hub"]}
+
+    def depths(start):
+        found, frontier, depth = {}, {start}, 0
+        while frontier:
+            depth += 1
+            frontier = {b for a in frontier for b in out.get(a, ())} - set(found)
+            found |= dict.fromkeys(frontier, depth)
+        return found
+
+    starts = spark.createDataFrame([(n,) for n in (*names[:7], "hub", "none", None)], "citation string")
+    got = {(r.start, r.citation): r.depth for r in S.reachable(refs, starts).collect()}
+    assert got == {(n, b): d for n in names[:7] for b, d in depths(n).items()}
+    near = {(r.start, r.citation): r.depth for r in S.reachable(refs, starts, 2).collect()}
+    assert near == {k: d for k, d in got.items() if d <= 2}
+    sections = spark.createDataFrame([(n,) for n in (*names, "hub", "alone", None)], "citation string")
+    degrees = {r.citation: (r.cites, r.cited_by) for r in S.citation_degrees(refs, sections).collect()}
+    assert degrees == {n: (len(out.get(n, set()) - {n}), len({a for a, b in pairs if b == n and a != n})) for n in (*names, "hub", "alone")}
+    assert S.reachable(refs.limit(0), starts).count() == 0
