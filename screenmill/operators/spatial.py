@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from screenmill.sources.io import written
+
 EARTH_M = 6_371_000.0
 #: Land capability classes.
 PRIME = {"1": "Prime Farmland", "2": "Prime Farmland", "3": "Farmland of Statewide Importance"}
@@ -95,34 +97,73 @@ def species_name(common: Column, short: Column) -> Column:
     return F.coalesce(F.nullif(common, F.lit("")), F.nullif(short, F.lit("")), F.lit("Unknown"))
 
 
-def in_ring(x: Column, y: Column, ring: Column) -> Column:
-    """Whether a point lies in a polygon (array of struct(x, y)), by the parity of edges that a ray crosses."""
-    following = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
-    edges = F.zip_with(ring, following, lambda a, b: F.when(((a["y"] > y) != (b["y"] > y)) & (x < (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"]), 1).otherwise(0))
-    return F.aggregate(edges, F.lit(0), lambda n, e: n + e) % 2 == 1
+def crossings(x: Column, y: Column, edges: Column) -> Column:
+    """Whether a ray from the point crosses an odd number of the edges (array of struct(ax, ay, bx, by)): it is inside."""
+    crosses = lambda e: ((e["ay"] > y) != (e["by"] > y)) & (x < (e["bx"] - e["ax"]) * (y - e["ay"]) / (e["by"] - e["ay"]) + e["ax"])
+    return F.aggregate(edges, F.lit(0), lambda n, e: n + F.when(crosses(e), 1).otherwise(0)) % 2 == 1
 
 
 #: The largest cell is this many times doubled from the smallest: it holds the whole earth.
 LEVELS = 14
+#: Edges that a slab has on average, and copies of an edge over slabs at most, on average.
+SLAB_EDGES, EDGE_COPIES = 32, 4
 
 
-def sites_in_polygons(sites: DataFrame, polygons: DataFrame, cell: float = 0.05) -> DataFrame:
-    """Pairs of sites and polygons (ring) around them: an equi-join on grid cells, then the exact test.
+def edges_of(ring: Column) -> Column:
+    """The edges of a ring (array of struct(x, y)) that aren't level; a ring is closed whether its last point repeats the first or not."""
+    following = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+    pairs = F.zip_with(ring, following, lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))
+    return F.filter(pairs, lambda e: e["ay"] != e["by"])
+
+
+def slab_of(y: Column) -> Column:
+    """The slab that a height falls in; it never falls as the height rises, so an edge is in all slabs between its ends'."""
+    return F.greatest(F.lit(0), F.least(F.col("_slabs") - 1, F.floor((y - F.col("_low")) / F.col("_tall") * F.col("_slabs")))).cast("int")
 
-    A polygon goes to the grid whose cells are as large as its box, so it is copied four times at most, whatever its size;
-    a site is looked up in each grid that there are polygons in.
+
+def sites_in_polygons(sites: DataFrame, polygons: DataFrame, cell: float = 0.05) -> DataFrame:
+    """Pairs of sites and polygons around them, with the polygons' other columns.
+
+    A polygon has a `ring` (array of struct(x, y)) or `rings` (array of such): what lies in an odd number of rings is
+    inside, so rings within a ring are holes, and rings beside it further parts.  Boxes are found first: a polygon goes to
+    the grid whose cells are as large as its box, so it is copied four times at most, and a site is looked up in each grid
+    that there are polygons in.  Then a polygon's edges are cut into slabs by height, and a site meets the edges of its
+    slab alone: about SLAB_EDGES, however many the polygon has, unless its edges are mostly as high as itself.  Rings
+    with fewer than three points and null ones count as none; rings aren't returned.
     """
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    extent = F.greatest(F.array_max(xs) - F.array_min(xs), F.array_max(ys) - F.array_min(ys))
-    level = F.least(F.greatest(F.ceil(F.log2(F.greatest(extent, F.lit(1e-9)) / cell)), F.lit(0)), F.lit(LEVELS)).cast("int")
+    many = "rings" in polygons.columns
+    rings = F.col("rings") if many else F.array("ring")
+    own = polygons.withColumn("_rings", F.filter(rings, lambda r: F.size(r) > 2)).drop("rings" if many else "ring")
+    own = own.filter("size(_rings) > 0").withColumn("_polygon", F.monotonically_increasing_id())
+    points = F.flatten("_rings")
+    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+    edges = F.flatten(F.transform("_rings", edges_of))
+    rise = F.aggregate("_edges", F.lit(0.0), lambda n, e: n + F.abs(e["by"] - e["ay"]))
+    boxed = own.withColumns({"_left": F.array_min(xs), "_right": F.array_max(xs), "_low": F.array_min(ys), "_high": F.array_max(ys), "_edges": edges}).drop("_rings")
+    boxed = boxed.withColumn("_tall", F.greatest(F.col("_high") - F.col("_low"), F.lit(1e-12)))
+    # an edge is copied to as many slabs as it is high: on average EDGE_COPIES at most
+    most = (EDGE_COPIES - 1) * F.size("_edges") * F.col("_tall") / F.greatest(rise, F.lit(1e-12))
+    boxed = boxed.withColumn("_slabs", F.greatest(F.lit(1), F.least(F.ceil(F.size("_edges") / SLAB_EDGES), F.floor(most))).cast("int"))
+    boxed = written(boxed, "polygons")
+
     size = lambda level: F.lit(cell) * F.pow(F.lit(2.0), level)
     at = lambda v, level: F.floor(v / size(level)).cast("long")
-    every = lambda v: F.explode(F.sequence(at(F.array_min(v), F.col("_level")), at(F.array_max(v), F.col("_level"))))
-    right = polygons.filter("size(ring) > 2").withColumn("_level", level).select("*", every(xs).alias("_x")).select("*", every(ys).alias("_y"))
-    used = sorted(r["_level"] for r in polygons.filter("size(ring) > 2").select(level.alias("_level")).distinct().collect())  # LEVELS + 1 numbers at most
+    extent = F.greatest(F.col("_right") - F.col("_left"), F.col("_high") - F.col("_low"))
+    level = F.least(F.greatest(F.ceil(F.log2(F.greatest(extent, F.lit(1e-9)) / cell)), F.lit(0)), F.lit(LEVELS)).cast("int")
+    every = lambda low, high: F.explode(F.sequence(at(F.col(low), F.col("_level")), at(F.col(high), F.col("_level"))))
+    boxes = boxed.drop("_edges").withColumn("_level", level)
+    used = sorted(r["_level"] for r in boxes.select("_level").distinct().collect())  # LEVELS + 1 numbers at most
+    right = boxes.select("*", every("_left", "_right").alias("_x")).select("*", every("_low", "_high").alias("_y"))
     left = _sites(sites).select("*", F.explode(F.array(*map(F.lit, used)).cast("array<int>")).alias("_level"))
     left = left.withColumn("_x", at(F.col("site_lon"), F.col("_level"))).withColumn("_y", at(F.col("site_lat"), F.col("_level")))
-    return left.join(right, ["_level", "_x", "_y"]).filter(in_ring(F.col("site_lon"), F.col("site_lat"), F.col("ring"))).drop("_level", "_x", "_y")
+    inside = F.col("site_lon").between(F.col("_left"), F.col("_right")) & F.col("site_lat").between(F.col("_low"), F.col("_high"))
+    near = left.join(right, ["_level", "_x", "_y"]).filter(inside).withColumn("_slab", slab_of(F.col("site_lat")))
+
+    cut = boxed.select("_polygon", "_low", "_tall", "_slabs", F.explode("_edges").alias("e"))
+    ends = slab_of(F.least("e.ay", "e.by")), slab_of(F.greatest("e.ay", "e.by"))
+    slabs = cut.select("_polygon", F.explode(F.sequence(*ends)).alias("_slab"), "e").groupBy("_polygon", "_slab").agg(F.collect_list("e").alias("_near"))
+    helpers = ("_level", "_x", "_y", "_left", "_right", "_low", "_high", "_tall", "_slabs", "_slab", "_polygon", "_near")
+    return near.join(slabs, ["_polygon", "_slab"]).filter(crossings(F.col("site_lon"), F.col("site_lat"), F.col("_near"))).drop(*helpers)
 
 
 def flood_status(sites: DataFrame, zones: DataFrame) -> DataFrame:

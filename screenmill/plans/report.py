@@ -191,6 +191,26 @@ def squares(t: Tables):
     return t.supplier.select(k.alias("zone_id"), F.array(corner(0, 0), corner(0.5, 0), corner(0.5, 0.5), corner(0, 0.5)).alias("ring"), F.concat(F.lit("Z"), (k % 5).cast("string")).alias("fld_zone"), F.when(k % 3 == 0, "T").otherwise("F").alias("sfha_tf"))
 
 
+@query(f"""WITH {SITES}, z AS (SELECT s_suppkey AS k, -90.0013 + (s_suppkey * 17) % 100 / 10 AS x, 35.0017 + (s_suppkey * 43) % 100 / 10 AS y FROM supplier)
+SELECT project_id, k AS zone_id FROM sites JOIN z ON slon > x AND slon < x + 0.5 AND slat > y AND slat < y + 0.5 AND NOT (slon > x + 0.1013 AND slon < x + 0.4013 AND slat > y + 0.1013 AND slat < y + 0.3013)
+UNION ALL SELECT project_id, k FROM sites JOIN z ON slon > x + 1 AND slon < x + 1.3 AND slat > y AND slat < y + 0.3""")
+def sites_in_parts_and_holes(t: Tables):
+    """Suppliers as zones of two squares, the larger with a hole, their edges cut into many points."""
+    k = F.col("s_suppkey")
+    x, y = F.lit(-90.0013) + (k * 17) % 100 / 10, F.lit(35.0017) + (k * 43) % 100 / 10
+    steps = F.sequence(F.lit(0), F.lit(199))
+
+    def box(left, low, wide, tall):
+        along = lambda n: n.cast("double") / 200
+        sides = (lambda n: (along(n) * wide, F.lit(0.0)), lambda n: (F.lit(wide), along(n) * tall), lambda n: ((1 - along(n)) * wide, F.lit(tall)), lambda n: (F.lit(0.0), (1 - along(n)) * tall))
+        point = lambda side, n: F.struct((x + left + side(n)[0]).alias("x"), (y + low + side(n)[1]).alias("y"))
+        cut = lambda side: F.transform(steps, lambda n: point(side, n))
+        return F.concat(*map(cut, sides))
+
+    zones = t.supplier.select(k.alias("zone_id"), F.array(box(0, 0, 0.5, 0.5), box(0.1013, 0.1013, 0.3, 0.2), box(1, 0, 0.3, 0.3)).alias("rings"))
+    return P.sites_in_polygons(sites(t), zones).select("project_id", "zone_id")
+
+
 @query(f"""WITH {SITES}, z AS (SELECT s_suppkey AS k, -90.0013 + (s_suppkey * 17) % 100 / 10 AS x, 35.0017 + (s_suppkey * 43) % 100 / 10 AS y FROM supplier),
 h AS (SELECT project_id, bool_or(k % 3 = 0) AS in_sfha, count(DISTINCT k % 5) AS n_zones FROM sites JOIN z ON slon > x AND slon < x + 0.5 AND slat > y AND slat < y + 0.5 GROUP BY 1)
 SELECT project_id, coalesce(in_sfha, false) AS in_sfha, coalesce(n_zones, 0)::INT AS n_zones FROM sites LEFT JOIN h USING (project_id)""")

@@ -141,6 +141,53 @@ def test_polygons_of_any_size_are_copied_four_times_at_most(spark):
     assert got == {(k, z) for k in range(100) for z, x, y, n in boxes if x < -170 + k * 3.1 < x + n and y < -60 + k * 1.37 < y + n}
 
 
+def star(rng, x, y, size, n):
+    """A ring of n points round a place, in and out."""
+    at = np.sort(rng.uniform(0, 2 * math.pi, n))
+    far = size * rng.uniform(0.3, 1.0, n)
+    return [(float(a), float(b)) for a, b in zip(x + far * np.cos(at), y + far * np.sin(at), strict=True)]
+
+
+def parity(sites, rings):
+    """By all edges of all rings, for all sites at once."""
+    inside = np.zeros(len(sites), bool)
+    x, y = np.array([(s[2], s[1]) for s in sites]).T
+    for ring in rings:
+        if len(ring) > 2:
+            for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True):
+                if ay != by:
+                    inside ^= ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax)
+    return inside
+
+
+def test_polygons_with_holes_and_parts(spark):
+    rng = np.random.default_rng(8)
+    sites = [(k, *map(float, rng.uniform(-3, 3, 2))) for k in range(400)] + [(400, None, 1.0)]
+    comb = [(0.0, 0.0)] + [(k / 500, 2.0 if k % 2 else 0.1) for k in range(1, 1000)] + [(2.0, 0.0)]
+    areas = {
+        0: [star(rng, 0, 0, 2.5, 3000), star(rng, 0, 0, 0.7, 50), star(rng, 0.1, 0, 0.2, 5)],
+        1: [star(rng, -1, 1, 1.0, 40), star(rng, 2, -2, 0.8, 40)],
+        2: [comb],
+        3: [[(0.0, 0.0), (1.0, 1.0)]],
+        4: None,
+        5: [[(-3.0, -3.0), (3.0, -3.0), (3.0, 3.0), (-3.0, 3.0), (-3.0, -3.0)], []],
+    }
+    polygons = spark.createDataFrame([(k, r, "clash") for k, r in areas.items()], "zone int, rings array<array<struct<x:double,y:double>>>, e string")
+    got = {(r.project_id, r.zone) for r in P.sites_in_polygons(spark.createDataFrame(sites, "project_id int, lat double, lon double"), polygons).collect()}
+    placed = sites[:400]
+    assert got == {(placed[k][0], z) for z, rings in areas.items() for k in np.flatnonzero(parity(placed, rings or []))}
+    assert {z for _, z in got} == {0, 1, 2, 5}
+
+
+def test_ring_of_a_hundred_thousand_points(spark):
+    rng = np.random.default_rng(9)
+    ring = star(rng, 10, 10, 5, 100_000)
+    sites = [(k, *map(float, rng.uniform(5, 15, 2))) for k in range(2000)]
+    polygons = spark.createDataFrame([(1, ring)], "zone int, ring array<struct<x:double,y:double>>")
+    got = {r.project_id for r in P.sites_in_polygons(spark.createDataFrame(sites, "project_id int, lat double, lon double"), polygons).collect()}
+    assert got == {sites[k][0] for k in np.flatnonzero(parity(sites, [ring]))} and 100 < len(got) < 1900
+
+
 def test_sources_loaded_again_keep_their_id(spark):
     kinds = "id string, source_type string, cfr_title int, cfr_part string, effective_date string, filename string, status string, status_message string, chunks_total int"
     target = spark.createDataFrame([("a", "ecfr", 40, "1500", None, "old.xml", "failed", "why", 7), ("b", "pdf", None, None, None, "b.pdf", "ready", None, 3)], kinds)
