@@ -276,3 +276,17 @@ def ingested_files(t: Tables):
     ingest(named("a/").filter("doc_id % 2 = 0"), folder, buckets=8)
     ingest(named("b/"), folder, buckets=8)
     return BucketTable(t.spark, f"{folder}/status").read().drop("doc_id")
+
+
+@query(r"""WITH x AS (SELECT page_id, trim(regexp_replace(coalesce(html, ''), '[<&\x00-\x08\x0B\x0C\x0E-\x1F]', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS body FROM pages)
+SELECT page_id::VARCHAR AS doc_id, k::INT AS pos, CASE k WHEN 1 THEN '9.' || page_id WHEN 2 THEN 'AppB' ELSE 'App' || page_id END AS section, CASE k WHEN 1 THEN 'Scope' WHEN 2 THEN 'Appendix B to Part 9—Forms' ELSE 'Tables' END AS title,
+CASE k WHEN 1 THEN '9 CFR §9.' || page_id WHEN 2 THEN '9 CFR App. Appendix B' ELSE 'own ' || page_id END AS citation, md5(CASE k WHEN 1 THEN 'first' || chr(10) || chr(10) || 'second' WHEN 2 THEN replace(replace(body, chr(13) || chr(10), chr(10)), chr(13), chr(10)) ELSE '' END) AS body_md5 FROM x, (SELECT unnest([1, 2, 3]) AS k)""")
+def xml_appendices(t: Tables):
+    """Pages as files of a part with a section in a nested subpart, an appendix that holds the page, and one with its own citation."""
+    k = F.col("page_id").cast("string")
+    safe = F.regexp_replace(F.coalesce("html", F.lit("")), r"[<&\x00-\x08\x0B\x0C\x0E-\x1F]", " ")
+    one = F.concat(F.lit('<DIV5 TYPE="PART" N="9"><HEAD>PART 9</HEAD><AUTH>x</AUTH><DIV6 TYPE="SUBPART"><HEAD>A</HEAD><DIV6 TYPE="SUBPART"><DIV8 TYPE="SECTION" N="9.'), k, F.lit('"><HEAD>§ 9.'), k, F.lit(" Scope</HEAD><P>first</P><P> </P><P>second</P></DIV8></DIV6></DIV6>"))
+    two = F.concat(F.lit('<DIV7 TYPE="SUBJGRP"><DIV8 TYPE="SECTION" N="9.0"/></DIV7><DIV9 TYPE="APPENDIX" N="Appendix B"><HEAD>Appendix B to Part 9—Forms</HEAD><P>'), safe, F.lit("</P></DIV9>"))
+    three = F.concat(F.lit('<DIV9 TYPE="APPENDIX" N="'), k, F.lit('" hierarchy_metadata="{&quot;citation&quot;: &quot;own '), k, F.lit('&quot;}"><HEAD>Tables</HEAD></DIV9></DIV5>'))
+    docs = t.pages.select(k.alias("doc_id"), F.concat(one, two, three).cast("binary").alias("content"))
+    return parse_regulation_xml(docs).select("doc_id", "pos", "section", "title", "citation", F.md5("body").alias("body_md5"))

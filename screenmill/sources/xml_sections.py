@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import html
+import io
 import json
-from collections import deque
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -47,51 +47,111 @@ def own_metadata(el: ElementTree.Element, warnings: list[str]) -> dict:
     return found or {}
 
 
-def opened(part: ElementTree.Element) -> Iterator[ElementTree.Element]:
-    """The part's children in order, with what is in a subpart in the subpart's place."""
-    waiting = deque(part)
-    while waiting:
-        el = waiting.popleft()
-        if (el.tag, el.get("TYPE")) == ("DIV6", "SUBPART"):
-            waiting.extendleft(reversed(el))
+KINDS = {("DIV8", "SECTION"): "section", ("DIV9", "APPENDIX"): "appendix"}
+
+
+def children(content: bytes) -> Iterator[ElementTree.Element]:
+    """The part itself, when it begins, then its children when they are whole, with what is in subparts in their place.
+
+    Each child is let go once the next is asked for, so one is held at a time, whatever the file's size.
+    """
+    if not (content or b"").strip():
+        raise ValueError("empty XML")
+    containers: list[ElementTree.Element] = []
+    inside = 0  # elements open below the innermost container
+    for event, el in ElementTree.iterparse(io.BytesIO(content), ("start", "end")):
+        if event == "start":
+            if not containers:
+                if el.tag != "DIV5" or el.get("TYPE") != "PART":
+                    # the rest may be no XML at all, which is said first
+                    whole = ElementTree.XMLParser(target=Nothing())
+                    whole.feed(content)
+                    whole.close()
+                    raise ValueError(f"expected a DIV5 of TYPE PART, got {el.tag} of {el.get('TYPE')}")
+                containers.append(el)
+                yield el
+            elif not inside and (el.tag, el.get("TYPE")) == ("DIV6", "SUBPART"):
+                containers.append(el)
+            else:
+                inside += 1
+        elif inside:
+            inside -= 1
+            if not inside:
+                yield el
+                containers[-1].remove(el)
         else:
-            yield el
+            closed = containers.pop()
+            if containers:
+                containers[-1].remove(closed)
 
 
-def parse_part(doc_id: str, content: bytes) -> list[tuple]:
+class Nothing:
+    """A parser's target that keeps nothing."""
+
+    def close(self) -> None:
+        pass
+
+
+def survey(content: bytes) -> tuple[str, str, list[str], int]:
+    """Number and title of the part, all warnings and the number of sections; raises what makes the file unreadable."""
+    warnings: list[str] = []
+    part, title, n = None, None, 0
+    for el in children(content):
+        kind = KINDS.get((el.tag, el.get("TYPE")))
+        if part is None:
+            part = el
+            own_metadata(el, warnings)
+        elif kind:
+            n += 1
+            own_metadata(el, warnings)
+        elif el.tag == "HEAD" and title is None and part.find("HEAD") is el:
+            title = flat_text(el).strip()
+        elif el.tag not in DROPPED and el.tag not in ("HEAD", "AUTH", "SOURCE"):
+            warnings.append(f"unexpected {el.tag} of {el.get('TYPE')} skipped")
+    number = (part.get("N") or "").strip()
+    return number, title or "", warnings if n else [*warnings, f"no sections in part {number}"], n
+
+
+def parse_part(doc_id: str, content: bytes) -> Iterator[tuple]:
+    """Rows of RAW, one after another.  The file is gone through twice: what every row says of it is known at its end."""
     try:
-        if not (content or b"").strip():
-            raise ValueError("empty XML")
-        root = ElementTree.fromstring(content)
-        if root.tag != "DIV5" or root.get("TYPE") != "PART":
-            raise ValueError(f"expected a DIV5 of TYPE PART, got {root.tag} of {root.get('TYPE')}")
+        part, title, warnings, n = survey(content)
     except (ValueError, ElementTree.ParseError) as problem:
-        return [(doc_id, 0, None, None, None, None, None, None, None, [], f"{type(problem).__name__}: {problem}")]
-    warnings: list[str] = []
-    own_metadata(root, warnings)
-    part, title = (root.get("N") or "").strip(), head_of(root)
-    out = []
-    for el in opened(root):
-        kind = {("DIV8", "SECTION"): "section", ("DIV9", "APPENDIX"): "appendix"}.get((el.tag, el.get("TYPE")))
+        yield doc_id, 0, None, None, None, None, None, None, None, [], f"{type(problem).__name__}: {problem}"
+        return
+    if not n:
+        yield doc_id, 0, None, None, None, None, None, part, title, warnings, None
+        return
+    pos = 0
+    for el in children(content):
+        kind = KINDS.get((el.tag, el.get("TYPE")))
         if kind:
-            cited = own_metadata(el, warnings).get("citation")
+            pos += 1
+            cited = own_metadata(el, []).get("citation")
             body = "\n\n".join(t for t in (flat_text(p).strip() for p in el.findall("P")) if t)
-            out.append([doc_id, len(out) + 1, kind, (el.get("N") or "").strip(), head_of(el), body, cited if isinstance(cited, str) else None, part, title])
-        elif el.tag not in DROPPED and el.tag not in ("HEAD", "AUTH", "SOURCE"):
-            warnings.append(f"unexpected {el.tag} of {el.get('TYPE')} skipped")
-    if not out:
-        warnings.append(f"no sections in part {part}")
-        return [(doc_id, 0, None, None, None, None, None, part, title, warnings, None)]
-    return [(*row, warnings, None) for row in out]
+            yield doc_id, pos, kind, (el.get("N") or "").strip(), head_of(el), body, cited if isinstance(cited, str) else None, part, title, warnings, None
+
+
+#: Rows of a batch that a task returns, and characters of bodies in it.
+BATCH_ROWS, BATCH_CHARS = 1000, 4 << 20
 
 
 def parse_regulation_xml(docs: DataFrame) -> DataFrame:
     """Sections and appendices of documents (doc_id, content); a document that can't be read is a row with an error."""
+    names = [f.strip().split(" ")[0] for f in RAW.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            found = [r for d, c in zip(rows["doc_id"], rows["content"], strict=True) for r in parse_part(d, c)]
-            yield pd.DataFrame(found, columns=[f.strip().split(" ")[0] for f in RAW.split(",")])
+            held, size = [], 0
+            for doc_id, content in zip(rows["doc_id"], rows["content"], strict=True):
+                for row in parse_part(doc_id, content):
+                    held.append(row)
+                    size += len(row[5] or "")
+                    if len(held) >= BATCH_ROWS or size >= BATCH_CHARS:
+                        yield pd.DataFrame(held, columns=names)
+                        held, size = [], 0
+            if held:
+                yield pd.DataFrame(held, columns=names)
 
     raw = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("content").cast("binary").alias("content")).mapInPandas(run, RAW)
     appendix = F.col("kind") == "appendix"

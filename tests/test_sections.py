@@ -102,9 +102,9 @@ def test_federal_sections(spark):
 
 
 def test_xml_errors_are_rows():
-    assert parse_part("a", b"")[0][-1].startswith("ValueError")
-    assert parse_part("a", b"<x")[0][-1].startswith("ParseError")
-    rows = parse_part("a", b'<DIV5 TYPE="PART" N="800"><HEAD>P</HEAD><DIV9 TYPE="APPENDIX" N="Appendix A to Part 800"><HEAD>A</HEAD><P>x<I>y</I><FTREF>z</FTREF>w</P></DIV9></DIV5>')
+    assert list(parse_part("a", b""))[0][-1].startswith("ValueError")
+    assert list(parse_part("a", b"<x"))[0][-1].startswith("ParseError")
+    rows = list(parse_part("a", b'<DIV5 TYPE="PART" N="800"><HEAD>P</HEAD><DIV9 TYPE="APPENDIX" N="Appendix A to Part 800"><HEAD>A</HEAD><P>x<I>y</I><FTREF>z</FTREF>w</P></DIV9></DIV5>'))
     assert [(r[2], r[3], r[5], r[-1]) for r in rows] == [("appendix", "Appendix A to Part 800", "xyw", None)]
 
 
@@ -157,3 +157,29 @@ def test_citation_graph(spark):
     degrees = {r.citation: (r.cites, r.cited_by) for r in S.citation_degrees(refs, sections).collect()}
     assert degrees == {n: (len(out.get(n, set()) - {n}), len({a for a, b in pairs if b == n and a != n})) for n in (*names, "hub", "alone")}
     assert S.reachable(refs.limit(0), starts).count() == 0
+
+
+def test_xml_is_read_as_a_stream(spark):
+    """A file is refused as a whole if its end is broken; memory doesn't grow with the number of sections."""
+    import tracemalloc
+
+    section = lambda k: f'<DIV8 TYPE="SECTION" N="9.{k}"><HEAD>H</HEAD><P>{"word " * 400}</P></DIV8>'
+    sizes = {}
+    for n in (200, 4000):
+        content = ('<DIV5 TYPE="PART" N="9"><HEAD>T</HEAD>' + "".join(map(section, range(n))) + "<ODD/></DIV5>").encode()
+        tracemalloc.start()
+        count = 0
+        for row in parse_part("a", content):
+            count += 1
+            assert row[1] == count and row[8] == "T" and row[9][-1] == "unexpected ODD of None skipped"
+        sizes[n] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert count == n
+        (bad,) = parse_part("a", content[:-3])
+        assert bad[-1].startswith("ParseError")
+    # the warnings of each section stay, about 100 bytes, as does nothing else
+    assert sizes[4000] < sizes[200] + 4000 * 400
+    (other,) = parse_part("a", b"<DIV6><x></DIV6>")
+    assert other[-1].startswith("ParseError")
+    (wrong,) = parse_part("a", b"<DIV6><x/></DIV6>")
+    assert wrong[-1].startswith("ValueError: expected a DIV5")
