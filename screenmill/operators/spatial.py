@@ -25,15 +25,34 @@ def _cell(value: Column, size: float) -> Column:
     return F.floor(value / size).cast("long")
 
 
-def near_cells(sites: DataFrame, features: DataFrame, lat_reach: float, lon_reach: float) -> DataFrame:
-    """Pairs in the same or a neighbouring cell of a grid whose cells are as large as the reach: an equi-join.
+#: Rows of a side of a cell that one task takes; and cells with more that are told by broadcast.
+CELL_ROWS, BROADCAST_CELLS = 20_000, 200_000
+
 
-    The sites are the side that is copied to nine cells.  AQE splits the cells of dense towns.
+def met_in_cells(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left join right on the cell (_x, _y), where a cell may hold a third of all rows.
+
+    Both sides are counted by cell.  A cell with more than CELL_ROWS of a side is dealt to parts: its rows of one side to
+    so many, each of which gets the other side's parts in turn, so a task has CELL_ROWS of both at most, by plan.
     """
-    around = sites.select("*", F.explode(F.sequence(F.lit(-1), F.lit(1))).alias("_i")).select("*", F.explode(F.sequence(F.lit(-1), F.lit(1))).alias("_j"))
-    left = around.withColumn("_x", _cell(F.col("site_lon"), lon_reach) + F.col("_i")).withColumn("_y", _cell(F.col("site_lat"), lat_reach) + F.col("_j")).drop("_i", "_j")
-    right = features.withColumn("_x", _cell(F.col("lon"), lon_reach)).withColumn("_y", _cell(F.col("lat"), lat_reach))
-    return left.join(right, ["_x", "_y"]).drop("_x", "_y")
+    counts = [df.groupBy("_x", "_y").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias(name)) for df, name in ((left, "_ls"), (right, "_rs"))]
+    full = written(counts[0].join(counts[1], ["_x", "_y"]).filter("_ls > 1 OR _rs > 1"), "full-cells")
+    full = F.broadcast(full) if full.count() <= BROADCAST_CELLS else full
+
+    def dealt(df: DataFrame, own: str, other: str, part: str, every: str) -> DataFrame:
+        met = df.join(full, ["_x", "_y"], "left").withColumn(part, F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col(own)), F.lit(0)).cast("int"))
+        return met.withColumn(every, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1))).drop(own, other)
+
+    keys = ["_x", "_y", "_l", "_r"]
+    return dealt(left, "_ls", "_rs", "_l", "_r").join(dealt(right, "_rs", "_ls", "_r", "_l"), keys).drop(*keys)
+
+
+def near_cells(sites: DataFrame, features: DataFrame, lat_reach: float, lon_reach: float) -> DataFrame:
+    """Pairs in cells that a site's box touches: an equi-join on cells twice as wide as the reach, four at most for a site."""
+    touched = lambda value, reach: F.explode(F.sequence(_cell(F.col(value) - reach * 1.0001, 2 * reach), _cell(F.col(value) + reach * 1.0001, 2 * reach)))
+    left = sites.select("*", touched("site_lon", lon_reach).alias("_x")).select("*", touched("site_lat", lat_reach).alias("_y"))
+    right = features.withColumn("_x", _cell(F.col("lon"), 2 * lon_reach)).withColumn("_y", _cell(F.col("lat"), 2 * lat_reach))
+    return met_in_cells(left, right)
 
 
 def _sites(sites: DataFrame) -> DataFrame:
@@ -66,7 +85,7 @@ def features_within(sites: DataFrame, features: DataFrame, radius_m: float = 100
     around = F.array_distinct(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda k: F.pmod(cell_of(F.col("site_lon"), F.col("_n")) + k, F.col("_n"))))
     left = near.select("*", F.explode(around).alias("_x")).drop("_n")
     right = features.withColumn("_y", row_of(F.col("lat"))).withColumn("_x", cell_of(F.col("lon"), cells_in(F.col("_y"))))
-    pairs = left.join(right, ["_x", "_y"]).drop("_x", "_y")
+    pairs = met_in_cells(left, right)
     return pairs.withColumn("distance_m", haversine(F.col("site_lat"), F.col("site_lon"), F.col("lat"), F.col("lon"))).filter(F.col("distance_m") <= radius_m)
 
 

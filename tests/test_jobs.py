@@ -132,6 +132,22 @@ def test_features_within_at_high_latitudes_and_the_date_line(spark):
         assert want and {(r.project_id, r.feature_id) for r in got.collect()} == want
 
 
+def test_a_town_is_dealt_to_parts(spark, monkeypatch):
+    monkeypatch.setattr(P, "CELL_ROWS", 40)
+    rng = np.random.default_rng(7)
+    town = lambda n: [(float(a), float(b)) for a, b in np.concatenate([rng.normal((40.0, -75.0), 0.001, (n // 2, 2)), rng.uniform((39.8, -75.2), (40.2, -74.8), (n - n // 2, 2))])]
+    sites, places = [(k, *p) for k, p in enumerate(town(120))] + [(500, None, 1.0)], [(k, *p) for k, p in enumerate(town(400))] + [(900, None, None)]
+    a, b = spark.createDataFrame(sites, "project_id int, lat double, lon double"), spark.createDataFrame(places, "feature_id int, lat double, lon double").repartition(5)
+    want = sorted((s[0], f[0]) for s in sites[:-1] for f in places[:-1] if abs(s[1] - f[1]) <= 0.009 and abs(s[2] - f[2]) <= 0.009)
+    got = P.features_in_box(a, b, 0.009)
+    assert sorted((r.project_id, r.feature_id) for r in got.collect()) == want
+    assert got.columns == ["project_id", "site_lat", "site_lon", "feature_id", "lat", "lon"]
+    near = P.features_within(a, b, 700.0)
+    metres = lambda s, f: 2 * P.EARTH_M * math.asin(math.sqrt(math.sin(math.radians(f[1] - s[1]) / 2) ** 2 + math.cos(math.radians(s[1])) * math.cos(math.radians(f[1])) * math.sin(math.radians(f[2] - s[2]) / 2) ** 2))
+    assert sorted((r.project_id, r.feature_id) for r in near.collect()) == sorted((s[0], f[0]) for s in sites[:-1] for f in places[:-1] if metres(s, f) <= 700)
+    assert P.features_in_box(a.limit(0), b).count() == 0
+
+
 def test_polygons_of_any_size_are_copied_four_times_at_most(spark):
     sites = spark.createDataFrame([(k, -60 + k * 1.37, -170 + k * 3.1) for k in range(100)], "project_id int, lat double, lon double")
     boxes = [(0, -100.0, 10.0, 60.0), (1, -20.003, 0.001, 0.02), (2, -179.0, -80.0, 150.0), (3, 5.0, 5.0, 1.0)]
