@@ -16,7 +16,7 @@ from screenmill.operators import spatial as P
 from screenmill.plans.registry import OUTPUTS, Tables, query
 from screenmill.plans.report import CELLS, SITES, cells, features, ordered_cells, sites, squares
 from screenmill.plans.search import chunks
-from screenmill.plans.text import sections_of
+from screenmill.plans.text import CHUNKS, sections_of
 
 
 @query("SELECT o_orderkey AS id, o_orderstatus AS status, o_orderdate AS uploaded_at FROM orders WHERE o_orderstatus = 'F' AND o_custkey = 7")
@@ -180,10 +180,21 @@ def audit_rows(t: Tables):
     return G.audit_pair(runs).select("correlation_id", "status", "chunks_count", "duration_ms", "ts")
 
 
-@query()
+#: A chunk's places in its document, beside what CHUNKS has of it.
+PLACED = CHUNKS.replace("min(pos) AS first_pos FROM items", "min(pos) AS first_pos, list(pos ORDER BY rn) AS places FROM items")
+
+
+@query(rf"""WITH RECURSIVE {PLACED}, c AS (SELECT *, list_sort(list_distinct(places)) AS own, floor(first_pos / 40)::INT::VARCHAR AS part FROM chunks),
+m AS (SELECT *, 'Title 40 — Protection of Environment > Chapter V — Council on Environmental Quality > Part ' || part || ' > §1500.' || places[1] || CASE WHEN n_sources > 1 THEN '–1500.' || places[-1] ELSE '' END || ' — '
+ || array_to_string(list_transform(places, lambda x: 'Title'), ' / ') || CASE WHEN part = '1508' THEN ' [DEFINITION]' ELSE '' END || coalesce(' ' || subsection, '') AS breadcrumb FROM c)
+SELECT doc_id, chunk_no::INT AS chunk_no, part, '40 CFR §1500.' || places[1] AS citation, array_to_string(list_transform(own, lambda x: '40 CFR §1500.' || x), '|') AS all_citations, array_to_string(list_transform(own, lambda x: '1500.' || x), '|') AS all_sections,
+ '1' AS page_numbers, '' AS cross_references, breadcrumb, subsection, chunk_index::INT AS chunk_index, total_chunks_in_section::INT AS total_chunks_in_section, part = '1508' AS is_definition, is_merged_siblings, token_count::INT AS token_count,
+ 's-' || doc_id AS source_id, doc_id || '.pdf' AS filename, sha256(doc_id) AS sha256, true AS is_current, 1 AS project_id, sha256('s-' || doc_id || chr(31) || '40 CFR §1500.' || places[1] || chr(31) || chunk_index::INT || chr(31) || coalesce(subsection, '')) AS chunk_id, md5(breadcrumb || chr(10) || chr(10) || body) AS embedding_md5 FROM m""")
 def chunk_metadata(t: Tables):
     sources = t.documents.select(F.col("source").alias("doc_id")).distinct().select("doc_id", F.concat(F.lit("s-"), "doc_id").alias("id"), F.concat("doc_id", F.lit(".pdf")).alias("filename"), F.sha2("doc_id", 256).alias("sha256"), F.lit(True).alias("is_current"), F.lit(1).alias("project_id"))
-    return C.build_metadata(C.chunk_regulation(sections_of(t)), sources).drop("body", "embedding_text")
+    made = C.build_metadata(C.chunk_regulation(sections_of(t)), sources)
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), "|").alias(c)
+    return made.select("doc_id", "chunk_no", "part", "citation", *map(joined, ("all_citations", "all_sections", "page_numbers", "cross_references")), "breadcrumb", "subsection", "chunk_index", "total_chunks_in_section", "is_definition", "is_merged_siblings", "token_count", "source_id", "filename", "sha256", "is_current", "project_id", "chunk_id", F.md5("embedding_text").alias("embedding_md5"))
 
 
 @query()
