@@ -166,12 +166,14 @@ def test_style_tree_equals_one_over_lists(spark):
     rows = pages.select("page_id", "html", html_text.host_of(F.coalesce("url", F.lit(""))).alias("host")).collect()
     # by host and node: the set of (feature, page) pairs
     nodes: dict = {}
+    linked: dict = {}
     for r in rows:
         found = list(html_text.blocks(r.html or ""))
-        page = "\n".join(t for _, under, _, t in found if under < html_text.CHROME_ABOVE)
+        page = "\n".join(b.text for b in found if b.under < html_text.CHROME_ABOVE)
         below: dict = {}
-        for path, _, _, text in found:
+        for path, _, _, link, text in found:
             nodes.setdefault((r.host, path, True), set()).add((text, page))
+            linked.setdefault((r.host, path, text), set()).add((page, link))
             while path:
                 below.setdefault(path.rpartition(">")[0], []).append(path)
                 path = path.rpartition(">")[0]
@@ -181,18 +183,59 @@ def test_style_tree_equals_one_over_lists(spark):
     table = []
     for (host, path, content), pairs in nodes.items():
         times = Counter(f for f, _ in pairs)
-        table.append((host, path, content, len({p for _, p in pairs}), sum(math.log(c) for c in times.values()) / len(times), sum(c * math.log(c) for c in times.values())))
+        table.append((host, path, content, len({p for _, p in pairs}), sum(math.log(c) for c in times.values()) / len(times), sum(c * math.log(c) for c in times.values()), 0.0 if not content else sum(sum(x for _, x in linked[host, path, f]) / len(linked[host, path, f]) for f in times) / len(times)))
     want = {}
     for host in {t[0] for t in table}:
-        own = pd.DataFrame([t[1:] for t in table if t[0] == host], columns=["path", "content", "m", "mean_log", "sum_log"])
-        m = own.groupby("path")["m"].max()
-        low = sorted(p for p, x in html_text.importance(own).items() if html_text.mixed(p, x, m[p]) < 0.2)
-        if low:
-            want[host] = low
-    got = {r.host: list(r.low) for r in html_text.low_importance(spark.createDataFrame(rows).select("host", F.coalesce("html", F.lit("")).alias("html"))).collect()}
+        own = pd.DataFrame([t[1:] for t in table if t[0] == host], columns=["path", "content", "m", "mean_log", "sum_log", "links"])
+        low = {p for p, x in html_text.importance(own).items() if x < 0.2}
+        links = {p for p, x in html_text.importance(own, True).items() if x < 0.2} - low
+        if low or links:
+            want[host] = (sorted(low), sorted(links))
+    got = {r.host: (list(r.low), list(r.links)) for r in html_text.low_importance(spark.createDataFrame(rows).select("host", F.coalesce("html", F.lit("")).alias("html"))).collect()}
     assert got == want and "h.example" in got
 
 
+SITE = """<html><body><div class=a1><ul>{menu}</ul></div><div class=b2><p>Welcome to our site</p></div>
+<div class=c3><h2>Introduction</h2><p>{text}</p><p>More about {text}</p></div>
+<div class=d4><p><a href=/n>{next}</a></p></div><div class="comment-list"><p>Reader says {text}</p></div></body></html>"""
+
+
+@pytest.mark.parametrize("n", [2, 3, 20])
+def test_style_tree_without_article(spark, n):
+    """Menus and teasers that vary, a slogan, a heading that all pages share, comments; alike on hosts of any size."""
+    page = lambda k: SITE.format(menu="".join(f"<li><a href=/{k}/{j}>Link {k} {j}</a></li>" for j in range(3)), text=f"words of page {k} alone " * 3, next=f"Teaser {k}")
+    pages = spark.createDataFrame([(k, f"https://site.example/{k}", page(k)) for k in range(n)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract_text(pages).collect()}
+    assert got == {k: f"Introduction\n{text}\nMore about {text}" for k in range(n) for text in [("words of page %d alone " % k * 3).strip()]}
+    removed = sum(len(list(html_text.blocks(page(k)))) - 1 - len(got[k].split("\n")) for k in range(n))  # but for the comment
+    assert removed == 5 * n  # three links, slogan, teaser: by the tree alone
+
+
+def test_style_tree_keeps_near_copies_and_indexes(spark):
+    rows = [(k, f"https://two.example/{k}", f"<article><p>One long text that both pages have in common</p><p>By {k}</p></article>") for k in range(2)]
+    rows.append((2, "https://index.example/", "<ul><li><a href=/1>One</a><li><a href=/2>Two</a></ul>"))
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: "One long text that both pages have in common\nBy 0", 1: "One long text that both pages have in common\nBy 1", 2: "One\nTwo"}
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<a href=/x title=it's>one</a><p>two</p><p>three it's</p><p>four</p>", "one\ntwo\nthree it's\nfour"),
+        ("<p title = 'a>b' class=x>one</p><p data-x='class=\"ad\"'>two</p><div title='class=ad'>three</div><p id=\"open>four</p>", "one\ntwo\nthree\nfour"),
+        ("<p class='anti-social'>keep</p><div class='anti-social'>this</div><h2 class='menu'>too</h2>", "keep\nthis\ntoo"),
+        ("<article class='teaser'><p>short</p></article><div class='content'><p>The real text of it</p></div>", "The real text of it"),
+        ("<article><p>short</p></article><div class='content'><p>The real text of it</p></div>", "The real text of it"),
+        ("<article class='teaser'><p>only</p></article>", "only"),
+        ("<main><article><p>text</p></article><article class='teaser'><p>other</p></article></main>", "text"),
+        ("<article><p>one</p></article><article><p>two</p></article>", "one\ntwo"),
+        ("<div class='comment-list'>c</div><div class='comments-area'>c</div><div class='widget-area'>c</div><ul class='related-posts'><li>c</ul><div class='cookie-bar'>c</div><div class='share-buttons'>c</div><div class='ad-slot'>c</div><p>text</p>", "text"),
+    ],
+)
+def test_main_text_of_attributes_and_regions(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_html_extra_columns_and_empty_table(spark):
     rows = spark.createDataFrame([(1, "http://h.example", "<p>a</p>", "clash", 5)], "page_id long, url string, html string, text string, host int")
     assert [tuple(r) for r in html_text.extract_text(rows).collect()] == [(1, "http://h.example", "a", 1)]
