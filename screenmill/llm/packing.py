@@ -5,7 +5,7 @@ and mean length of documents) over all of them.  Documents are then sorted by le
 min-hashes over a document's terms, in which a term counts by its square idf and terms of a single document come last.
 The order is cut into shards of at most `shard_docs` documents and `shard_bytes` of ids.  So documents with a common rare
 term lie side by side, a term of more documents than a shard holds is split by the next min-hash, and whole rows are kept.
-Each shard has a BM25 inverted index of its documents' token ids.  A sequence starts with a seed (the cut-off rest of the
+Each shard has a BM25 inverted index of its documents' token ids: lists of postings, whose sums are a seed's scores.  A sequence starts with a seed (the cut-off rest of the
 document before, or else the next unused document); the index returns the seed's best unused neighbours in order of their
 scores, which fill the window greedily; the one that goes over is cut, and its rest seeds the next sequence.  So only the
 last sequence of a shard can be short; it is cut into powers of two, which are not padded.
@@ -35,8 +35,10 @@ from .word_bpe import loaded
 K1, B = 1.2, 0.75
 #: Min-hashes of a document, 16 bits each.
 KEYS = 4
-#: Terms whose postings are multiplied at once.
-TERMS_AT_ONCE = 4096
+#: A term in more than one of so many documents of a shard is common: its weights are kept for all of them.
+COMMON = 32
+#: So many weights of each common term are added up at once.
+COLUMNS = 1024
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -88,30 +90,48 @@ def lexical_keys(tokens: np.ndarray, bounds: np.ndarray, ranks: np.ndarray) -> n
 
 
 class ShardIndex:
-    """BM25 postings of one shard, and from them the scores of all its documents as neighbours of each."""
+    """BM25 postings of one shard of at most 65,536 documents, which score all its documents as neighbours of one."""
 
     def __init__(self, docs: list[np.ndarray], corpus: Corpus):
         n = len(docs)
-        sizes = np.array([len(d) for d in docs], np.float64)
-        owner = np.repeat(np.arange(n), sizes.astype(np.int64))
+        sizes = np.array([len(d) for d in docs], np.int64)
         # a posting for each pair of term and document, sorted by term
-        keys, counts = np.unique(np.concatenate(docs).astype(np.int64) * n + owner, return_counts=True)
-        terms, of = keys // n, keys % n
+        keys = np.concatenate(docs).astype(np.uint32) << 16 | np.repeat(np.arange(n, dtype=np.uint32), sizes)
+        keys.sort()
+        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        counts, keys = np.diff(np.append(at, len(keys))), keys[at]
+        terms, of = (keys >> 16).astype(np.int32), (keys & 0xFFFF).astype(np.int32)
         norm = K1 * (1 - B + B * sizes / max(corpus.mean, 1))
-        weights = corpus.idf()[terms] * counts * (K1 + 1) / (counts + norm[of])
-        # only terms of several documents make neighbours
-        fresh = np.flatnonzero(np.r_[True, terms[1:] != terms[:-1]])
-        times = np.diff(np.r_[fresh, len(terms)])
+        weights = (corpus.idf()[terms] * counts * (K1 + 1) / (counts + norm[of])).astype(np.float32)
+        fresh = np.flatnonzero(np.append(True, terms[1:] != terms[:-1])[: len(terms)])
+        times = np.diff(np.append(fresh, len(terms)))
+        # only terms of several documents make neighbours; those of many are kept as rows of all documents' weights
+        self.n, self.of, self.weights = n, of, weights
+        self.low, self.high = fresh, fresh + times
+        many = np.flatnonzero(times * COMMON > n)
+        self.row = np.full(len(fresh), -1, np.int32)
+        self.row[many] = np.arange(len(many))
+        self.rows = np.zeros((len(many), n), np.float32)
+        for k, t in enumerate(many):
+            self.rows[k, of[fresh[t] : fresh[t] + times[t]]] = weights[fresh[t] : fresh[t] + times[t]]
+        # the terms of each document
+        place = np.repeat(np.arange(len(fresh), dtype=np.int32), times)
         use = np.repeat(times > 1, times)
-        place = np.repeat(np.cumsum(times > 1) - 1, times)[use]
-        of, weights = of[use], weights[use]
-        self.scores = np.zeros((n, n), np.float32)
-        for low in range(0, int((times > 1).sum()), TERMS_AT_ONCE):
-            k = slice(*np.searchsorted(place, (low, low + TERMS_AT_ONCE)))
-            weighed, there = np.zeros((2, n, TERMS_AT_ONCE), np.float32)
-            weighed[of[k], place[k] - low] = weights[k]
-            there[of[k], place[k] - low] = 1
-            self.scores += there @ weighed.T
+        order = np.argsort(of[use], kind="stable")
+        self.terms, self.bounds = place[use][order], np.searchsorted(of[use][order], np.arange(n + 1))
+
+    def scores(self, seed: int) -> np.ndarray:
+        terms = self.terms[self.bounds[seed] : self.bounds[seed + 1]]
+        rows = self.row[terms]
+        common = rows[rows >= 0]
+        out = np.zeros(self.n, np.float32)
+        for low in range(0, self.n, COLUMNS):  # what is added up at once stays in the cache
+            part = self.rows[:, low : low + COLUMNS]
+            out[low : low + COLUMNS] = part[common].sum(axis=0, dtype=np.float32)
+        for t in terms[rows < 0]:
+            k = slice(self.low[t], self.high[t])
+            out[self.of[k]] += self.weights[k]  # a document is in a list once
+        return out
 
 
 def fill(docs: list[np.ndarray], window: int, corpus: Corpus | None = None) -> list[tuple[int, int, int, int, int]]:
@@ -120,10 +140,10 @@ def fill(docs: list[np.ndarray], window: int, corpus: Corpus | None = None) -> l
     unused = np.ones(len(docs), bool)
     out: list[tuple[int, int, int, int, int]] = []
     sequence, room, fresh, done = 0, window, 0, 0
-    queue: list[int] = []
+    score: np.ndarray | None = None
 
-    def put(doc: int) -> int:
-        """All of the document; the number of its tokens that lie in the sequence that stays open."""
+    def put(doc: int) -> None:
+        """All of the document."""
         nonlocal sequence, room
         start, size = 0, len(docs[doc])
         while start < size:
@@ -133,10 +153,9 @@ def fill(docs: list[np.ndarray], window: int, corpus: Corpus | None = None) -> l
             if room == 0:
                 sequence, room = sequence + 1, window
         unused[doc] = False
-        return window - room
 
     while done < len(docs):
-        if room == window or not queue:
+        if score is None:
             # a new sequence: its seed is the document that was cut, else the next one
             if room == window:
                 while not unused[fresh]:
@@ -146,14 +165,14 @@ def fill(docs: list[np.ndarray], window: int, corpus: Corpus | None = None) -> l
                 done += 1
             if done == len(docs):
                 break
-            score = np.where(unused, index.scores[seed], -1.0)
-            queue = np.lexsort((np.arange(len(docs)), -score))[: int(unused.sum())][::-1].tolist()
-        doc = queue.pop()
+            score = np.where(unused, index.scores(seed), np.float32(-1))
+        doc = int(score.argmax())
+        score[doc] = -1
         before = sequence
         put(doc)
         done += 1
         if sequence != before:
-            seed, queue = doc, []
+            seed, score = doc, None
     return out
 
 
@@ -245,7 +264,7 @@ def packed_shard(rows: pa.Table, window: int, corpus: Corpus, first_sequence: in
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split(" ")[0] for c in PIECES.split(", ")]), int(sequence.max()) + 1
 
 
-def pack(docs: DataFrame, window: int = 2048, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, shard_docs: int = 400, shard_bytes: int = 1 << 21) -> DataFrame:
+def pack(docs: DataFrame, window: int = 2048, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, shard_docs: int = 5000, shard_bytes: int = 1 << 23) -> DataFrame:
     """One row for each piece of a document, with its place in a sequence."""
     spark = docs.sparkSession
     coded = settled(encoded(docs, vocabulary, end_id), "packing-ids")
