@@ -111,9 +111,11 @@ class ShardIndex:
         many = np.flatnonzero(times * COMMON > n)
         self.row = np.full(len(fresh), -1, np.int32)
         self.row[many] = np.arange(len(many))
-        self.rows = np.zeros((len(many), n), np.float32)
+        rows = np.zeros((len(many), n), np.float32)
         for k, t in enumerate(many):
-            self.rows[k, of[fresh[t] : fresh[t] + times[t]]] = weights[fresh[t] : fresh[t] + times[t]]
+            rows[k, of[fresh[t] : fresh[t] + times[t]]] = weights[fresh[t] : fresh[t] + times[t]]
+        # cut into parts of which what is added up at once stays in the cache
+        self.parts = [np.ascontiguousarray(rows[:, low : low + COLUMNS]) for low in range(0, n, COLUMNS)]
         # the terms of each document
         place = np.repeat(np.arange(len(fresh), dtype=np.int32), times)
         use = np.repeat(times > 1, times)
@@ -124,10 +126,7 @@ class ShardIndex:
         terms = self.terms[self.bounds[seed] : self.bounds[seed + 1]]
         rows = self.row[terms]
         common = rows[rows >= 0]
-        out = np.zeros(self.n, np.float32)
-        for low in range(0, self.n, COLUMNS):  # what is added up at once stays in the cache
-            part = self.rows[:, low : low + COLUMNS]
-            out[low : low + COLUMNS] = part[common].sum(axis=0, dtype=np.float32)
+        out = np.concatenate([part.take(common, axis=0).sum(axis=0, dtype=np.float32) for part in self.parts])
         for t in terms[rows < 0]:
             k = slice(self.low[t], self.high[t])
             out[self.of[k]] += self.weights[k]  # a document is in a list once
