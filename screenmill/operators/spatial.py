@@ -192,8 +192,12 @@ def flood_status(sites: DataFrame, zones: DataFrame) -> DataFrame:
 
 
 def dominant_soil(sites: DataFrame, mapunits: DataFrame, components: DataFrame) -> DataFrame:
-    """The largest major component of the soil unit under each site, its farmland class and whether it is prime."""
-    top = components.filter("majcompflag = 'Yes'").groupBy("mukey").agg(F.max_by(F.struct("compname", "nirrcapcl", "comppct_r"), F.struct("comppct_r", "compname")).alias("c")).select("mukey", "c.*")
+    """The largest major component of the soil unit under each site, its farmland class and whether it is prime.
+
+    Of components of one size and name that with the smallest key (cokey) counts.
+    """
+    largest = F.struct("comppct_r", "compname", -F.col("cokey").cast("long"))
+    top = components.filter("majcompflag = 'Yes'").groupBy("mukey").agg(F.max_by(F.struct("compname", "nirrcapcl", "comppct_r"), largest).alias("c")).select("mukey", "c.*")
     label = F.coalesce(*(F.when(F.col("nirrcapcl") == k, v) for k, v in PRIME.items()), F.lit("Not prime farmland"))
     return sites_in_polygons(sites, mapunits).join(top, "mukey").select("project_id", "mukey", "compname", "nirrcapcl", label.alias("farmland_class"), F.coalesce(F.col("nirrcapcl").isin("1", "2"), F.lit(False)).alias("is_prime"))
 

@@ -222,7 +222,7 @@ def flood_status(t: Tables):
 c AS (SELECT p_partkey % 100 + 1 AS k, arg_max(p_name, (p_size, p_name)) AS compname, (arg_max(p_partkey, (p_size, p_name)) % 8)::VARCHAR AS nirrcapcl FROM part WHERE p_partkey % 2 = 0 GROUP BY 1)
 SELECT project_id, z.k::VARCHAR AS mukey, compname, nirrcapcl, CASE nirrcapcl WHEN '1' THEN 'Prime Farmland' WHEN '2' THEN 'Prime Farmland' WHEN '3' THEN 'Farmland of Statewide Importance' ELSE 'Not prime farmland' END AS farmland_class, nirrcapcl IN ('1', '2') AS is_prime FROM sites JOIN z ON slon > x AND slon < x + 0.5 AND slat > y AND slat < y + 0.5 JOIN c ON c.k = z.k""")
 def dominant_soil(t: Tables):
-    parts = t.part.select((F.col("p_partkey") % 100 + 1).cast("string").alias("mukey"), F.col("p_name").alias("compname"), (F.col("p_partkey") % 8).cast("string").alias("nirrcapcl"), F.col("p_size").alias("comppct_r"), F.when(F.col("p_partkey") % 2 == 0, "Yes").otherwise("No").alias("majcompflag"))
+    parts = t.part.select((F.col("p_partkey") % 100 + 1).cast("string").alias("mukey"), F.col("p_partkey").alias("cokey"), F.col("p_name").alias("compname"), (F.col("p_partkey") % 8).cast("string").alias("nirrcapcl"), F.col("p_size").alias("comppct_r"), F.when(F.col("p_partkey") % 2 == 0, "Yes").otherwise("No").alias("majcompflag"))
     return P.dominant_soil(sites(t), squares(t).withColumn("mukey", F.col("zone_id").cast("string")), parts).select("project_id", "mukey", "compname", "nirrcapcl", "farmland_class", "is_prime")
 
 

@@ -148,6 +148,14 @@ def test_a_town_is_dealt_to_parts(spark, monkeypatch):
     assert P.features_in_box(a.limit(0), b).count() == 0
 
 
+def test_of_alike_soil_components_the_first_key_counts(spark):
+    sites = spark.createDataFrame([(1, 0.5, 0.5)], "project_id int, lat double, lon double")
+    units = spark.createDataFrame([("m", [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)])], "mukey string, ring array<struct<x:double,y:double>>")
+    for keys in ((10, 9, 11), (9, 10, 11), (11, 10, 9)):
+        parts = spark.createDataFrame([("m", str(k), "loam", str(k - 8), 40, "Yes") for k in keys] + [("m", "1", "clay", "7", 30, "Yes"), ("m", "2", "silt", "6", 90, "No")], "mukey string, cokey string, compname string, nirrcapcl string, comppct_r int, majcompflag string")
+        assert [tuple(r) for r in P.dominant_soil(sites, units, parts.coalesce(1)).collect()] == [(1, "m", "loam", "1", "Prime Farmland", True)]
+
+
 def test_polygons_of_any_size_are_copied_four_times_at_most(spark):
     sites = spark.createDataFrame([(k, -60 + k * 1.37, -170 + k * 3.1) for k in range(100)], "project_id int, lat double, lon double")
     boxes = [(0, -100.0, 10.0, 60.0), (1, -20.003, 0.001, 0.02), (2, -179.0, -80.0, 150.0), (3, 5.0, 5.0, 1.0)]
