@@ -29,24 +29,41 @@ def _cell(value: Column, size: float) -> Column:
 CELL_ROWS, BROADCAST_CELLS = 20_000, 200_000
 
 
-def met_in_cells(left: DataFrame, right: DataFrame) -> DataFrame:
-    """left join right on the cell (_x, _y), where a cell may hold a third of all rows.
+def met_on(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """left join right on the columns, of whose values one may have a third of all rows; those of both sides are dropped.
 
-    Both sides are counted by cell.  A cell with more than CELL_ROWS of a side is dealt to parts: its rows of one side to
+    Both sides are counted by value.  One with more than CELL_ROWS of a side is dealt to parts: its rows of one side to
     so many, each of which gets the other side's parts in turn, so a task has CELL_ROWS of both at most, by plan.
     """
-    counts = [df.groupBy("_x", "_y").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias(name)) for df, name in ((left, "_ls"), (right, "_rs"))]
-    full = written(counts[0].join(counts[1], ["_x", "_y"]).filter("_ls > 1 OR _rs > 1"), "full-cells")
+    counts = [df.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias(name)) for df, name in ((left, "_ls"), (right, "_rs"))]
+    full = written(counts[0].join(counts[1], on).filter("_ls > 1 OR _rs > 1"), "full-cells")
     full = F.broadcast(full) if full.count() <= BROADCAST_CELLS else full
 
     def dealt(df: DataFrame, own: str, other: str, part: str, every: str) -> DataFrame:
-        met = df.join(full, ["_x", "_y"], "left").withColumn(part, F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col(own)), F.lit(0)).cast("int"))
+        met = df.join(full, on, "left").withColumn(part, F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col(own)), F.lit(0)).cast("int"))
         return met.withColumn(every, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1))).drop(own, other)
 
-    keys = ["_x", "_y", "_l", "_r"]
+    keys = [*on, "_l", "_r"]
     return dealt(left, "_ls", "_rs", "_l", "_r").join(dealt(right, "_rs", "_ls", "_r", "_l"), keys).drop(*keys)
 
 
+def met_in_cells(left: DataFrame, right: DataFrame) -> DataFrame:
+    return met_on(left, right, ["_x", "_y"])
+
+
+def places(sites: DataFrame) -> DataFrame:
+    """The different places of the sites, as sites whose project_id is the place: what is found there is found once."""
+    at = F.struct(F.col("site_lat").alias("lat"), F.col("site_lon").alias("lon"))
+    return _sites(sites).select("site_lat", "site_lon").distinct().select(at.alias("project_id"), F.col("site_lat").alias("lat"), F.col("site_lon").alias("lon"))
+
+
+def for_sites(sites: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows found at places, whose project_id is the place, for each site there: project_id, site_lat, site_lon and the other columns."""
+    rest = [c for c in found.columns if c not in ("project_id", "site_lat", "site_lon")]
+    there = found.select(F.col("project_id.lat").alias("_lat"), F.col("project_id.lon").alias("_lon"), *rest)
+    return met_on(_sites(sites).select("*", F.col("site_lat").alias("_lat"), F.col("site_lon").alias("_lon")), there, ["_lat", "_lon"])
+
+
 def near_cells(sites: DataFrame, features: DataFrame, lat_reach: float, lon_reach: float) -> DataFrame:
     """Pairs in cells that a site's box touches: an equi-join on cells twice as wide as the reach, four at most for a site."""
     touched = lambda value, reach: F.explode(F.sequence(_cell(F.col(value) - reach * 1.0001, 2 * reach), _cell(F.col(value) + reach * 1.0001, 2 * reach)))
@@ -96,9 +113,13 @@ def air_baseline(sites: DataFrame, readings: DataFrame, as_of: str, days: int =
     """
     until = F.date_sub(F.lit(as_of).cast("date"), 1)
     recent = readings.filter(F.col("date").between(F.date_sub(until, days), until))
-    pairs = features_in_box(sites, recent, box)
     valid = F.when((F.col("validity_indicator") == "Y"), F.col("arithmetic_mean"))
-    return pairs.groupBy("project_id", "param").agg(F.round(F.avg(valid), 2).alias("mean"), F.round(F.max(valid), 2).alias("max"), F.round(F.avg("aqi"), 1).alias("mean_aqi"), F.count(valid).alias("samples"))
+    # sums of each place's readings, then of those around each place with a site
+    sums = (("total", F.sum(valid), F.sum), ("most", F.max(valid), F.max), ("samples", F.count(valid), F.sum), ("aqi", F.sum("aqi"), F.sum), ("n_aqi", F.count("aqi"), F.sum))
+    spots = recent.groupBy("lat", "lon", "param").agg(*(own.alias(c) for c, own, _ in sums))
+    near = features_in_box(places(sites), spots, box).groupBy("project_id", "param").agg(*(both(c).alias(c) for c, _, both in sums))
+    made = near.select("project_id", "param", F.round(F.try_divide("total", "samples"), 2).alias("mean"), F.round("most", 2).alias("max"), F.round(F.try_divide("aqi", "n_aqi"), 1).alias("mean_aqi"), "samples")
+    return for_sites(sites, written(made, "air")).drop("site_lat", "site_lon")
 
 
 def forecast_means(forecasts: DataFrame) -> DataFrame:
@@ -112,6 +133,27 @@ def feature_summary(pairs: DataFrame, kind: str) -> DataFrame:
     return pairs.groupBy("project_id").agg(F.count(F.lit(1)).alias("count"), F.sort_array(F.collect_set(kind)).alias("types"), F.sort_array(F.collect_list("feature_id")).alias("features"))
 
 
+def summary_in_box(sites: DataFrame, features: DataFrame, kind: str, half_deg: float = 0.009) -> DataFrame:
+    """What feature_summary gives of the features in the boxes around sites, for each place of sites once: for_sites tells the sites.
+
+    Features at one place are lists from the start, so places meet places, however many sites and features lie there.
+    """
+    spots = features.groupBy("lat", "lon").agg(F.collect_set(kind).alias("types"), F.collect_list("feature_id").alias("features"), F.count(F.lit(1)).alias("count"))
+    near = features_in_box(places(sites), spots, half_deg)
+    lists = lambda c: F.flatten(F.collect_list(c))
+    return near.groupBy("project_id").agg(F.sum("count").alias("count"), F.sort_array(F.array_distinct(lists("types"))).alias("types"), F.sort_array(lists("features")).alias("features"))
+
+
+def summary_within(sites: DataFrame, features: DataFrame, kind: str, radius_m: float = 1000.0) -> DataFrame:
+    """Features within the radius of each site: their number, number of kinds and the distance of the nearest, by places as well."""
+    kinds = features.groupBy("lat", "lon", F.col(kind).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    spots = kinds.groupBy("lat", "lon").agg(F.collect_list(F.struct("kind", "n")).alias("kinds"))
+    near = features_within(places(sites), spots, radius_m).select("project_id", "distance_m", F.explode("kinds").alias("k"))
+    by_kind = near.groupBy("project_id", "k.kind").agg(F.sum("k.n").alias("n"), F.min("distance_m").alias("nearest"))
+    made = by_kind.groupBy("project_id").agg(F.sum("n").alias("n"), F.count("kind").alias("n_kinds"), F.min("nearest").alias("nearest"))
+    return for_sites(sites, written(made, "within")).drop("site_lat", "site_lon")
+
+
 def species_name(common: Column, short: Column) -> Column:
     return F.coalesce(F.nullif(common, F.lit("")), F.nullif(short, F.lit("")), F.lit("Unknown"))
 
@@ -140,30 +182,33 @@ def slab_of(y: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.col("_slabs") - 1, F.floor((y - F.col("_low")) / F.col("_tall") * F.col("_slabs")))).cast("int")
 
 
-def sites_in_polygons(sites: DataFrame, polygons: DataFrame, cell: float = 0.05) -> DataFrame:
-    """Pairs of sites and polygons around them, with the polygons' other columns.
+def places_in_shapes(sites: DataFrame, polygons: DataFrame, cell: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """Pairs (project_id, the place, and _shape) of places of sites and shapes around them; and the polygons by _shape, without rings.
 
-    A polygon has a `ring` (array of struct(x, y)) or `rings` (array of such): what lies in an odd number of rings is
-    inside, so rings within a ring are holes, and rings beside it further parts.  Boxes are found first: a polygon goes to
-    the grid whose cells are as large as its box, so it is copied four times at most, and a site is looked up in each grid
-    that there are polygons in.  Then a polygon's edges are cut into slabs by height, and a site meets the edges of its
-    slab alone: about SLAB_EDGES, however many the polygon has, unless its edges are mostly as high as itself.  Rings
-    with fewer than three points and null ones count as none; rings aren't returned.
+    Polygons with the same rings are one shape, told by SHA-256, and sites with the same coordinates one place, so what is
+    compared are different things only.  Boxes are found first: a shape goes to the grid whose cells are as large as its
+    box, so it is copied four times at most, and a place is looked up in each grid that there are shapes in.  Then a
+    shape's edges are cut into slabs by height, and a place meets the edges of its slab alone: about SLAB_EDGES, however
+    many the shape has, unless its edges are mostly as high as itself.
     """
     many = "rings" in polygons.columns
     rings = F.col("rings") if many else F.array("ring")
     own = polygons.withColumn("_rings", F.filter(rings, lambda r: F.size(r) > 2)).drop("rings" if many else "ring")
-    own = own.filter("size(_rings) > 0").withColumn("_polygon", F.monotonically_increasing_id())
+    own = own.select("*", F.sha2(F.col("_rings").cast("string"), 256).alias("_shape"), F.monotonically_increasing_id().alias("_polygon"))
+    own = written(own, "polygons").filter("size(_rings) > 0")  # after the table: else rings are made once more for the filter
+    firsts = written(own.groupBy("_shape").agg(F.min("_polygon").alias("_polygon")), "shapes")
+    firsts = F.broadcast(firsts) if firsts.count() <= BROADCAST_CELLS else firsts
+    shapes = own.select("_shape", "_polygon", "_rings").join(firsts, ["_shape", "_polygon"]).drop("_polygon")
     points = F.flatten("_rings")
     xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
     edges = F.flatten(F.transform("_rings", edges_of))
     rise = F.aggregate("_edges", F.lit(0.0), lambda n, e: n + F.abs(e["by"] - e["ay"]))
-    boxed = own.withColumns({"_left": F.array_min(xs), "_right": F.array_max(xs), "_low": F.array_min(ys), "_high": F.array_max(ys), "_edges": edges}).drop("_rings")
+    boxed = shapes.withColumns({"_left": F.array_min(xs), "_right": F.array_max(xs), "_low": F.array_min(ys), "_high": F.array_max(ys), "_edges": edges}).drop("_rings")
     boxed = boxed.withColumn("_tall", F.greatest(F.col("_high") - F.col("_low"), F.lit(1e-12)))
     # an edge is copied to as many slabs as it is high: on average EDGE_COPIES at most
     most = (EDGE_COPIES - 1) * F.size("_edges") * F.col("_tall") / F.greatest(rise, F.lit(1e-12))
     boxed = boxed.withColumn("_slabs", F.greatest(F.lit(1), F.least(F.ceil(F.size("_edges") / SLAB_EDGES), F.floor(most))).cast("int"))
-    boxed = written(boxed, "polygons")
+    boxed = written(boxed, "shape-edges")
 
     size = lambda level: F.lit(cell) * F.pow(F.lit(2.0), level)
     at = lambda v, level: F.floor(v / size(level)).cast("long")
@@ -173,22 +218,37 @@ def sites_in_polygons(sites: DataFrame, polygons: DataFrame, cell: float = 0.05)
     boxes = boxed.drop("_edges").withColumn("_level", level)
     used = sorted(r["_level"] for r in boxes.select("_level").distinct().collect())  # LEVELS + 1 numbers at most
     right = boxes.select("*", every("_left", "_right").alias("_x")).select("*", every("_low", "_high").alias("_y"))
-    left = _sites(sites).select("*", F.explode(F.array(*map(F.lit, used)).cast("array<int>")).alias("_level"))
+    left = _sites(places(sites)).select("*", F.explode(F.array(*map(F.lit, used)).cast("array<int>")).alias("_level"))
     left = left.withColumn("_x", at(F.col("site_lon"), F.col("_level"))).withColumn("_y", at(F.col("site_lat"), F.col("_level")))
     inside = F.col("site_lon").between(F.col("_left"), F.col("_right")) & F.col("site_lat").between(F.col("_low"), F.col("_high"))
     near = left.join(right, ["_level", "_x", "_y"]).filter(inside).withColumn("_slab", slab_of(F.col("site_lat")))
 
-    cut = boxed.select("_polygon", "_low", "_tall", "_slabs", F.explode("_edges").alias("e"))
+    cut = boxed.select("_shape", "_low", "_tall", "_slabs", F.explode("_edges").alias("e"))
     ends = slab_of(F.least("e.ay", "e.by")), slab_of(F.greatest("e.ay", "e.by"))
-    slabs = cut.select("_polygon", F.explode(F.sequence(*ends)).alias("_slab"), "e").groupBy("_polygon", "_slab").agg(F.collect_list("e").alias("_near"))
-    helpers = ("_level", "_x", "_y", "_left", "_right", "_low", "_high", "_tall", "_slabs", "_slab", "_polygon", "_near")
-    return near.join(slabs, ["_polygon", "_slab"]).filter(crossings(F.col("site_lon"), F.col("site_lat"), F.col("_near"))).drop(*helpers)
+    slabs = cut.select("_shape", F.explode(F.sequence(*ends)).alias("_slab"), "e").groupBy("_shape", "_slab").agg(F.collect_list("e").alias("_near"))
+    hit = near.join(slabs, ["_shape", "_slab"]).filter(crossings(F.col("site_lon"), F.col("site_lat"), F.col("_near")))
+    return written(hit.select("project_id", "_shape"), "places-in-shapes"), own.drop("_rings", "_polygon")
+
+
+def sites_in_polygons(sites: DataFrame, polygons: DataFrame, cell: float = 0.05) -> DataFrame:
+    """Pairs of sites and polygons around them, with the polygons' other columns.
+
+    A polygon has a `ring` (array of struct(x, y)) or `rings` (array of such): what lies in an odd number of rings is
+    inside, so rings within a ring are holes, and rings beside it further parts.  Rings with fewer than three points and
+    null ones count as none; rings aren't returned.  Places are compared with shapes, then each place's sites meet the
+    polygons of its shapes.
+    """
+    hit, members = places_in_shapes(sites, polygons, cell)
+    return for_sites(sites, written(met_on(hit, members, ["_shape"]), "polygons-at-places"))
 
 
 def flood_status(sites: DataFrame, zones: DataFrame) -> DataFrame:
     """Zones of each site and whether any is a special flood hazard area; sites outside all have none."""
-    hit = sites_in_polygons(sites, zones).groupBy("project_id").agg(F.bool_or(F.col("sfha_tf") == "T").alias("in_sfha"), F.sort_array(F.collect_set("fld_zone")).alias("zones"))
-    return sites.select("project_id").join(hit, "project_id", "left").select("project_id", F.coalesce("in_sfha", F.lit(False)).alias("in_sfha"), F.coalesce("zones", F.array().cast("array<string>")).alias("zones"))
+    hit, members = places_in_shapes(sites, zones)
+    kinds = members.groupBy("_shape", "fld_zone").agg(F.bool_or(F.col("sfha_tf") == "T").alias("in_sfha"))
+    at = hit.join(kinds, "_shape").groupBy("project_id").agg(F.bool_or("in_sfha").alias("in_sfha"), F.collect_set("fld_zone").alias("zones"))
+    found = for_sites(sites, written(at, "flood")).groupBy("project_id").agg(F.bool_or("in_sfha").alias("in_sfha"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("zones")))).alias("zones"))
+    return sites.select("project_id").join(found, "project_id", "left").select("project_id", F.coalesce("in_sfha", F.lit(False)).alias("in_sfha"), F.coalesce("zones", F.array().cast("array<string>")).alias("zones"))
 
 
 def dominant_soil(sites: DataFrame, mapunits: DataFrame, components: DataFrame) -> DataFrame:
@@ -199,10 +259,14 @@ def dominant_soil(sites: DataFrame, mapunits: DataFrame, components: DataFrame)
     largest = F.struct("comppct_r", "compname", -F.col("cokey").cast("long"))
     top = components.filter("majcompflag = 'Yes'").groupBy("mukey").agg(F.max_by(F.struct("compname", "nirrcapcl", "comppct_r"), largest).alias("c")).select("mukey", "c.*")
     label = F.coalesce(*(F.when(F.col("nirrcapcl") == k, v) for k, v in PRIME.items()), F.lit("Not prime farmland"))
-    return sites_in_polygons(sites, mapunits).join(top, "mukey").select("project_id", "mukey", "compname", "nirrcapcl", label.alias("farmland_class"), F.coalesce(F.col("nirrcapcl").isin("1", "2"), F.lit(False)).alias("is_prime"))
+    known = mapunits.join(top.select("mukey", "compname", "nirrcapcl", label.alias("farmland_class"), F.coalesce(F.col("nirrcapcl").isin("1", "2"), F.lit(False)).alias("is_prime")), "mukey")
+    return sites_in_polygons(sites, known).select("project_id", "mukey", "compname", "nirrcapcl", "farmland_class", "is_prime")
 
 
 def demographics(sites: DataFrame, tracts: DataFrame, acs: DataFrame) -> DataFrame:
     """Shares of minority and poverty in the tract of each site; null where the total is 0."""
     share = lambda part, total: F.when(F.col(total) > 0, F.round(part / F.col(total), 4))
-    return sites_in_polygons(sites, tracts).select("project_id", "state", "county", "tract").join(acs, ["state", "county", "tract"], "left").select("project_id", "state", "county", "tract", share(F.col("race_total") - F.col("white_nh"), "race_total").alias("minority_share"), share(F.col("below_poverty"), "poverty_total").alias("poverty_share"))
+    key = ["state", "county", "tract"]
+    shares = acs.select(*key, share(F.col("race_total") - F.col("white_nh"), "race_total").alias("minority_share"), share(F.col("below_poverty"), "poverty_total").alias("poverty_share"))
+    known = tracts.select(*key, "ring" if "ring" in tracts.columns else "rings").join(shares, key, "left")
+    return sites_in_polygons(sites, known).select("project_id", *key, "minority_share", "poverty_share")

@@ -145,8 +145,9 @@ def forecast_means(t: Tables):
 @query(f"""WITH {SITES}, h AS (SELECT project_id, feature_id, kind FROM sites JOIN features ON lat BETWEEN slat - 0.0501 AND slat + 0.0501 AND lon BETWEEN slon - 0.0501 AND slon + 0.0501)
 SELECT project_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT kind)), '|') AS kinds, array_to_string(list_sort(list(feature_id)), '|') AS ids FROM h GROUP BY project_id""")
 def feature_summary(t: Tables):
-    made = P.feature_summary(P.features_in_box(sites(t), features(t), 0.0501), "kind")
-    return made.select("project_id", F.col("count").alias("n"), F.array_join("types", "|").alias("kinds"), F.array_join("features", "|").alias("ids"))
+    made = P.summary_in_box(sites(t), features(t), "kind", 0.0501)
+    texts = made.select("project_id", F.col("count").alias("n"), F.array_join("types", "|").alias("kinds"), F.array_join("features", "|").alias("ids"))
+    return P.for_sites(sites(t), P.written(texts, "summaries")).drop("site_lat", "site_lon")
 
 
 @query(f"""WITH {SITES}, z AS (SELECT s_suppkey AS k, -90.0013 + (s_suppkey * 17) % 100 / 10 AS x, 35.0017 + (s_suppkey * 43) % 100 / 10 AS y FROM supplier)

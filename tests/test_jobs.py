@@ -148,6 +148,36 @@ def test_a_town_is_dealt_to_parts(spark, monkeypatch):
     assert P.features_in_box(a.limit(0), b).count() == 0
 
 
+def test_places_meet_once_however_many_sites_and_features_lie_there(spark, monkeypatch):
+    towns, spots = [(40.0, -75.0), (40.003, -75.0), (41.0, -75.0)], [(40.001, -75.001), (40.004, -75.0), (10.0, 10.0)]
+    sites = [(k, *towns[k % 3]) for k in range(60)] + [(100, None, 1.0)]
+    things = [(k, *spots[k % 3], None if k == 3 else f"k{k % 4}", float(k)) for k in range(45)]
+    a, b = spark.createDataFrame(sites, "project_id int, lat double, lon double"), spark.createDataFrame(things, "feature_id int, lat double, lon double, kind string, v double")
+    met, inner = [], P.met_in_cells
+    monkeypatch.setattr(P, "met_in_cells", lambda left, right: met.append((left.select("site_lat", "site_lon").distinct().count(), left.select("project_id").distinct().count(), right.count())) or inner(left, right))
+    near = lambda s: [f for f in things if s[1] and abs(f[1] - s[1]) <= 0.009 and abs(f[2] - s[2]) <= 0.009]
+    got = P.for_sites(a, P.summary_in_box(a, b, "kind", 0.009))
+    want = sorted((s[0], len(near(s)), sorted({f[3] for f in near(s)} - {None}), sorted(f[0] for f in near(s))) for s in sites if near(s))
+    assert sorted((r.project_id, r["count"], r.types, r.features) for r in got.collect()) == want
+    within = P.summary_within(a, b, "kind", 1000.0).collect()
+    assert sorted((r.project_id, r.n, r.n_kinds) for r in within) == [(s, n, len(kinds)) for s, n, kinds, _ in want]
+    readings = b.select("lat", "lon", "v", F.lit("o").alias("param"), F.lit("2020-01-01").cast("date").alias("date"), F.col("v").alias("arithmetic_mean"), F.when(F.col("v") % 3 == 0, "Y").otherwise("N").alias("validity_indicator"), F.when(F.col("v") < 0, 1).alias("aqi"))
+    air = P.air_baseline(a, readings, "2020-01-03", 5, 0.009).collect()
+    valid = lambda s: [f[4] for f in near(s) if f[4] % 3 == 0]
+    assert sorted((r.project_id, r["mean"], r["max"], r.mean_aqi, r.samples) for r in air) == [(s[0], round(sum(valid(s)) / len(valid(s)), 2) if valid(s) else None, max(valid(s), default=None), None, len(valid(s))) for s in sites if near(s)]
+    assert [m[:2] for m in met] == [(3, 3)] * 3 and all(m[2] == 3 for m in met)
+
+
+def test_alike_polygons_are_one_shape(spark):
+    ring = lambda x: [(x, 0.0), (x + 1, 0.0), (x + 1, 1.0), (x, 1.0)]
+    zones = spark.createDataFrame([(k, ring(float(k % 2)), f"Z{k % 3}", "T" if k == 4 else "F") for k in range(10)], "zone int, ring array<struct<x:double,y:double>>, fld_zone string, sfha_tf string")
+    sites = spark.createDataFrame([(k, 0.5, 0.5 + k % 3) for k in range(30)], "project_id int, lat double, lon double")
+    hit, members = P.places_in_shapes(sites, zones)
+    assert hit.count() == 2 and members.count() == 10  # not 20 sites in 5 zones each
+    assert {(r.project_id, r.zone) for r in P.sites_in_polygons(sites, zones).collect()} == {(k, z) for k in range(30) for z in range(10) if k % 3 == z % 2}
+    assert {tuple(map(str, r)) for r in P.flood_status(sites, zones).collect()} == {(str(k), str(k % 3 == 0), str(["Z0", "Z1", "Z2"] if k % 3 < 2 else [])) for k in range(30)}
+
+
 def test_of_alike_soil_components_the_first_key_counts(spark):
     sites = spark.createDataFrame([(1, 0.5, 0.5)], "project_id int, lat double, lon double")
     units = spark.createDataFrame([("m", [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)])], "mukey string, ring array<struct<x:double,y:double>>")
