@@ -9,6 +9,7 @@ from screenmill.operators import matrix as M
 from screenmill.operators import scoring as S
 from screenmill.operators import spatial as P
 from screenmill.plans.registry import Tables, query
+from screenmill.sources.io import spread
 from screenmill.vocab import SCORED_CATEGORIES
 
 LEVELS = ("none", "minimal", "moderate", "significant", "severe")
@@ -166,8 +167,7 @@ def features_in_box(t: Tables):
 @query(f"""WITH {SITES}, d AS (SELECT project_id, kind, 2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(lat - slat) / 2), 2) + cos(radians(slat)) * cos(radians(lat)) * pow(sin(radians(lon - slon) / 2), 2)))) AS m
  FROM sites JOIN features ON abs(lat - slat) < 0.2 AND abs(lon - slon) < 0.3) SELECT project_id, count(*) AS n, count(DISTINCT kind) AS n_kinds, round(min(m)) AS nearest FROM d WHERE m <= 10000 GROUP BY project_id""")
 def features_within(t: Tables):
-    pairs = P.features_within(sites(t), features(t), 10000)
-    return pairs.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("kind").alias("n_kinds"), F.round(F.min("distance_m")).alias("nearest"))
+    return P.summary_within(sites(t), features(t), "kind", 10000).select("project_id", "n", "n_kinds", F.round("nearest").alias("nearest"))
 
 
 def readings(t: Tables):
@@ -207,7 +207,7 @@ def sites_in_parts_and_holes(t: Tables):
         cut = lambda side: F.transform(steps, lambda n: point(side, n))
         return F.concat(*map(cut, sides))
 
-    zones = t.supplier.select(k.alias("zone_id"), F.array(box(0, 0, 0.5, 0.5), box(0.1013, 0.1013, 0.3, 0.2), box(1, 0, 0.3, 0.3)).alias("rings"))
+    zones = spread(t.supplier.select("s_suppkey"), 500).select(k.alias("zone_id"), F.array(box(0, 0, 0.5, 0.5), box(0.1013, 0.1013, 0.3, 0.2), box(1, 0, 0.3, 0.3)).alias("rings"))
     return P.sites_in_polygons(sites(t), zones).select("project_id", "zone_id")
 
 

@@ -30,6 +30,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, task_rows: int) -> DataFrame:
+    """Narrow rows dealt to tasks of about so many, before each of them becomes large: a small file is one task otherwise."""
+    return df.repartition(max(1, -(-df.count() // task_rows)))
+
+
 def read_table(spark: SparkSession, path: str, schema: str | None = None, fmt: str = "parquet") -> DataFrame:
     reader = spark.read.format(fmt)
     return (reader.schema(schema) if schema else reader).load(path)
