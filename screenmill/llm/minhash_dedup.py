@@ -222,7 +222,8 @@ BLOCK, BLOCK_SHINGLES = 1000, 750_000
 def linked_in_blocks(rows: DataFrame, n_groups: int, threshold_percent: int) -> DataFrame:
     """Links (a, b) between components, named by their roots: rows have leader, q and i (block numbers), role, doc_id, root and text.
 
-    In each block the queries (role q) are looked up in the index of the others (role i).
+    In each block the queries (role q) are looked up in the index of the others (role i).  Of a block's links those that join
+    roots which its links so far don't join are returned: fewer than it has roots, with the same components.
     """
     dealt = rows.withColumn("deal", F.pmod(F.xxhash64("leader", "q", "i"), F.lit(n_groups)))
 
@@ -243,15 +244,20 @@ def linked_in_blocks(rows: DataFrame, n_groups: int, threshold_percent: int) ->
             keys = np.concatenate([sets[k] for k in index])
             by = np.argsort(keys, kind="stable")
             keys, owner = keys[by], np.repeat(np.arange(len(index)), sizes)[by]
-            for k in asks.tolist():
+            names, place = np.unique(roots[block], return_inverse=True)
+            own, asked = place[~query[block]], place[query[block]]
+            joined = np.arange(len(names))  # by root: the first root that it is joined with so far
+            for k, mine in zip(asks.tolist(), asked.tolist(), strict=True):
                 low, high = np.searchsorted(keys, sets[k], "left"), np.searchsorted(keys, sets[k], "right")
                 n = high - low
                 at = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
                 shared = np.bincount(owner[at], minlength=len(index))
-                close = (shared * 100 >= (sizes + len(sets[k]) - shared) * threshold_percent) & (roots[index] != roots[k])
-                found = np.unique(roots[index[close]]).tolist()
-                a += [int(roots[k])] * len(found)
-                b += found
+                close = (shared * 100 >= (sizes + len(sets[k]) - shared) * threshold_percent) & (joined[own] != joined[mine])
+                if close.any():
+                    first, *others = np.unique(np.r_[joined[own[close]], joined[mine]])
+                    a += [int(names[first])] * len(others)
+                    b += names[others].tolist()
+                    joined[np.isin(joined, others)] = first
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return grouped_arrow(dealt, "deal", find, "a long, b long")

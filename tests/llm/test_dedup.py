@@ -95,6 +95,18 @@ def test_near_groups_equal_brute_force(spark, monkeypatch, block):
     assert got == brute_classes(texts)
 
 
+def test_links_of_a_block_join_without_a_row_for_each_pair(spark):
+    words = [f"v{k}" for k in range(60)]
+    rows = [(0, k, k // 2 if k < 10 else k, role, 0, 0, " ".join([*words[: 59 if k < 40 else 20], f"end{k}"])) for k in range(50) for role in "qi"]
+    links = minhash_dedup.linked_in_blocks(spark.createDataFrame(rows, "leader long, doc_id long, root long, role string, q int, i int, text string"), 1, 80).collect()
+    roots = {r[2] for r in rows}
+    top = {k: k for k in roots}
+    for a, b in sorted((r.a, r.b) for r in links):
+        top = {k: top[a] if t == top[b] else t for k, t in top.items()}
+    groups = Counter(Counter(top.values()).values())
+    assert groups == {35: 1, 10: 1} and len(links) == len(roots) - 2  # 1,280 rows and more with one for each pair
+
+
 def test_near_groups_of_one_id_with_two_texts(spark):
     rng = random.Random(5)
     one, other = ([rng.choice(VOCABULARY) for _ in range(80)] for _ in range(2))
