@@ -39,21 +39,26 @@ class BucketTable:
     @classmethod
     def create(cls, rows: DataFrame, path: str, keys: list[str], buckets: int = 64, keyed: bool = True, keep: tuple[str, ...] = (), bloom: str = "") -> BucketTable:
         """A table of the rows.  keep: columns that an upserted row retains; bloom: a column whose files get Bloom filters."""
-        spark = rows.sparkSession
-        facts = [(keys, buckets, keyed, list(keep), rows.schema.json(), bloom)]
-        spark.createDataFrame(facts, "keys array<string>, buckets int, keyed boolean, keep array<string>, schema string, bloom string").coalesce(1).write.json(f"{path.rstrip('/')}/facts")
-        spark.createDataFrame([], "bucket int, folder string, version long").coalesce(1).write.parquet(f"{path.rstrip('/')}/manifests/0")
-        table = cls(spark, path)
+        table = cls.empty(rows, path, keys, buckets, keyed, keep, bloom)
         table.write(rows)
         return table
 
+    @classmethod
+    def empty(cls, like: DataFrame, path: str, keys: list[str], buckets: int = 64, keyed: bool = True, keep: tuple[str, ...] = (), bloom: str = "") -> BucketTable:
+        """A table without rows, with the columns of like."""
+        spark = like.sparkSession
+        facts = [(keys, buckets, keyed, list(keep), like.schema.json(), bloom)]
+        spark.createDataFrame(facts, "keys array<string>, buckets int, keyed boolean, keep array<string>, schema string, bloom string").coalesce(1).write.json(f"{path.rstrip('/')}/facts")
+        spark.createDataFrame([], "bucket int, folder string, version long").coalesce(1).write.parquet(f"{path.rstrip('/')}/manifests/0")
+        return cls(spark, path)
+
     @classmethod
     def opened(cls, like: DataFrame, path: str, keys: list[str], **facts) -> BucketTable:
         """The table at path; if there is none, an empty one with the columns of like."""
         try:
             return cls(like.sparkSession, path)
         except AnalysisException:
-            return cls.create(like.limit(0), path, keys, **facts)
+            return cls.empty(like, path, keys, **facts)
 
     def versions(self) -> list[int]:
         """Those whose manifest is written: its one file shows when it is whole."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from screenmill.operators.chunking import chunk_regulation
 from screenmill.operators.merge import ingest_status
 from screenmill.sources.buckets import BucketTable
+from screenmill.sources.io import written
 from screenmill.sources.xml_sections import parse_regulation_xml
 from screenmill.vocab import MAX_TOKENS, MIN_TOKENS
 
@@ -57,29 +58,26 @@ def ingest(batch: DataFrame, folder: str, least: int = MIN_TOKENS, most: int = M
     last, so a batch that failed is done again as a whole, and doing it twice changes nothing.
     """
     spark = batch.sparkSession
-    named = batch.select(F.sha2("content", 256).alias("doc_id"), "path", "content").filter("content IS NOT NULL")
+    # the batch is read and digested once; what decides about files are narrow rows, and only new contents are shuffled
+    files = written(batch.select(F.sha2("content", 256).alias("doc_id"), "path", "content", F.monotonically_increasing_id().alias("row")), "ingest-files").filter("doc_id IS NOT NULL")
     table = lambda like, name, **facts: BucketTable.opened(like, f"{folder}/{name}", ["doc_id"], buckets=buckets, **facts)
     digests = table(spark.createDataFrame([], "doc_id string, path string"), "digests", bloom="doc_id")
-    once = named.groupBy("doc_id").agg(F.min_by(F.struct("path", "content"), "path").alias("r")).select("doc_id", "r.*")
-    known = digests.find(named).select("doc_id")
-    docs = once.join(known, "doc_id", "left_anti").persist()
-    try:
-        if docs.isEmpty():
-            return
-        parsed = parse_regulation_xml(docs)
-        found = parsed.filter("error IS NULL AND section IS NOT NULL")
-        sections = found.select("doc_id", "pos", F.lit("cfr_regulation").alias("document_type"), "section", "title", "body", "citation", F.array().cast("array<int>").alias("pages"), "part", "part_title", *(F.lit(None).cast("string").alias(c) for c in ("parent_statute", "statute_title", "effective_date")))
-        chunks = chunk_regulation(sections, least, most)
-        stored = table(chunks, "chunks", keyed=False)
-        stored.write(chunks)
-        status = ingest_status(docs.select("doc_id", "path"), sections.select("doc_id"), stored.find(docs).select("doc_id"))
-        statuses = table(status, "status")
-        statuses.write(status)
-        digests.write(docs.select("doc_id", "path"))
-        for t in (stored, statuses, digests):
-            t.compact(most_folders)
-    finally:
-        docs.unpersist()
+    once = files.groupBy("doc_id").agg(F.min_by(F.struct("path", "row"), F.struct(F.col("path").isNull(), "path")).alias("r")).select("doc_id", "r.*")
+    docs = written(once.join(digests.find(files).select("doc_id"), "doc_id", "left_anti"), "ingest-new")
+    if docs.isEmpty():
+        return
+    parsed = written(parse_regulation_xml(files.select("row", "doc_id", "content").join(docs.select("row").hint("shuffle_hash"), "row")), "ingest-sections")
+    found = parsed.filter("error IS NULL AND section IS NOT NULL")
+    sections = found.select("doc_id", "pos", F.lit("cfr_regulation").alias("document_type"), "section", "title", "body", "citation", F.array().cast("array<int>").alias("pages"), "part", "part_title", *(F.lit(None).cast("string").alias(c) for c in ("parent_statute", "statute_title", "effective_date")))
+    chunks = chunk_regulation(sections, least, most)
+    stored = table(chunks, "chunks", keyed=False)
+    stored.write(chunks)
+    status = ingest_status(docs.select("doc_id", "path"), sections.select("doc_id"), stored.find(docs).select("doc_id"))
+    statuses = table(status, "status")
+    statuses.write(status)
+    digests.write(docs.select("doc_id", "path"))
+    for t in (stored, statuses, digests):
+        t.compact(most_folders)
 
 
 def start_ingest(files: DataFrame, folder: str, checkpoint: str, trigger: dict | None = None, **limits):

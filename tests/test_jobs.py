@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
-
 import math
+import os
+import uuid
 
 import numpy as np
 import pytest
@@ -304,3 +304,23 @@ def test_ingest_stream(spark, tmp_path):
     batch = spark.read.format("binaryFile").load(str(tmp_path / "in")).select("path", "content")
     E.ingest(batch, str(tmp_path / "kept"), least=40, most=100)
     assert state() == twice and sorted(str(p) for p in (tmp_path / "kept").glob("*/manifests/*")) == manifests
+
+
+def test_ingest_reads_a_batch_once(spark, tmp_path):
+    part = lambda n: f'<DIV5 TYPE="PART" N="{n}"><HEAD>P</HEAD><DIV8 TYPE="SECTION" N="{n}.1"><HEAD>§ {n}.1 H</HEAD><P>words of {n}</P></DIV8></DIV5>'
+    files = spark.createDataFrame([("b", part(1)), ("a", part(1)), (None, part(1)), (None, part(2)), ("bad", "<DIV5"), ("none", None)], "path string, text string").coalesce(1)
+    (tmp_path / "reads").mkdir()
+    folder = str(tmp_path / "reads")
+
+    def read(batches):
+        for rows in batches:
+            for _ in range(len(rows)):
+                open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+            yield rows
+
+    batch = files.mapInPandas(read, files.schema).select("path", F.col("text").cast("binary").alias("content"))
+    E.ingest(batch, str(tmp_path / "kept"), buckets=4)
+    assert len(os.listdir(folder)) == 6
+    status, digests = (BucketTable(spark, str(tmp_path / "kept" / x)) for x in ("status", "digests"))
+    assert sorted((r.path or "", r.status, r.chunks_count) for r in status.read().collect()) == [("", "ready", 1), ("a", "ready", 1), ("bad", "failed", 0)]
+    assert sorted(r.path or "" for r in digests.read().collect()) == ["", "a", "bad"]

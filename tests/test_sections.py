@@ -183,3 +183,33 @@ def test_xml_is_read_as_a_stream(spark):
     assert other[-1].startswith("ParseError")
     (wrong,) = parse_part("a", b"<DIV6><x/></DIV6>")
     assert wrong[-1].startswith("ValueError: expected a DIV5")
+
+
+def test_tree_and_stream_give_the_same_rows(monkeypatch):
+    from screenmill.sources import xml_sections as M
+
+    section = '<DIV8 TYPE="SECTION" N="1.{0}"><HEAD>§ 1.{0} H<FTREF>x</FTREF></HEAD><P>a<I>b</I>c</P><X><P>no</P></X><P> </P></DIV8>'
+    inside = section.format(2) + '<HEAD>sub</HEAD><DIV6 TYPE="SUBPART"><DIV6 TYPE="OTHER"/>' + section.format(3) + "</DIV6>" + section.format(4)
+    files = [
+        f'<DIV5 TYPE="PART" N="1"><AUTH>x</AUTH><HEAD>P</HEAD><HEAD>Q</HEAD>{section.format(1)}<DIV6 TYPE="SUBPART">{inside}</DIV6><DIV7 TYPE="SUBJGRP">{section.format(5)}</DIV7><DIV9 TYPE="APPENDIX" N="A"/></DIV5>',
+        f'<DIV5 TYPE="PART" N="1"><DIV6 TYPE="SUBPART"><HEAD>only here</HEAD>{section.format(1)}</DIV6></DIV5>', '<DIV5 TYPE="PART"/>', "<DIV5>", "<DIV5/>", "<DIV6><x></DIV6>", "<DIV6><x/></DIV6>", "", " ", '<DIV5 TYPE="PART"><DIV8></DIV5>',
+    ]
+    tree = [list(M.parse_part("a", x.encode())) for x in files] + [list(M.parse_part("a", None))]
+    monkeypatch.setattr(M, "WHOLE_BYTES", -1)
+    assert tree == [list(M.parse_part("a", x.encode())) for x in files] + [list(M.parse_part("a", None))]
+    assert [len(rows) for rows in tree] == [5, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1]
+
+
+def test_trimmed_white_space_is_that_of_the_pattern(spark):
+    chars = [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]
+    texts = spark.createDataFrame([(f"{c}a {c}b{c} \n{c}",) for c in chars] + [("",), (" \n",), (None,)], "x string")
+    assert texts.filter(~X.trim_white(F.col("x")).eqNullSafe(F.regexp_replace("x", r"(?U)^\s+|\s+$", ""))).count() == 0
+
+
+def test_labels_are_those_of_the_pattern(spark):
+    rng = random.Random(3)
+    texts = spark.createDataFrame([("".join(rng.choices(["(a)", "(b)", *" .:;\nx("], k=rng.randrange(20))),) for _ in range(3000)], "x string")
+    marked = F.regexp_replace("x", r"(?:^|(?<=[.:;\s]))(\([a-z]\))(?=\s)", "\x00$1")
+    parts = F.filter(F.transform(F.split(marked, "\x00"), X.trim_white), lambda p: p != "")
+    assert texts.filter(F.transform(X.labelled_paragraphs(F.col("x")), lambda p: p["text"]) != parts).count() == 0
+    assert texts.filter(F.size(parts) > 1).count() > 100
