@@ -160,3 +160,9 @@ def test_hashed_embeddings_equal_the_formula(spark):
         want[h % 16] += 1.0 if h >> 31 else -1.0
     norm = sum(x * x for x in want) ** 0.5
     assert [round(x, 5) for x in got[0].v] == [round(x / norm, 5) for x in want] and set(got[1].v) == {0.0}
+
+
+def test_part_1508_are_definitions_in_the_summary(spark):
+    made = "'cfr_regulation' AS document_type, '1' AS section, 't' AS title, 'a few words' AS body, 'c' AS citation, array(1) AS pages, string(1507 + id % 2) AS part, string(null) AS part_title, string(null) AS parent_statute, string(null) AS statute_title, string(null) AS effective_date"
+    chunks = C.chunk_regulation(spark.range(6).selectExpr("'d' AS doc_id", "int(id) AS pos", *made.split(", ")))
+    assert {r.part: r.n_definitions for r in C.chunk_summary(chunks, "part").collect()} == {"1507": 0, "1508": 3}
