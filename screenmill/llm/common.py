@@ -121,14 +121,14 @@ def grouped_left(rows: DataFrame, groups: DataFrame, key: str, total: int) -> Da
     return rows.join(hot, key).unionByName(cold)
 
 
-def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with a function that make() builds once in each task."""
+def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, about: int | None = None) -> DataFrame:
+    """mapInArrow with a function that make() builds once in each task; about: bytes of a piece, PIECE_BYTES if not given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         try:
             for batch in batches:
-                for piece in pieces(batch):
+                for piece in pieces(batch, about):
                     yield work(piece)
         finally:
             release()
@@ -215,12 +215,12 @@ def from_planes(data: bytes, kind: str, n: int, at: int = 0) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T).view(kind).reshape(n)
 
 
-def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch cut by rows into slices of about PIECE_BYTES."""
+def pieces(batch: pa.RecordBatch, about: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batch cut by rows into slices of about so many bytes, PIECE_BYTES if not given."""
     n = batch.num_rows
     if n == 0:
         return
-    step = max(1, int(n * PIECE_BYTES / max(batch.nbytes, 1)))
+    step = max(1, int(n * (about or PIECE_BYTES) / max(batch.nbytes, 1)))
     for at in range(0, n, step):
         yield batch.slice(at, step)
 

@@ -26,11 +26,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import block_number, gathered, keyed_texts, map_arrow, mix64, release, settled, text_bytes
-from .word_bpe import loaded
+from .word_bpe import ENCODED_BYTES, loaded
 
 K1, B = 1.2, 0.75
 #: Min-hashes of a document, 16 bits each.
@@ -202,12 +203,12 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
         bpe = loaded(vocabulary)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [x + end for x in bpe.encode(batch.column(1).to_pylist())]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            ids = pc.binary_join_element_wise(bpe.encode_column(batch.column(1)), *(pa.scalar(x, pa.large_binary()) for x in (end, b"")))
+            return pa.RecordBatch.from_arrays([batch.column(0), ids.cast(pa.binary())], ["doc_id", "ids"])
 
         return work
 
-    return map_arrow(keyed_texts(docs), make, "doc_id long, ids binary")
+    return map_arrow(keyed_texts(docs), make, "doc_id long, ids binary", ENCODED_BYTES)
 
 
 def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

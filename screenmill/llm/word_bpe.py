@@ -1,6 +1,7 @@
 """Token counts by rank-synchronous array merging.
 
-Pre-tokens of a batch lie in one ragged numpy array of symbols.  In every round each sequence's lowest-rank adjacent
+Arrow splits the texts of a piece at white space and tells the chunks apart; those met before are found in a table of ids by
+their bytes.  Pre-tokens of the rest lie in one ragged numpy array of symbols.  In every round each sequence's lowest-rank adjacent
 pair is found by a segmented minimum and all its occurrences are merged, in all sequences at once; sequences without a
 mergeable pair leave the array.  What survives are the tokens.  The result equals the `tokenizers` library's.
 
@@ -10,19 +11,25 @@ ignored; an empty table yields an empty table.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import keyed_texts, map_arrow
+from .common import keyed_texts, map_arrow, mix64, text_bytes
 
-#: The cache is started anew beyond so many bytes of texts and ids, keeping the last full one to look in; longer chunks aren't kept.
-CACHE_BYTES, LONGEST_KEPT = 6_000_000, 100
+#: Chunks of at most so many 64-bit numbers (without a zero byte) are kept, and so many of them; then the table is started anew.
+KEY_NUMBERS, MOST_KEPT = 4, 1 << 20
+#: Bytes of text that are encoded at once: chunks are looked up once in each piece.
+ENCODED_BYTES = 1 << 21
+#: White space for str.split and Arrow, but not for the vocabulary's pattern.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 def byte_symbols() -> list[str]:
@@ -76,6 +83,102 @@ class PairTable:
         return out
 
 
+def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places of all ranges, one after another."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + counts, counts)
+
+
+def put_in(ids: np.ndarray, counts: np.ndarray, missing: np.ndarray, new: np.ndarray, new_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges of ids, one after another, with the new ones in the places of the missing, which are empty."""
+    starts, counts = np.cumsum(counts) - counts, counts.copy()
+    starts[missing], counts[missing] = len(ids) + np.cumsum(new_counts) - new_counts, new_counts
+    return np.append(ids, new)[ragged(starts, counts)], counts
+
+
+def binaries(ids: np.ndarray, counts: np.ndarray) -> pa.LargeBinaryArray:
+    """Ranges of ids as values of 16-bit numbers."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(2 * np.append(0, np.cumsum(counts))), pa.py_buffer(ids.astype("<u2"))])
+
+
+def as_lines(chunks: pa.LargeStringArray) -> str:
+    """The chunks with a line end after each."""
+    return text_bytes(pc.binary_join_element_wise(chunks, *(pa.scalar(x, pa.large_string()) for x in ("", "\n"))))[0].tobytes().decode()
+
+
+class ChunkTable:
+    """Ids of chunks, whose bytes are the keys of an open-addressed table that numpy probes for many chunks at once."""
+
+    def __init__(self, most: int = MOST_KEPT):
+        self.most, self.n, self.end = most, 0, 0
+        self.shift = np.uint64(64 - (2 * most - 1).bit_length())
+        self.mask = (1 << 64 - int(self.shift)) - 1
+        self.slots = np.full(self.mask + 1, -1, np.int32)
+        self.keys = np.zeros((most, KEY_NUMBERS), np.uint64)
+        self.starts = np.zeros(most, np.int32)
+        self.counts = np.zeros(most, np.uint8)
+        self.ids = np.zeros(8 * most, np.uint16)
+
+    @staticmethod
+    def keys_of(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of each chunk as numbers, filled up with zeros, and whether they tell it from all others."""
+        sizes = np.diff(bounds)
+        padded = np.append(raw, np.zeros(8 * KEY_NUMBERS, np.uint8))
+        window = np.ndarray(len(raw) + 8 * (KEY_NUMBERS - 1) + 1, "<u8", padded, strides=(1,))
+        keys = np.zeros((len(sizes), KEY_NUMBERS), np.uint64)
+        for k in range(KEY_NUMBERS):
+            use = np.flatnonzero(sizes > 8 * k)
+            empty = (8 * np.maximum(8 * (k + 1) - sizes[use], 0)).astype(np.uint64)
+            keys[use, k] = window[bounds[use] + 8 * k] << empty >> empty
+        fits = sizes <= 8 * KEY_NUMBERS
+        fits[np.searchsorted(bounds, np.flatnonzero(raw == 0), "right") - 1] = False
+        return keys, fits
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        hashes = np.zeros(len(keys), np.uint64)
+        for k in range(KEY_NUMBERS):
+            hashes = mix64(hashes ^ keys[:, k]) if k < 2 else np.where(keys[:, k] > 0, mix64(hashes ^ keys[:, k]), hashes)
+        return (hashes >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The entry of each key, or -1."""
+        slots = self._slot(keys)
+        out = self.slots[slots]
+        todo = np.flatnonzero(out >= 0)
+        todo = todo[(self.keys[out[todo]] != keys[todo]).any(axis=1)]
+        while len(todo):
+            slots[todo] = (slots[todo] + 1) & self.mask
+            out[todo] = self.slots[slots[todo]]
+            todo = todo[out[todo] >= 0]
+            todo = todo[(self.keys[out[todo]] != keys[todo]).any(axis=1)]
+        return out
+
+    def ids_of(self, keys: np.ndarray, fits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The kept ids of all chunks, one after another, their counts, and the places of chunks that aren't kept."""
+        entries = np.where(fits, self.find(keys), -1)
+        counts = np.where(entries < 0, 0, self.counts[entries]).astype(np.int64)
+        return self.ids[ragged(self.starts[entries], counts)], counts, np.flatnonzero(entries < 0)
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Keys that differ and aren't in the table, if there is room for them; a full table is started anew."""
+        if self.n + len(keys) > self.most or self.end + len(ids) > len(self.ids):
+            self.n = self.end = 0
+            self.slots.fill(-1)
+            if len(keys) > self.most or len(ids) > len(self.ids):
+                return
+        entries = np.arange(self.n, self.n + len(keys), dtype=np.int32)
+        self.keys[entries], self.counts[entries] = keys, counts
+        self.starts[entries] = self.end + np.cumsum(counts) - counts
+        self.ids[self.end : self.end + len(ids)] = ids
+        self.n, self.end = self.n + len(keys), self.end + len(ids)
+        at = self._slot(keys)
+        while len(at):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = entries[free]  # of several the last one stays
+            lost = self.slots[at] != entries
+            at, entries = (at[lost] + 1) & self.mask, entries[lost]
+
+
 class WordBpe:
     """The merges of a BPE vocabulary with word ends, as arrays."""
 
@@ -90,22 +193,18 @@ class WordBpe:
         self.table = PairTable(*(np.array([vocab[x] for x in part]) for part in ([a for a, _ in merges], [b for _, b in merges], [a + b for a, b in merges])))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.at_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        # no chunk has a line end, so many are cut at once
+        self.pattern = regex.compile("\n|" + spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         #: What all special strings begin with: a text without it has none.
         self.mark = os.path.commonprefix(list(self.special))
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.known_bytes = 0
-        self.long: list[str] = []
-
-    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids of all words, one after another, and each word's count."""
-        lengths = np.array([len(w) for w in words], np.int64)
-        raw = np.frombuffer(b"".join(words), np.uint8)
+        self.kept = ChunkTable()
+
+    def merge(self, raw: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all words, one at least, one after another, and each word's count; raw: the words' bytes."""
         symbol = self.plain[raw]
         last = np.cumsum(lengths) - 1
         symbol[last] = self.final[raw[last]]
-        owner = np.repeat(np.arange(len(words)), lengths)
+        owner = np.repeat(np.arange(len(lengths)), lengths)
         place = np.arange(len(raw))
         done_ids, done_places = [], []
         rank = np.full(len(raw), self.table.none, np.int32)
@@ -150,32 +249,40 @@ class WordBpe:
         first = np.cumsum(lengths) - lengths
         return ids[order], np.diff(np.r_[np.searchsorted(places[order], first), len(ids)])
 
-    def learn(self, chunks: set[str]) -> None:
-        """The ids of chunks without white space, as little-endian 16-bit numbers, go to the cache with those of their words."""
-        known = self.known
-        compound = {c: ws for c in chunks if not c.isalpha() for ws in [self.cut(c)]}
-        new = {w for ws in compound.values() for w in ws if w not in known}
-        new.update(c for c in chunks if c not in compound)
-        if self.old:
-            old = [w for w in new if w in self.old]
-            known.update(zip(old, [self.old[w] for w in old], strict=True))
-            new.difference_update(old)
-        if new:
-            words = list(new)
-            ids, counts = self.merge([w.encode() for w in words])
-            data, ends = ids.astype("<u2").tobytes(), (2 * np.cumsum(counts)).tolist()
-            known.update(zip(words, [data[a:b] for a, b in zip([0, *ends], ends)], strict=True))
-            self.known_bytes += sum(map(len, words)) + len(data)
-        for c, ws in compound.items():
-            ids = known[c] = b"".join([known[w] for w in ws])
-            self.known_bytes += len(c) + len(ids)
-        self.long += [c for c in (*compound, *new) if len(c) > LONGEST_KEPT]
-
-    def cut(self, chunk: str) -> list[str]:
-        """The chunk's words by the vocabulary's pattern; letters with one mark behind them need no search."""
-        if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
-            return [chunk[:-1], chunk[-1]]
-        return self.pattern.findall(chunk)
+    def ids_of(self, chunks: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different chunks without white space, one after another, and each chunk's count."""
+        keys, fits = ChunkTable.keys_of(*text_bytes(chunks))
+        ids, counts, missing = self.kept.ids_of(keys, fits)
+        if not len(missing):
+            return ids, counts
+        words, spans = self.words_of(chunks.take(pa.array(missing)))
+        different = words.dictionary_encode()
+        word_ids, word_counts = self.word_ids(different.dictionary)
+        starts, of = np.cumsum(word_counts) - word_counts, different.indices.to_numpy()
+        new = word_ids[ragged(starts[of], word_counts[of])]  # the ids of a chunk's words follow one another
+        new_counts = np.diff(np.append(0, np.cumsum(word_counts[of]))[np.append(0, np.cumsum(spans))])
+        keep = fits[missing] & (spans != 1)  # chunks of one word are kept as words
+        self.kept.add(keys[missing[keep]], new[np.repeat(keep, new_counts)], new_counts[keep])
+        return put_in(ids, counts, missing, new, new_counts)
+
+    def word_ids(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different words, one after another, and each word's count."""
+        raw, bounds = text_bytes(words)
+        sizes = np.diff(bounds)
+        keys, fits = ChunkTable.keys_of(raw, bounds)
+        ids, counts, missing = self.kept.ids_of(keys, fits)
+        if not len(missing):
+            return ids, counts
+        new, new_counts = self.merge(raw[ragged(bounds[missing], sizes[missing])], sizes[missing])
+        keep = fits[missing]
+        self.kept.add(keys[missing[keep]], new[np.repeat(keep, new_counts)], new_counts[keep])
+        return put_in(ids, counts, missing, new, new_counts)
+
+    def words_of(self, chunks: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray]:
+        """The words of all chunks by the vocabulary's pattern, one after another, and each chunk's number of them."""
+        lines = pa.array(self.pattern.findall(as_lines(chunks)), pa.large_string())
+        ends = pc.equal(lines, "\n").to_numpy(zero_copy_only=False)
+        return lines.filter(pa.array(~ends)), np.diff(np.flatnonzero(ends), prepend=-1) - 1
 
     def segments(self, text: str) -> list[list[str]]:
         """Chunks of each part of the text between special strings."""
@@ -184,46 +291,46 @@ class WordBpe:
         return [self.normal(x) for x in self.at_special.split(text)]
 
     @staticmethod
-    def normal(text: str) -> list[str]:
-        if not text.isascii() and not unicodedata.is_normalized("NFC", text):
+    def lowered(text: str) -> str:
+        if text.isascii():
+            return text.lower()
+        if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        if "Σ" in text:
-            text = text.replace("Σ", "σ")  # lower case by single characters, without the final form
+        # lower case by single characters, without the final form
+        return text.replace("Σ", "σ").lower()
+
+    @classmethod
+    def normal(cls, text: str) -> list[str]:
         # str.split also splits at the four ASCII separators, which are no white space for the vocabulary's pattern
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return [x for x in regex.split(r"[^\S\x1c-\x1f]+", text.lower()) if x]
-        return text.lower().split()
+        return [x for x in regex.split(r"[^\S\x1c-\x1f]+", cls.lowered(text)) if x]
+
+    def encode_odd(self, text: str) -> bytes:
+        """The ids of a text with special strings or separators that only str.split takes for white space."""
+        parts = self.segments(text)
+        chunks = pa.array([c for p in parts for c in p], pa.large_string()).dictionary_encode()
+        all_ids = iter(binaries(*self.ids_of(chunks.dictionary)).take(chunks.indices).to_pylist())
+        marks = [self.special[m].to_bytes(2, "little") for m in self.at_special.findall(text)] if len(parts) > 1 else []
+        return b"".join(mark + b"".join(itertools.islice(all_ids, len(p))) for mark, p in zip([b"", *marks], parts, strict=True))
+
+    def encode_column(self, texts: pa.Array) -> pa.LargeBinaryArray:
+        """The ids of each text as little-endian 16-bit numbers; Arrow splits the texts and tells their chunks apart."""
+        odd: dict[int, bytes] = {}
+        low = []
+        for k, text in enumerate(texts.to_pylist()):
+            if (self.special and self.mark in text) or any(c in text for c in SEPARATORS):
+                odd[k] = self.encode_odd(text)
+                text = ""
+            low.append(self.lowered(text))
+        split = pc.utf8_split_whitespace(pa.array(low, pa.large_string()))
+        chunks = split.values.dictionary_encode()
+        ids = binaries(*self.ids_of(chunks.dictionary)).take(chunks.indices)
+        # the ids of a text's chunks follow one another: only its bounds are needed
+        bounds = np.frombuffer(ids.buffers()[1], np.int64)[split.offsets.to_numpy()]
+        out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(low), [None, pa.py_buffer(bounds), ids.buffers()[2]])
+        return pa.array([odd.get(k, x) for k, x in enumerate(out.to_pylist())], pa.large_binary()) if odd else out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 16-bit numbers."""
-        if self.known_bytes > CACHE_BYTES:
-            self.old, self.known, self.known_bytes = self.known, {}, 0
-        cut = [self.segments(t) for t in texts]
-        missing: set[str] = set()
-        for parts in cut:
-            for chunks in parts:
-                missing.update(chunks)
-        missing = missing.difference(self.known)
-        if self.old:
-            for c in [c for c in missing if c in self.old]:
-                ids = self.known[c] = self.old[c]
-                self.known_bytes += len(c) + len(ids)
-                missing.remove(c)
-        if missing:
-            self.learn(missing)
-        get = self.known.__getitem__
-        out = []
-        for text, parts in zip(texts, cut, strict=True):
-            joined = [b"".join(map(get, parts[0]))]
-            if len(parts) > 1:
-                marks = [self.special[m].to_bytes(2, "little") for m in self.at_special.findall(text)]
-                for mark, chunks in zip(marks, parts[1:], strict=True):
-                    joined += [mark, *map(get, chunks)]
-            out.append(joined[0] if len(joined) == 1 else b"".join(joined))
-        for c in self.long:
-            self.known.pop(c, None)
-        self.long.clear()
-        return out
+        return self.encode_column(pa.array(texts, pa.large_string())).to_pylist()
 
 
 _LOADED: dict[str, WordBpe] = {}
@@ -249,11 +356,10 @@ def token_counts(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", limit:
         bpe = loaded(vocabulary)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = batch.column(1).to_pylist()
-            n = np.array([len(x) // 2 for x in bpe.encode(texts)], np.int64)
-            size = np.array([len(t.encode()) for t in texts], np.int64)
+            n = pc.binary_length(bpe.encode_column(batch.column(1))).to_numpy() // 2
+            size = np.diff(text_bytes(batch.column(1))[1])
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
         return work
 
-    return map_arrow(keyed_texts(docs), make, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_arrow(keyed_texts(docs), make, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", ENCODED_BYTES)

@@ -10,6 +10,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -44,6 +45,36 @@ def test_word_ids(word_library, text):
     assert got == word_library.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=100, deadline=None)
+@given(texts=st.lists(TEXTS, max_size=6), most=st.sampled_from([1, 5, 50]))
+def test_word_ids_of_columns_with_a_table_that_overflows(word_library, texts, most):
+    """Texts of a column, twice, cut out of a larger one; chunks of zero bytes and long ones aren't kept."""
+    bpe = word_bpe.loaded("word_bpe_49k.json")
+    before, bpe.kept = bpe.kept, word_bpe.ChunkTable(most)
+    texts = ["before", *texts, "", " a\0 a \0 b\0\0 a", "\u2029Ünïcode" * 9, "x" * 32, "x" * 33, "y\0" * 16, "it's 'tis don't!! 12³ a'sb'", "after"]
+    try:
+        for _ in range(2):
+            got = bpe.encode_column(pa.array(texts).slice(1, len(texts) - 2)).to_pylist()
+            assert [np.frombuffer(x, "<u2").tolist() for x in got] == [word_library.encode(t, add_special_tokens=False).ids for t in texts[1:-1]]
+    finally:
+        bpe.kept = before
+    assert bpe.encode_column(pa.array([], pa.string())).to_pylist() == bpe.encode([]) == []
+
+
+def test_a_chunk_is_merged_once(monkeypatch):
+    """More chunks than two full caches of 6 MB held: in a second pass none is merged again."""
+    rng = np.random.default_rng(3)
+    letters = rng.integers(97, 123, (250_000, 24), np.uint8)
+    letters[:, 23] = 32
+    texts = [part.tobytes().decode() for part in np.array_split(letters, 10)]
+    bpe = word_bpe.loaded("word_bpe_49k.json")
+    first = [bpe.encode([t]) for t in texts]
+    merged = []
+    merge = word_bpe.WordBpe.merge
+    monkeypatch.setattr(word_bpe.WordBpe, "merge", lambda *args: merged.append(1) or merge(*args))
+    assert [bpe.encode([t]) for t in texts] == first and not merged
+
+
 @settings(max_examples=300, deadline=None)
 @given(text=TEXTS)
 def test_byte_ids_round_trip(byte_library, text):
